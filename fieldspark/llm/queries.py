@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.llm import chat_format, packing, quality_rules, suffix_encode, token_counts, wavelet
+from fieldspark.llm import chat_format, packing, quality_rules, suffix_encode, token_counts, warc, wavelet
 from fieldspark.llm.common import table
 from fieldspark.llm.tokens import public_path
 
@@ -34,6 +34,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), 2)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("digest_ok")
+
+
 def op9_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), 1)
 
@@ -43,4 +47,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.SQL}
+    return {"op4_quality_rules": quality_rules.SQL, "op7_warc": warc.SQL}
