@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.llm import chat_format, packing, quality_rules, suffix_encode, token_counts, warc, wavelet
+from fieldspark.llm import chat_format, language_id, packing, quality_rules, suffix_encode, token_counts, warc, wavelet
 from fieldspark.llm.common import table
 from fieldspark.llm.tokens import public_path
 
@@ -42,6 +42,10 @@ def op9_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), 1)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_documents(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
