@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.llm import chat_format, language_id, packing, quality_rules, suffix_encode, token_counts, warc, wavelet
+from fieldspark.llm import chat_format, jaccard_join, language_id, packing, quality_rules, suffix_encode, token_counts, warc, wavelet
 from fieldspark.llm.common import table
 from fieldspark.llm.tokens import public_path
 
@@ -38,6 +38,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("digest_ok")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).drop("n_links")
+
+
 def op9_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), 1)
 
