@@ -1 +1,3 @@
-"""fieldspark.plans."""
+"""Queries over the driver tables."""
+
+from fieldspark.plans import fields  # noqa: F401
