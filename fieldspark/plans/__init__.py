@@ -1,3 +1,3 @@
 """Queries over the driver tables."""
 
-from fieldspark.plans import fields, inversion  # noqa: F401
+from fieldspark.plans import fields, inversion, lifecycle  # noqa: F401
