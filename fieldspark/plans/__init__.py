@@ -1,3 +1,3 @@
 """Queries over the driver tables."""
 
-from fieldspark.plans import fields, inversion, lifecycle, patterns  # noqa: F401
+from fieldspark.plans import fields, inversion, io_queries, lifecycle, patterns  # noqa: F401
