@@ -53,7 +53,7 @@ def budget_heating_forcing(spark, sf):
     return _cells(forcing.budget_heating(g, [], DLAT, DLON), c=(F.col("forcing_c"), 1e15))
 
 
-@register("latent_heating_forcing", _sql("c1", HEAT + f", c0 AS (SELECT *, {CP_DRY} * heat * t / greatest(th, 1.0) AS j FROM h2), c1 AS (SELECT *, {sql_lap('j')} AS lj FROM c0)", c=(f"-({KAPPA!r} / (level * 100.0)) * lj", 1e15)))
+@register("latent_heating_forcing", _sql("c1", HEAT + f", c0 AS (SELECT *, {CP_DRY} * coalesce(heat, 0.0) * t / greatest(th, 1.0) AS j FROM h2), c1 AS (SELECT *, {sql_lap('j')} AS lj FROM c0)", c=(f"-({KAPPA!r} / (level * 100.0)) * lj", 1e15)))
 def latent_heating_forcing(spark, sf):
     g = heating(grid(spark, sf)).withColumn("theta_dot", F.col("heat")).withColumn("theta", F.col("th"))
     return _cells(forcing.latent_heating_forcing(g, [], DLAT, DLON), c=(F.col("forcing_l"), 1e15))
@@ -79,7 +79,7 @@ def zonal_waves(spark, sf):
     return d.select("level", "ilat", "m", r(F.col("re")).alias("re"), r(F.col("im")).alias("im"))
 
 
-@register("zonal_waves_round_trip", _sql("grid", u=("u", 1)))
+@register("zonal_waves_round_trip", _sql("grid", u=("coalesce(u, 0)", 1)))
 def zonal_waves_round_trip(spark, sf):
     d = invert.zonal_idft(invert.zonal_dft(grid(spark, sf), "u", LV, NLON), "u", LV, NLON)
     return _cells(d, u=(F.col("u"), 1))
@@ -93,8 +93,9 @@ def poisson_fixed_edges(spark, sf):
     return S.with_laplacian(x, "x", "back", LV, DLAT, DLON).select("level", "ilat", "ilon", r(F.col("back")).alias("back"))
 
 
-@register("helmholtz_split", f"""WITH {GRID} SELECT level, ilat, ilon, round(u, 6) + 0.0 AS u, round(v, 6) + 0.0 AS v,
- round(1e6 * ({sql_ddx('v')} - {sql_ddy('u')} + u * tan(lat * {RAD}) / {R_EARTH}), 4) + 0.0 AS vort FROM grid""")
+@register("helmholtz_split", f"""WITH {GRID}, g0 AS (SELECT level, ilat, ilon, lat, coalesce(u, 0) AS u, coalesce(v, 0) AS v, u IS NOT NULL AND v IS NOT NULL AS ok FROM grid),
+ g1 AS (SELECT *, {sql_ddx('v')} - {sql_ddy('u')} + u * tan(lat * {RAD}) / {R_EARTH} AS vort FROM g0)
+ SELECT level, ilat, ilon, CASE WHEN ok THEN round(u, 6) + 0.0 END AS u, CASE WHEN ok THEN round(v, 6) + 0.0 END AS v, CASE WHEN ok THEN round(1e6 * vort, 4) + 0.0 END AS vort FROM g1""")
 def helmholtz_split(spark, sf):
     """Rotational, divergent and harmonic parts add up to the wind."""
     h = invert.helmholtz(grid(spark, sf), LV, invert.green(spark, LAT0, DLAT, NLAT, NLON, "neumann"), LAT0, DLAT, DLON, NLAT, NLON)

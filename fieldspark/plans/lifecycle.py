@@ -315,10 +315,10 @@ def align_levels(spark, sf):
     return K.align_levels(g, [240, 390, 560], ["ilat", "ilon"]).select("ilat", "ilon", "level", r(F.col("u")).alias("u"))
 
 
-@register("coef_stats", f"WITH {CATALOG} SELECT stage, event_type, round(avg(price), 4) + 0.0 AS mean, round(stddev_pop(price), 4) + 0.0 AS std, round(stddev_pop(price) / sqrt(count(price)), 4) + 0.0 AS sem, count(price) AS n FROM catalog GROUP BY 1, 2")
+@register("coef_stats", f"WITH {CATALOG} SELECT stage, event_type, round(avg(price), 6) + 0.0 AS mean, round(stddev_pop(price), 5) + 0.0 AS std, round(stddev_pop(price) / sqrt(count(price)), 5) + 0.0 AS sem, count(price) AS n FROM catalog GROUP BY 1, 2")
 def coef_stats(spark, sf):
     s = K.coef_stats(catalog(spark, sf), "price", ["stage", "event_type"])
-    return s.select("stage", "event_type", *[r(F.col(c), 1, 4).alias(c) for c in ("mean", "std", "sem")], "n")
+    return s.select("stage", "event_type", r(F.col("mean")).alias("mean"), *[r(F.col(c), 1, 5).alias(c) for c in ("std", "sem")], "n")
 
 
 @register("field_corr", f"WITH {PATCHES} SELECT variant, dh, round(corr(a, b), 6) + 0.0 AS corr, round(avg(abs(a)) / avg(abs(b)), 6) + 0.0 AS ratio FROM patches GROUP BY 1, 2")
