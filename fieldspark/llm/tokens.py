@@ -10,7 +10,7 @@ from itertools import chain
 import numpy as np
 
 #: Entries that one worker remembers before it starts afresh.
-MEMO_ENTRIES = 1_500_000
+MEMO_ENTRIES = 600_000
 
 SPACE = "▁"
 

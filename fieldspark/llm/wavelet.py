@@ -239,7 +239,9 @@ def read_shards(manifest: DataFrame, path: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    files = manifest.select("file", "start", "n_tokens").repartition("file")
+    # a number of its own, so that these small rows are not put together in one task
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = manifest.select("file", "start").repartition(tasks, "file")
     return files.mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
