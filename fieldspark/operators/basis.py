@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions.constants import R_EARTH
 from fieldspark.operators.stencil import centred
+from fieldspark.sources.scratch import written
 
 PHI = [f"phi{k}" for k in range(1, 7)]
 NAMES = ("beta", "ax", "ay", "gamma1", "gamma2", "sigma")
@@ -74,19 +75,18 @@ def basis_weights(cells: DataFrame, lat: Column | None = None) -> DataFrame:
     return cells.withColumn("w", F.when(F.col("mask"), w).otherwise(0.0))
 
 
-def central_blob(cells: DataFrame, keys: list[str], mask: str, y: str = "y_rel", x: str = "x_rel", iy: str = "iy", ix: str = "ix", write=None) -> DataFrame:
+def central_blob(cells: DataFrame, keys: list[str], mask: str, y: str = "y_rel", x: str = "x_rel", iy: str = "iy", ix: str = "ix", write=written) -> DataFrame:
     """Keeps the 4-connected part of ``mask`` at the centre: adds blob.
 
     The seed is the masked cell nearest to (0, 0), ties to the first in row
     order.  Rows become runs of cells; from the seed's run a set of reached
-    runs grows over runs that touch it, for all units at once.  ``write`` may
-    put each round's set in a table (it cuts lineage).
+    runs grows over runs that touch it, for all units at once; ``write`` puts
+    each round's set in a table.
     """
     m = cells.filter(F.col(mask))
     w = Window.partitionBy(*keys, iy).orderBy(ix)
     run = m.withColumn("_run", F.col(ix) - F.row_number().over(w))
     runs = run.groupBy(*keys, iy, "_run").agg(F.min(ix).alias("lo"), F.max(ix).alias("hi"), F.min(F.struct((F.pow(F.col(y), 2) + F.pow(F.col(x), 2)).alias("d"), F.col(iy), F.col(ix))).alias("near"))
-    write = write or (lambda d: d.checkpoint() if d.sparkSession.conf.get("spark.checkpoint.dir", None) else d.persist())
     runs = write(runs)
     best = runs.groupBy(*keys).agg(F.min("near").alias("_n"))
     reached = write(runs.join(best, keys).filter(F.col("near") == F.col("_n")).select(*keys, iy, "_run", "lo", "hi"))

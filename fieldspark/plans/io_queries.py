@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import posixpath
-import tempfile
-import uuid
 from datetime import datetime
 
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from fieldspark.operators import composite as K
@@ -17,15 +13,10 @@ from fieldspark.plans.proxies import CATALOG, DLAT, DLON, GRID, LAT0, NLAT, NLON
 from fieldspark.plans.registry import register
 from fieldspark.sources import normalize as N
 from fieldspark.sources import tables as S
+from fieldspark.sources.scratch import scratch
 from fieldspark.streaming import incremental
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one of the cluster; a local one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="fieldspark-")
-    return posixpath.join(root, f"{name}-{uuid.uuid4().hex}")
-
-
 @register("read_events", f"WITH {CATALOG} SELECT event_type, stage, track_id, round(price / 10000, 6) + 0.0 AS lat0, strftime(base_ts, '%Y-%m-%d %H:%M:%S') AS base_ts FROM catalog")
 def read_events(spark, sf):
     """Catalogue written as CSV with other headers, read back."""
