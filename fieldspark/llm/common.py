@@ -50,9 +50,13 @@ def keep_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
     ``ids`` is a written table: its count is cheap and decides between a
     broadcast (at most BROADCAST_IDS rows) and a shuffle join.
     """
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return df.join(ids, column, how)
+    return df.join(small(ids), column, how)
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be sent to all executors if it
+    has at most BROADCAST_IDS rows, else to be shuffled."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

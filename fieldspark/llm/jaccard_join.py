@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import keep_ids, slices, written
+from fieldspark.llm.common import keep_ids, slices, small, written
 from fieldspark.llm.components import components
 from fieldspark.llm.shingles import mix, shingle_sets
 
@@ -40,7 +40,9 @@ _U = np.uint64
 #: ``code`` = band * CODE + signatures that a partner must share.
 CODE = 1 << 24
 #: Shingles in a block of sets that are compared with another block in one task.
-BLOCK = 1_000_000
+BLOCK = 4_000_000
+#: Sets in a block that are compared with the first of their group in one task.
+STAR = 2_000
 
 
 def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -128,12 +130,17 @@ def signature_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, "sig long, doc_id long, code long")
 
 
-def _sharing(members: DataFrame) -> DataFrame:
-    """Drops signatures of one component only, and then the sets that share too few for any partner."""
-    by_sig, by_doc = Window.partitionBy("sig"), Window.partitionBy("doc_id", "code")
-    apart = members.withColumn("lo", F.min("component").over(by_sig)).withColumn("hi", F.max("component").over(by_sig))
-    apart = apart.filter("lo <> hi").drop("lo", "hi")
-    return apart.withColumn("n", F.count("*").over(by_doc)).filter(F.col("n") >= F.col("code") % CODE).drop("n")
+def _apart(members: DataFrame) -> DataFrame:
+    """Drops signatures that only one component has."""
+    w = Window.partitionBy("sig")
+    m = members.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w))
+    return m.filter("lo <> hi").drop("lo", "hi")
+
+
+def _enough(members: DataFrame) -> DataFrame:
+    """Drops the sets that share too few signatures for any partner."""
+    n = F.count("*").over(Window.partitionBy("doc_id", "code"))
+    return members.withColumn("n", n).filter(F.col("n") >= F.col("code") % CODE).drop("n")
 
 
 def _set_rows(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -149,13 +156,40 @@ def _set_rows(ids: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+    """The pairs (a, b), a < b, whose sets reach the threshold.
+
+    Sets are sent to their pair's a, in blocks of STAR sets; a's own set comes
+    first in each block and the others pass by it.
+    """
+
+    n = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("blocks"))
+    salt = F.pmod(F.xxhash64("b"), F.col("blocks"))
+    members = pairs.join(n, "a").select("a", salt.alias("salt"), F.col("b").alias("doc_id"))
+    firsts = n.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("salt"), F.col("a").alias("doc_id"))
+    keyed = written(members.unionByName(firsts), "stars")
+    rows = _set_rows(keyed.select("doc_id"), docs).join(small(keyed), "doc_id")
+    rows = rows.withColumn("other", F.col("doc_id") != F.col("a")).repartition("a", "salt").sortWithinPartitions("a", "salt", "other")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first = None, np.zeros(0, _U)
+        for batch in batches:
+            a, salt, ids = (batch.column(c).to_numpy() for c in ("a", "salt", "doc_id"))
+            bounds = batch.column("s").offsets.to_numpy()
+            h = batch.column("s").values.to_numpy().view(_U)
+            out: tuple[list, list] = ([], [])
+            for i in range(batch.num_rows):
+                own = h[bounds[i] : bounds[i + 1]]
+                if ids[i] == a[i]:
+                    # texts of one id: sets of equal key, the last one counts as well
+                    key, first = (a[i], salt[i]), own if key != (a[i], salt[i]) else np.union1d(first, own)
+                    continue
+                n = len(np.intersect1d(own, first, assume_unique=True))
+                if key == (a[i], salt[i]) and 4 * n >= 3 * (len(own) + len(first) - n):
+                    out[0].append(a[i])
+                    out[1].append(ids[i])
+            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], ["a", "b"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(_set_rows(ids, docs), "sets")
-    a, b = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
-    return both.filter("4 * n >= 3 * (na + nb - n)").select("a", "b")
+    return rows.mapInArrow(work, "a long, b long")
 
 
 def _with_first(members: DataFrame, apart: str) -> DataFrame:
@@ -187,7 +221,7 @@ def _linked_in_families(members: DataFrame, base: DataFrame, docs: DataFrame) ->
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     db = rows.select("family", "doc_id", "component", F.lit(False).alias("query"), place(1, "n_db").alias("db"), upto("n_q").alias("q"))
     q = rows.filter("component <> major").select("family", "doc_id", "component", F.lit(True).alias("query"), upto("n_db").alias("db"), place(2, "n_q").alias("q"))
-    blocks = db.union(q).join(_set_rows(one.select("doc_id"), docs), "doc_id")
+    blocks = _set_rows(one.select("doc_id"), docs).join(small(written(db.union(q), "blocks")), "doc_id")
     keyed = blocks.repartition("family", "db", "q").sortWithinPartitions("family", "db", "q")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +281,7 @@ def _compare(block: pa.RecordBatch) -> tuple[list[int], list[int]]:
 
 
 def _with_components(members: DataFrame, found: DataFrame) -> DataFrame:
-    m = members.drop("component").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    m = members.drop("component").join(small(found.withColumnRenamed("id", "doc_id")), "doc_id", "left")
     return m.select("sig", "doc_id", "code", F.coalesce("component", "doc_id").alias("component"))
 
 
@@ -270,12 +304,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     unique = keep_ids(docs.filter("doc_id IS NOT NULL"), copies.select("doc_id").distinct(), "doc_id", "left_anti")
 
-    shared = signature_rows(unique).withColumn("n", F.count("*").over(Window.partitionBy("sig"))).filter("n > 1").drop("n")
-    members = written(_sharing(written(shared, "shared").withColumn("component", F.col("doc_id"))), "members")
+    members = _apart(signature_rows(unique).withColumn("component", F.col("doc_id")))
+    members = written(_enough(members), "members")
     # 1: everyone with the first of each group
     links = written(links.union(linked(written(_with_first(members, "component"), "pairs"), docs)), "links")
     # 2: what is still apart, family by family
-    members = written(_sharing(_with_components(members, components(links))), "members")
+    members = written(_enough(_apart(_with_components(members, components(links)))), "members")
     links = written(links.union(_linked_in_families(members, base, docs)), "links")
     found = components(links)
     counts = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
