@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.llm.common import slices, written
 
-#: Rows that the text model is fitted on, at most; drawn by a hash of the id.
+#: Rows that the text model is fitted on, about; drawn by a hash of the id.
 SAMPLE_ROWS = 8_000
 #: Hash buckets of the text model, and the languages that it may tell apart.
 BUCKETS = 1 << 15
@@ -70,11 +70,14 @@ def _buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def fit(labelled: DataFrame, id_column: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities [bucket, language]) from rows of text and lang.
 
-    The sample is the ``sample_rows`` rows of least hash, the same at any size
-    of cluster; it is the only bounded input here.
+    The sample is drawn by a hash of the id, about ``sample_rows`` rows, the
+    same at any size of cluster; it is the only bounded input here.  Nothing
+    is sorted or gathered to draw it.
     """
-    rows = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.xxhash64(id_column).alias("h"))
-    sample = rows.orderBy("h", "lang").limit(sample_rows).select("text", "lang")
+    rows = labelled.filter("lang IS NOT NULL")
+    share = min(1.0, sample_rows / max(1, rows.count()))
+    last = min(-(1 << 63) + int(share * (1 << 64)), (1 << 63) - 1)
+    sample = rows.filter((F.xxhash64(id_column) <= last) & F.col("text").isNotNull()).select("text", "lang")
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
