@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldspark.operators import composite as K
@@ -120,18 +121,32 @@ def stream_pending(spark, sf):
 
 # --- jobs on the gridded view, repeated for the hours of the tracks ---
 
-_SPEC = jobs.ComputeConfig(jobs.GridSpec(LAT0, DLAT, NLAT, -180.0, DLON, NLON), 2, 3, winds=False)
+_SPEC = jobs.ComputeConfig(jobs.GridSpec(LAT0, DLAT, NLAT, -180.0, DLON, NLON), 2, 3)
 
 
 def _world(spark, sf):
-    """Three hours of the grid in two years, scaled by hour and year; its climatology; events at these hours."""
+    """Three hours of the grid in two years, scaled by hour and year; and its climatology."""
     g = grid(spark, sf).withColumn("h", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("y", F.explode(F.array(F.lit(0), F.lit(1))))
     g = g.withColumn("ts", F.make_timestamp(2010 + F.col("y"), F.lit(6), F.lit(15), F.col("h"), F.lit(0), F.lit(0)))
     g = g.withColumn("pv", F.col("pv") * (1 + 0.1 * F.col("h") + 0.2 * F.col("y"))).drop("h", "y")
-    climate = jobs.clim(g, ["u", "v", "w", "pv"], ["level", "ilat", "ilon"])
-    t = tracks(spark, sf).groupBy("track_id").agg(F.max_by("lat", "ts").alias("lat0"), F.max_by("lon", "ts").alias("lon0")).filter("track_id % 10 = 0")
-    e = t.select(F.lit("x").alias("event_type"), F.lit("peak").alias("stage"), "track_id", "lat0", "lon0", F.make_timestamp(F.lit(2010), F.lit(6), F.lit(15), F.lit(1), F.lit(0), F.lit(0)).alias("base_ts"))
-    return g, climate, e, spark.createDataFrame([], S.TRACK)
+    return g, jobs.clim(g, ["u", "v", "w", "pv"], ["level", "ilat", "ilon"])
+
+
+def _event(at):
+    return [F.lit("x").alias("event_type"), F.lit("peak").alias("stage"), "track_id", at("lat").alias("lat0"), at("lon").alias("lon0"), F.make_timestamp(F.lit(2010), F.lit(6), F.lit(15), F.lit(1), F.lit(0), F.lit(0)).alias("base_ts")]
+
+
+def _moving(spark, sf):
+    """An event for every track at its first hour, and all tracks; a track's n-th hour is moved to n hours past midnight."""
+    t = tracks(spark, sf).withColumn("n", F.row_number().over(Window.partitionBy("track_id").orderBy("ts")))
+    t = t.withColumn("ts", F.timestamp_seconds(F.unix_timestamp(F.make_timestamp(F.lit(2010), F.lit(6), F.lit(15), F.lit(0), F.lit(0), F.lit(0))) + 3600 * F.col("n")))
+    return t.filter("n = 1").select(*_event(F.col)), t.drop("n")
+
+
+def _still(spark, sf):
+    """Events at the last places of each tenth track, as the SQL of job_compute has them, and no tracks."""
+    t = tracks(spark, sf).groupBy("track_id").agg(F.max_by("lat", "ts").alias("lat"), F.max_by("lon", "ts").alias("lon")).filter("track_id % 10 = 0")
+    return t.select(*_event(F.col)), spark.createDataFrame([], S.TRACK)
 
 
 @register("job_compute", f"""WITH {TRACKS}, {GRID}, ev AS (SELECT track_id, arg_max(lat, ts) AS lat0, arg_max(lon, ts) AS lon0 FROM tracks GROUP BY 1),
@@ -139,7 +154,7 @@ def _world(spark, sf):
  SELECT track_id, CAST(dh AS INT) AS dh, count(*) AS cells, count(pv) AS n, round(sum(pv * (1 + 0.1 * (dh + 1))), 4) + 0.0 AS pv FROM ce, range(-1, 2) h(dh), range(-2, 3) a(iy), range(-3, 4) b(ix)
  LEFT JOIN grid ON ilat = jc + iy AND ilon = (ic + ix + 24) % 24 GROUP BY 1, 2""")
 def job_compute(spark, sf):
-    g, climate, e, t = _world(spark, sf)
+    (g, climate), (e, t) = _world(spark, sf), _still(spark, sf)
     p = jobs.compute(e, t, g, climate, range(-1, 2), _SPEC)
     return p.groupBy("track_id", "dh").agg(F.count("*").alias("cells"), F.count("pv").alias("n"), r(F.sum("pv"), 1, 4).alias("pv"))
 
@@ -147,7 +162,7 @@ def job_compute(spark, sf):
 @register("job_classify_composite")
 def job_classify_composite(spark, sf):
     """Patches to classes to composites."""
-    g, climate, e, t = _world(spark, sf)
+    (g, climate), (e, t) = _world(spark, sf), _moving(spark, sf)
     p = jobs.compute(e, t, g, climate, [0], _SPEC).filter("level IS NOT NULL")
     labels = jobs.classify(p, [240, 390, 560], 1)
     return K.composite_mean(jobs.composite(p, labels, ["pv"]), ["pv"])
@@ -155,7 +170,7 @@ def job_classify_composite(spark, sf):
 
 @register("job_decompose")
 def job_decompose(spark, sf):
-    g, climate, e, t = _world(spark, sf)
+    (g, climate), (e, t) = _world(spark, sf), _moving(spark, sf)
     p = jobs.compute(e, t, g, climate, [0, 1], _SPEC).filter("level = 390")
     return jobs.decompose(p, ["track_id", "dh"], "pv_anom", ["u_bar_pv_anom_dx", "v_bar_pv_anom_dy"], DLAT, DLON, mask="< 1e9")
 

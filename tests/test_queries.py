@@ -7,7 +7,8 @@ import duckdb
 import pytest
 
 from fieldspark import plans  # noqa: F401
-from fieldspark.plans import registry
+from fieldspark.operators import patches as P
+from fieldspark.plans import io_queries, registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -59,3 +60,19 @@ def test_query(spark, con, name):
     assert len(rows) == len(want)
     bad = [(a, b) for a, b in zip(rows, want) if not all(map(_close, a, b))]
     assert not bad, bad[:3]
+
+
+def test_jobs_take_all_tracks(spark, con):
+    """Every track is decomposed at both hours, with split winds and at the place that it has then."""
+    (g, climate), (e, t) = io_queries._world(spark, SF), io_queries._moving(spark, SF)
+    ids = {x for (x,) in con.execute("SELECT DISTINCT user_id FROM events").fetchall()}
+    got = registry.queries()["job_decompose"](spark, SF).select("track_id", "dh").distinct().collect()
+    assert {tuple(r) for r in got} == {(i, dh) for i in ids for dh in (0, 1)}
+    p = io_queries.jobs.compute(e, t, g, climate, [0, 1], io_queries._SPEC)
+    assert {"u_rot", "v_rot", "u_div", "v_div"} <= set(p.columns)
+    at = {(r["track_id"], r["dh"]): (r["lat_c"], r["lon_c"]) for r in P.lagrangian_centre(P.expand_hours(e, [0, 1]), t).collect()}
+    assert set(at) == {(i, dh) for i in ids for dh in (0, 1)}
+    hours = "SELECT user_id, date_trunc('hour', ts) AS h, 30 + avg(value) / 10 AS lat, avg(event_id % 360) - 180.0 AS lon FROM events GROUP BY 1, 2"
+    want = con.execute(f"SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY h) - 1 AS n, lat, lon FROM ({hours}) QUALIFY n < 2").fetchall()
+    assert all(at[i, n] == pytest.approx((lat, lon)) for i, n, lat, lon in want)
+    assert any(at[i, 0] != at[i, 1] for i in ids)
