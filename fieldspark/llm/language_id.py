@@ -199,13 +199,14 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     )
 
 
-def identify_documents(docs: DataFrame) -> DataFrame:
-    """``identify`` over documents: lang is the declared language, source the host."""
+def identify_documents(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
+    """``identify`` over documents: lang is the declared language, source the host.
+    Without a model one is fitted on them."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("id"), "text", F.lower("lang").alias("declared"),
         suffix_of(F.regexp_extract("text", r"^\s*(https?://\S+)", 1)).alias("suffix"), F.col("source").alias("host"),
     )
-    return identify(rows, fit(docs)).withColumnRenamed("id", "doc_id")
+    return identify(rows, model or fit(docs)).withColumnRenamed("id", "doc_id")
 
 
 def identify_pages(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
@@ -216,3 +217,15 @@ def identify_pages(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> Dat
         suffix_of(F.col("url")).alias("suffix"), F.nullif(host_of(F.col("url")), F.lit("")).alias("host"),
     )
     return identify(rows, model).withColumnRenamed("id", "page_id")
+
+
+def identify_all(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """``identify_documents`` and ``identify_pages`` with the model of the documents.
+
+    kind is document or page; doc_id is null for pages, page_id for documents.
+    Hosts of documents and of pages have priors of their own.
+    """
+    model = fit(docs)
+    d = identify_documents(docs, model).withColumns({"kind": F.lit("document"), "page_id": F.lit(None).cast("long")})
+    p = identify_pages(pages, model).withColumns({"kind": F.lit("page"), "doc_id": F.lit(None).cast("long")})
+    return d.unionByName(p).select("kind", "doc_id", "page_id", "lang_pred", "posterior", "text_lang", "kept")

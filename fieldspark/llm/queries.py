@@ -51,7 +51,7 @@ def op9_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify_documents(table(spark, sf_dir, "documents"))
+    return language_id.identify_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
 def queries():

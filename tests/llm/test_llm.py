@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldspark.llm import chat_format, components, hnsw, jaccard_join, language_id, packing, quality_rules, suffix_encode, token_counts, tokens, warc, wavelet
+from fieldspark.llm import chat_format, components, hnsw, jaccard_join, language_id, packing, quality_rules, queries, suffix_encode, token_counts, tokens, warc, wavelet
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 PIECES, BYTES, WORDS = (tokens.public_path(n) for n in ("piece_bpe_32k.model", "byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -153,6 +153,72 @@ def test_language_evidence_of_pages(spark):
         assert (r["dd"], r["ss"]) == (r["d"], r["s"])
 
 
+def brute_pages(pages, model):
+    """Posteriors of (page_id, url, html) rows in plain Python."""
+    languages, table = model
+    k, found = len(languages), {}
+    visible = re.compile(r"<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>|&[a-z]+;", re.I | re.S)
+    for i, url, html in pages:
+        text = visible.sub(" ", html or "")
+        raw = f"  {text.lower()} ".encode()
+        sums = np.zeros(k)
+        for x, y, z in zip(raw, raw[1:], raw[2:]):
+            sums += table[(((x << 16) + (y << 8) + z) * 2654435761 % 2**32) >> 17]
+        host = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", url or "")
+        said = re.search(r"""<html[^>]*\slang\s*=\s*["']?([A-Za-z]{2,3})""", html or "", re.I)
+        folder = re.match(r"[a-z][a-z0-9+.-]*://[^/]+/([a-z]{2})(?:[/?#]|$)", (url or "").lower())
+        host = host and host[1].lower()
+        suffix = folder[1] if folder else language_id.SUFFIXES.get((host or "").rpartition(".")[2])
+        found[i] = ((sums - sums.max()) / 3, sum(c.isalpha() for c in text), host, said and said[1].lower(), suffix)
+    hosts, domains = defaultdict(lambda: np.zeros(k)), defaultdict(lambda: np.zeros(k))
+    for scores, letters, host, _, _ in found.values():
+        if letters and host:
+            hosts[host][scores.argmax()] += 1
+            domains[".".join(host.split(".")[-2:])][scores.argmax()] += 1
+    every = sum(hosts.values())
+    base = (every + 1) / (every.sum() + k)
+    out = {}
+    for i, (scores, letters, host, said, suffix) in found.items():
+        logs = scores + np.log(base)
+        if host in hosts:
+            d = domains[".".join(host.split(".")[-2:])]
+            p = (d + 20 * base) / (d.sum() + 20)
+            logs = scores + np.log((hosts[host] + 20 * p) / (hosts[host].sum() + 20))
+        for x, right in ((said, 0.9), (suffix, 0.8)):
+            if x in languages:
+                logs = logs + np.log([right if x == y else (1 - right) / (k - 1) for y in languages])
+        posterior = 1 / np.exp(logs - logs.max()).sum()
+        out[i] = (languages[logs.argmax()], posterior, languages[scores.argmax()] if letters else None, bool(letters) and posterior >= 0.6)
+    return out
+
+
+def test_language_id_takes_pages_whole(spark, tmp_path):
+    """The registered query: all documents and all pages, the latter against brute force."""
+    rng = np.random.default_rng(5)
+    letters = {"de": "abcdefgh", "en": "efghijkl", "fr": "ijklmnop"}
+    text = lambda x, n: " ".join("".join(rng.choice(list(letters[x]), 5)) for _ in range(n))
+    langs = list(letters)
+    docs = spark.createDataFrame([(i, text(langs[i % 3], 30), langs[i % 3], f"src{i % 5}", 0) for i in range(90)], DOC)
+    pages = []
+    for i in range(120):
+        x, y = langs[i % 3], langs[(i + i // 40) % 3]
+        mixed = text(x, i % 4) + " " + text(y, 1)
+        url = [f"https://w{i % 2}.{x}a.org/{y}/{i}", f"http://shop{i % 4}.b.{x}", f"HTTP://{x}a.org:80/x?y", None][i // 2 % 4]
+        pages.append((i, url, f'<html{f" lang={y!r}" if i % 5 else ""}><script>{text(y, 9)}</script><p>{mixed}&amp;</p>'))
+    pages += [(200, "http://w0.dea.org/", None), (201, None, "<p>12 !</p>"), (202, "no address", ""), (203, "http://new.fr/", "<html lang=xx>9")]
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    rows = queries.op10_language_id(spark, f"file://{tmp_path}").collect()
+    assert sorted(r["doc_id"] for r in rows if r["kind"] == "document") == list(range(90))
+    got = {r["page_id"]: r for r in rows if r["kind"] == "page"}
+    want = brute_pages(pages, language_id.fit(docs))
+    assert len(rows) == 90 + len(pages) and got.keys() == want.keys()
+    for i, (pred, posterior, text_lang, kept) in want.items():
+        r = got[i]
+        assert (r["lang_pred"], r["text_lang"], r["kept"]) == (pred, text_lang, kept)
+        assert r["posterior"] == pytest.approx(posterior, abs=1e-4)
+
+
 def brute_components(texts):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = {}
