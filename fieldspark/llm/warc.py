@@ -33,7 +33,7 @@ SEPARATOR = "\r\n\r\n"
 REVISIT_BYTES = 100
 #: Bytes of a file that one row of a reading task stands for.
 RANGE_BYTES = 4 << 20
-#: A record's header block is looked for in so many bytes.
+#: So many bytes behind a range are read with it; a header block that is longer takes further reads.
 HEADER_BYTES = 1 << 16
 RECORDS_PER_FILE = 20_000
 
@@ -128,20 +128,31 @@ def candidates(spark, path: str, size: int = RANGE_BYTES) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 fs = fs or open_fs(row["file"])[0]
+                found = []
                 with fs.open_input_file(open_fs(row["file"])[1]) as f:
                     f.seek(row["lo"])
                     data = f.read(min(row["hi"] + HEADER_BYTES, row["n_bytes"]) - row["lo"])
-                found = []
-                for m in re.finditer(re.escape(MAGIC), data):
-                    if row["lo"] + m.start() >= row["hi"]:
-                        break
-                    end = data.find(b"\r\n\r\n", m.end() - 2, m.start() + HEADER_BYTES)
-                    length = _LENGTH.search(data, m.end() - 2, end + 2) if end >= 0 else None
-                    if not length:
-                        continue
-                    at, block_at, n = row["lo"] + m.start(), row["lo"] + end + 4, int(length[1])
-                    if block_at + n + 4 <= row["n_bytes"]:
-                        found.append((at, block_at, n, block_at + n + 4))
+                    end, length = -1, None
+                    for m in re.finditer(re.escape(MAGIC), data):
+                        if row["lo"] + m.start() >= row["hi"]:
+                            break
+                        start = m.end() - 2
+                        if end < start:
+                            end = data.find(b"\r\n\r\n", start)
+                            while end < 0 and (more := f.read(len(data))):  # a long header: on to the end of the file
+                                seen = max(start, len(data) - 3)
+                                data += more
+                                end = data.find(b"\r\n\r\n", seen)
+                            if end < 0:
+                                break
+                            length = _LENGTH.search(data, start, end + 2)
+                        elif length and length.start() < start:  # the same blank line ends this header, too
+                            length = _LENGTH.search(data, start, end + 2)
+                        if not length:
+                            continue
+                        at, block_at, n = row["lo"] + m.start(), row["lo"] + end + 4, int(length[1])
+                        if block_at + n + 4 <= row["n_bytes"]:
+                            found.append((at, block_at, n, block_at + n + 4))
                 if found:
                     yield pa.RecordBatch.from_pydict(
                         {"file": [row["file"]] * len(found), "n_bytes": [row["n_bytes"]] * len(found), "range": [row["range"]] * len(found)}

@@ -350,6 +350,19 @@ def test_warc(spark, tmp_path):
             assert (r["record_type"], r["refers_to"]) == (("revisit", of) if twin else ("response", None))
 
 
+def test_warc_long_urls(spark, tmp_path):
+    """Headers longer than the window, also over many ranges, do not end the chain."""
+    n = warc.HEADER_BYTES
+    urls = ["http://a/", "data:," + "x" * (n + 5), "http://b/", "data:," + " " * n, "u" * (n - 200), "data:," + "WARC/1.1" * n, "http://c/"]
+    pages = [(i, u, f"page {i} WARC/1.1\r\n" * 30) for i, u in enumerate(urls * 2)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    path = f"file://{tmp_path}/warc"
+    warc.write_archives(df, path)
+    for size in (4 << 20, 1 << 16):
+        got = {r["page_id"]: r for r in warc.read_archives(spark, path, size).collect()}
+        assert {i: (r["payload_bytes"], r["digest_ok"]) for i, r in got.items()} == {i: (len(h), True) for i, _, h in pages}
+
+
 def test_hnsw_recall_and_ties(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 12)) * rng.uniform(0.5, 2, size=(1500, 1))
