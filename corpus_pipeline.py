@@ -34,7 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents that with the smallest doc_id stays."""
-    found = jaccard_join.jaccard_components(docs)
+    found = jaccard_join.jaccard_components(docs, count_links=False)
     return _without(docs, found.filter("doc_id <> component_id").select("doc_id").distinct())
 
 

@@ -199,6 +199,33 @@ def _with_first(members: DataFrame, apart: str) -> DataFrame:
     return pairs.select(F.least("doc_id", "first.doc_id").alias("a"), F.greatest("doc_id", "first.doc_id").alias("b")).distinct()
 
 
+def _by_key(names: tuple[str, ...], out: tuple[str, str], found):
+    """A task over rows sorted by ``names``: ``found(rows of a key, key)`` gives two columns of numbers."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def close():
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found(pa.concat_batches(held), key)], list(out))
+
+        for batch in batches:
+            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            for lo, hi in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
+                if lo == hi:
+                    continue
+                now = tuple(int(k[lo]) for k in keys)
+                if now != key and held:
+                    yield close()
+                    held = []
+                key = now
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield close()
+
+    return work
+
+
 def _linked_in_families(members: DataFrame, base: DataFrame, docs: DataFrame) -> DataFrame:
     """Links between sets of different components that are left in ``members``.
 
@@ -224,29 +251,7 @@ def _linked_in_families(members: DataFrame, base: DataFrame, docs: DataFrame) ->
     blocks = _set_rows(one.select("doc_id"), docs).join(small(written(db.union(q), "blocks")), "doc_id")
     keyed = blocks.repartition("family", "db", "q").sortWithinPartitions("family", "db", "q")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def close():
-            found = _compare(pa.concat_batches(held))
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
-
-        for batch in batches:
-            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("family", "db", "q")]
-            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            for lo, hi in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
-                if lo == hi:
-                    continue
-                now = tuple(int(k[lo]) for k in keys)
-                if now != key and held:
-                    yield close()
-                    held = []
-                key = now
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield close()
-
-    return keyed.mapInArrow(work, "a long, b long")
+    return keyed.mapInArrow(_by_key(("family", "db", "q"), ("a", "b"), lambda block, _: _compare(block)), "a long, b long")
 
 
 def _compare(block: pa.RecordBatch) -> tuple[list[int], list[int]]:
@@ -280,16 +285,98 @@ def _compare(block: pa.RecordBatch) -> tuple[list[int], list[int]]:
     return a, b
 
 
+def _tally(block: pa.RecordBatch, key: tuple[int, ...]) -> tuple[list[int], list[int]]:
+    """(id, documents that it links to) of two blocks ``i`` and ``j`` of a component, or within one.
+
+    Sets are told by what they have or lack against those shingles that most
+    have: |A & B| = |R| - |R - A| - |R - B| + |(A ^ R) & (B ^ R)|, so near
+    copies cost their differences only.
+    """
+    _, i, j = key
+    ids, node = np.unique(block.column("doc_id").to_numpy(), return_inverse=True)
+    n, side = len(node), block.column("part").to_numpy()
+    weight = np.zeros(len(ids), np.int64)
+    weight[node] = block.column("weight").to_numpy()
+    bounds = block.column("s").offsets.to_numpy().astype(np.int64)
+    size = np.diff(bounds)
+    owner = np.repeat(np.arange(n), size)
+    values, place, count = np.unique(block.column("s").values.to_numpy()[bounds[0] : bounds[-1]], return_inverse=True, return_counts=True)
+    often = 2 * count > n
+    number = np.cumsum(often) - 1
+    has = np.zeros((n, int(often.sum())), bool)
+    usual = often[place]
+    has[owner[usual], number[place[usual]]] = True
+    lacks = has.shape[1] - has.sum(axis=1)
+    who, what = np.nonzero(~has)
+    del has
+    who, what = np.concatenate([who, owner[~usual]]), np.concatenate([np.flatnonzero(often)[what], place[~usual]])
+    order = np.argsort(what, kind="stable")
+    holders, start = who[order], np.searchsorted(what[order], np.arange(len(values) + 1))
+    order = np.argsort(who, kind="stable")
+    differs, at = what[order], np.searchsorted(who[order], np.arange(n + 1))
+    most = int(often.sum())
+    rows = np.argsort(node, kind="stable")
+    rows = np.split(rows, np.flatnonzero(np.diff(node[rows])) + 1)
+    links = np.zeros(len(ids), np.int64)
+    for a, own in enumerate(rows):
+        if side[own[0]] != i:
+            continue
+        near = np.zeros(n, bool)
+        for x in own:
+            d = differs[at[x] : at[x + 1]]
+            lo, length = start[d], start[d + 1] - start[d]
+            take = np.repeat(lo - np.cumsum(length) + length, length) + np.arange(length.sum())
+            both = most - lacks[x] - lacks + np.bincount(holders[take], minlength=n)
+            near |= (4 * both >= 3 * (size[x] + size - both)) & (both > 0) & (side == j)
+        to = np.unique(node[near])
+        to = to[to != a]
+        links[a] += weight[to].sum()
+        if i != j:
+            links[to] += weight[a]
+    some = np.flatnonzero(links)
+    return ids[some].tolist(), links[some].tolist()
+
+
+def link_counts(docs: DataFrame, base: DataFrame, found: DataFrame) -> DataFrame:
+    """id, n_links: other documents that each document of a component links to.
+
+    Links never leave a component.  Documents with one and the same set are
+    compared as one that counts for all of them; those with several texts
+    stand alone.  Each component is cut into blocks, every two of which meet
+    in one task.
+    """
+    sets = base.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", F.struct("n_shingles", "d1", "d2").alias("set"))
+    per = sets.distinct().groupBy("doc_id").agg(F.count("*").alias("n"), F.max("set").alias("set"), F.sum("set.n_shingles").alias("size"))
+    per = per.select("doc_id", "size", F.when(F.col("n") == 1, F.to_json("set")).alias("set"))
+    alike = per.filter("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("first"), F.count("*").alias("weight")).filter("weight > 1")
+    per = per.join(small(written(alike, "alike")), "set", "left").join(small(found), F.col("doc_id") == F.col("id"))
+    per = per.select("doc_id", "component", "size", F.coalesce("first", "doc_id").alias("first"), F.coalesce("weight", F.lit(1)).alias("weight"))
+    per = written(per, "counted")
+    firsts = per.filter("doc_id = first")
+    cut = firsts.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("total")).filter("n > 1")
+    cut = cut.select("component", F.greatest(F.ceil(F.col("total") / BLOCK), F.ceil(F.col("n") / STAR)).alias("parts"))
+    rows = firsts.join(small(written(cut, "cut")), "component")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = rows.select("component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "doc_id", "part", "weight")
+    rows = written(rows, "parts")
+    keyed = _set_rows(rows.select("doc_id"), docs).join(small(rows), "doc_id")
+    keyed = keyed.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    links = keyed.mapInArrow(_by_key(("component", "i", "j"), ("first", "n"), _tally), "first long, n long").groupBy("first").agg(F.sum("n").alias("n"))
+    every = per.join(small(written(links, "tallies")), "first", "left")
+    return every.select(F.col("doc_id").alias("id"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+
+
 def _with_components(members: DataFrame, found: DataFrame) -> DataFrame:
     m = members.drop("component").join(small(found.withColumnRenamed("id", "doc_id")), "doc_id", "left")
     return m.select("sig", "doc_id", "code", F.coalesce("component", "doc_id").alias("component"))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, count_links: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every row of ``docs``.
 
     component_id: the smallest doc_id that links reach, itself included.
-    n_links: links that were tested and found at that id's representative.
+    n_links: how many other documents it links to; left out unless asked for.
     Null or empty texts, and those without words, have no shingles and no
     links.  Rows with one doc_id are one document that links if any of its
     texts does; they come back once each.  A null doc_id links with nothing
@@ -311,9 +398,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # 2: what is still apart, family by family
     members = written(_enough(_apart(_with_components(members, components(links)))), "members")
     links = written(links.union(_linked_in_families(members, base, docs)), "links")
-    found = components(links)
-    counts = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    found = found.join(counts, "id", "left")
-    return base.join(found, base.doc_id == found.id, "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    found = written(components(links), "components")
+    columns = ["doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")]
+    if count_links:
+        found = found.join(link_counts(docs, base, found), "id", "left")
+        columns.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return base.join(found, base.doc_id == found.id, "left").select(*columns)

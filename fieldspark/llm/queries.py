@@ -43,7 +43,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).drop("n_links")
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op9_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -258,6 +258,42 @@ def test_jaccard_join_small_sets(spark):
     assert got == brute_components(texts)
 
 
+def brute_links(rows):
+    """Links of (doc_id, text) rows; a document links if any of its texts does."""
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    sets = defaultdict(set)
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(low))
+        sets[i].add(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
+    out = Counter({i: 0 for i in sets})
+    for i, j in itertools.combinations([i for i in sets if i is not None], 2):
+        if any(a & b and 4 * len(a & b) >= 3 * len(a | b) for a in sets[i] for b in sets[j]):
+            out[i] += 1
+            out[j] += 1
+    return out
+
+
+@pytest.mark.parametrize("star", [2_000, 7])
+def test_jaccard_link_counts(spark, tmp_path, monkeypatch, star):
+    """The registered query gives all links: of near and exact copies, chains, repeated and null ids."""
+    monkeypatch.setattr(jaccard_join, "STAR", star)
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(list("abc"), rng.integers(1, 24)).tolist()) for _ in range(80)]
+    for _ in range(4):
+        t = rng.choice(words, 150).tolist()
+        for _ in range(16):  # each from the one before, so the ends are apart
+            texts += [" ".join(t)] * int(rng.integers(1, 3))
+            t[rng.integers(150)] = str(rng.choice(words))
+    rows = list(enumerate([*texts, None, "", "One", "one"])) + [(90, texts[130]), (90, texts[-1]), (91, texts[91]), (91, texts[3]), (5, None), (None, texts[90])]
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOC)
+    df.write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = queries.op8_jaccard_join(spark, f"file://{tmp_path}").select("doc_id", "n_links").collect()
+    assert len(got) == len(rows)
+    want = brute_links(rows)
+    assert {(r["doc_id"], r["n_links"]) for r in got} == set(want.items())
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 160)] + [(300, 300)]
     got = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
