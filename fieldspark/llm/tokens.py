@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import math
+import os
 import re
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Entries that one worker remembers before it starts afresh.
 MEMO_ENTRIES = 600_000
@@ -25,16 +29,34 @@ def public_path(name: str) -> str:
 # --- byte-level BPE ---------------------------------------------------------
 
 
+#: White space in a row from which a text goes to the plain library.
+LONG_SPACE = 10_000
+
+
+@lru_cache(maxsize=2)
+def library(path: str):
+    """The file's own tokenizer: text -> ids, special strings included."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def _special(spec: dict, *others: str) -> re.Pattern:
+    """Finds the texts that only the library itself can encode."""
+    return re.compile("|".join([*(re.escape(t["content"]) for t in spec["added_tokens"]), *others]) or r"(?!)")
+
+
 @lru_cache(maxsize=2)
 def byte_bpe(path: str):
     """Encoder of a byte-level BPE file of the ``tokenizers`` library.
 
-    Returns text -> ids with special strings as ordinary text.  The merges
-    run in tiktoken, whose ranks are that file's own ids: same result, less
-    time.
+    Returns text -> ids, those of that library's plain call without added
+    special tokens: a special string in a text is its one id.  The merges run
+    in tiktoken, whose ranks are that file's own ids: same result, less time.
+    Texts with special strings or very long white space, which tiktoken's
+    pattern can't take, go through the library.
     """
-    import json
-
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
@@ -45,7 +67,15 @@ def byte_bpe(path: str):
     special = {t["content"] for t in spec["added_tokens"]}
     ranks = {bytes(back[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in special}
     pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    plain = _special(spec, rf"\s{{{LONG_SPACE}}}").search
+
+    def encode(text: str) -> list[int]:
+        if plain(text):
+            return library(path).encode(text, add_special_tokens=False).ids
+        return fast(text)
+
+    return encode
 
 
 @lru_cache(maxsize=1)
@@ -59,62 +89,102 @@ def byte_letters() -> list[str]:
 # --- word BPE ---------------------------------------------------------------
 
 
+#: The pre-tokenizer whose words can be encoded apart: white space goes, letters stay together,
+#: anything else but digits stays together.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+#: Words of Latin letters, with or without one comma or full stop behind.
+PLAIN_WORD = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
+
+
+def ragged(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """flat[start[i]:start[i] + length[i]] of all i in a row."""
+    return flat[np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())]
+
+
 class WordEncoder:
-    """A ``tokenizers`` file that drops white space, with a memory of words.
+    """A ``tokenizers`` file that drops white space, over Arrow arrays of texts.
 
+    Ids are those of the library's plain call without added special tokens.
     White space separates words for good, so a text's ids are those of its
-    words in a row; each word is encoded once per worker.
+    words in a row, and each distinct word of a batch is encoded once.  Plain
+    words lose case and tail first and go to the library many at once, joined
+    by spaces: the pieces that end a word tell them apart.  Others go to it
+    one by one, texts with special strings whole, and so does everything if
+    the file is of another kind.  Nothing is kept between batches.
     """
 
     def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        self.letters = byte_letters()
-        self.memo: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes | None:
-        """Letters of Latin-1 only, then at most one comma or full stop."""
-        tail = word[-1] if word[-1] in ".," else ""
-        letters = word[:-1] if tail else word
-        if not letters.isalpha() or max(letters) > "\xff":
-            return None
-        low = letters.lower()
-        if not low.isascii():
-            low = "".join(self.letters[b] for b in low.encode())
-        out = [t.id for t in self.model.tokenize(low)]
-        if tail:
-            out += [t.id for t in self.model.tokenize(tail)]
-        return np.array(out, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        # str.split() also parts at these four, which the tokenizer keeps
-        odd = [bool(re.search("[\x1c-\x1f]", t)) for t in texts]
-        words = [[] if o else t.split() for t, o in zip(texts, odd)]
-        new = set().union(*words).difference(self.memo)
-        if len(self.memo) + len(new) > MEMO_ENTRIES:
-            self.memo = {}
-            new = set().union(*words)
-        rest = []
-        for w in new:
-            got = self._word(w)
-            if got is None:
-                rest.append(w)
-            else:
-                self.memo[w] = got
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.memo[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.memo.__getitem__
-        return [self.ids(t) if o else b"".join(map(get, ws)) for t, o, ws in zip(texts, odd, words)]
+        self.tokenizer = library(path)
+        spec = json.loads(self.tokenizer.to_str())
+        split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        kinds = [n.get("type") for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        tail = spec["model"].get("end_of_word_suffix")
+        self.known = bool(tail) and kinds == ["NFC", "Replace", "Lowercase"] and split.get("pattern", {}).get("Regex") == WORD_PATTERN
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if tail and t.endswith(tail)]] = True
+        self.tails = [(c, int(self.ids(c)[0])) for c in ",." if self.known]
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all distinct words in a row, ids of each)."""
+        plain = pc.match_substring_regex(words, PLAIN_WORD)
+        low = pc.utf8_lower(words.filter(plain))
+        tails = [pc.ends_with(low, c).to_numpy(zero_copy_only=False) for c, _ in self.tails]
+        stems = pc.utf8_rtrim(low, ",.").dictionary_encode()
+        names = stems.dictionary.to_pylist()
+        flat = self._batch([" ".join(names[i : i + 1000]) for i in range(0, len(names), 1000)])
+        flat = np.concatenate([*flat, np.zeros(0, np.uint32)])
+        last = np.flatnonzero(self.ends[flat]) + 1
+        if len(last) != len(names):
+            raise ValueError("a word of letters does not end in one end-of-word piece")
+        first = np.concatenate([[0], last[:-1]]).astype(np.int64)
+        stem = stems.indices.to_numpy()
+        # where the parts of each word lie: its stem, then its tail among the ids put behind
+        rest = self._batch(words.filter(pc.invert(plain)).to_pylist())
+        sizes, behind = np.array([len(r) for r in rest], np.int64), len(flat)
+        flat = np.concatenate([flat, np.array([i for _, i in self.tails], np.uint32), *rest])
+        plain = plain.to_numpy(zero_copy_only=False)
+        start, size = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
+        if len(stem):
+            start[plain, 0], size[plain, 0] = first[stem], (last - first)[stem]
+        at = np.flatnonzero(plain)
+        for k, has in enumerate(tails):
+            start[at[has], 1], size[at[has], 1] = behind + k, 1
+        start[~plain, 0], size[~plain, 0] = behind + len(self.tails) + np.cumsum(sizes) - sizes, sizes
+        return ragged(flat, start.ravel(), size.ravel()), size.sum(axis=1)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each); null is empty."""
+        texts = pc.fill_null(texts, "")
+        if not self.known:
+            got = self._batch(texts.to_pylist())
+            return np.concatenate([*got, np.zeros(0, np.uint32)]), np.array([len(g) for g in got], np.int64)
+        apart = np.zeros(len(texts), bool)
+        for name in self.special:
+            apart |= pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
+        lists = pc.ascii_split_whitespace(pc.if_else(pa.array(apart), "", texts))
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        words = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        flat, size = self._words(words.dictionary)
+        code = words.indices.to_numpy()
+        ids = ragged(flat, (np.cumsum(size) - size)[code], size[code])
+        upto = np.concatenate([[0], np.cumsum(size[code])])[bounds - bounds[0]]
+        count = np.diff(upto)
+        if apart.any():
+            parts = np.split(ids, upto[1:-1])
+            for i in np.flatnonzero(apart):
+                parts[i] = self.ids(texts[int(i)].as_py())
+            ids, count = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return ids, count
 
 
 @lru_cache(maxsize=2)

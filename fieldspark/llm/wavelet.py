@@ -38,6 +38,8 @@ MAGIC = b"WVLTMX01"
 BLOCK = 8
 #: Ids in a shard file, beyond which the next file starts.
 SHARD_TOKENS = 1 << 21
+#: Bytes of text whose distinct words are encoded at once.
+ENCODE_BYTES = 16 << 20
 
 
 def build(ids: np.ndarray, bits: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -168,7 +170,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, shard_
     doc_id), file, n_docs, n_tokens, start (ids in all shards before).  A task
     that is run again writes files of new names; the manifest names those of
     the run that counted.  Null and empty texts hold only ``end_id``; rows of
-    one doc_id are ordered by text; a null doc_id is written as the least long.
+    one doc_id are ordered by a hash of the text, then by the text; a null doc_id
+    comes first and is written as the least long.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,15 +181,15 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, shard_
         model = word_encoder(tokenizer)
         bits = max(model.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id).bit_length()
         fs, root = open_fs(path)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], np.uint32)
         held_ids, held, total, shard = [], [], 0, 0
 
         def flush():
             nonlocal held_ids, held, total, shard
-            starts = np.concatenate([[0], np.cumsum([len(b) // 4 for b in held])])
+            starts = np.concatenate([[0], np.cumsum([len(b) for b in held])])
             name = posixpath.join(root, f"part-{part:06d}-{shard:06d}-{uuid.uuid4().hex}.wm")
             with fs.open_output_stream(name) as f:
-                f.write(dump(np.array(held_ids, np.int64), starts, np.frombuffer(b"".join(held), "<u4"), bits))
+                f.write(dump(np.array(held_ids, np.int64), starts, np.concatenate(held), bits))
             row = {"part": part, "shard": shard, "file": name, "n_docs": len(held), "n_tokens": int(starts[-1])}
             held_ids, held, total, shard = [], [], 0, shard + 1
             return pa.RecordBatch.from_pylist([row], schema=schema)
@@ -194,12 +197,12 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, shard_
         schema = pa.schema(
             [("part", pa.int32()), ("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]
         )
-        for batch in slices(batches, "text"):
-            ids = batch.column("doc_id").to_pylist()
-            for i, b in zip(ids, model.encode([t or "" for t in batch.column("text").to_pylist()])):
+        for batch in slices(batches, "text", ENCODE_BYTES):
+            flat, count = model.encode(batch.column("text"))
+            for i, ids in zip(batch.column("doc_id").to_pylist(), np.split(flat, np.cumsum(count)[:-1])):
                 held_ids.append(-(1 << 63) if i is None else i)
-                held.append(b + end)
-                total += len(held[-1]) // 4
+                held.append(np.concatenate([ids, end]))
+                total += len(held[-1])
                 if total >= shard_tokens:
                     yield flush()
         if held:
@@ -207,7 +210,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, shard_
 
     fs, root = open_fs(path)
     fs.create_dir(root, recursive=True)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").orderBy("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    # ranges are drawn from a sample of two numbers a row; no text goes to the driver
+    ordered = ordered.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     manifest = written(
         ordered.mapInArrow(work, "part int, shard int, file string, n_docs long, n_tokens long"), "manifest"
     )

@@ -17,7 +17,7 @@ DOC = "doc_id long, text string, lang string, source string, n_chars long"
 PIECES, BYTES, WORDS = (tokens.public_path(n) for n in ("piece_bpe_32k.model", "byte_bpe_50k.json", "word_bpe_49k.json"))
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [
-    None, "", " ", "\n\n", "a", "one two three four", "  two  spaces \t and\r\nlines ", "é ü 梦 ▁ 😀 é", "<|endoftext|> <turn> </s> <0x41>", "\x1c\x1f a\x1db",
+    None, "", " ", "\n\n", "a", "one two three four", "  two  spaces \t and\r\nlines ", "é ü 梦 ▁ 😀 é", "<|endoftext|> <turn> </s> <0x41>", "a<|startoftext|>b <|ENDOFTEXT|> c", "\x1c\x1f a\x1db",
     "It's we'll DON'T 12 3.5,x", "x" * 3000, "\0 nul \0", "a b c d e f g h " * 300, "İ ß ﬁ µ",
 ]
 
@@ -304,7 +304,6 @@ def byte_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(BYTES)
-    t.encode_special_tokens = True
     return [[*e.ids, 2] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -340,7 +339,6 @@ def test_wavelet(docs, none, texts, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     want, start = {}, 0
     for i, e in enumerate(t.encode_batch([x or "" for x in texts], add_special_tokens=False)):
         ids = np.array([*e.ids, 1], "<u4")
