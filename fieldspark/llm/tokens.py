@@ -108,11 +108,12 @@ class WordEncoder:
 
     Ids are those of the library's plain call without added special tokens.
     White space separates words for good, so a text's ids are those of its
-    words in a row, and each distinct word of a batch is encoded once.  Plain
-    words lose case and tail first and go to the library many at once, joined
-    by spaces: the pieces that end a word tell them apart.  Others go to it
-    one by one, texts with special strings whole, and so does everything if
-    the file is of another kind.  Nothing is kept between batches.
+    words in a row, and each distinct word of a batch is encoded once.  Words
+    go to the library many at once, joined by spaces: the pieces that end a
+    pre-token tell them apart.  Plain words lose case and tail before, so they
+    need neither its normalizer nor its pattern.  Words beyond ASCII that are
+    not plain go one by one, texts with special strings whole, and so does
+    everything if the file is of another kind.  Nothing is kept between batches.
     """
 
     def __init__(self, path: str):
@@ -127,6 +128,14 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if tail and t.endswith(tail)]] = True
         self.tails = [(c, int(self.ids(c)[0])) for c in ",." if self.known]
+        self.bare = self.tokenizer
+        if self.known:
+            from tokenizers import Tokenizer, pre_tokenizers
+
+            self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None}))
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+            )
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -134,32 +143,45 @@ class WordEncoder:
     def _batch(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, tokenizer, names: list[str], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, ids of each) of words that have so many pre-tokens each."""
+        texts = [" ".join(names[i : i + 1000]) for i in range(0, len(names), 1000)]
+        flat = [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate([*flat, np.zeros(0, np.uint32)])
+        last = np.flatnonzero(self.ends[flat]) + 1
+        if len(last) != parts.sum():
+            raise ValueError("a pre-token does not end in one end-of-word piece")
+        upto = np.concatenate([[0], last])[np.cumsum(parts)].astype(np.int64) if len(names) else np.zeros(0, np.int64)
+        return flat, np.diff(upto, prepend=0)
+
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all distinct words in a row, ids of each)."""
         plain = pc.match_substring_regex(words, PLAIN_WORD)
         low = pc.utf8_lower(words.filter(plain))
         tails = [pc.ends_with(low, c).to_numpy(zero_copy_only=False) for c, _ in self.tails]
         stems = pc.utf8_rtrim(low, ",.").dictionary_encode()
-        names = stems.dictionary.to_pylist()
-        flat = self._batch([" ".join(names[i : i + 1000]) for i in range(0, len(names), 1000)])
-        flat = np.concatenate([*flat, np.zeros(0, np.uint32)])
-        last = np.flatnonzero(self.ends[flat]) + 1
-        if len(last) != len(names):
-            raise ValueError("a word of letters does not end in one end-of-word piece")
-        first = np.concatenate([[0], last[:-1]]).astype(np.int64)
         stem = stems.indices.to_numpy()
-        # where the parts of each word lie: its stem, then its tail among the ids put behind
-        rest = self._batch(words.filter(pc.invert(plain)).to_pylist())
-        sizes, behind = np.array([len(r) for r in rest], np.int64), len(flat)
-        flat = np.concatenate([flat, np.array([i for _, i in self.tails], np.uint32), *rest])
-        plain = plain.to_numpy(zero_copy_only=False)
+        stem_ids, stem_size = self._joined(self.bare, stems.dictionary.to_pylist(), np.ones(len(stems.dictionary), np.int64))
+        rest = words.filter(pc.invert(plain))
+        ascii_ = pc.match_substring_regex(rest, "^[!-~]+$")
+        some = rest.filter(ascii_)
+        parts = pc.count_substring_regex(pc.ascii_lower(some), WORD_PATTERN).to_numpy().astype(np.int64)
+        some_ids, some_size = self._joined(self.tokenizer, some.to_pylist(), parts)
+        others = self._batch(rest.filter(pc.invert(ascii_)).to_pylist())
+        # where the two parts of each word lie: its own ids, and its tail
+        flat = np.concatenate([stem_ids, np.array([i for _, i in self.tails], np.uint32), some_ids, *others])
+        begin = lambda size, at: at + np.cumsum(size) - size
+        plain, ascii_ = plain.to_numpy(zero_copy_only=False), ascii_.to_numpy(zero_copy_only=False)
         start, size = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
-        if len(stem):
-            start[plain, 0], size[plain, 0] = first[stem], (last - first)[stem]
         at = np.flatnonzero(plain)
+        start[at, 0], size[at, 0] = begin(stem_size, 0)[stem], stem_size[stem]
         for k, has in enumerate(tails):
-            start[at[has], 1], size[at[has], 1] = behind + k, 1
-        start[~plain, 0], size[~plain, 0] = behind + len(self.tails) + np.cumsum(sizes) - sizes, sizes
+            start[at[has], 1], size[at[has], 1] = len(stem_ids) + k, 1
+        behind = len(stem_ids) + len(self.tails)
+        at = np.flatnonzero(~plain)
+        start[at[ascii_], 0], size[at[ascii_], 0] = begin(some_size, behind), some_size
+        sizes = np.array([len(o) for o in others], np.int64)
+        start[at[~ascii_], 0], size[at[~ascii_], 0] = begin(sizes, behind + len(some_ids)), sizes
         return ragged(flat, start.ravel(), size.ravel()), size.sum(axis=1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

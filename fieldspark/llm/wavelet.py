@@ -45,10 +45,11 @@ ENCODE_BYTES = 16 << 20
 def build(ids: np.ndarray, bits: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(zeros, words, directory) of every bit plane."""
     out = []
-    a = ids.astype(np.uint32)
+    kind = np.uint16 if bits <= 16 else np.uint32
+    a = ids.astype(kind)
     n_words = (len(a) + 63) // 64
     for level in range(bits - 1, -1, -1):
-        bit = ((a >> np.uint32(level)) & np.uint32(1)).astype(bool)
+        bit = (a & kind(1 << level)) != 0
         raw = np.zeros(n_words * 8, np.uint8)
         packed = np.packbits(bit, bitorder="little")
         raw[: len(packed)] = packed
@@ -149,14 +150,15 @@ class Shard:
 
     def ids(self) -> np.ndarray:
         """All ids: planes are undone from the lowest bit up."""
-        a = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        a = np.zeros(self.n, kind)
         for level, (zeros, words, _) in enumerate(reversed(self.planes)):
             bit = np.unpackbits(words.view(np.uint8), count=self.n, bitorder="little").astype(bool)
-            up = np.empty(self.n, np.uint32)
+            up = np.empty(self.n, kind)
             up[~bit] = a[:zeros]
-            up[bit] = a[zeros:] | np.uint32(1 << level)
+            up[bit] = a[zeros:] | kind(1 << level)
             a = up
-        return a
+        return a.astype(np.uint32)
 
 
 def open_fs(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
