@@ -19,15 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import slices, written
+from fieldspark.llm.common import slices, small, written
 from fieldspark.llm.tokens import byte_bpe
 
 SEQUENCE = 1024
-#: Capacities of a sequence: tokens, documents, attention cost.
+#: Capacities of a sequence: tokens, documents, attention cost.  The query's contract
+#: limits tokens only and wants few sequences; the other two take part in the choice
+#: of bins through WEIGHTS and bind as soon as a caller lowers them.
 CAPACITIES = (SEQUENCE, SEQUENCE, SEQUENCE * SEQUENCE)
 WEIGHTS = (1.0, 0.05, 0.05)
-#: Doc_id buckets that keep the numbering of one length apart.
-BUCKETS = 64
+#: Pieces in a bucket that are numbered together, about.
+BUCKET_ROWS = 200_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = SEQUENCE) -> DataFrame:
@@ -118,22 +120,26 @@ def plan(counts: dict[int, int], capacities=CAPACITIES, weights=WEIGHTS, rule: s
 def pack(found: DataFrame, capacities=CAPACITIES, weights=WEIGHTS, rule: str = "norm") -> DataFrame:
     """Adds sequence_id and offset to a written table of pieces.
 
-    Pieces of one length are numbered by doc_id and piece within hashed
-    buckets, so a length that a third of all pieces have is no single task's
-    work.  Repeated rows are pieces of their own; no piece is dropped.
+    Pieces as long as a sequence are sequences of their own, with negative
+    numbers, and need no plan.  Others of one length are numbered by doc_id and
+    piece within hashed buckets of about BUCKET_ROWS pieces, so a length that a
+    third of all pieces have is no single task's work.  Repeated rows are
+    pieces of their own; no piece is dropped.  A null doc_id is a document.
     """
     spark = found.sparkSession
-    # a row number makes repeated rows distinct within their bucket
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int")
-    rows = found.withColumn("bucket", bucket)
-    counts = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    # lengths x buckets: at most 1024 x 64 rows
-    table = counts.orderBy("length", "bucket").collect()
-    total: dict[int, int] = {}
-    prefix = []
-    for r in table:
-        prefix.append((r["length"], r["bucket"], total.get(r["length"], 0)))
-        total[r["length"]] = total.get(r["length"], 0) + r["n"]
+    size = int(capacities[0])
+    if size > 0 and found.filter(F.col("length") > size).limit(1).count():
+        raise ValueError(f"a piece of over {size} tokens fits no sequence")
+    alone = F.lit(capacities[1] >= 1 and capacities[2] >= size * size) & (F.col("length") == size)
+    # the table is written, so its rows keep their numbers if a task runs again
+    whole = found.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).filter(alone)
+    rest = found.filter(~alone)
+    buckets = max(1, -(-rest.count() // BUCKET_ROWS))
+    rows = rest.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    counts = written(rows.groupBy("length", "bucket").agg(F.count("*").alias("n")), "lengths")
+    total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
+    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = written(counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "before")
     # each entry of the plan takes a run of numbers of each length it holds
     used = dict.fromkeys(total, 0)
     runs, sequence = [], 0
@@ -144,19 +150,18 @@ def pack(found: DataFrame, capacities=CAPACITIES, weights=WEIGHTS, rule: str = "
             used[length] += bins
             offset += length
         sequence += bins
-    first = spark.createDataFrame(prefix, "length long, bucket int, before long")
     where = spark.createDataFrame(runs, "length long, lo long, hi long, base long, offset long")
-    # both are bounded by the sequence length, not by the corpus
-    w = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    numbered = rows.withColumn("rn", F.row_number().over(w)).join(F.broadcast(first), ["length", "bucket"])
+    w = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
+    numbered = rows.withColumn("rn", F.row_number().over(w)).join(small(first), ["length", "bucket"])
     numbered = numbered.withColumn("number", F.col("before") + F.col("rn") - 1)
-    n, p = numbered.alias("n"), F.broadcast(where).alias("p")
+    n, p = numbered.alias("n"), small(where).alias("p")
     placed = n.join(p, (F.col("n.length") == F.col("p.length")) & (F.col("number") >= F.col("lo")) & (F.col("number") < F.col("hi")))
-    return placed.select(
+    placed = placed.select(
         *[F.col(f"n.{c}") for c in found.columns],
         (F.col("base") + F.col("number") - F.col("lo")).alias("sequence_id"),
         F.col("offset"),
     )
+    return placed.unionByName(whole)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
