@@ -36,6 +36,8 @@ RANGE_BYTES = 4 << 20
 #: So many bytes behind a range are read with it; a header block that is longer takes further reads.
 HEADER_BYTES = 1 << 16
 RECORDS_PER_FILE = 20_000
+#: Bytes of records that one task reads, about.
+TASK_BYTES = 128 << 20
 
 
 def with_originals(pages: DataFrame) -> DataFrame:
@@ -191,9 +193,10 @@ def _number(found: list[tuple[int, int, int, int]], hi: int) -> list[list[int]]:
 
 
 def verified(spark, path: str, size: int = RANGE_BYTES) -> DataFrame:
-    """The candidates that the chain from the start of their file reaches.
+    """The candidates that the chain from the start of their file reaches, a written table.
 
-    A chain that breaks off (a damaged or cut record) keeps what it reached.
+    A chain that breaks off (a damaged or cut record) keeps what it reached;
+    ``broken`` tells of it.
     """
     found = written(candidates(spark, path, size), "candidates")
     most = found.agg(F.max("range")).first()[0] or 0
@@ -207,13 +210,24 @@ def verified(spark, path: str, size: int = RANGE_BYTES) -> DataFrame:
     # a place behind the last record, or none at all, joins with nothing
     enter = found.join(reached, ["file", "at"]).select("file", "range", F.col("pre").alias("entered"))
     chain = found.join(enter, ["file", "range"])
-    return chain.filter("pre <= entered AND entered < post").drop("entered", "pre", "post", "leave", "next")
+    return written(chain.filter("pre <= entered AND entered < post").drop("entered", "pre", "post", "leave"), "chain")
 
 
-def read_archives(spark, path: str, size: int = RANGE_BYTES) -> DataFrame:
+def broken(spark, path: str, chain: DataFrame) -> DataFrame:
+    """file, n_bytes, reached of the files whose chain ends before they do."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("n_bytes")).filter("n_bytes > 0")
+    ends = chain.groupBy("file").agg(F.max("next").alias("reached"))
+    return files.join(ends, "file", "left").filter("reached IS NULL OR reached <> n_bytes")
+
+
+def read_archives(spark, path: str, size: int = RANGE_BYTES, strict: bool = True) -> DataFrame:
     """page_id, record_type, refers_to, payload_bytes, payload_digest and
     digest_ok of every verified record; a response's digest is taken from the
-    payload that was read, a revisit's from its header."""
+    payload that was read, a revisit's from its header.
+
+    A file that its chain does not pass to the end is an error, unless not
+    ``strict``: then what was reached comes back.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, fs, f = None, None, None
@@ -250,7 +264,13 @@ def read_archives(spark, path: str, size: int = RANGE_BYTES) -> DataFrame:
         if f:
             f.close()
 
-    where = verified(spark, path, size).repartition("file", "range").sortWithinPartitions("file", "at")
+    chain = verified(spark, path, size)
+    if strict and (lost := broken(spark, path, chain)).limit(1).count():
+        raise ValueError(f"{lost.count()} files with broken chains, such as {lost.first()}")
+    # a number of its own: the rows are narrow, but each stands for a record that is read
+    held = chain.agg(F.sum("block_bytes")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // TASK_BYTES))
+    where = chain.repartition(tasks, "file", "range").sortWithinPartitions("file", "at")
     return where.mapInArrow(
         work,
         "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, digest_ok boolean",
