@@ -22,19 +22,21 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 #: A (lang, source) or lang group with fewer texts uses the next larger one.
 MIN_GROUP = 100
-#: Fence = quartile -+ this many quartile ranges, and never closer to the
-#: median than the measure's own floor (in its unit, thousandths).
+#: Fence = quartile -+ this many quartile ranges, and never nearer to the outer
+#: tenth of the group than the measure's own grain (in its unit, thousandths):
+#: what one phrase or line said twice does to a short text, a few marks, one
+#: letter a word.
 FENCE = 6
-FLOORS = {"symbol_rate": 250, "dup_line_rate": 300, "repeat_rate": 300, "word_length": 4000}
+FLOORS = {"symbol_rate": 30, "dup_line_rate": 400, "repeat_rate": 300, "word_length": 1000}
 LOW_SIDED = ("word_length",)
 
 
 def base_measures(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the counts of each whole text.
 
-    n_words; word_chars: code points in words; n_symbols; n_dup_lines: lines
-    with a word that equal an earlier line; n_repeat_words: words inside
-    three-word windows that the text holds twice or more.  A null or empty
+    n_words; word_chars: code points in words; n_symbols; n_lines: lines with
+    a word; n_dup_lines: those that equal an earlier line; n_repeat_words:
+    words inside three-word windows that the text holds twice or more.  A null or empty
     text has zeros.  Any other columns of ``docs`` are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -61,6 +63,7 @@ def base_measures(docs: DataFrame) -> DataFrame:
         "doc_id", "lang", "source", "n_symbols",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         windows.alias("windows"),
     )
@@ -94,7 +97,7 @@ def _rates() -> dict[str, Column]:
 
     return {
         "symbol_rate": rate("n_symbols", "word_chars"),
-        "dup_line_rate": rate("n_dup_lines", "n_words"),
+        "dup_line_rate": rate("n_dup_lines", "n_lines"),
         "repeat_rate": rate("n_repeat_words", "n_words"),
         "word_length": rate("word_chars", "n_words"),
     }
@@ -125,14 +128,14 @@ def _fences(sketches: DataFrame, *by: str) -> DataFrame:
     """Per group and measure: rows, and the allowed range."""
     w = Window.partitionBy(*by, "measure")
     up = sketches.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-    q = {p: F.min(F.when(100 * F.col("upto") >= p * F.col("all"), F.col("bin"))) for p in (25, 50, 75)}
+    q = {p: F.min(F.when(100 * F.col("upto") >= p * F.col("all"), F.col("bin"))) for p in (10, 25, 75, 90)}
     out = up.groupBy(*by, "measure").agg(F.max("all").alias("all"), *[c.alias(f"q{p}") for p, c in q.items()])
     floor = F.create_map(*[F.lit(x) for kv in FLOORS.items() for x in kv])[F.col("measure")]
     spread = FENCE * (F.col("q75") - F.col("q25"))
     return out.select(
         *by, "measure", "all",
-        F.greatest(F.col("q75") + spread, F.col("q50") + floor).alias("hi"),
-        F.when(F.col("measure").isin(*LOW_SIDED), F.least(F.col("q25") - spread, F.col("q50") - floor))
+        F.greatest(F.col("q75") + spread, F.col("q90") + floor).alias("hi"),
+        F.when(F.col("measure").isin(*LOW_SIDED), F.least(F.col("q25") - spread, F.col("q10") - floor))
         .otherwise(F.lit(-1)).cast("long").alias("lo"),
     )
 
@@ -158,8 +161,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """Measures, base_failed and kept for every row of ``docs``.
 
     kept: the base rules hold and every measure lies within the fences of the
-    row's (lang, source).  Repeated rows are judged alike; an empty table
-    gives an empty result.
+    row's (lang, source).  Repeated rows, and rows without a doc_id, are
+    judged alike; an empty table gives an empty result.
     """
     measured = written(base_measures(docs), "quality")
     limits = thresholds(sketch(measured))
@@ -196,13 +199,13 @@ rep AS (
 m AS (
   SELECT w.doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words,
     CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
-    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN rep USING (doc_id)),
 r AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars ELSE 0 END AS symbol_rate,
-    CASE WHEN n_words > 0 THEN 1000 * n_dup_lines // n_words ELSE 0 END AS dup_line_rate,
+    CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_line_rate,
     CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeat_rate,
     CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END AS word_length
   FROM m),
@@ -223,13 +226,13 @@ c AS (
     sum(n) OVER (PARTITION BY tier, lang, source, measure) AS total FROM g),
 q AS (
   SELECT tier, lang, source, measure, max(total) AS total,
-    min(bin) FILTER (100 * upto >= 25 * total) AS q25, min(bin) FILTER (100 * upto >= 50 * total) AS q50,
-    min(bin) FILTER (100 * upto >= 75 * total) AS q75,
-    CASE measure WHEN 'symbol_rate' THEN 250 WHEN 'word_length' THEN 4000 ELSE 300 END AS least_gap
+    min(bin) FILTER (100 * upto >= 10 * total) AS q10, min(bin) FILTER (100 * upto >= 25 * total) AS q25,
+    min(bin) FILTER (100 * upto >= 75 * total) AS q75, min(bin) FILTER (100 * upto >= 90 * total) AS q90,
+    CASE measure WHEN 'symbol_rate' THEN 30 WHEN 'word_length' THEN 1000 WHEN 'repeat_rate' THEN 300 ELSE 400 END AS grain
   FROM c GROUP BY tier, lang, source, measure),
 f AS (
-  SELECT tier, lang, source, measure, total, greatest(q75 + 6 * (q75 - q25), q50 + least_gap) AS hi,
-    CASE WHEN measure = 'word_length' THEN least(q25 - 6 * (q75 - q25), q50 - least_gap) ELSE -1 END AS lo FROM q),
+  SELECT tier, lang, source, measure, total, greatest(q75 + 6 * (q75 - q25), q90 + grain) AS hi,
+    CASE WHEN measure = 'word_length' THEN least(q25 - 6 * (q75 - q25), q10 - grain) ELSE -1 END AS lo FROM q),
 t AS (
   SELECT o.lang, o.source, o.measure,
     CASE WHEN o.total >= 100 THEN o.lo WHEN l.total >= 100 THEN l.lo ELSE e.lo END AS lo,
