@@ -5,9 +5,10 @@ posterior(l)  ~  prior(l | host) * P(text | l) * P(declared | l) * P(suffix | l)
 * text: a multinomial model of hashed byte trigrams, fitted on a bounded
   sample of labelled rows;
 * declared markup language: the ``lang`` attribute of ``<html>`` (or a column
-  that states it), right with a fixed probability;
-* address suffix: the country ending of the host, or a language folder, at
-  the start of the path; likewise;
+  that states it).  How often a declaration of each language is right is
+  counted over all rows, by agreement with the texts, and smoothed;
+* address suffix: a language folder at the start of the path, or the country
+  ending of the host; likewise;
 * host: counts of the languages that the texts alone suggest, by grouped
   aggregation over all rows, smoothed from all rows to the host's domain and
   from the domain to the host.
@@ -24,26 +25,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import slices, written
+from fieldspark.llm.common import slices, small, written
 
 #: Rows that the text model is fitted on, about; drawn by a hash of the id.
 SAMPLE_ROWS = 8_000
-#: Hash buckets of the text model, and the languages that it may tell apart.
+#: Hash buckets of the text model.
 BUCKETS = 1 << 15
-MAX_LANGUAGES = 64
+#: Log-probabilities that a task looks up at once (trigrams x languages).
+CELLS = 1 << 21
 #: A text's log-likelihood is divided by this: trigrams overlap.
 TEMPER = 3.0
-#: How often a declaration and a suffix are right.
-DECLARED_RIGHT, SUFFIX_RIGHT = 0.9, 0.8
+#: How often a declaration and a suffix are right, before any is counted; and at most.
+DECLARED_RIGHT, SUFFIX_RIGHT, MOST_RIGHT = 0.9, 0.8, 0.995
 #: Pseudo-counts that the larger group lends to the smaller.
 PRIOR_WEIGHT = 20.0
 #: A row is rejected if its best language is less sure.
 MIN_POSTERIOR = 0.6
 
-#: Endings of hosts and their language.
+#: Country endings of hosts and the language most used there.
 SUFFIXES = {
-    "de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en",
-    "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "se": "sv", "ru": "ru", "jp": "ja", "cn": "zh",
+    "ar": "es", "at": "de", "au": "en", "bg": "bg", "br": "pt", "cl": "es", "cn": "zh", "co": "es", "cz": "cs", "de": "de",
+    "dk": "da", "ec": "es", "ee": "et", "eg": "ar", "es": "es", "fi": "fi", "fr": "fr", "gr": "el", "hr": "hr", "hu": "hu",
+    "id": "id", "ie": "en", "il": "he", "ir": "fa", "is": "is", "it": "it", "jp": "ja", "kr": "ko", "lt": "lt", "lv": "lv",
+    "mx": "es", "nl": "nl", "no": "no", "nz": "en", "pe": "es", "pl": "pl", "pt": "pt", "ro": "ro", "rs": "sr", "ru": "ru",
+    "sa": "ar", "se": "sv", "si": "sl", "sk": "sk", "th": "th", "tr": "tr", "tw": "zh", "ua": "uk", "uk": "en", "us": "en",
+    "uy": "es", "ve": "es", "vn": "vi",
 }
 
 
@@ -70,33 +76,34 @@ def _buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def fit(labelled: DataFrame, id_column: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities [bucket, language]) from rows of text and lang.
 
-    The sample is drawn by a hash of the id, about ``sample_rows`` rows, the
-    same at any size of cluster; it is the only bounded input here.  Nothing
-    is sorted or gathered to draw it.
+    The sample is drawn by a hash of id and text, about ``sample_rows`` rows,
+    the same at any size of cluster, equal rows once; it is the only bounded
+    input here.  Nothing is sorted or gathered to draw it.  Any number of
+    languages: the driver gets one row per language and bucket of the sample.
     """
     rows = labelled.filter("lang IS NOT NULL")
     share = min(1.0, sample_rows / max(1, rows.count()))
     last = min(-(1 << 63) + int(share * (1 << 64)), (1 << 63) - 1)
-    sample = rows.filter((F.xxhash64(id_column) <= last) & F.col("text").isNotNull()).select("text", "lang")
+    sample = rows.filter((F.xxhash64(id_column, "text") <= last) & F.col("text").isNotNull()).select("text", "lang").distinct()
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             b, bounds = _buckets(batch.column("text").to_pylist())
             langs = batch.column("lang").to_pylist()
-            row = np.repeat(np.arange(len(langs)), np.diff(bounds))
-            for lang in sorted(set(langs)):
-                n = np.bincount(b[np.isin(row, [i for i, x in enumerate(langs) if x == lang])], minlength=BUCKETS)
+            names = sorted(set(langs))
+            number = np.array([names.index(x) for x in langs])
+            for k, lang in enumerate(names):
+                n = np.bincount(b[np.repeat(number == k, np.diff(bounds))], minlength=BUCKETS)
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], schema=schema)
 
     counts = sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = counts.toPandas()  # at most MAX_LANGUAGES x BUCKETS rows, see below
+    got = counts.toPandas()
     languages = sorted(got["lang"].unique().tolist())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages in the sample")
+    place = {x: i for i, x in enumerate(languages)}
     n = np.full((BUCKETS, max(1, len(languages))), 0.5)
-    n[got["bucket"].to_numpy(), [languages.index(x) for x in got["lang"]]] += got["n"].to_numpy()
+    n[got["bucket"].to_numpy(), [place[x] for x in got["lang"]]] += got["n"].to_numpy()
     return languages, np.log(n / n.sum(axis=0)).astype(np.float32)
 
 
@@ -127,10 +134,13 @@ def text_scores(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFra
             texts = [t or "" for t in batch.column("text").to_pylist()]
             b, bounds = _buckets(texts)
             sums = np.zeros((len(texts), table.shape[1]))
-            if len(b):
-                total = np.zeros((len(b) + 1, table.shape[1]))
-                np.cumsum(table[b], axis=0, dtype=np.float64, out=total[1:])
-                sums = total[bounds[1:]] - total[bounds[:-1]]
+            step = max(1024, CELLS // table.shape[1])
+            for lo in range(0, len(b), step):  # a text may lie in several steps
+                hi = min(lo + step, len(b))
+                first, last = np.searchsorted(bounds, lo, "right") - 1, np.searchsorted(bounds, hi, "left")
+                at = np.maximum(bounds[first:last], lo) - lo
+                some = np.append(at[1:], hi - lo) > at
+                sums[first:last][some] += np.add.reduceat(table[b[lo:hi]], at[some], axis=0, dtype=np.float64)
             sums = np.round((sums - sums.max(axis=1, keepdims=True)) / TEMPER, 6)
             letters = [len(_NO_LETTER.sub("", t)) for t in texts]
             offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * sums.shape[1])
@@ -143,6 +153,27 @@ def text_scores(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFra
     return rows.mapInArrow(work, f"{fields}, scores array<double>, letters long")
 
 
+def _by_language(counts: DataFrame, key: str, name: str) -> DataFrame:
+    """key and a map from language number to count; ``counts`` has (key, best, n)."""
+    sums = counts.groupBy(key, "best").agg(F.sum("n").alias("n"))
+    # at most one entry per language
+    return sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias(name))
+
+
+def _gains(scored: DataFrame, column: str, languages: list[str], usual: float) -> list[float]:
+    """Log-odds that evidence naming each language adds to it, from its agreement with the texts."""
+    stated = scored.filter((F.col("letters") > 0) & F.col(column).isin(languages))
+    agree = F.count(F.when(F.get(F.array(*[F.lit(x) for x in languages]), F.col("best")) == F.col(column), 1))
+    found = {r[column]: (r["a"], r["n"]) for r in stated.groupBy(column).agg(agree.alias("a"), F.count("*").alias("n")).collect()}
+    out = []
+    for x in languages:
+        a, n = found.get(x, (0, 0))
+        right = (a + PRIOR_WEIGHT * usual) / (n + PRIOR_WEIGHT)
+        right = min(max(right, 1 / len(languages)), MOST_RIGHT)
+        out.append(math.log(right) - math.log((1 - right) / max(1, len(languages) - 1)))
+    return out
+
+
 def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """Posterior language of every row.
 
@@ -151,7 +182,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     posterior, text_lang, and kept: the row has letters and the posterior
     reaches MIN_POSTERIOR.  Null or empty text: evidence of the other kinds
     only, and not kept.  Ties go to the language first in the alphabet.
-    Repeated rows are judged alike.
+    Repeated rows, and rows without an id, are judged alike.
     """
     languages, _ = model
     if not languages:
@@ -165,30 +196,27 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     scored = scored.withColumn("best", F.array_position("scores", F.array_max("scores")).cast("int") - 1)
     known = scored.filter((F.col("letters") > 0) & F.col("host").isNotNull())
     domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$|(^[^.]+$)", 0)
-    counts = known.groupBy("host", domain.alias("domain")).agg(*[F.count(F.when(F.col("best") == i, 1)).alias(f"n{i}") for i in range(k)])
-    every = counts.agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in range(k)]).first()
-    n = [every[f"n{i}"] for i in range(k)]
-    base = [(x + 1) / (sum(n) + k) for x in n]
-    per_domain = counts.groupBy("domain").agg(*[F.sum(f"n{i}").alias(f"d{i}") for i in range(k)])
-    d_all = sum((F.col(f"d{i}") for i in range(k)), F.lit(0))
-    per_domain = per_domain.select("domain", *[((F.col(f"d{i}") + PRIOR_WEIGHT * base[i]) / (d_all + PRIOR_WEIGHT)).alias(f"p{i}") for i in range(k)])
-    h_all = sum((F.col(f"n{i}") for i in range(k)), F.lit(0))
-    priors = counts.join(per_domain, "domain").select(
-        "host",
-        F.array(*[F.log((F.col(f"n{i}") + PRIOR_WEIGHT * F.col(f"p{i}")) / (h_all + PRIOR_WEIGHT)) for i in range(k)]).alias("prior"),
-    )
-
-    def says(column: str, right: float) -> list[Column]:
-        wrong = math.log((1 - right) / max(1, k - 1))
-        stated = F.col(column).isin(languages)
-        return [F.when(~F.coalesce(stated, F.lit(False)), 0.0).when(F.col(column) == x, math.log(right)).otherwise(wrong) for x in languages]
-
-    declared, suffix = says("declared", DECLARED_RIGHT), says("suffix", SUFFIX_RIGHT)
-    flat = F.array(*[F.lit(math.log(p)) for p in base])
-    fused = scored.join(priors, "host", "left").withColumn("prior", F.coalesce("prior", flat))
-    fused = fused.withColumn(
-        "logs", F.array(*[F.get("scores", F.lit(i)) + F.get("prior", F.lit(i)) + declared[i] + suffix[i] for i in range(k)])
-    ).withColumn("top", F.array_max("logs"))
+    counts = written(known.groupBy("host", domain.alias("domain"), "best").agg(F.count("*").alias("n")), "hosts")
+    every = {r["best"]: r["n"] for r in counts.groupBy("best").agg(F.sum("n").alias("n")).collect()}
+    total = sum(every.values())
+    base = F.array(*[F.lit((every.get(i, 0) + 1) / (total + k)) for i in range(k)])
+    hosts = _by_language(counts, "host", "here").join(counts.select("host", "domain").distinct(), "host")
+    hosts = hosts.join(_by_language(counts, "domain", "around"), "domain")
+    weight = F.lit(PRIOR_WEIGHT)
+    size = lambda m: F.aggregate(F.map_values(m), F.lit(0).cast("long"), lambda a, x: a + x)
+    n_of = lambda m, i: F.coalesce(F.try_element_at(F.col(m), i), F.lit(0))
+    smooth = lambda i: (n_of("around", i) + weight * F.get(base, i)) / (size("around") + weight)
+    prior = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.log((n_of("here", i) + weight * smooth(i)) / (size("here") + weight)))
+    priors = written(hosts.select("host", prior.alias("prior")), "priors")
+
+    fused = scored.join(small(priors), "host", "left").withColumn("prior", F.coalesce("prior", F.transform(base, lambda x: F.log(x))))
+    logs = F.zip_with("scores", "prior", lambda a, b: a + b)
+    for column, usual in (("declared", DECLARED_RIGHT), ("suffix", SUFFIX_RIGHT)):
+        gains = F.array(*[F.lit(g) for g in _gains(scored, column, languages, usual)])
+        said = F.array_position(names, F.coalesce(F.col(column), F.lit(""))).cast("int") - 1
+        added = F.transform(gains, lambda g, i: F.when(i == said, g).otherwise(0.0))  # noqa: B023
+        logs = F.zip_with(logs, added, lambda a, b: a + b)
+    fused = fused.withColumn("logs", logs).withColumn("top", F.array_max("logs"))
     fused = fused.withColumn("posterior", F.lit(1.0) / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
     return fused.select(
         "id",
