@@ -127,6 +127,73 @@ def test_quality_fences_follow_the_group(spark):
     assert not got.pop(1) and all(got.values())
 
 
+def brute_quality(rows):
+    """kept of (doc_id, text, lang, source) rows: fences in plain Python."""
+    measured, sketches = [], defaultdict(Counter)
+    for i, t, lang, source in rows:
+        words = WORD.findall(t or "")
+        n, chars, lines = len(words), sum(map(len, words)), [x for x in (t or "").split("\n") if WORD.search(x)]
+        tri = Counter(tuple(words[k : k + 3]) for k in range(n - 2))
+        cover = {j for k in range(n - 2) if tri[tuple(words[k : k + 3])] >= 2 for j in (k, k + 1, k + 2)}
+        rates = {
+            "symbol_rate": 1000 * len(re.findall(r"[#*$%&|<>]", t or "")) // max(chars, 1), "dup_line_rate": 1000 * (len(lines) - len(set(lines))) // max(len(lines), 1),
+            "repeat_rate": 1000 * len(cover) // max(n, 1), "word_length": 1000 * chars // max(n, 1),
+        }
+        failed = n < 50 or 100 * len(cover) > 50 * n
+        measured.append((i, lang, source, failed, rates))
+        if not failed:
+            for m, v in rates.items():
+                unit = 2 ** max(0, v.bit_length() - 7)
+                for group in ((lang, source), (lang,), ()):
+                    sketches[group, m][v - v % unit] += 1
+
+    def quantile(sketch, p):
+        upto = 0
+        for b in sorted(sketch):
+            upto += sketch[b]
+            if 100 * upto >= p * sum(sketch.values()):
+                return b
+
+    out = []
+    for i, lang, source, failed, rates in measured:
+        kept = not failed
+        for m, v in rates.items() if kept else ():
+            sketch = next((s for s in (sketches[(lang, source), m], sketches[(lang,), m]) if sum(s.values()) >= 100), sketches[(), m])
+            q10, q25, q75, q90 = (quantile(sketch, p) for p in (10, 25, 75, 90))
+            grain = quality_rules.FLOORS[m]
+            kept &= v <= max(q75 + 6 * (q75 - q25), q90 + grain)
+            kept &= m != "word_length" or v >= min(q25 - 6 * (q75 - q25), q10 - grain)
+        out.append((i, kept))
+    return out
+
+
+def test_quality_fences_by_brute_force(spark):
+    """Realistic rates: what is usual in one source is rejected in another, by its quantiles."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(1200):
+        lang, source = ("en", "de", None)[i % 3], ("code", "prose", "rare")[i // 3 % 3] if i % 40 else None
+        w = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 9))) for _ in range(int(rng.integers(40, 160)))]
+        marks = 0.4 if source == "code" else 0.0
+        if i % 50 == 7:
+            marks = 0.5
+        w = [x + "#" if rng.random() < marks else x for x in w]
+        if i % 61 == 0:
+            w = [x * 3 for x in w]
+        sep = rng.choice([" ", "\n"], len(w), p=[0.9, 0.1])
+        t = "".join(a + b for a, b in zip(w, sep))
+        rows.append((i, "\n".join([t[:60]] * 9 + [t]) if i % 70 == 3 else t, lang, source))
+    rows += [rows[5], (None, *rows[6][1:]), (None, None, None, None), (9000, "word " * 400_000, "en", "prose")]
+    df = spark.createDataFrame([(*r, 0) for r in rows], DOC)
+    got = [(r["doc_id"], r["kept"]) for r in quality_rules.quality_rules(df).collect()]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    want = brute_quality(rows)
+    assert sorted(got, key=key) == sorted(want, key=key)
+    kept = dict(want)
+    odd = [i for i in range(1200) if i % 50 == 7 and rows[i][1].count(" ") > 60]
+    assert any(kept[i] for i in odd if rows[i][3] == "code") and not any(kept[i] for i in odd if rows[i][3] == "prose")
+
+
 def test_language_id(spark):
     rng = np.random.default_rng(0)
     letters = {"aa": "abcdef", "bb": "uvwxyz", "cc": "klmnop"}
@@ -177,16 +244,22 @@ def brute_pages(pages, model):
             domains[".".join(host.split(".")[-2:])][scores.argmax()] += 1
     every = sum(hosts.values())
     base = (every + 1) / (every.sum() + k)
-    out = {}
+    out, gains = {}, {}
+    for at, usual in ((3, 0.9), (4, 0.8)):
+        for x in languages:
+            stated = [f for f in found.values() if f[1] and f[at] == x]
+            right = (sum(languages[f[0].argmax()] == x for f in stated) + 20 * usual) / (len(stated) + 20)
+            right = min(max(right, 1 / k), 0.995)
+            gains[at, x] = np.log(right) - np.log((1 - right) / (k - 1))
     for i, (scores, letters, host, said, suffix) in found.items():
         logs = scores + np.log(base)
         if host in hosts:
             d = domains[".".join(host.split(".")[-2:])]
             p = (d + 20 * base) / (d.sum() + 20)
             logs = scores + np.log((hosts[host] + 20 * p) / (hosts[host].sum() + 20))
-        for x, right in ((said, 0.9), (suffix, 0.8)):
+        for at, x in ((3, said), (4, suffix)):
             if x in languages:
-                logs = logs + np.log([right if x == y else (1 - right) / (k - 1) for y in languages])
+                logs = logs + np.array([gains[at, x] if x == y else 0.0 for y in languages])
         posterior = 1 / np.exp(logs - logs.max()).sum()
         out[i] = (languages[logs.argmax()], posterior, languages[scores.argmax()] if letters else None, bool(letters) and posterior >= 0.6)
     return out
@@ -219,6 +292,28 @@ def test_language_id_takes_pages_whole(spark, tmp_path):
         assert r["posterior"] == pytest.approx(posterior, abs=1e-4)
 
 
+def test_language_id_many_languages_and_ties(spark, monkeypatch):
+    """70 languages, texts over several steps, equal posteriors, repeated rows and rows without an id."""
+    monkeypatch.setattr(language_id, "CELLS", 70 * 1024)
+    rng = np.random.default_rng(6)
+    words = {f"l{k:02d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for k in range(70)}
+    langs = list(words)
+    rows = [(i, " ".join(rng.choice(words[langs[i % 70]], 40)), langs[i % 70], None, 0) for i in range(490)]
+    rows += [(1000, " ".join(rng.choice(words["l07"], 3000)), None, None, 0)] * 2 + [(None, rows[3][1], "l03", None, 0)]
+    got = language_id.identify_documents(spark.createDataFrame(rows, DOC)).collect()
+    assert len(got) == len(rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append(r)
+    assert all(by[i][0]["lang_pred"] == langs[i % 70] and by[i][0]["kept"] for i in range(490))
+    assert len(by[1000]) == 2 and by[1000][0] == by[1000][1] and by[1000][0]["lang_pred"] == "l07" and by[None][0]["lang_pred"] == "l03"
+    # a model that knows nothing: equal posteriors, the first in the alphabet
+    flat = (["aa", "bb"], np.zeros((language_id.BUCKETS, 2), np.float32))
+    ask = spark.createDataFrame([(1, "some text")], "id long, text string").select("id", "text", *[F.lit(None).cast("string").alias(c) for c in ("declared", "suffix", "host")])
+    (r,) = language_id.identify(ask, flat).collect()
+    assert (r["lang_pred"], r["posterior"], r["kept"]) == ("aa", 0.5, False)
+
+
 def brute_components(texts):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = {}
@@ -335,6 +430,18 @@ def test_packing_plan_keeps_every_capacity(rule, caps):
     assert used == counts
 
 
+def test_packing_weights_choose_bins():
+    """Residual documents and cost take part in the choice, not only tokens."""
+    rng = np.random.default_rng(4)
+    counts = dict(Counter(rng.integers(1, 900, 4000).tolist()))
+    plans = [packing.plan(dict(counts), weights=w, rule="dot") for w in ((1.0, 0.0, 0.0), (1.0, 0.05, 0.05), (0.1, 1.0, 1.0))]
+    assert len({tuple(sorted(p)) for p in plans}) == 3
+    fewest = -(-sum(k * n for k, n in counts.items()) // 1024)
+    assert all(fewest <= sum(n for _, n in p) <= 1.02 * fewest for p in plans[:2])
+    tight = packing.plan(dict(counts), (1024, 2, 1024**2))
+    assert max(len(c) for c, _ in tight) == 2 < max(len(c) for c, _ in plans[1])
+
+
 def test_wavelet(docs, none, texts, tmp_path):
     from tokenizers import Tokenizer
 
@@ -397,6 +504,23 @@ def test_warc_long_urls(spark, tmp_path):
         assert {i: (r["payload_bytes"], r["digest_ok"]) for i, r in got.items()} == {i: (len(h), True) for i, _, h in pages}
 
 
+def test_warc_damage_is_no_silent_loss(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"u{i}", f"text {i} " * 20) for i in range(9)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"file://{tmp_path}/w")
+    (file,) = [f for f in (tmp_path / "w").iterdir() if f.suffix == ".txt"]
+    raw = file.read_bytes()
+    at = raw.index(b"WARC/1.1", 10)
+    (tmp_path / "damaged").mkdir()
+    (tmp_path / "damaged" / "a.warc").write_bytes(raw[:at] + b"X" + raw[at + 1 :])
+    with pytest.raises(ValueError, match="broken"):
+        warc.read_archives(spark, f"file://{tmp_path}/damaged")
+    assert warc.read_archives(spark, f"file://{tmp_path}/damaged", strict=False).count() == 1
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "a.warc").write_bytes(b"no archive")
+    with pytest.raises(ValueError, match="broken"):
+        warc.read_archives(spark, f"file://{tmp_path}/none")
+
+
 def test_hnsw_recall_and_ties(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 12)) * rng.uniform(0.5, 2, size=(1500, 1))
