@@ -1,30 +1,41 @@
 """Exact n-gram Jaccard self-join by PartEnum signatures.
 
 Two sets link when their Jaccard similarity is at least 3/4, so they differ in
-at most (|r| + |s|) / 7 shingles.  Sets are put in size bands [2^t, 2^(t+1));
-a set whose partners may be in the next band gets that band's signatures, too.
-In a band the domain of shingles is cut into more parts than linked sets can
-have differences: some parts then hold the same shingles in both, and a
-signature for each part of a set (of its shingles there, the part and the
-band) is shared.
-
-A set with ``used`` non-empty parts shares at least used - k of its signatures
-with each partner, k being the most differences that the band's sizes allow.
-Sets where that is not positive (small or uneven ones) also have each single
-shingle as a signature, of which two such sets that link share 3/4.  A set whose
-shared signatures are fewer than that bound has no partner; sets that have only a
-passage in common end there.
+at most (|r| + |s|) / 7 shingles.  Sets are put in size bands [10 * 2^t,
+20 * 2^t); a set whose partners may be in the next band gets that band's
+signatures, too.  In a band the domain of shingles is cut into first-level
+parts, more than half as many as linked sets can have differences: some parts
+then hold one difference at most.  Each is cut into n2 second-level parts, and
+every subset of n2 - 1 of them makes a signature (of the set's shingles there,
+the part, the subset and the band); the one without the difference is shared.
+n2 is 3 up to band WIDE, where parts are small, and 2 beyond, where that gives
+fewer signatures that still hold enough shingles.
+
+A signature of no shingles is not written, so how many a set is sure to share
+with each partner depends on how evenly it fills its parts.  With n2 = 3 those
+first-level parts count where at most one of the three is empty, less the most
+that can hold two differences; with n2 = 2 all its signatures, less the most
+differences.  Sets where that is not positive are cut anew by further hashes (two sets that miss each other are both of this kind) and at
+last, if no hash serves them, have each single shingle as a signature.  Sets of
+up to TINY shingles meet by the finest cut, each shingle a part of its own: all
+subsets that leave out up to a quarter.  A set whose shared signatures are fewer
+than its bound has no partner; sets that have only a passage in common end there.
 
 No group of equal signatures is turned into all its pairs at once.  Equal sets
 are one set from the start.  First each member is compared with the first member
 of its groups.  Then the sets that are outside the largest component of their
 family (sets that signatures tie together) are queries against that family, in
 blocks of bounded size; a task compares two blocks and returns links only.
+
+Shingles are told apart by 64-bit hashes and equal sets by 128-bit digests, so
+"exact" is up to collisions of those.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations, product
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +48,19 @@ from fieldspark.llm.shingles import mix, shingle_sets
 
 _U = np.uint64
 #: Linked: 4 * intersection >= 3 * union.
-#: ``code`` = band * CODE + signatures that a partner must share.
+#: ``code`` = (band, hash) * CODE + signatures that a partner must share.
 CODE = 1 << 24
-#: Shingles in a block of sets that are compared with another block in one task.
-BLOCK = 4_000_000
+#: Largest set that meets others by its subsets.
+TINY = 9
+#: Smallest size of the first band.
+FIRST = 10
+#: From this band on, n2 is 2.
+WIDE = 4
+#: Hashes by which sets are cut before single shingles serve.
+SEEDS = 4
+#: Shingles in a block of sets that are compared with another block in one task: a
+#: sixteenth of the family within these bounds.
+BLOCK, LEAST_BLOCK = 4_000_000, 200_000
 #: Sets in a block that are compared with the first of their group in one task.
 STAR = 2_000
 
@@ -50,66 +70,112 @@ def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def set_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit digest of the set of every row."""
+    """doc_id, text_hash, n_shingles and a 128-bit digest of the set of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             h, bounds = _sets(batch)
-            out = [batch.column("doc_id"), pa.array(np.diff(bounds))]
+            out = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.diff(bounds))]
             for salt in (1, 2):
                 total = np.concatenate([[_U(0)], np.cumsum(mix(h * _U(2 * salt + 1) + _U(salt)), dtype=_U)])
                 out.append(pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_shingles", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "text_hash", "n_shingles", "d1", "d2"])
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, d1 long, d2 long")
+    return docs.mapInArrow(work, "doc_id long, text_hash long, n_shingles long, d1 long, d2 long")
 
 
 def parts_of(band: int) -> int:
-    """Parts of the domain in a band: the most differences, and a tenth above that."""
-    most = (2 * (2 ** (band + 1) - 1)) // 7
-    return most + 1 + (most + 5) // 10
+    """First-level parts in a band: half the most differences, and some more."""
+    most = (2 * (FIRST * 2 ** (band + 1) - 1)) // 7
+    return most // 2 + 2 + most // (36 if band < WIDE else 20)
+
+
+def _subsets(h: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, row) of tiny sets: all subsets that leave out up to a quarter."""
+    sigs, owners = [], []
+    size = np.diff(bounds)
+    for n in np.unique(size[rows]):
+        at = rows[size[rows] == n]
+        value = h[bounds[at][:, None] + np.arange(n)]
+        total = value.sum(axis=1, dtype=_U)[:, None]
+        for left_out in range(n // 4 + 1):
+            pick = np.array(list(combinations(range(n), left_out)), np.int64).reshape(comb(n, left_out), left_out)
+            found = total - value[:, pick].sum(axis=2, dtype=_U)
+            sigs.append(found.ravel())
+            owners.append(np.repeat(at, len(pick)))
+    if not sigs:
+        return np.zeros(0, _U), np.zeros(0, np.int64)
+    return mix(np.concatenate(sigs) ^ mix(np.full(1, 0x7151, _U))), np.concatenate(owners)
+
+
+def _two_levels(value: np.ndarray, row: np.ndarray, size: np.ndarray, tag: np.ndarray, seed: int, n2: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, place in ``size``, signatures sure to be shared by each set) of sets in their bands.
+
+    ``value`` and ``row``: hashes of all shingles and the set of each, ``tag``
+    the band of each set.
+    """
+    parts = np.array([parts_of(t) for t in range(int(tag.max()) + 1)], np.int64)[tag]
+    first = np.cumsum(n2 * parts) - n2 * parts  # cells of a set: n2 for each part
+    place = mix(value + _U(0x9E37 * seed + 1)) >> _U(32)
+    cell = first[row] + ((place * (n2 * parts).astype(_U)[row]) >> _U(32)).astype(np.int64)
+    n = int(n2 * parts.sum())
+    sums = np.zeros(n, _U)
+    order = np.argsort(cell, kind="stable")
+    cells = cell[order]
+    at = np.flatnonzero(np.diff(cells, prepend=-1))
+    sums[cells[at]] = np.add.reduceat(mix(value + _U(0x51ED270B))[order], at)
+    filled = np.zeros(n, bool)
+    filled[cells[at]] = True
+    sums, filled = sums.reshape(-1, n2), filled.reshape(-1, n2)
+    owner = np.repeat(np.arange(len(size)), parts)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    most = (size + np.minimum((4 * size) // 3, FIRST * 2 ** (tag + 1) - 1)) // 7
+    if n2 == 2:
+        sure = np.bincount(owner, weights=filled.sum(axis=1), minlength=len(size)).astype(np.int64) - most
+    else:
+        sure = np.bincount(owner, weights=filled.sum(axis=1) >= 2, minlength=len(size)).astype(np.int64) - most // 2
+    name = (number * 64 + tag[owner]).astype(_U) * _U(4 * SEEDS) + _U(4 * seed)
+    sigs, owners = [], []
+    for k, kept in enumerate(combinations(range(n2), n2 - 1)):
+        some = filled[:, kept].any(axis=1)
+        sigs.append(mix(sums[some][:, kept].sum(axis=1, dtype=_U) + mix(name[some] + _U(k))))
+        owners.append(owner[some])
+    return np.concatenate(sigs), np.concatenate(owners), sure
 
 
 def signatures(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(signature, row, code) of all sets in ``shingle_sets`` form."""
-    sizes = np.diff(bounds)
-    size = sizes.astype(np.int64)
-    band = np.zeros(len(sizes), np.int64)
-    band[size > 0] = np.floor(np.log2(size[size > 0])).astype(np.int64)
-    value = mix(h + _U(0x51ED270B))
-    out: tuple[list, list, list] = ([], [], [])
-    for up in (0, 1):
+    size = np.diff(bounds).astype(np.int64)
+    tiny = np.flatnonzero((size > 0) & (size <= TINY))
+    sig, owner = _subsets(h, bounds, tiny)
+    out: tuple[list, list, list] = ([sig], [owner], [np.ones(len(sig), np.int64)])
+
+    def add(sig: np.ndarray, owner: np.ndarray, kind: np.ndarray, need: np.ndarray) -> None:
+        for o, x in zip(out, (sig, owner, kind * CODE + np.clip(need, 1, CODE - 1))):
+            o.append(x)
+
+    band = np.zeros(len(size), np.int64)
+    band[size >= FIRST] = np.floor(np.log2(size[size >= FIRST] / FIRST)).astype(np.int64)
+    band[size < FIRST] = -1
+    for up, n2 in product((0, 1), (2, 3)):
         tag = band + up
         # the next band only for sets that have partners there
-        rows = np.flatnonzero((size > 0) & ((4 * size) // 3 >= 2**tag if up else True))
-        if not len(rows):
-            continue
-        n = size[rows]
-        element = np.repeat(bounds[rows], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        row = np.repeat(rows, n)
-        parts = np.array([parts_of(int(t)) for t in range(int(tag.max()) + 1)], _U)[tag[row]]
-        part = ((h[element] >> _U(32)) * parts) >> _U(32)  # hashes are sorted, so parts are
-        new = np.ones(len(part), bool)
-        new[1:] = (part[1:] != part[:-1]) | (row[1:] != row[:-1])
-        at = np.flatnonzero(new)
-        sums = np.add.reduceat(value[element], at)
-        owner = row[at]
-        used = np.bincount(owner, minlength=len(sizes))[rows]
-        most = (n + np.minimum((4 * n) // 3, 2 ** (tag[rows] + 1) - 1)) // 7
-        bound = np.zeros(len(sizes), np.int64)
-        bound[rows] = used - most
-        sig = mix(sums + mix(part[at] * _U(64) + tag[owner].astype(_U)))
-        for o, x in zip(out, (sig, owner, tag[owner] * CODE + np.clip(bound[owner], 1, CODE - 1))):
-            o.append(x)
-        rest = bound[row] <= 0
-        if rest.any():
-            who = row[rest]
-            sig = mix(value[element[rest]] ^ mix(np.full(len(who), 0xABCDEF, _U) + tag[who].astype(_U)))
-            need = (3 * size[who] + 3) // 4
-            for o, x in zip(out, (sig, who, (tag[who] + 64) * CODE + np.minimum(need, CODE - 1))):
-                o.append(x)
-    if not out[0]:
-        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rows = (size >= FIRST) if not up else (size > 0) & ((4 * size) // 3 >= FIRST * 2**tag)
+        rows = np.flatnonzero(rows & ((tag >= WIDE) if n2 == 2 else (tag < WIDE)))
+        for seed in range(SEEDS + 1):
+            if not len(rows):
+                break
+            n = size[rows]
+            element = np.repeat(bounds[rows], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row = np.repeat(np.arange(len(rows)), n)
+            if seed == SEEDS:  # no hash parts these sets well
+                who = rows[row]
+                single = mix(mix(h[element] + _U(0x51ED270B)) ^ mix(_U(0xABCDEF) + tag[who].astype(_U)))
+                add(single, who, 1 + tag[who] * (SEEDS + 1) + seed, (3 * size[who] + 3) // 4)
+                break
+            sig, at, sure = _two_levels(h[element], row, n, tag[rows], seed, n2)
+            add(sig, rows[at], 1 + tag[rows][at] * (SEEDS + 1) + seed, sure[at])
+            rows = rows[sure <= 0]
     return tuple(np.concatenate(o) for o in out)  # type: ignore[return-value]
 
 
@@ -127,7 +193,7 @@ def signature_rows(docs: DataFrame) -> DataFrame:
                     ["sig", "doc_id", "code"],
                 )
 
-    return docs.mapInArrow(work, "sig long, doc_id long, code long")
+    return docs.select("doc_id", "text").mapInArrow(work, "sig long, doc_id long, code long")
 
 
 def _apart(members: DataFrame) -> DataFrame:
@@ -152,7 +218,7 @@ def _set_rows(ids: DataFrame, docs: DataFrame) -> DataFrame:
             sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], ["doc_id", "s"])
 
-    return keep_ids(docs, written(ids.distinct(), "ids"), "doc_id", "left_semi").mapInArrow(work, "doc_id long, s array<long>")
+    return keep_ids(docs.select("doc_id", "text"), written(ids.distinct(), "ids"), "doc_id", "left_semi").mapInArrow(work, "doc_id long, s array<long>")
 
 
 def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -242,7 +308,8 @@ def _linked_in_families(members: DataFrame, base: DataFrame, docs: DataFrame) ->
     one = written(one, "families")
     parts = one.groupBy("family", "component").agg(F.sum("size").alias("part"))
     per = parts.groupBy("family").agg(F.sum("part").alias("total"), F.max_by("component", F.struct("part", "component")).alias("major"), F.max("part").alias("most"))
-    per = per.select("family", "major", F.ceil(F.col("total") / BLOCK).alias("n_db"), F.ceil((F.col("total") - F.col("most")) / BLOCK).alias("n_q"))
+    block = F.least(F.lit(BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.col("total") / 16))
+    per = per.select("family", "major", F.ceil(F.col("total") / block).alias("n_db"), F.ceil((F.col("total") - F.col("most")) / block).alias("n_q"))
     rows = one.join(per, "family")
     place = lambda salt, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -372,6 +439,23 @@ def _with_components(members: DataFrame, found: DataFrame) -> DataFrame:
     return m.select("sig", "doc_id", "code", F.coalesce("component", "doc_id").alias("component"))
 
 
+def _nodes(base: DataFrame) -> DataFrame | None:
+    """doc_id, text_hash, node of the second and further sets of documents with several; None if there are none.
+
+    A document's first set is called by doc_id itself, the others by numbers
+    above all doc_ids, so the smallest name in a component is a doc_id.
+    """
+    sets = base.filter("doc_id IS NOT NULL").select("doc_id", "text_hash", F.struct("n_shingles", "d1", "d2").alias("set"))
+    several = sets.groupBy("doc_id").agg(F.min("set").alias("first"), F.max("set").alias("last")).filter("first <> last")
+    several = written(several, "several")
+    if not several.limit(1).count():
+        return None
+    most = base.agg(F.max("doc_id")).first()[0]
+    others = sets.join(small(several), "doc_id").filter("set <> first").select("doc_id", "text_hash").distinct()
+    others = written(others, "others")
+    return others.withColumn("node", F.lit(most) + 1 + F.monotonically_increasing_id())
+
+
 def jaccard_components(docs: DataFrame, count_links: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every row of ``docs``.
 
@@ -382,22 +466,30 @@ def jaccard_components(docs: DataFrame, count_links: bool = True) -> DataFrame:
     texts does; they come back once each.  A null doc_id links with nothing
     and has a null component.  Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     base = written(set_digests(docs), "digests")
-    usable = base.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    texts, named = docs, base
+    others = _nodes(base)
+    if others is not None:
+        name = F.coalesce("node", "doc_id").alias("doc_id")
+        texts = docs.join(small(others), ["doc_id", "text_hash"], "left").select(name, "text")
+        named = written(base.join(small(others), ["doc_id", "text_hash"], "left").select(name, "n_shingles", "d1", "d2"), "named")
+    usable = named.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     groups = usable.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
     copies = usable.join(written(groups, "groups"), ["n_shingles", "d1", "d2"]).filter("doc_id <> rep").select("doc_id", "rep").distinct()
     copies = written(copies, "copies")
     links = copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    unique = keep_ids(docs.filter("doc_id IS NOT NULL"), copies.select("doc_id").distinct(), "doc_id", "left_anti")
+    if others is not None:
+        links = links.union(others.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    unique = keep_ids(texts.filter("doc_id IS NOT NULL"), copies.select("doc_id").distinct(), "doc_id", "left_anti")
 
     members = _apart(signature_rows(unique).withColumn("component", F.col("doc_id")))
     members = written(_enough(members), "members")
     # 1: everyone with the first of each group
-    links = written(links.union(linked(written(_with_first(members, "component"), "pairs"), docs)), "links")
+    links = written(links.union(linked(written(_with_first(members, "component"), "pairs"), texts)), "links")
     # 2: what is still apart, family by family
     members = written(_enough(_apart(_with_components(members, components(links)))), "members")
-    links = written(links.union(_linked_in_families(members, base, docs)), "links")
+    links = written(links.union(_linked_in_families(members, named, texts)), "links")
     found = written(components(links), "components")
     columns = ["doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")]
     if count_links:

@@ -353,6 +353,49 @@ def test_jaccard_join_small_sets(spark):
     assert got == brute_components(texts)
 
 
+def test_partenum_signatures_meet():
+    """Any two sets that link share a signature, and each at least its bound of them: sizes 1 to 1500."""
+    rng = np.random.default_rng(12)
+    sets, pairs = [], []
+    for n in [*range(1, 60)] * 6 + [75, 79, 80, 100, 159, 160, 161, 200, 319, 320, 333, 420, 600, 639, 640, 700, 1000, 1279, 1500] * 3:
+        r = np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for _ in range(3):
+            # as many differences as a link allows, on one side or on both
+            least = rng.integers(0, n // 4 + 1)
+            both = np.delete(r, rng.choice(n, least, replace=False))
+            more = max(0, (4 * len(both)) // 3 - n)
+            s = np.sort(np.concatenate([both, rng.integers(0, 1 << 63, rng.integers(0, more + 1), dtype=np.uint64)]))
+            if 4 * len(both) >= 3 * (n + len(s) - len(both)):
+                pairs.append((len(sets), len(sets) + 1))
+                sets += [r, s]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    sig, row, code = jaccard_join.signatures(np.concatenate(sets), bounds)
+    of = defaultdict(lambda: defaultdict(set))
+    for x, i, c in zip(sig.tolist(), row.tolist(), code.tolist()):
+        of[i][c // jaccard_join.CODE].add((x, c % jaccard_join.CODE))
+    met = 0
+    for a, b in pairs:
+        mine, other = of[a], {x for v in of[b].values() for x, _ in v}
+        enough = [len({x for x, _ in v} & other) >= max(n for _, n in v) for v in mine.values() if {x for x, _ in v} & other]
+        assert any(enough), (len(sets[a]), len(sets[b]))
+        met += 1
+    assert met > 500
+
+
+def test_jaccard_documents_of_several_texts(spark):
+    """A document links if any of its texts does, also where another of its texts is a copy."""
+    rng = np.random.default_rng(13)
+    a, b, c = (" ".join(f"{x}{i}" for i in rng.integers(0, 9999, 80)) for x in "abc")
+    near = " ".join(b.split()[:-2] + ["other", "end"])
+    rows = [(1, a), (5, a), (5, b), (9, near), (9, near), (12, c), (13, None), (13, c), (None, b), (20, "x y z"), (21, "X y\tz"), (21, a.upper())]
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOC)
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(df).collect())
+    of = {1: 1, 5: 1, 9: 1, 12: 12, 13: 12, 20: 1, 21: 1, None: None}
+    size = lambda t: 0 if not t else max(1, len(t.split()) - 4)
+    want = sorted((i is None, i or 0, size(t), of[i]) for i, t in rows)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and {g[1:] for g in got} == {w[1:] for w in want}
+
+
 def brute_links(rows):
     """Links of (doc_id, text) rows; a document links if any of its texts does."""
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
