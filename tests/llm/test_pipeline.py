@@ -32,3 +32,20 @@ def test_empty(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         d = stage(spark, d, "")
     assert d.count() == 0
+
+
+def test_null_and_repeated_ids(spark, docs):
+    """Every row is judged by itself: repeated rows, several rows of an id, none."""
+    good = {r["doc_id"]: r["text"] for r in docs.filter("doc_id < 24").collect()}
+    rows = [(i, t, "en", "s", len(t)) for i, t in good.items()]
+    rows += [(0, "too short", "en", "s", 9), (None, "too short", "en", "s", 9), (None, good[3], "en", "s", 1), (9, good[9], "en", "s", len(good[9])), (50, good[6], "en", "s", 2)]
+    fresh = " ".join(f"{x}{k}fresh" for k in range(9) for x in "abcdefghij")
+    rows += [(None, fresh, "en", "s", 3)] * 3 + [(3, fresh + " more", "en", "s", 4)]
+    d = spark.createDataFrame(rows, DOC).repartition(3)
+    d = corpus_pipeline.quality(spark, d, "")
+    assert d.count() == len(rows) - 2 and not d.filter("text = 'too short'").count()
+    d = corpus_pipeline.language(spark, d, "")
+    assert d.count() == len(rows) - 2
+    d = corpus_pipeline.near_duplicates(spark, d, "")
+    assert sorted((r["doc_id"], r["n_chars"]) for r in d.collect()) == sorted([*((i, len(good[i])) for i in range(0, 24, 3)), (3, 4)])
+    assert d.dtypes == docs.dtypes
