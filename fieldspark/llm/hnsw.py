@@ -26,8 +26,8 @@ from fieldspark.llm.shingles import mix
 #: Links of a node: above the ground layer, and on it.
 LINKS, GROUND_LINKS = 16, 32
 EF_BUILD, EF_SEARCH = 64, 96
-#: Shards: at least MIN_SHARDS, more so that none has over SHARD_ROWS vectors.
-MIN_SHARDS, SHARD_ROWS = 16, 500_000
+#: Shards: at least MIN_SHARDS, more so that the vectors of none are over SHARD_BYTES.
+MIN_SHARDS, SHARD_BYTES = 16, 128 << 20
 BATCH = 256
 
 
@@ -208,8 +208,8 @@ def nodes(rows: DataFrame, k: int) -> DataFrame:
 
 def build_index(node_rows: DataFrame) -> DataFrame:
     """One row per shard: shard, n, dim, ids, vectors, levels and links (flat arrays as bytes)."""
-    stats = node_rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
-    n_shards = max(MIN_SHARDS, -(-stats["n"] // SHARD_ROWS))
+    stats = node_rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
+    n_shards = max(MIN_SHARDS, -(-stats["n"] * 8 * (stats["dim"] or 0) // SHARD_BYTES))
     longest = stats["m"] or 0.0
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
