@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import posixpath
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,12 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder in the one that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, one machine) a local temporary
-    folder takes its place.
+    Only where that setting is absent and Spark runs in one process a local
+    temporary folder takes its place, until the process ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="fieldspark-")
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="fieldspark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", root)
     return posixpath.join(root, f"{name}-{uuid.uuid4().hex}")
 

@@ -564,6 +564,42 @@ def test_warc_damage_is_no_silent_loss(spark, tmp_path):
         warc.read_archives(spark, f"file://{tmp_path}/none")
 
 
+def test_long_texts_null_and_repeated_rows(spark):
+    """A text of megabytes, repeated rows, rows without an id, in all operators on documents."""
+    long = " ".join(f"word{i % 977} {i}" for i in range(250_000)) + " " * 20_000 + "é" * 200_000
+    rows = [(7, long), (7, "twice said"), (7, "twice said"), (None, "no id"), (None, None), (8, "x" * 1_000_000), (9, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC)
+    key = lambda i, *x: (i is None, i or 0, *x)
+    lib = unigram_library()
+    want = sorted(key(i, len(lib.encode(t or ""))) for i, t in rows)
+    assert sorted(key(r["doc_id"], r["n_tokens"]) for r in token_counts.token_counts(df, PIECES).collect()) == want
+    assert sorted(key(r["doc_id"], r["n_tokens"]) for r in suffix_encode.digests(df, PIECES).collect()) == want
+    assert len(language_id.identify_documents(df).collect()) == len(rows)
+    got = [key(r["doc_id"], r["n_words"]) for r in quality_rules.quality_rules(df).collect()]
+    assert sorted(got) == sorted(key(i, len(WORD.findall(t or ""))) for i, t in rows)
+    packed = packing.pack_documents(df, BYTES, 2).toPandas()
+    ids = byte_ids([t for _, t in rows])
+    assert packed.length.sum() == sum(map(len, ids)) and (packed.groupby("sequence_id").length.sum() <= 1024).all()
+    assert len(packed) == sum(-(-len(x) // 1024) for x in ids)
+    for _, s in packed.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert s.offset.tolist() == (s.length.cumsum() - s.length).tolist()
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORDS)
+    back = wavelet.round_trip(df, WORDS, 1).toPandas().sort_values("start")
+    assert back.start.tolist() == (back.n_tokens.cumsum() - back.n_tokens).tolist() and [None if np.isnan(i) else i for i in back.doc_id] == [None, None, 7, 7, 7, 8, 9]
+    assert sorted(key(None if np.isnan(i) else i, n) for i, n in zip(back.doc_id, back.n_tokens)) == sorted(
+        key(i, 1 + len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in rows
+    )
+    linked = jaccard_join.jaccard_components(df).collect()
+    assert sorted(key(r["doc_id"], r["component_id"] or 0, r["n_links"]) for r in linked) == sorted(key(i, i or 0, 0) for i, _ in rows)
+
+
+def test_warc_empty_table(spark):
+    assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_hnsw_recall_and_ties(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 12)) * rng.uniform(0.5, 2, size=(1500, 1))
