@@ -28,8 +28,8 @@ SEQUENCE = 1024
 #: of bins through WEIGHTS and bind as soon as a caller lowers them.
 CAPACITIES = (SEQUENCE, SEQUENCE, SEQUENCE * SEQUENCE)
 WEIGHTS = (1.0, 0.05, 0.05)
-#: Pieces in a bucket that are numbered together, about.
-BUCKET_ROWS = 200_000
+#: Pieces in a bucket that are numbered together, about; and buckets at least.
+BUCKET_ROWS, LEAST_BUCKETS = 200_000, 64
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = SEQUENCE) -> DataFrame:
@@ -134,7 +134,7 @@ def pack(found: DataFrame, capacities=CAPACITIES, weights=WEIGHTS, rule: str = "
     # the table is written, so its rows keep their numbers if a task runs again
     whole = found.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).filter(alone)
     rest = found.filter(~alone)
-    buckets = max(1, -(-rest.count() // BUCKET_ROWS))
+    buckets = max(LEAST_BUCKETS, -(-rest.count() // BUCKET_ROWS))
     rows = rest.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     counts = written(rows.groupBy("length", "bucket").agg(F.count("*").alias("n")), "lengths")
     total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
