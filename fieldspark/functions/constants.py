@@ -2,7 +2,7 @@
 
 R_EARTH = 6.371e6
 OMEGA = 7.2921e-5
-G0 = 9.80665
+G0 = 9.81
 R_DRY = 287.05
 CP_DRY = 1004.0
 KAPPA = R_DRY / CP_DRY

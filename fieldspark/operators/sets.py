@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldspark.operators.resample import scattered
+
 
 def neutral(every: DataFrame, awb: DataFrame, cwb: DataFrame) -> DataFrame:
     return every.join(awb.union(cwb).distinct(), every.columns, "left_anti").distinct()
@@ -34,5 +36,5 @@ def first_n(df: DataFrame, by: str, n: int) -> DataFrame:
 
 
 def seeded_pick(df: DataFrame, by: str, seed: int, n: int = 1) -> DataFrame:
-    """n rows drawn by a hash of ``by``: the same at any size of cluster."""
-    return df.orderBy(F.xxhash64(by, F.lit(seed)), by).limit(n)
+    """n rows drawn by a scattered number of ``by``: the same at any size of cluster."""
+    return scattered(df, "_x", seed, F.pmod(F.col(by), F.lit(1 << 31))).orderBy("_x", by).limit(n).drop("_x")

@@ -97,7 +97,7 @@ def heating(g):
     return g.withColumn("Q", C.vorticity_source(C.coriolis(F.col("lat")), F.col("zeta"), F.col("heatp")))
 
 
-@register("heating_chain", _sql("h3", HEAT, theta_dot=("heat", 1e3), theta_dot_alt=(f"CASE WHEN w < 0 THEN greatest(0.0, -({L_VAPOUR} / {CP_DRY}) * pow(1000.0 / level, {KAPPA!r}) * w * qsp) ELSE 0.0 END", 1e3), zeta=("zeta", 1e6), vort_source=(f"-9.80665 * (2 * {OMEGA} * sin(lat * {RAD}) + zeta) * heatp", 1e9)))
+@register("heating_chain", _sql("h3", HEAT, theta_dot=("heat", 1e3), theta_dot_alt=(f"CASE WHEN w < 0 THEN greatest(0.0, -({L_VAPOUR} / {CP_DRY}) * pow(1000.0 / level, {KAPPA!r}) * w * qsp) ELSE 0.0 END", 1e3), zeta=("zeta", 1e6), vort_source=(f"-9.81 * (2 * {OMEGA} * sin(lat * {RAD}) + zeta) * heatp", 1e9)))
 def heating_chain(spark, sf):
     return _cells(heating(grid(spark, sf)), theta_dot=(F.col("heat"), 1e3), theta_dot_alt=(F.col("heat_alt"), 1e3), zeta=(F.col("zeta"), 1e6), vort_source=(F.col("Q"), 1e9))
 

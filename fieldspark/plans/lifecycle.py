@@ -13,6 +13,7 @@ from fieldspark.operators import stencil as S
 from fieldspark.operators import tracks as T
 from fieldspark.plans.fields import PI, RAD
 from fieldspark.plans.proxies import CALENDAR, CATALOG, DLAT, DLON, EVENTS, GRID, LAT0, NLAT, NLON, PATCHES, TRACKS, calendar, catalog, grid, lifecycle_events, patches, r, table, tracks
+from fieldspark.operators.resample import scattered_sql
 from fieldspark.plans.registry import register
 
 # --- flagship: events at their hours, anomaly of the hour, composite by stage and hour ---
@@ -419,7 +420,7 @@ def first_events(spark, sf):
     return Z.first_n(catalog(spark, sf).filter("stage = 'peak'").select("track_id", "stage", "event_type"), "track_id", 20)
 
 
-@register("seeded_pick")
+@register("seeded_pick", f"WITH {TRACKS} SELECT track_id FROM (SELECT DISTINCT track_id FROM tracks) ORDER BY {scattered_sql(7, 'track_id')}, track_id LIMIT 1")
 def seeded_pick(spark, sf):
     from fieldspark.operators import sets as Z
 

@@ -16,6 +16,7 @@ from fieldspark.plans.fields import PI, TH, sql_ddp, sql_ddx, sql_ddy
 from fieldspark.plans.proxies import CATALOG, DLAT, DLON, GRID, PATCHES, catalog, grid, patches, r
 from fieldspark.operators import stencil as S
 from fieldspark.plans.registry import register
+from fieldspark.sources.scratch import written
 
 # --- budget terms: bar = mean over the ring, anom = the rest ---
 
@@ -187,7 +188,14 @@ def projection_rmse(spark, sf):
     return c.filter("mask").groupBy("track_id").agg(r(K.rmse(F.col("b"), F.col("recon")), 1, 5).alias("rmse"))
 
 
-@register("composite_basis_projection")
+def _comp(sql: str) -> str:
+    """The same steps on the classes' mean patches: a class takes the unit's place."""
+    return sql.replace("FROM patches", "FROM comp")
+
+
+@register("composite_basis_projection", f"""WITH {PATCHES}, comp AS (SELECT variant AS track_id, variant, 0 AS dh, iy, ix, x_rel, y_rel, avg(a) AS a, 0.0 AS b FROM patches GROUP BY ALL){_comp(_NORM + _gs())},
+ pj AS (SELECT p.variant, p.track_id, {', '.join(f'{B.SIGNS[k - 1]} * sum({_W.replace("a <", "o6.a <").replace("y_rel", "o6.y_rel")} * p.b * p{k}) / sum({_W.replace("a <", "o6.a <").replace("y_rel", "o6.y_rel")} * p{k} * p{k}) AS {B.NAMES[k - 1]}' for k in range(1, 7))}
+ FROM patches p JOIN o6 ON o6.track_id = p.variant AND o6.iy = p.iy AND o6.ix = p.ix GROUP BY 1, 2) SELECT variant, track_id, {', '.join(f'round({c}, 5) + 0.0 AS {c}' for c in B.NAMES)} FROM pj""")
 def composite_basis_projection(spark, sf):
     """Every patch projected on its class's composite basis."""
     p = patches(spark, sf)
@@ -195,7 +203,7 @@ def composite_basis_projection(spark, sf):
     basis = B.basis_weights(B.basis_mask(B.prenorm(B.raw_basis(comp, ["variant"], "a", 1.5, 1.5), ["variant"]), "< 0", "a"), F.col("y_rel") + 45.0)
     cells = p.drop("a", "x_rel", "y_rel").join(basis.drop("a"), ["variant", "iy", "ix"])
     c = B.project(B.gram(cells, ["variant", "track_id"], ["b"]), ["variant", "track_id"], ["b"])
-    return c.select("variant", "track_id", *[r(F.col(n)).alias(n) for n in B.NAMES])
+    return c.select("variant", "track_id", *[r(F.col(n), 1, 5).alias(n) for n in B.NAMES])
 
 
 _LIFE = f"WITH {PATCHES}{_COEF}, l AS (SELECT variant, dh, beta FROM pr JOIN (SELECT DISTINCT track_id, variant, dh FROM patches) USING (track_id)) "
@@ -220,7 +228,7 @@ def mask_predicates(spark, sf):
     return p.groupBy("track_id").agg(n("< 0").alias("lt"), n(" >= 1e-1").alias("ge"), n(None).alias("everything"))
 
 
-@register("central_blob", f"""WITH RECURSIVE {PATCHES}, m AS (SELECT track_id, iy, ix, x_rel, y_rel FROM patches WHERE a < 0 AND track_id < 1000000),
+@register("central_blob", f"""WITH RECURSIVE {PATCHES}, m AS (SELECT track_id, iy, ix, x_rel, y_rel FROM patches WHERE a < 0),
  seed AS (SELECT track_id, arg_min(iy, (x_rel * x_rel + y_rel * y_rel, iy, ix)) AS iy, arg_min(ix, (x_rel * x_rel + y_rel * y_rel, iy, ix)) AS ix FROM m GROUP BY 1),
  flood AS (SELECT track_id, iy, ix FROM seed UNION SELECT m.track_id, m.iy, m.ix FROM flood f JOIN m ON m.track_id = f.track_id AND abs(m.iy - f.iy) + abs(m.ix - f.ix) = 1)
  SELECT track_id, count(*) AS n, CAST(sum(iy * 8 + ix) AS BIGINT) AS places FROM flood GROUP BY 1""")
@@ -256,87 +264,104 @@ def fourier_lowpass(spark, sf):
     return s.select("track_id", "iy", "ix", r(F.col("s")).alias("a"))
 
 
-# --- resampling: 100 events of one class, 40 replicates ---
+# --- resampling: every class of the embeddings by itself ---
 
-_N, _B = 50, 40
-_DRAW = f""", un AS (SELECT track_id, row_number() OVER (ORDER BY track_id) - 1 AS slot, count(*) OVER () AS n FROM (SELECT DISTINCT track_id FROM patches WHERE variant = 3)),
-dr AS (SELECT rep, u.track_id, count(*) AS weight FROM range(0, {_B}) x(rep), un s, un u WHERE u.slot = (7919 * rep + 104729 * s.slot + 13 * rep * s.slot) % s.n GROUP BY 1, 2),
-mm AS (SELECT iy, ix, rep, sum(weight * a) / sum(weight) AS m FROM patches JOIN dr USING (track_id) WHERE variant = 3 GROUP BY 1, 2, 3)"""
+_B, _SEED = 500, 42
+_DRAW = f""", un AS (SELECT variant, track_id, row_number() OVER (PARTITION BY variant ORDER BY track_id) - 1 AS slot, count(*) OVER (PARTITION BY variant) AS n FROM (SELECT DISTINCT variant, track_id FROM patches)),
+dw AS (SELECT variant, rep, {R.scattered_sql(_SEED, 'rep', 'slot')} % n AS slot, count(*) AS weight FROM un, range(0, {_B}) x(rep) GROUP BY 1, 2, 3),
+dr AS (SELECT variant, rep, track_id, weight FROM dw JOIN un USING (variant, slot))"""
+_MM = ", m{v} AS (SELECT variant, iy, ix, rep, sum(weight * {v}) / sum(weight) AS m FROM patches JOIN dr USING (variant, track_id) GROUP BY ALL)"
+_BY = ["variant"]
+_CELL = ["variant", "iy", "ix"]
 
 
 def _drawn(spark, sf):
-    p = patches(spark, sf).filter("variant = 3")
-    n = p.select("track_id").distinct().count()
-    return p, R.draws(p, "track_id", n, _B)
+    p = patches(spark, sf)
+    return p, written(R.draws(p, "track_id", _B, _BY, _SEED), "draws")
+
+
+def _interval(b, keys, digits=6):
+    return b.select(*keys, *[r(F.col(c), 1, digits).alias(c) for c in ("boot_mean", "lo", "hi")], "sig")
 
 
-@register("bootstrap_draws", f"WITH {PATCHES}{_DRAW} SELECT rep, track_id, weight FROM dr")
+@register("bootstrap_draws", f"WITH {PATCHES}{_DRAW} SELECT variant, rep, track_id, weight FROM dr")
 def bootstrap_draws(spark, sf):
     return _drawn(spark, sf)[1]
 
 
-_Q = "quantile_cont({m}, 0.025) AS lo, quantile_cont({m}, 0.975) AS hi, avg({m}) AS bm"
+_Q = "avg(m) AS bm, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi"
+_OUT = "round(bm, 6) + 0.0 AS boot_mean, round(lo, 6) + 0.0 AS lo, round(hi, 6) + 0.0 AS hi, lo > 0 OR hi < 0 AS sig"
 
 
-@register("bootstrap_field", f"WITH {PATCHES}{_DRAW}, q AS (SELECT iy, ix, {_Q.format(m='m')} FROM mm GROUP BY 1, 2) SELECT iy, ix, round(bm, 6) + 0.0 AS boot_mean, round(lo, 6) + 0.0 AS lo, round(hi, 6) + 0.0 AS hi, lo > 0 OR hi < 0 AS sig FROM q")
+@register("bootstrap_field", f"WITH {PATCHES}{_DRAW}{_MM.format(v='a')}, q AS (SELECT variant, iy, ix, {_Q} FROM ma GROUP BY 1, 2, 3) SELECT variant, iy, ix, {_OUT} FROM q")
 def bootstrap_field(spark, sf):
     p, d = _drawn(spark, sf)
-    b = R.bootstrap_field(p, d, "track_id", "a", ["iy", "ix"])
-    return b.select("iy", "ix", *[r(F.col(c)).alias(c) for c in ("boot_mean", "lo", "hi")], "sig")
+    return _interval(R.bootstrap_field(p, d, "track_id", "a", _CELL), _CELL)
 
 
-@register("bootstrap_vs_domain", f"WITH {PATCHES}{_DRAW}, v AS (SELECT iy, ix, m - avg(m) OVER (PARTITION BY rep) AS m FROM mm), q AS (SELECT iy, ix, {_Q.format(m='m')} FROM v GROUP BY 1, 2) SELECT iy, ix, round(lo, 6) + 0.0 AS lo, round(hi, 6) + 0.0 AS hi, lo > 0 OR hi < 0 AS sig FROM q")
+@register("bootstrap_vs_domain", f"WITH {PATCHES}{_DRAW}{_MM.format(v='a')}, v AS (SELECT variant, iy, ix, m - avg(m) OVER (PARTITION BY variant, rep) AS m FROM ma), q AS (SELECT variant, iy, ix, {_Q} FROM v GROUP BY 1, 2, 3) SELECT variant, iy, ix, {_OUT} FROM q")
 def bootstrap_vs_domain(spark, sf):
     p, d = _drawn(spark, sf)
-    b = R.bootstrap_vs_domain(p, d, "track_id", "a", ["iy", "ix"], [])
-    return b.select("iy", "ix", r(F.col("lo")).alias("lo"), r(F.col("hi")).alias("hi"), "sig")
+    return _interval(R.bootstrap_vs_domain(p, d, "track_id", "a", _CELL, _BY), _CELL)
 
 
-@register("bootstrap_section", f"WITH {PATCHES}{_DRAW}, s AS (SELECT ix, rep, sum(weight * a) / sum(weight) AS m FROM patches JOIN dr USING (track_id) WHERE variant = 3 GROUP BY 1, 2), q AS (SELECT ix, {_Q.format(m='m')} FROM s GROUP BY 1) SELECT ix, round(bm, 6) + 0.0 AS boot_mean, round(lo, 6) + 0.0 AS lo, round(hi, 6) + 0.0 AS hi FROM q")
+@register("bootstrap_section", f"WITH {PATCHES}{_DRAW}, s AS (SELECT variant, ix, rep, sum(weight * a) / sum(weight) AS m FROM patches JOIN dr USING (variant, track_id) GROUP BY 1, 2, 3), q AS (SELECT variant, ix, {_Q} FROM s GROUP BY 1, 2) SELECT variant, ix, {_OUT} FROM q")
 def bootstrap_section(spark, sf):
     p, d = _drawn(spark, sf)
-    b = R.bootstrap_field(p, d, "track_id", "a", ["ix"])
-    return b.select("ix", *[r(F.col(c)).alias(c) for c in ("boot_mean", "lo", "hi")])
+    return _interval(R.bootstrap_field(p, d, "track_id", "a", ["variant", "ix"]), ["variant", "ix"])
 
 
-@register("bootstrap_diff", f"WITH {PATCHES}{_DRAW}, mb AS (SELECT iy, ix, rep, sum(weight * b) / sum(weight) AS m FROM patches JOIN dr USING (track_id) WHERE variant = 3 GROUP BY 1, 2, 3), df AS (SELECT iy, ix, mm.m - mb.m AS m FROM mm JOIN mb USING (iy, ix, rep)), q AS (SELECT iy, ix, {_Q.format(m='m')} FROM df GROUP BY 1, 2) SELECT iy, ix, round(lo, 6) + 0.0 AS lo, round(hi, 6) + 0.0 AS hi, lo > 0 OR hi < 0 AS sig FROM q")
+@register("bootstrap_diff", f"WITH {PATCHES}{_DRAW}{_MM.format(v='a')}{_MM.format(v='b')}, df AS (SELECT variant, iy, ix, ma.m - mb.m AS m FROM ma JOIN mb USING (variant, iy, ix, rep)), q AS (SELECT variant, iy, ix, {_Q} FROM df GROUP BY 1, 2, 3) SELECT variant, iy, ix, {_OUT} FROM q")
 def bootstrap_diff(spark, sf):
     p, d = _drawn(spark, sf)
-    keys = ["iy", "ix"]
-    b = R.bootstrap_diff(R.replicate_means(p, d, "track_id", "a", keys), R.replicate_means(p, d, "track_id", "b", keys), keys)
-    return b.select("iy", "ix", r(F.col("lo")).alias("lo"), r(F.col("hi")).alias("hi"), "sig")
+    return _interval(R.bootstrap_diff(R.replicate_means(p, d, "track_id", "a", _CELL), R.replicate_means(p, d, "track_id", "b", _CELL), _CELL), _CELL)
 
 
-@register("bootstrap_coefficients", f"WITH {PATCHES}{_DRAW}{_COEF}, sb AS (SELECT rep, sum(weight * beta) / sum(weight) AS m FROM pr JOIN dr USING (track_id) GROUP BY 1) SELECT round(avg(m), 5) + 0.0 AS boot_mean, round(quantile_cont(m, {R.alpha_from_sigma(1.5) / 2!r}), 5) + 0.0 AS lo, round(quantile_cont(m, {1 - R.alpha_from_sigma(1.5) / 2!r}), 5) + 0.0 AS hi FROM sb")
+@register("bootstrap_coefficients", f"WITH {PATCHES}{_DRAW}{_COEF}, sb AS (SELECT variant, rep, sum(weight * beta) / sum(weight) FILTER (beta IS NOT NULL) AS m FROM pr JOIN dr USING (track_id) GROUP BY 1, 2) SELECT variant, round(avg(m), 5) + 0.0 AS boot_mean, round(quantile_cont(m, {R.alpha_from_sigma(1.5) / 2!r}), 5) + 0.0 AS lo, round(quantile_cont(m, {1 - R.alpha_from_sigma(1.5) / 2!r}), 5) + 0.0 AS hi FROM sb GROUP BY 1")
 def bootstrap_coefficients(spark, sf):
     _, d = _drawn(spark, sf)
-    p = B.project(B.gram(_basis(spark, sf).filter("variant = 3"), _U, ["b"]), _U, ["b"])
-    m = R.replicate_means(p, d, "track_id", "beta", [])
-    b = R.interval(m, [], R.alpha_from_sigma(1.5))
-    return b.select(*[r(F.col(c), 1, 5).alias(c) for c in ("boot_mean", "lo", "hi")])
+    p = B.project(B.gram(_basis(spark, sf), ["variant", *_U], ["b"]), ["variant", *_U], ["b"])
+    b = R.interval(R.replicate_means(p, d, "track_id", "beta", _BY), _BY, R.alpha_from_sigma(1.5))
+    return _interval(b, _BY, 5).drop("sig")
+
+
+@register("bootstrap_components", f"""WITH {PATCHES}{_DRAW}{_COEF}, t AS (SELECT o6.variant, o6.track_id, iy, ix, beta * p1 AS int, -ax * p2 - ay * p3 AS prop FROM o6 JOIN pr USING (track_id)),
+ l AS (SELECT variant, track_id, iy, ix, 'int' AS field, int AS value FROM t UNION ALL SELECT variant, track_id, iy, ix, 'prop', prop FROM t),
+ mc AS (SELECT variant, iy, ix, field, rep, sum(weight * value) / sum(weight) FILTER (value IS NOT NULL) AS m FROM l JOIN dr USING (variant, track_id) GROUP BY ALL), q AS (SELECT variant, iy, ix, field, {_Q} FROM mc GROUP BY ALL)
+ SELECT variant, iy, ix, field, round(bm, 5) + 0.0 AS boot_mean, round(lo, 5) + 0.0 AS lo, round(hi, 5) + 0.0 AS hi FROM q""")
+def bootstrap_components(spark, sf):
+    _, d = _drawn(spark, sf)
+    cells, unit = _basis(spark, sf), ["variant", *_U]
+    g = B.gram(cells, unit, ["b"])
+    c = B.components(B.orthogonal_cells(cells, g, unit), B.project(g, unit, ["b"]), unit, "b")
+    b = R.bootstrap_components(c, d, "track_id", ["int", "prop"], _CELL)
+    return _interval(b, [*_CELL, "field"], 5).drop("sig")
 
 
 @register("bootstrap_hashed")
 def bootstrap_hashed(spark, sf):
-    p = patches(spark, sf).filter("variant = 3")
-    d = R.hash_draws(p, "track_id", p.select("track_id").distinct().count(), _B)
-    return R.bootstrap_field(p, d, "track_id", M.signed_sum(["-a", "b"]), ["iy", "ix"])
+    p = patches(spark, sf)
+    d = written(R.hash_draws(p, "track_id", _B, _BY, _SEED), "draws")
+    return R.bootstrap_field(p, d, "track_id", M.signed_sum(["-a", "b"]), _CELL)
 
 
-@register("tilt_data", f"WITH {GRID}, u AS (SELECT ilat, ilon, avg(u) FILTER (level = 240) AS upper, avg(u) FILTER (level = 960) AS lower FROM grid GROUP BY 1, 2) SELECT ilat, ilon, round(upper, 6) + 0.0 AS upper, round(lower, 6) + 0.0 AS lower FROM u")
+@register("tilt_data", f"WITH {PATCHES}{_DRAW}{_MM.format(v='a')}{_MM.format(v='b')}, qa AS (SELECT variant, iy, ix, {_Q} FROM ma GROUP BY 1, 2, 3), qb AS (SELECT variant, iy, ix, {_Q} FROM mb GROUP BY 1, 2, 3), c AS (SELECT variant, iy, ix, avg(a) AS upper, avg(b) AS lower FROM patches GROUP BY 1, 2, 3) SELECT variant, iy, ix, round(upper, 6) + 0.0 AS upper, round(lower, 6) + 0.0 AS lower, qa.lo > 0 OR qa.hi < 0 AS sig_upper, qb.lo > 0 OR qb.hi < 0 AS sig_lower FROM c JOIN qa USING (variant, iy, ix) JOIN qb USING (variant, iy, ix)")
 def tilt_data(spark, sf):
-    g = grid(spark, sf).filter(F.col("level").isin(240, 960))
-    t = g.groupBy("ilat", "ilon").agg(F.avg(F.when(F.col("level") == 240, F.col("u"))).alias("upper"), F.avg(F.when(F.col("level") == 960, F.col("u"))).alias("lower"))
-    return t.select("ilat", "ilon", r(F.col("upper")).alias("upper"), r(F.col("lower")).alias("lower"))
+    """Field a stands for the upper level's wind, b for the lower one's."""
+    p, d = _drawn(spark, sf)
+    levels = F.array(F.struct(F.lit(250).alias("level"), F.col("a").alias("wind")), F.struct(F.lit(850).alias("level"), F.col("b").alias("wind")))
+    p = p.select("track_id", *_CELL, F.explode(levels).alias("l")).select("track_id", *_CELL, "l.level", "l.wind")
+    t = R.tilt_data(p, d, "track_id", "wind", 250, 850, _CELL)
+    return t.select(*_CELL, r(F.col("upper")).alias("upper"), r(F.col("lower")).alias("lower"), "sig_upper", "sig_lower")
 
 
-@register("explore", f"WITH {PATCHES}{_DRAW}, q AS (SELECT iy, ix, {_Q.format(m='m')} FROM mm GROUP BY 1, 2), c AS (SELECT iy, ix, avg(a) AS mean, avg(b) AS contour FROM patches WHERE variant = 3 GROUP BY 1, 2) SELECT iy, ix, round(mean, 6) + 0.0 AS mean, round(contour, 6) + 0.0 AS contour, lo > 0 OR hi < 0 AS sig FROM q JOIN c USING (iy, ix)")
+@register("explore", f"WITH {PATCHES}{_DRAW}{_MM.format(v='a')}, q AS (SELECT variant, iy, ix, {_Q} FROM ma GROUP BY 1, 2, 3), c AS (SELECT variant, iy, ix, avg(a) AS mean, avg(b) AS contour FROM patches GROUP BY 1, 2, 3) SELECT variant, iy, ix, round(mean, 6) + 0.0 AS mean, round(contour, 6) + 0.0 AS contour, lo > 0 OR hi < 0 AS sig FROM q JOIN c USING (variant, iy, ix)")
 def explore(spark, sf):
     """What a composite figure shows: mean, significance and a contour field."""
     p, d = _drawn(spark, sf)
-    b = R.bootstrap_field(p, d, "track_id", "a", ["iy", "ix"]).select("iy", "ix", "sig")
-    c = K.composite_mean(K.build_composites(p, ["a", "b"], ["iy", "ix"]), ["a", "b"])
-    return c.join(b, ["iy", "ix"]).select("iy", "ix", r(F.col("a")).alias("mean"), r(F.col("b")).alias("contour"), "sig")
+    b = R.bootstrap_field(p, d, "track_id", "a", _CELL).select(*_CELL, "sig")
+    c = K.composite_mean(K.build_composites(p, ["a", "b"], _CELL), ["a", "b"])
+    return c.join(b, _CELL).select(*_CELL, r(F.col("a")).alias("mean"), r(F.col("b")).alias("contour"), "sig")
 
 
 # --- isentropic levels ---

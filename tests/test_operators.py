@@ -10,6 +10,7 @@ from fieldspark.operators import basis as B
 from fieldspark.operators import composite as K
 from fieldspark.operators import invert
 from fieldspark.operators import overturn as O
+from fieldspark.operators import resample as R
 from fieldspark.operators import stencil as S
 from fieldspark.operators import terms as M
 from fieldspark.sources import tables
@@ -139,3 +140,27 @@ def test_exclude_list(spark, tmp_path):
     (tmp_path / "x.csv").write_text("track_id,reason\n10,a\n20,b\n")
     assert {r[0] for r in tables.read_exclude(spark, f"file://{tmp_path}/x.csv").collect()} == {10, 20}
     assert tables.read_exclude(spark, f"file://{tmp_path}/none.csv").count() == 0
+
+
+def test_bootstrap_draws_with_replacement(spark):
+    """As many draws as units, each unit about e^-1 of the time not drawn, and means that spread as they should."""
+    n, reps = 60, 400
+    units = spark.range(2 * n).select(F.col("id").alias("u"), (F.col("id") % 2).alias("g")).filter("g = 0 OR u < 61")
+    for draw in (R.draws, R.hash_draws):
+        rows = draw(units, "u", reps, ["g"]).collect()
+        per = {}
+        for r in rows:
+            per.setdefault((r["g"], r["rep"]), {})[r["u"]] = r["weight"]
+        assert len(per) == 2 * reps and all(sum(v.values()) == (n if g == 0 else 30) for (g, _), v in per.items())
+        assert sum(len(v) for (g, _), v in per.items() if g == 0) / (reps * n) == pytest.approx(1 - (1 - 1 / n) ** n, abs=0.01)
+        means = [sum(u * w for u, w in v.items()) / n for (g, _), v in per.items() if g == 0]
+        centre = sum(means) / reps
+        spread = sum((m - centre) ** 2 for m in means) / reps
+        # the variance of a mean of n draws from 0, 2, ..., 2 (n - 1)
+        assert centre == pytest.approx(n - 1, abs=1.5) and spread == pytest.approx(4 * (n * n - 1) / 12 / n, rel=0.2)
+
+
+def test_ranks_hold_for_many_partitions(spark):
+    units = spark.range(1000).select(F.col("id").alias("u"), (F.col("id") % 3).alias("g"))
+    got = R._ranked(units, "u", ["g"]).collect()
+    assert {(r["g"], r["u"], r["slot"]) for r in got} == {(i % 3, i, i // 3) for i in range(1000)}
