@@ -61,8 +61,9 @@ def keep_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
 
 def small(rows: DataFrame) -> DataFrame:
     """A written table of a few numbers a row, to be sent to all executors if it
-    has at most BROADCAST_IDS rows, else to be shuffled."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+    has at most BROADCAST_IDS rows (fewer, if they are wider than two numbers),
+    else to be shuffled."""
+    return F.broadcast(rows) if rows.count() * max(2, len(rows.columns)) <= 2 * BROADCAST_IDS else rows
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

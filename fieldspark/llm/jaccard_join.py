@@ -59,8 +59,9 @@ WIDE = 4
 #: Hashes by which sets are cut before single shingles serve.
 SEEDS = 4
 #: Shingles in a block of sets that are compared with another block in one task: a
-#: sixteenth of the family within these bounds.
-BLOCK, LEAST_BLOCK = 4_000_000, 200_000
+#: third of the family within these bounds, so its sets travel three times, or more
+#: often only in families that one task can't hold.
+BLOCK, LEAST_BLOCK = 4_000_000, 50_000
 #: Sets in a block that are compared with the first of their group in one task.
 STAR = 2_000
 
@@ -308,7 +309,7 @@ def _linked_in_families(members: DataFrame, base: DataFrame, docs: DataFrame) ->
     one = written(one, "families")
     parts = one.groupBy("family", "component").agg(F.sum("size").alias("part"))
     per = parts.groupBy("family").agg(F.sum("part").alias("total"), F.max_by("component", F.struct("part", "component")).alias("major"), F.max("part").alias("most"))
-    block = F.least(F.lit(BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.col("total") / 16))
+    block = F.least(F.lit(BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.col("total") / 3))
     per = per.select("family", "major", F.ceil(F.col("total") / block).alias("n_db"), F.ceil((F.col("total") - F.col("most")) / block).alias("n_q"))
     rows = one.join(per, "family")
     place = lambda salt, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n))
