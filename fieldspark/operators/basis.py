@@ -7,13 +7,15 @@ per projected term; orthogonalisation is then plain column algebra (L D L^T).
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions.constants import R_EARTH
 from fieldspark.operators.stencil import centred
-from fieldspark.sources.scratch import written
 
 PHI = [f"phi{k}" for k in range(1, 7)]
 NAMES = ("beta", "ax", "ay", "gamma1", "gamma2", "sigma")
@@ -75,38 +77,61 @@ def basis_weights(cells: DataFrame, lat: Column | None = None) -> DataFrame:
     return cells.withColumn("w", F.when(F.col("mask"), w).otherwise(0.0))
 
 
-def central_blob(cells: DataFrame, keys: list[str], mask: str, y: str = "y_rel", x: str = "x_rel", iy: str = "iy", ix: str = "ix", write=written) -> DataFrame:
+def central_blob(cells: DataFrame, keys: list[str], mask: str, y: str = "y_rel", x: str = "x_rel", iy: str = "iy", ix: str = "ix") -> DataFrame:
     """Keeps the 4-connected part of ``mask`` at the centre: adds blob.
 
     The seed is the masked cell nearest to (0, 0), ties to the first in row
-    order.  Rows become runs of cells; from the seed's run a set of reached
-    runs grows over runs that touch it, for all units at once; ``write`` puts
-    each round's set in a table.
+    order.  A unit is one patch, a bounded number of cells: its masked cells
+    become one row, and a task grows the seeds of all patches of a batch in
+    step until none grows any more.
     """
-    m = cells.filter(F.col(mask))
-    w = Window.partitionBy(*keys, iy).orderBy(ix)
-    run = m.withColumn("_run", F.col(ix) - F.row_number().over(w))
-    runs = run.groupBy(*keys, iy, "_run").agg(F.min(ix).alias("lo"), F.max(ix).alias("hi"), F.min(F.struct((F.pow(F.col(y), 2) + F.pow(F.col(x), 2)).alias("d"), F.col(iy), F.col(ix))).alias("near"))
-    runs = write(runs)
-    best = runs.groupBy(*keys).agg(F.min("near").alias("_n"))
-    reached = write(runs.join(best, keys).filter(F.col("near") == F.col("_n")).select(*keys, iy, "_run", "lo", "hi"))
-    n = reached.count()
-    front = reached
-    while True:
-        f = front.select(*keys, F.col(iy).alias("_y"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-        near = f.select("*", F.explode(F.array(F.col("_y") - 1, F.col("_y") + 1)).alias(iy))
-        touch = runs.join(near, [*keys, iy]).filter((F.col("lo") <= F.col("_hi")) & (F.col("hi") >= F.col("_lo")))
-        touch = touch.select(*keys, iy, "_run", "lo", "hi").distinct()
-        front = write(touch.join(reached, [*keys, iy, "_run"], "left_anti"))
-        more = front.count()
-        if not more:
-            break
-        reached = write(reached.unionByName(front))
-        n += more
-    blob = run.join(reached.select(*keys, iy, "_run"), [*keys, iy, "_run"], "left_semi").select(*keys, iy, ix, F.lit(True).alias("blob"))
+    d = (F.pow(F.col(y), 2) + F.pow(F.col(x), 2)).alias("d")
+    units = cells.filter(F.col(mask)).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(d, F.col(iy).cast("int").alias("y"), F.col(ix).cast("int").alias("x")))).alias("_c"))
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("_c")
+            first = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+            unit = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            flat = lists.flatten()
+            rows, cols = (flat.field(k).to_numpy() for k in (1, 2))
+            at = (unit, rows - rows.min(), cols - cols.min())
+            on = np.zeros((batch.num_rows, int(at[1].max()) + 1, int(at[2].max()) + 1), bool)
+            on[at] = True
+            reached = np.zeros_like(on)
+            reached[tuple(k[first] for k in at)] = True  # cells are sorted by distance, row and column
+            while True:
+                more = reached.copy()
+                more[:, 1:] |= reached[:, :-1]
+                more[:, :-1] |= reached[:, 1:]
+                more[:, :, 1:] |= reached[:, :, :-1]
+                more[:, :, :-1] |= reached[:, :, 1:]
+                more &= on
+                if (more == reached).all():
+                    break
+                reached = more
+            kept = np.flatnonzero(reached[at])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(unit[kept])) for k in keys), pa.array(rows[kept]), pa.array(cols[kept])], [*keys, iy, ix])
+
+    types = dict(cells.dtypes)
+    blob = units.mapInArrow(grow, ", ".join([*(f"`{k}` {types[k]}" for k in keys), f"`{iy}` int", f"`{ix}` int"])).withColumn("blob", F.lit(True))
     return cells.join(blob, [*keys, iy, ix], "left").withColumn("blob", F.coalesce("blob", F.lit(False)))
 
 
+def centre_region(cells: DataFrame, keys: list[str], field: str, level: float, below: bool = True, box: float = 1.0, y: str = "y_rel", x: str = "x_rel") -> DataFrame:
+    """Adds region: the cells that the contour ``level`` of ``field`` encloses together with the centre.
+
+    They are the connected cells below (or above) the level that hold the
+    centre, or else a cell within ``box`` degrees of it; without one, none.
+    """
+    side = F.col(field) < level if below else F.col(field) > level
+    blob = central_blob(cells.withColumn("_m", F.coalesce(side, F.lit(False))), keys, "_m", y, x)
+    near = F.max((F.col("blob") & (F.abs(y) <= box) & (F.abs(x) <= box)).cast("int")).over(Window.partitionBy(*keys)) == 1
+    return blob.withColumn("region", F.col("blob") & near).drop("blob", "_m")
+
+
 def inner(f: Column, g: Column) -> Column:
     """Weighted inner product over the mask (w is 0 outside)."""
     return F.sum(F.col("w") * f * g)

@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldspark.functions.columns import omega_dry
 from fieldspark.functions.constants import R_EARTH
 from fieldspark.operators import stencil as S
 
@@ -49,23 +50,65 @@ def green(spark: SparkSession, lat0: float, dlat: float, nlat: int, nlon: int, b
     return spark.createDataFrame(rows, "m int, j_out int, j_in int, g double")
 
 
+def _packed(df: DataFrame, cols: list[str], group: list[str], axis: str, n: int) -> DataFrame:
+    """group and for each column an array of its values at axis = 0..n - 1, gaps as 0: one row a line of the grid."""
+    lines = df.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(F.col(axis).alias("_i"), *cols))).alias("_line"))
+    whole = F.size("_line") == n
+
+    def values(c: str):
+        by = F.map_from_entries(F.transform("_line", lambda x: F.struct(x["_i"], x[c])))
+        some = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at(by, i), F.lit(0.0)))
+        return F.when(whole, F.transform("_line", lambda x: F.coalesce(x[c], F.lit(0.0)))).otherwise(some).alias(c)
+
+    return lines.select(*group, *[values(c) for c in cols])
+
+
+def _table(nlon: int, f) -> np.ndarray:
+    """f(2 pi k / nlon) for k = 0..nlon - 1."""
+    return f(2 * np.pi * np.arange(nlon) / nlon)
+
+
 def zonal_dft(df: DataFrame, col: str, keys: list[str], nlon: int) -> DataFrame:
     """keys, ilat, m, re, im for waves 0..nlon/2."""
-    waves = F.explode(F.sequence(F.lit(0), F.lit(nlon // 2))).alias("m")
-    ang = 2 * F.pi() * F.col("m") * F.col("ilon") / nlon
-    return df.select(*keys, "ilat", "ilon", F.col(col).alias("_c"), waves).groupBy(*keys, "ilat", "m").agg(
-        F.sum(F.col("_c") * F.cos(ang)).alias("re"), F.sum(-F.col("_c") * F.sin(ang)).alias("im")
-    )
+    return _dft(df, {col: ("re", "im")}, keys, nlon)
+
+
+def _dft(df: DataFrame, cols: dict[str, tuple[str, str]], keys: list[str], nlon: int) -> DataFrame:
+    """As ``zonal_dft`` for several columns in one pass: a cell adds to an array of sums, one row a ring and wave comes out."""
+    half = nlon // 2
+    rings = _packed(df, list(cols), [*keys, "ilat"], "ilon", nlon)
+    cos, sin = (F.array(*[F.lit(float(x)) for x in _table(nlon, f)]) for f in (np.cos, np.sin))
+
+    def wave(c: str, table, sign: int):
+        def total(m):
+            return F.aggregate(F.transform(c, lambda x, i: x * sign * F.get(table, F.pmod(m * i, F.lit(nlon)))), F.lit(0.0), lambda a, x: a + x)
+
+        return total
+
+    waves = F.transform(F.sequence(F.lit(0), F.lit(half)), lambda m: F.struct(m.alias("m"), *[x for c, (re, im) in cols.items() for x in (wave(c, cos, 1)(m).alias(re), wave(c, sin, -1)(m).alias(im))]))
+    return rings.select(*keys, "ilat", F.explode(waves).alias("_w")).select(*keys, "ilat", "_w.*")
 
 
 def zonal_idft(waves: DataFrame, out: str, keys: list[str], nlon: int) -> DataFrame:
     """The way back: one row per keys, ilat, ilon."""
-    ang = 2 * F.pi() * F.col("m") * F.col("ilon") / nlon
+    return _idft(waves, {out: ("re", "im")}, keys, nlon)
+
+
+def _idft(waves: DataFrame, outs: dict[str, tuple[str, str]], keys: list[str], nlon: int) -> DataFrame:
+    half = nlon // 2
     weight = F.when((F.col("m") == 0) | (2 * F.col("m") == nlon), 1.0).otherwise(2.0) / nlon
-    ring = F.explode(F.sequence(F.lit(0), F.lit(nlon - 1))).alias("ilon")
-    return waves.select(*keys, "ilat", "m", "re", "im", ring).groupBy(*keys, "ilat", "ilon").agg(
-        F.sum(weight * (F.col("re") * F.cos(ang) - F.col("im") * F.sin(ang))).alias(out)
-    )
+    names = [c for pair in outs.values() for c in pair]
+    weighted = waves.select(*keys, "ilat", "m", *[(weight * F.col(c)).alias(c) for c in names])
+    rings = _packed(weighted, names, [*keys, "ilat"], "m", half + 1)
+    cos, sin = (F.array(*[F.lit(float(x)) for x in _table(nlon, f)]) for f in (np.cos, np.sin))
+
+    def value(o: str, i):
+        turned = lambda c, table: F.transform(c, lambda x, m: x * F.get(table, F.pmod(m * i, F.lit(nlon))))
+        terms = F.zip_with(turned(outs[o][0], cos), turned(outs[o][1], sin), lambda a, b: a - b)
+        return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+
+    cells = F.transform(F.sequence(F.lit(0), F.lit(nlon - 1)), lambda i: F.struct(i.alias("ilon"), *[value(o, i).alias(o) for o in outs]))
+    return rings.select(*keys, "ilat", F.explode(cells).alias("_c")).select(*keys, "ilat", "_c.*")
 
 
 def remove_area_mean(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
@@ -82,24 +125,37 @@ def poisson(df: DataFrame, col: str, out: str, keys: list[str], table: DataFrame
     slice should have no area mean, and the zonal mean of the first row is 0.
     Missing values count as 0.
     """
-    src = df.withColumn("_f", F.coalesce(F.col(col), F.lit(0.0)))
-    j = F.col("ilat")
-    if bc == "dirichlet":
-        src = src.withColumn("_f", F.when((j == 0) | (j == nlat - 1), 0.0).otherwise(F.col("_f")))
-    elif slopes:
-        dphi = math.radians(dlat)
-        lat = F.radians("lat")
-        edge = lambda s, c, sign: sign * F.cos(lat + s * dphi / 2) / F.cos(lat) * 2 * F.coalesce(F.col(c), F.lit(0.0)) / (R_EARTH * dphi)
-        src = src.withColumn("_f", F.col("_f") + F.when(j == 0, edge(-1, slopes[0], 1.0)).when(j == nlat - 1, edge(1, slopes[1], -1.0)).otherwise(0.0))
-    waves = zonal_dft(src, "_f", keys, nlon)
+    return poissons(df, {out: (col, slopes)}, keys, table, nlat, nlon, bc, dlat)
+
+
+def poissons(df: DataFrame, wanted: dict, keys: list[str], table: DataFrame, nlat: int, nlon: int, bc: str = "dirichlet", dlat: float = 0.0) -> DataFrame:
+    """``poisson`` for several columns, out -> (column, slopes), in one pass over the slices."""
+    src, j = df, F.col("ilat")
+    dphi, lat = math.radians(dlat), F.radians("lat")
+    for out, (col, slopes) in wanted.items():
+        f = F.coalesce(F.col(col), F.lit(0.0))
+        if bc == "dirichlet":
+            f = F.when((j == 0) | (j == nlat - 1), 0.0).otherwise(f)
+        elif slopes:
+            edge = lambda s, c, sign: sign * F.cos(lat + s * dphi / 2) / F.cos(lat) * 2 * F.coalesce(F.col(c), F.lit(0.0)) / (R_EARTH * dphi)
+            f = f + F.when(j == 0, edge(-1, slopes[0], 1.0)).when(j == nlat - 1, edge(1, slopes[1], -1.0)).otherwise(0.0)
+        src = src.withColumn(f"_f_{out}", f)
+    pairs = {out: (f"_re_{out}", f"_im_{out}") for out in wanted}
+    names = [c for p in pairs.values() for c in p]
+    waves = _dft(src, {f"_f_{out}": p for out, p in pairs.items()}, keys, nlon)
     if bc == "neumann":
         pinned = (F.col("m") == 0) & (j == 0)
-        waves = waves.select(*keys, "ilat", "m", *[F.when(pinned, 0.0).otherwise(F.col(c)).alias(c) for c in ("re", "im")])
-    # grid constants only: rows^2 x waves rows
-    solved = waves.join(F.broadcast(table), (waves.m == table.m) & (waves.ilat == table.j_in)).groupBy(*keys, F.col("j_out").alias("ilat"), waves.m).agg(
-        F.sum(F.col("g") * F.col("re")).alias("re"), F.sum(F.col("g") * F.col("im")).alias("im")
-    )
-    return df.join(zonal_idft(solved, out, keys, nlon), [*keys, "ilat", "ilon"])
+        waves = waves.select(*keys, "ilat", "m", *[F.when(pinned, 0.0).otherwise(F.col(c)).alias(c) for c in names])
+    # one row a slice and wave with all its rows' values, and the table's matrix for that wave: grid constants only
+    packed = _packed(waves, names, [*keys, "m"], "ilat", nlat)
+    lines = table.groupBy("m", "j_out").agg(F.map_from_entries(F.collect_list(F.struct("j_in", "g"))).alias("g"))
+    lines = lines.select("m", "j_out", F.transform(F.sequence(F.lit(0), F.lit(nlat - 1)), lambda i: F.coalesce(F.try_element_at("g", i), F.lit(0.0))).alias("g"))
+    matrix = lines.groupBy("m").agg(F.sort_array(F.collect_list(F.struct("j_out", "g"))).alias("rows"))
+    dot = lambda g, c: F.aggregate(F.zip_with(g, F.col(c), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    solved = packed.join(F.broadcast(matrix), "m").select(
+        *keys, "m", F.explode(F.transform("rows", lambda t: F.struct(t["j_out"].alias("ilat"), *[dot(t["g"], c).alias(c) for c in names]))).alias("_s")
+    ).select(*keys, "m", "_s.*")
+    return df.join(_idft(solved, pairs, keys, nlon), [*keys, "ilat", "ilon"])
 
 
 def gradient(df: DataFrame, col: str, outs: tuple[str, str], keys: list[str], dlat: float, dlon: float) -> DataFrame:
@@ -120,8 +176,7 @@ def helmholtz(df: DataFrame, keys: list[str], table: DataFrame, lat0: float, dla
     safe = remove_area_mean(remove_area_mean(safe.withColumn("_z", F.col("vort")).withColumn("_d", F.col("div")), "_z", keys), "_d", keys)
     # psi: u = -d psi / dy; chi: v = d chi / dy
     safe = safe.withColumn("_pu", -F.col("u")).withColumn("_cv", F.col("v"))
-    safe = poisson(safe, "_z", "psi", keys, table, nlat, nlon, "neumann", ("_pu", "_pu"), dlat)
-    safe = poisson(safe, "_d", "chi", keys, table, nlat, nlon, "neumann", ("_cv", "_cv"), dlat)
+    safe = poissons(safe, {"psi": ("_z", ("_pu", "_pu")), "chi": ("_d", ("_cv", "_cv"))}, keys, table, nlat, nlon, "neumann", dlat)
     safe = gradient(safe, "psi", ("v_rot", "_py"), keys, dlat, dlon).withColumn("u_rot", -F.col("_py"))
     safe = gradient(safe, "chi", ("u_div", "v_div"), keys, dlat, dlon)
     safe = safe.withColumn("u_har", F.col("u") - F.col("u_rot") - F.col("u_div")).withColumn("v_har", F.col("v") - F.col("v_rot") - F.col("v_div"))
@@ -132,25 +187,45 @@ def helmholtz(df: DataFrame, keys: list[str], table: DataFrame, lat0: float, dla
 
 
 def chi_wind(df: DataFrame, omega: str, outs: tuple[str, str], keys: list[str], table: DataFrame, dlat: float, dlon: float, nlat: int, nlon: int) -> DataFrame:
-    """Divergent wind of a vertical motion: laplacian(chi) = -d omega / dp, fixed-zero edges."""
+    """Divergent wind of a vertical motion: laplacian(chi) = -d omega / dp, fixed-zero edges; adds chi, too."""
     slices = [*keys, "level"]
     df = df.withColumn("_src", -S.ddp(F.col(omega), keys, F.col("level")))
     df = remove_area_mean(df, "_src", slices)
-    df = poisson(df, "_src", "_chi", slices, table, nlat, nlon)
-    return gradient(df, "_chi", outs, slices, dlat, dlon).drop("_src", "_chi")
+    df = poisson(df, "_src", "chi", slices, table, nlat, nlon)
+    return gradient(df, "chi", outs, slices, dlat, dlon).drop("_src")
 
 
-def decompose_omega(df: DataFrame, total: str, adiabatic: str, keys: list[str], table: DataFrame, dlat: float, dlon: float, nlat: int, nlon: int) -> DataFrame:
-    """The divergent winds of total, adiabatic and the remaining motion, in one job over a ``component`` key."""
-    parts = F.array(
-        F.struct(F.lit("total").alias("n"), F.col(total).alias("w")), F.struct(F.lit("adiabatic").alias("n"), F.col(adiabatic).alias("w")),
-        F.struct(F.lit("diabatic").alias("n"), (F.col(total) - F.col(adiabatic)).alias("w")),
-    )
-    long = df.select(*keys, "level", "ilat", "ilon", "lat", "lon", F.explode(parts).alias("p"))
+def omega_winds(df: DataFrame, parts: dict, keys: list[str], table: DataFrame, dlat: float, dlon: float, nlat: int, nlon: int) -> DataFrame:
+    """component, omega, chi, u_div, v_div of several vertical motions (name -> Column), all in one job."""
+    each = F.array(*[F.struct(F.lit(n).alias("n"), w.alias("w")) for n, w in parts.items()])
+    long = df.select(*keys, "level", "ilat", "ilon", "lat", "lon", F.explode(each).alias("p"))
     long = long.select(*keys, F.col("p.n").alias("component"), "level", "ilat", "ilon", "lat", "lon", F.col("p.w").alias("omega"))
     return chi_wind(long, "omega", ("u_div", "v_div"), [*keys, "component"], table, dlat, dlon, nlat, nlon)
 
 
+def decompose_omega(df: DataFrame, total: str, adiabatic: str, keys: list[str], table: DataFrame, dlat: float, dlon: float, nlat: int, nlon: int) -> DataFrame:
+    """The divergent winds of total, adiabatic and the remaining motion over a ``component`` key."""
+    parts = {"total": F.col(total), "adiabatic": F.col(adiabatic), "diabatic": F.col(total) - F.col(adiabatic)}
+    return omega_winds(df, parts, keys, table, dlat, dlon, nlat, nlon)
+
+
+def with_omega_parts(df: DataFrame, keys: list[str], table: DataFrame, dlat: float, dlon: float, nlat: int, nlon: int, known=("adiabatic", "diabatic", "qg_diabatic", "lhr_moist")) -> DataFrame:
+    """Adds w_<part> where it can be told, and u_div_<part>, v_div_<part> of every part there is.
+
+    Without an adiabatic column it is a third of w; diabatic is the rest.  The
+    budget-diabatic and latent parts have to be supplied.
+    """
+    if "w_adiabatic" not in df.columns:
+        df = df.withColumn("w_adiabatic", omega_dry(F.col("w")))
+    if "w_diabatic" not in df.columns:
+        df = df.withColumn("w_diabatic", F.col("w") - F.col("w_adiabatic"))
+    parts = [p for p in known if f"w_{p}" in df.columns]
+    long = omega_winds(df, {p: F.col(f"w_{p}") for p in parts}, keys, table, dlat, dlon, nlat, nlon)
+    at = lambda c, p: F.max(F.when(F.col("component") == p, F.col(c))).alias(f"{c}_{p}")
+    wide = long.groupBy(*keys, "level", "ilat", "ilon").agg(*[at(c, p) for p in parts for c in ("u_div", "v_div")])
+    return df.join(wide, [*keys, "level", "ilat", "ilon"])
+
+
 def additivity_error(parts: DataFrame, cols: tuple[str, ...]) -> DataFrame:
     """Largest |adiabatic + diabatic - total| of each column of ``decompose_omega``."""
     cell = parts.groupBy(*[c for c in parts.columns if c in ("ts", "level", "ilat", "ilon")]).agg(

@@ -111,6 +111,28 @@ def classify_bay(bay_rows: DataFrame, cross: DataFrame, keys: list[str]) -> Data
     return g.withColumn("wb_type", kind).drop("_w")
 
 
+def detect_bays(cells: DataFrame, keys: list[str], z: str, x: str, y: str, method: str = "bay", source: str = "patch", n_levels: int = 12, min_cross: int = 3, least_columns: int = 2, half: tuple[float, float] | None = None) -> DataFrame:
+    """Overturning bays of every unit with wb_type, from cells to classes.
+
+    ``source``: "patch" takes the contours of the patch itself; "hemisphere"
+    those that go around a whole ring, cut to ``half`` (x, y) about the centre
+    (x, y relative to it).  ``method``: "bay" types by the order of the path,
+    "tilt" by the slope of the middle line.
+    """
+    if method not in ("bay", "tilt") or source not in ("patch", "hemisphere"):
+        raise ValueError(f"method {method!r}, source {source!r}")
+    cross = crossings(cells, probe_levels(cells, keys, z, n_levels), keys, z, x, y)
+    if source == "hemisphere":
+        around = circumpolar(cross, keys).filter(F.col("span") >= 345.0)  # latitudes are relative here
+        cross = cross.join(around.select(*keys, "k"), [*keys, "k"], "left_semi")
+        if half:
+            cross = crop_to_patch(cross, keys, *half)
+    found = bays(overturn_intervals(cross, keys, min_cross), keys, least_columns)
+    if method == "bay":
+        return classify_bay(found, cross, keys)
+    return found.withColumn("wb_type", classify_tilt(F.col("slope")))
+
+
 def gate_bays(bay_rows: DataFrame, least_area: float, x_gate: float | None = None) -> DataFrame:
     b = bay_rows.filter(F.abs("area") >= least_area)
     return b.filter(F.abs("cx") <= x_gate) if x_gate is not None else b

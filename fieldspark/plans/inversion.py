@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions import columns as C
@@ -93,37 +94,78 @@ def poisson_fixed_edges(spark, sf):
     return S.with_laplacian(x, "x", "back", LV, DLAT, DLON).select("level", "ilat", "ilon", r(F.col("back")).alias("back"))
 
 
-@register("helmholtz_split", f"""WITH {GRID}, g0 AS (SELECT level, ilat, ilon, lat, coalesce(u, 0) AS u, coalesce(v, 0) AS v, u IS NOT NULL AND v IS NOT NULL AS ok FROM grid),
- g1 AS (SELECT *, {sql_ddx('v')} - {sql_ddy('u')} + u * tan(lat * {RAD}) / {R_EARTH} AS vort FROM g0)
- SELECT level, ilat, ilon, CASE WHEN ok THEN round(u, 6) + 0.0 END AS u, CASE WHEN ok THEN round(v, 6) + 0.0 END AS v, CASE WHEN ok THEN round(1e6 * vort, 4) + 0.0 END AS vort FROM g1""")
+WIND = f""", g0 AS (SELECT level, ilat, ilon, lat, coalesce(u, 0) AS u, coalesce(v, 0) AS v, u IS NOT NULL AND v IS NOT NULL AS ok FROM grid),
+ g1 AS (SELECT *, {sql_ddx('v')} - {sql_ddy('u')} + u * tan(lat * {RAD}) / {R_EARTH} AS vort, {sql_ddx('u')} + {sql_ddy('v')} - v * tan(lat * {RAD}) / {R_EARTH} AS div FROM g0),
+ g2 AS (SELECT *, CASE WHEN ok THEN 0.0 END AS here, {', '.join(f"{c} - sum(cos(lat * {RAD}) * {c}) OVER (PARTITION BY level) / sum(cos(lat * {RAD})) OVER (PARTITION BY level) AS {c}_a" for c in ('vort', 'div'))} FROM g1)"""
+
+
+def _split(spark, sf):
+    return invert.helmholtz(grid(spark, sf), LV, invert.green(spark, LAT0, DLAT, NLAT, NLON, "neumann"), LAT0, DLAT, DLON, NLAT, NLON)
+
+
+@register("helmholtz_split", f"""WITH {GRID}{WIND}
+ SELECT level, ilat, ilon, CASE WHEN ok THEN round(u, 6) + 0.0 END AS u, CASE WHEN ok THEN round(v, 6) + 0.0 END AS v, CASE WHEN ok THEN round(1e6 * vort, 4) + 0.0 END AS vort FROM g2""")
 def helmholtz_split(spark, sf):
     """Rotational, divergent and harmonic parts add up to the wind."""
-    h = invert.helmholtz(grid(spark, sf), LV, invert.green(spark, LAT0, DLAT, NLAT, NLON, "neumann"), LAT0, DLAT, DLON, NLAT, NLON)
+    h = _split(spark, sf)
     return h.select(
         "level", "ilat", "ilon", r(F.col("u_rot") + F.col("u_div") + F.col("u_har")).alias("u"),
         r(F.col("v_rot") + F.col("v_div") + F.col("v_har")).alias("v"), r(F.col("vort"), 1e6, 4).alias("vort"),
     )
 
 
-@register("helmholtz_fields")
+@register("helmholtz_fields", f"""WITH {GRID}{WIND}
+ SELECT level, ilat, ilon, round(CASE WHEN ilat IN (0, 9) THEN 0.0 ELSE 1e6 * vort_a + {sql_lap('here')} END, 4) + 0.0 AS lap_psi, round(CASE WHEN ilat IN (0, 9) THEN 0.0 ELSE 1e6 * div_a + {sql_lap('here')} END, 4) + 0.0 AS lap_chi,
+ 0.0 AS south_psi, 0.0 AS south_chi, true AS winds_fit FROM g2""")
 def helmholtz_fields(spark, sf):
-    h = invert.helmholtz(grid(spark, sf), LV, invert.green(spark, LAT0, DLAT, NLAT, NLON, "neumann"), LAT0, DLAT, DLON, NLAT, NLON)
-    return h.select("level", "ilat", "ilon", *[r(F.col(c)).alias(c) for c in ("psi", "chi", "u_rot", "v_rot", "u_div", "v_div", "u_har", "v_har")])
-
-
-@register("omega_divergent_wind")
+    """What pins the potentials: their Laplacians at inner rows are the wind's vorticity and divergence less the area means,
+    their means over the first row are 0, and the winds of the parts are the potentials' gradients."""
+    h = _split(spark, sf)
+    h = S.with_laplacian(S.with_laplacian(h, "psi", "lap_psi", LV, DLAT, DLON), "chi", "lap_chi", LV, DLAT, DLON)
+    h = invert.gradient(invert.gradient(h, "psi", ("_px", "_py"), LV, DLAT, DLON), "chi", ("_cx", "_cy"), LV, DLAT, DLON)
+    ring = Window.partitionBy("level")
+    first = lambda c: F.when(F.col("ilat") == 0, F.col(c))
+    south = lambda c: F.when(F.count(first(c)).over(ring) == NLON, r(F.avg(first(c)).over(ring) / F.max(F.abs(c)).over(ring))).otherwise(0.0).alias(f"south_{c}")
+    near = lambda a, b: F.coalesce(F.abs(F.col(a) - b) < 1e-9, F.lit(True))
+    fit = near("u_rot", -F.col("_py")) & near("v_rot", F.col("_px")) & near("u_div", F.col("_cx")) & near("v_div", F.col("_cy"))
+    return h.select("level", "ilat", "ilon", r(F.col("lap_psi"), 1e6, 4).alias("lap_psi"), r(F.col("lap_chi"), 1e6, 4).alias("lap_chi"), south("psi"), south("chi"), fit.alias("winds_fit"))
+
+
+_PARTS = {"total": "w", "adiabatic": "w / 3.0", "diabatic": "w - w / 3.0", "qg_diabatic": "0.5 * w", "lhr_moist": "0.2 * w * w"}
+_OMEGA = f""", om AS ({' UNION ALL '.join(f"SELECT '{n}' AS component, level, ilat, ilon, lat, {w} AS omega FROM grid" for n, w in _PARTS.items())}),
+ o1 AS (SELECT *, -({sql_ddp('omega').replace('PARTITION BY ', 'PARTITION BY component, ')}) AS src FROM om),
+ o2 AS (SELECT *, src - sum(cos(lat * {RAD}) * src) OVER (PARTITION BY component, level) / sum(CASE WHEN src IS NOT NULL THEN cos(lat * {RAD}) END) OVER (PARTITION BY component, level) AS f FROM o1)"""
+
+
+@register("omega_divergent_wind", f"""WITH {GRID}{_OMEGA} SELECT component, level, ilat, ilon, round(CASE WHEN ilat IN (0, 9) THEN 0.0 ELSE 1e3 * coalesce(f, 0) END, 5) + 0.0 AS lap_chi, 0.0 AS edge, true AS winds_fit FROM o2""")
 def omega_divergent_wind(spark, sf):
-    """Divergent winds of total, dry and remaining vertical motion."""
-    g = grid(spark, sf).withColumn("dry", C.omega_dry(F.col("w")))
-    d = invert.decompose_omega(g, "w", "dry", [], invert.green(spark, LAT0, DLAT, NLAT, NLON), DLAT, DLON, NLAT, NLON)
-    return d.select("component", "level", "ilat", "ilon", r(F.col("u_div")).alias("u_div"), r(F.col("v_div")).alias("v_div"))
+    """Total, the four parts and their winds: chi's Laplacian at inner rows is the motion's source, chi is 0 on the edge rows,
+    the wind is chi's gradient."""
+    g = grid(spark, sf)
+    parts = {"total": F.col("w"), "adiabatic": C.omega_dry(F.col("w")), "diabatic": F.col("w") - C.omega_dry(F.col("w")), "qg_diabatic": 0.5 * F.col("w"), "lhr_moist": 0.2 * F.col("w") * F.col("w")}
+    keys = ["component", "level"]
+    d = invert.omega_winds(g, parts, [], invert.green(spark, LAT0, DLAT, NLAT, NLON), DLAT, DLON, NLAT, NLON)
+    d = invert.gradient(S.with_laplacian(d, "chi", "lap_chi", keys, DLAT, DLON), "chi", ("_cx", "_cy"), keys, DLAT, DLON)
+    fit = (F.abs(F.col("u_div") - F.col("_cx")) < 1e-9) & (F.abs(F.col("v_div") - F.col("_cy")) < 1e-9)
+    size = F.max(F.abs("chi")).over(Window.partitionBy("component"))
+    edge = r(F.when(F.col("ilat").isin(0, NLAT - 1), F.col("chi") / size).otherwise(0.0)).alias("edge")
+    return d.select("component", "level", "ilat", "ilon", r(F.col("lap_chi"), 1e3, 5).alias("lap_chi"), edge, F.coalesce(fit, F.lit(True)).alias("winds_fit"))
 
 
-@register("omega_additivity", "SELECT true AS u_ok, true AS v_ok")
+@register("omega_additivity", f"""WITH {GRID}{_OMEGA} SELECT level, round(1e3 * sum(abs(f)) FILTER (component = 'total' AND ilat NOT IN (0, 9)), 4) + 0.0 AS source, true AS u_ok, true AS v_ok FROM o2 GROUP BY 1""")
 def omega_additivity(spark, sf):
-    """The parts' winds add up to the total's to 1e-10 of its size."""
+    """The parts' winds, inverted each by itself, add up to the total's to 1e-10 of its size; the total is that of its source."""
     g = grid(spark, sf).withColumn("dry", C.omega_dry(F.col("w")))
     d = invert.decompose_omega(g, "w", "dry", [], invert.green(spark, LAT0, DLAT, NLAT, NLON), DLAT, DLON, NLAT, NLON)
+    d = S.with_laplacian(d, "chi", "lap_chi", ["component", "level"], DLAT, DLON)
     e = invert.additivity_error(d, ("u_div", "v_div"))
     size = d.agg(F.max(F.abs("u_div")).alias("u"), F.max(F.abs("v_div")).alias("v"))
-    return e.crossJoin(size).select((F.col("max_u_div") <= 1e-10 * F.col("u")).alias("u_ok"), (F.col("max_v_div") <= 1e-10 * F.col("v")).alias("v_ok"))
+    ok = e.crossJoin(size).select((F.col("max_u_div") <= 1e-10 * F.col("u")).alias("u_ok"), (F.col("max_v_div") <= 1e-10 * F.col("v")).alias("v_ok"))  # two single rows
+    source = d.filter("component = 'total'").groupBy("level").agg(r(F.sum(F.abs("lap_chi")), 1e3, 4).alias("source"))
+    return source.crossJoin(F.broadcast(ok))
+
+
+@register("unit_conversions", f"WITH {GRID} SELECT level, ilat, ilon, round(z / 9.81, 6) + 0.0 AS height, level * 100.0 AS pa, round(6 * {RAD} * {R_EARTH}, 4) + 0.0 AS metres FROM grid")
+def unit_conversions(spark, sf):
+    g = grid(spark, sf)
+    return g.select("level", "ilat", "ilon", r(C.geopotential_to_m(F.col("z"))).alias("height"), (F.col("level") * 100.0).alias("pa"), r(S.dy_m(DLAT), 1, 4).alias("metres"))

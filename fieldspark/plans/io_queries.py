@@ -8,7 +8,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldspark.operators import composite as K
+from fieldspark.operators import stencil as T
+from fieldspark.operators import terms as M
 from fieldspark.plans import jobs
+from fieldspark.plans.fields import PI, sql_ddp, sql_ddx, sql_ddy, sql_lap
+from fieldspark.plans.inversion import WIND
 from fieldspark.plans.lifecycle import hours
 from fieldspark.plans.proxies import CATALOG, DLAT, DLON, GRID, LAT0, NLAT, NLON, PATCHES, TRACKS, catalog, grid, lifecycle_events, patches, r, tracks
 from fieldspark.plans.registry import register
@@ -143,20 +147,75 @@ def _moving(spark, sf):
     return t.filter("n = 1").select(*_event(F.col)), t.drop("n")
 
 
-def _still(spark, sf):
-    """Events at the last places of each tenth track, as the SQL of job_compute has them, and no tracks."""
-    t = tracks(spark, sf).groupBy("track_id").agg(F.max_by("lat", "ts").alias("lat"), F.max_by("lon", "ts").alias("lon")).filter("track_id % 10 = 0")
-    return t.select(*_event(F.col)), spark.createDataFrame([], S.TRACK)
+_CENTRES = f"""tr AS (SELECT track_id, lat, lon, row_number() OVER (PARTITION BY track_id ORDER BY ts) AS n FROM tracks),
+ pl AS (SELECT e.track_id, CAST(dh AS INT) AS dh, coalesce(t.lat, e.lat) AS lat, coalesce(t.lon, e.lon) AS lon FROM tr e CROSS JOIN range(-1, 2) h(dh) LEFT JOIN tr t ON t.track_id = e.track_id AND t.n = dh + 1 WHERE e.n = 1),
+ ce AS (SELECT track_id, dh, CAST(least(greatest(floor((lat - 20) / 6 + 0.5), 0), 9) AS INT) AS jc, CAST((floor((lon + 180) / 15 + 0.5) + 24) % 24 AS INT) AS ic FROM pl)"""
+_BAR = "(1 + 0.1 * (dh + 1) + 0.1)"
 
 
-@register("job_compute", f"""WITH {TRACKS}, {GRID}, ev AS (SELECT track_id, arg_max(lat, ts) AS lat0, arg_max(lon, ts) AS lon0 FROM tracks GROUP BY 1),
- ce AS (SELECT track_id, CAST(least(greatest(floor((lat0 - 20) / 6 + 0.5), 0), 9) AS INT) AS jc, CAST((floor((lon0 + 180) / 15 + 0.5) + 24) % 24 AS INT) AS ic FROM ev WHERE track_id % 10 = 0)
- SELECT track_id, CAST(dh AS INT) AS dh, count(*) AS cells, count(pv) AS n, round(sum(pv * (1 + 0.1 * (dh + 1))), 4) + 0.0 AS pv FROM ce, range(-1, 2) h(dh), range(-2, 3) a(iy), range(-3, 4) b(ix)
- LEFT JOIN grid ON ilat = jc + iy AND ilon = (ic + ix + 24) % 24 GROUP BY 1, 2""")
+@register("job_compute", f"""WITH {TRACKS}, {GRID}, {_CENTRES}, gr AS (SELECT *, u * {sql_ddx('pv')} AS upx, v * {sql_ddy('pv')} AS vpy, w * {sql_ddp('pv')} AS wpp, u IS NOT NULL AND v IS NOT NULL AS ok FROM grid)
+ SELECT track_id, dh, count(*) AS cells, count(pv) AS n, round(sum(pv * (1 + 0.1 * (dh + 1))), 4) + 0.0 AS pv, round(1e3 * sum(upx) * {_BAR}, 4) + 0.0 AS u_bar, round(1e3 * sum(upx) * -0.1, 4) + 0.0 AS u_anom, round(1e3 * sum(vpy) * {_BAR}, 4) + 0.0 AS v_bar,
+ round(1e3 * sum(wpp) / 3 * {_BAR}, 4) + 0.0 AS w_dry, round(1e3 * sum(wpp) * 2 / 3 * -0.1, 4) + 0.0 AS w_rest, count(*) FILTER (ok) AS split, 0.0 AS split_anom, 40 AS n_terms
+ FROM ce CROSS JOIN range(-2, 3) a(iy) CROSS JOIN range(-3, 4) b(ix) LEFT JOIN gr ON ilat = jc + iy AND ilon = (ic + ix + 24) % 24 GROUP BY track_id, dh""")
 def job_compute(spark, sf):
-    (g, climate), (e, t) = _world(spark, sf), _still(spark, sf)
+    """All tracks at three hours with split winds and the parts of the vertical motion: 40 products."""
+    (g, climate), (e, t) = _world(spark, sf), _moving(spark, sf)
     p = jobs.compute(e, t, g, climate, range(-1, 2), _SPEC)
-    return p.groupBy("track_id", "dh").agg(F.count("*").alias("cells"), F.count("pv").alias("n"), r(F.sum("pv"), 1, 4).alias("pv"))
+    total = lambda c, name: r(F.sum(c), 1e3, 4).alias(name)
+    names = [n for n, *_ in M.catalogue() if n in p.columns]
+    return p.groupBy("track_id", "dh").agg(
+        F.count("*").alias("cells"), F.count("pv").alias("n"), r(F.sum("pv"), 1, 4).alias("pv"),
+        total("u_bar_pv_bar_dx", "u_bar"), total("u_bar_pv_anom_dx", "u_anom"), total("v_bar_pv_bar_dy", "v_bar"),
+        total("w_adiabatic_pv_bar_dp", "w_dry"), total("w_diabatic_pv_anom_dp", "w_rest"), F.count("u_rot").alias("split"),
+        r(F.coalesce(F.sum(F.abs("u_rot_anom") + F.abs("v_div_anom")), F.lit(0.0)), 1, 4).alias("split_anom"), F.lit(len(names)).alias("n_terms"),
+    )
+
+
+@register("job_event_status", f"""WITH {TRACKS}, tr AS (SELECT track_id, ts, row_number() OVER (PARTITION BY track_id ORDER BY ts) AS n FROM tracks)
+ SELECT track_id, CAST(dh AS INT) AS dh, CASE WHEN track_id % 5 = 0 AND NOT EXISTS (SELECT 1 FROM tr t WHERE t.track_id = e.track_id AND t.n = dh + 1) THEN 'no_place' WHEN dh + 1 > 2 THEN 'no_field' ELSE 'ready' END AS status FROM tr e CROSS JOIN range(0, 4) h(dh) WHERE n = 1""")
+def job_event_status(spark, sf):
+    """Events of every fifth track come without a place, and the archive ends after two hours."""
+    (g, _), (e, t) = _world(spark, sf), _moving(spark, sf)
+    e = e.withColumn("lat0", F.when(F.col("track_id") % 5 != 0, F.col("lat0")))
+    return jobs.event_status(e, t, g, range(0, 4), _SPEC).select("track_id", "dh", "status")
+
+
+@register("patches_unreadable", f"WITH {PATCHES} SELECT dh, count(DISTINCT track_id) AS n_missing FROM patches WHERE dh = 4 GROUP BY 1")
+def patches_unreadable(spark, sf):
+    """One hour's files are damaged: they are left out and counted."""
+    path = scratch(spark, "patches")
+    p = patches(spark, sf).withColumn("event_type", F.lit("x")).withColumn("stage", F.lit("onset"))
+    S.write_patches(p.filter("dh <> 4"), path)
+    p.filter("dh = 4").select(F.concat(F.lit("damaged "), F.col("track_id").cast("string"))).coalesce(1).write.text(f"{path}/event_type=x/stage=onset/dh=4")
+    got = S.read_patches(spark, path, "onset", on_corrupt="skip")
+    return S.unreadable(p, got, ["track_id", "dh"], ["dh"])
+
+
+@register("split_clim_month", f"WITH {GRID} SELECT level, count(u) FILTER (u IS NOT NULL AND v IS NOT NULL) AS n, 0 AS others FROM grid GROUP BY 1")
+def split_clim_month(spark, sf):
+    """Split winds of two months written, one of them scanned; a month that is not there has no rows."""
+    path = scratch(spark, "split")
+    g = grid(spark, sf).select(F.explode(F.array(F.lit(5), F.lit(6))).alias("month"), F.lit(15).alias("day"), F.lit(0).alias("hour"), "level", "ilat", "ilon", F.col("u").alias("u_bar"), F.col("v").alias("v_bar"))
+    S.write_clim(jobs.clim_helmholtz(g, _SPEC.grid), path, False)
+    none = S.read_split_clim(spark, path, 9).count()
+    return S.read_split_clim(spark, path, 6).groupBy("level").agg(F.count("u_rot_bar").alias("n"), F.lit(none).alias("others"))
+
+
+_FACTOR = "1 + 0.1 * m + 0.02 * m * m"
+_WAVES = lambda x, k, n, modes: f"avg({x}) AS m0, {', '.join(f'2 * sum({x} * cos(2 * {PI} * {w} * {k} / {n})) / {n} AS c{w}, 2 * sum({x} * sin(2 * {PI} * {w} * {k} / {n})) / {n} AS s{w}' for w in range(1, modes + 1))}"
+_BACK = lambda k, n, modes: f"m0 + {' + '.join(f'c{w} * cos(2 * {PI} * {w} * {k} / {n}) + s{w} * sin(2 * {PI} * {w} * {k} / {n})' for w in range(1, modes + 1))}"
+
+
+@register("job_clim_smooth", f"""WITH {GRID}, mo AS (SELECT m, {_FACTOR} AS f FROM range(0, 12) x(m)), tc AS (SELECT {_WAVES('f', 'm', 12, 4)} FROM mo), ti AS (SELECT m, {_BACK('m', 12, 4)} AS f FROM mo, tc),
+ zc AS (SELECT level, ilat, {_WAVES('coalesce(u, 0)', 'ilon', 24, 2)} FROM grid GROUP BY 1, 2), zo AS (SELECT level, ilat, ilon, {_BACK('ilon', 24, 2)} AS u FROM grid JOIN zc USING (level, ilat))
+ SELECT CAST(m + 1 AS INT) AS month, level, ilat, ilon, round(f * u, 5) + 0.0 AS u_bar FROM zo, ti""")
+def job_clim_smooth(spark, sf):
+    """Twelve months of the grid: the mean over years, then its slow waves."""
+    m = F.col("m")
+    g = grid(spark, sf).withColumn("u", F.coalesce("u", F.lit(0.0))).withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("ts", F.make_timestamp(F.lit(2010), m + 1, F.lit(15), F.lit(0), F.lit(0), F.lit(0)))
+    g = g.withColumn("u", F.col("u") * (1 + 0.1 * m + 0.02 * m * m))
+    c = jobs.clim_smooth(jobs.clim(g, ["u"], ["level", "ilat", "ilon"]), ["u_bar"], 12, NLON)
+    return c.select(F.col("month").cast("int").alias("month"), "level", "ilat", "ilon", r(F.col("u_bar"), 1, 5).alias("u_bar"))
 
 
 @register("job_classify_composite")
@@ -175,11 +234,14 @@ def job_decompose(spark, sf):
     return jobs.decompose(p, ["track_id", "dh"], "pv_anom", ["u_bar_pv_anom_dx", "v_bar_pv_anom_dy"], DLAT, DLON, mask="< 1e9")
 
 
-@register("job_clim_helmholtz", f"WITH {GRID} SELECT level, ilat, ilon, round(u, 6) + 0.0 AS u_bar FROM grid")
+@register("job_clim_helmholtz", f"""WITH {GRID}{WIND} SELECT level, ilat, ilon, CASE WHEN ok THEN round(u, 6) + 0.0 END AS u_bar, round(CASE WHEN ilat IN (0, 9) THEN 0.0 ELSE 1e6 * vort_a + {sql_lap('here')} END, 4) + 0.0 AS lap_psi,
+ round(CASE WHEN ilat IN (0, 9) THEN 0.0 ELSE 1e6 * div_a + {sql_lap('here')} END, 4) + 0.0 AS lap_chi FROM g2""")
 def job_clim_helmholtz(spark, sf):
+    """The parts add up, and the potentials' Laplacians are the wind's own vorticity and divergence."""
     g = grid(spark, sf).withColumn("month", F.lit(6)).withColumn("day", F.lit(15)).withColumn("hour", F.lit(0)).withColumnsRenamed({"u": "u_bar", "v": "v_bar"})
     h = jobs.clim_helmholtz(g, _SPEC.grid)
-    return h.select("level", "ilat", "ilon", r(F.col("u_rot_bar") + F.col("u_div_bar") + F.col("u_har")).alias("u_bar"))
+    h = T.with_laplacian(T.with_laplacian(h, "psi", "lap_psi", ["level"], DLAT, DLON), "chi", "lap_chi", ["level"], DLAT, DLON)
+    return h.select("level", "ilat", "ilon", r(F.col("u_rot_bar") + F.col("u_div_bar") + F.col("u_har")).alias("u_bar"), r(F.col("lap_psi"), 1e6, 4).alias("lap_psi"), r(F.col("lap_chi"), 1e6, 4).alias("lap_chi"))
 
 
 @register("job_status", f"WITH {TRACKS} SELECT CASE WHEN track_id % 3 = 0 THEN 'done' ELSE 'missing' END AS status, count(DISTINCT track_id) AS n FROM tracks GROUP BY 1")

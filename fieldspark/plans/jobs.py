@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldspark.functions import columns as C
 from fieldspark.operators import basis as B
 from fieldspark.operators import composite as K
 from fieldspark.operators import invert, overturn
 from fieldspark.operators import patches as P
 from fieldspark.operators import stencil as S
 from fieldspark.operators import terms as M
+from fieldspark.sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -39,17 +41,37 @@ def clim(cells: DataFrame, fields: list[str], keys: list[str], years: tuple[int,
     return K.compute_climatology(cells, fields, keys, years)
 
 
+def clim_smooth(climate: DataFrame, fields: list[str], n_steps: int, nlon: int, harmonics: int = 4, modes: int = 2) -> DataFrame:
+    """The climatology with ``harmonics`` waves over its calendar steps and ``modes`` waves around the ring.
+
+    ``n_steps``: the (month, day, hour) steps of the calendar, in order; all
+    of them have every cell.
+    """
+    steps = climate.select("month", "day", "hour").distinct()  # one row a step of the calendar
+    steps = steps.withColumn("step", F.row_number().over(Window.orderBy("month", "day", "hour")) - 1)
+    c = climate.join(F.broadcast(steps), ["month", "day", "hour"])
+    for f in fields:
+        c = S.fourier_filter(c, f, "_t", ["level", "ilat", "ilon"], "step", n_steps, harmonics)
+        c = S.fourier_filter(c, "_t", "_s", ["step", "level", "ilat"], "ilon", nlon, modes).drop(f, "_t").withColumnRenamed("_s", f)
+    return c.drop("step")
+
+
 def clim_helmholtz(climate: DataFrame, grid: GridSpec) -> DataFrame:
     """Split winds of a climatology: every (month, day, hour, level) is a slice."""
     spark = climate.sparkSession
-    c = climate.withColumnsRenamed({"u_bar": "u", "v_bar": "v"})
+    c = climate.select("month", "day", "hour", "level", "ilat", "ilon", (F.lit(grid.lat0) + grid.dlat * F.col("ilat")).alias("lat"), F.col("u_bar").alias("u"), F.col("v_bar").alias("v"))
     table = invert.green(spark, grid.lat0, grid.dlat, grid.nlat, grid.nlon, "neumann")
     h = invert.helmholtz(c, ["month", "day", "hour", "level"], table, grid.lat0, grid.dlat, grid.dlon, grid.nlat, grid.nlon)
     return h.withColumnsRenamed({c: f"{c}_bar" for c in ("u", "v", "u_rot", "v_rot", "u_div", "v_div")})
 
 
 def budget_fields(cells: DataFrame, climate: DataFrame, config: ComputeConfig) -> DataFrame:
-    """Anomalies, gradients and products of gridded hours, once per hour whatever the events."""
+    """Anomalies, gradients and all products of gridded hours, once per hour whatever the events.
+
+    With ``winds``: rotational and divergent winds with their anomalies from the
+    split climatology (0 where it has none), and the divergent winds of the
+    parts of the vertical motion.  A column ``theta_dot_dp`` gives the source Q.
+    """
     g, keys = config.grid, ["level", "ilat", "ilon"]
     f = K.anomaly(cells, climate, ["u", "v", "w", "pv"], keys)
     for m in ("bar", "anom"):
@@ -57,23 +79,54 @@ def budget_fields(cells: DataFrame, climate: DataFrame, config: ComputeConfig) -
         f = f.withColumn(f"pv_{m}_dx", S.ddx(q, ["ts", "level"], g.dlon)).withColumn(f"pv_{m}_dy", S.ddy(q, ["ts", "level"], g.dlat))
         f = f.withColumn(f"pv_{m}_dp", S.ddp(q, ["ts"], F.col("level")))
     if config.winds:
-        table = invert.green(cells.sparkSession, g.lat0, g.dlat, g.nlat, g.nlon, "neumann")
-        f = invert.helmholtz(f, ["ts", "level"], table, g.lat0, g.dlat, g.dlon, g.nlat, g.nlon)
-    return M.product_terms(f, ("base",))
-
-
-def compute(events: DataFrame, tracks: DataFrame, cells: DataFrame, climate: DataFrame, offsets: Iterable[int], config: ComputeConfig, done: DataFrame | None = None) -> DataFrame:
-    """Events to patch cells: hours, moving centres, windows, fields and products."""
+        spark, size = cells.sparkSession, (g.dlat, g.dlon, g.nlat, g.nlon)
+        f = invert.helmholtz(f, ["ts", "level"], invert.green(spark, g.lat0, g.dlat, g.nlat, g.nlon, "neumann"), g.lat0, *size)
+        # later steps take the hours once more: written, they are not worked out anew
+        f = written(f, "split")
+        split = ["u_rot", "v_rot", "u_div", "v_div"]
+        days = f.select("month", "day", "hour").distinct()
+        at = climate.join(F.broadcast(days), ["month", "day", "hour"], "left_semi")  # at most the calendar's hours
+        mean = clim_helmholtz(at, g)
+        f = K.anomaly(f, mean.select("month", "day", "hour", *keys, *[f"{c}_bar" for c in split]), split, keys, "left", 0.0)
+        f = invert.with_omega_parts(f, ["ts"], invert.green(spark, g.lat0, g.dlat, g.nlat, g.nlon), *size)
+    if "theta_dot_dp" in f.columns:
+        zeta = F.col("vort") if config.winds else F.lit(0.0)
+        f = f.withColumn("Q", C.vorticity_source(C.coriolis(F.col("lat")), zeta, F.col("theta_dot_dp")))
+    return M.product_terms(f)
+
+
+def event_hours(events: DataFrame, tracks: DataFrame, offsets: Iterable[int], config: ComputeConfig, done: DataFrame | None = None) -> DataFrame:
+    """Every wanted hour of every event with its nearest cell."""
     g = config.grid
     hours = P.expand_hours(events, offsets)
     if done is not None:
         hours = P.pending(hours, done, ["event_type", "stage", "dh", "track_id"])
-    centres = P.nearest_cell(P.lagrangian_centre(hours, tracks), "lat_c", "lon_c", g.lat0, g.dlat, g.nlat, g.lon0, g.dlon, g.nlon)
-    fields = budget_fields(cells, climate, config)
-    cut = P.extract_patches(centres, fields.drop("lat", "lon"), config.half_j, config.half_i, g.nlat, g.nlon, ["ts"])
+    return P.nearest_cell(P.lagrangian_centre(hours, tracks), "lat_c", "lon_c", g.lat0, g.dlat, g.nlat, g.lon0, g.dlon, g.nlon)
+
+
+def compute(events: DataFrame, tracks: DataFrame, cells: DataFrame, climate: DataFrame, offsets: Iterable[int], config: ComputeConfig, done: DataFrame | None = None) -> DataFrame:
+    """Events to patch cells: hours, moving centres, windows, fields and products.
+
+    Fields are worked out for the hours that some event needs only.  An event
+    that cannot be done (no place, no such hour) leaves the others alone:
+    ``event_status`` tells of it.
+    """
+    g = config.grid
+    centres = event_hours(events, tracks, offsets, config, done)
+    needed = cells.join(centres.select("ts").distinct(), "ts", "left_semi")
+    fields = budget_fields(needed, climate, config)
+    cut = P.extract_patches(centres.filter("lat_c IS NOT NULL AND lon_c IS NOT NULL"), fields.drop("lat", "lon"), config.half_j, config.half_i, g.nlat, g.nlon, ["ts"])
     return cut.withColumn("x_rel", F.col("ix") * g.dlon).withColumn("y_rel", F.col("iy") * g.dlat)
 
 
+def event_status(events: DataFrame, tracks: DataFrame, cells: DataFrame, offsets: Iterable[int], config: ComputeConfig) -> DataFrame:
+    """event_type, stage, track_id, dh, status: ready, no_place or no_field, for every hour of every event."""
+    hours = event_hours(events, tracks, offsets, config)
+    have = cells.select("ts").distinct().withColumn("_have", F.lit(True))
+    status = F.when(F.col("lat_c").isNull() | F.col("lon_c").isNull(), "no_place").when(F.col("_have").isNull(), "no_field").otherwise("ready")
+    return hours.join(have, "ts", "left").select("event_type", "stage", "track_id", "dh", status.alias("status"))
+
+
 def classify(patches: DataFrame, levels: list[int], threshold: int, z: str = "z") -> DataFrame:
     """stage, track_id, label, awb, cwb by the patches at dh = 0."""
     at0 = patches.filter((F.col("dh") == 0) & F.col("level").isin(*levels))

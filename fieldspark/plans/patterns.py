@@ -237,6 +237,32 @@ def central_blob(spark, sf):
     return c.filter("blob").groupBy("track_id").agg(F.count("*").alias("n"), F.sum((F.col("iy") * 8 + F.col("ix")).cast("long")).alias("places"))
 
 
+@register("centre_region", f"""WITH RECURSIVE {PATCHES}, m AS (SELECT track_id, iy, ix, x_rel, y_rel FROM patches WHERE a < 0.05),
+ near AS (SELECT track_id, arg_min(iy, (x_rel * x_rel + y_rel * y_rel, iy, ix)) AS iy, arg_min(ix, (x_rel * x_rel + y_rel * y_rel, iy, ix)) AS ix FROM m GROUP BY 1),
+ flood AS (SELECT track_id, iy, ix FROM near UNION SELECT m.track_id, m.iy, m.ix FROM flood f JOIN m ON m.track_id = f.track_id AND abs(m.iy - f.iy) + abs(m.ix - f.ix) = 1),
+ ok AS (SELECT DISTINCT track_id FROM flood WHERE iy IN (3, 4) AND ix IN (3, 4))
+ SELECT track_id, count(*) AS n, CAST(sum(iy * 8 + ix) AS BIGINT) AS places FROM flood SEMI JOIN ok USING (track_id) GROUP BY 1""")
+def centre_region(spark, sf):
+    c = B.centre_region(patches(spark, sf), _U, "a", 0.05)
+    return c.filter("region").groupBy("track_id").agg(F.count("*").alias("n"), F.sum((F.col("iy") * 8 + F.col("ix")).cast("long")).alias("places"))
+
+
+@register("callable_spec", f"WITH {PATCHES} SELECT variant, dh, round(sum(2 * a - b * b), 6) + 0.0 AS total, round(sum(-a + b), 6) + 0.0 AS signed FROM patches GROUP BY 1, 2")
+def callable_spec(spark, sf):
+    """A variable by a function of a column lookup, and by signed names."""
+    p = patches(spark, sf)
+    spec = M.signed_sum(lambda col: 2 * col("a") - col("b") * col("b"))
+    return p.groupBy("variant", "dh").agg(r(F.sum(spec)).alias("total"), r(F.sum(M.signed_sum(["-a", "b"]))).alias("signed"))
+
+
+@register("discovered_fields", f"WITH {PATCHES} SELECT variant, round(sum(a), 6) + 0.0 AS sum_a, count(a) AS n_a, round(sum(b), 6) + 0.0 AS sum_b, count(b) AS n_b FROM patches GROUP BY 1")
+def discovered_fields(spark, sf):
+    """Composite of every field that the schema offers: keys and results of projections are left out."""
+    p = patches(spark, sf).withColumn("prp__a", F.col("a")).withColumn("beta__b", F.col("b"))
+    c = K.build_composites(p, K.composite_fields(p, ["x_rel", "y_rel"]), ["variant"])
+    return c.select("variant", *[r(F.col(n)).alias(n) if n.startswith("sum_") else n for n in sorted(c.columns) if n != "variant"])
+
+
 def _refl(axis: str, other: str, src: str, dst: str) -> str:
     k = ", ".join(f"({i - len(_KR) // 2}, {w!r})" for i, w in enumerate(_KR))
     return f"""{dst} AS (SELECT track_id, {other}, CAST(t AS INT) AS {axis}, sum(wt * v) / sum(wt) AS v FROM (SELECT track_id, {other}, unnest([{axis} + o, -1 - ({axis} + o), 15 - ({axis} + o)]) AS t, wt, v FROM {src}, (VALUES {k}) kk(o, wt)) WHERE t BETWEEN 0 AND 7 GROUP BY 1, 2, 3)"""
@@ -474,6 +500,15 @@ def bay_types(spark, sf):
     return b.select("track_id", "k", F.col("run").cast("long").alias("run"), "wb_type")
 
 
+@register("detect_bays", f"""WITH {PATCHES}{_TYPE}, tl AS (SELECT track_id, k, run, CASE WHEN slope < -0.15 THEN 'AWB' WHEN slope > 0.15 THEN 'CWB' ELSE 'UNK' END AS tilt FROM ty) SELECT track_id, k, run, ty.wb AS bay, tilt FROM ty JOIN tl USING (track_id, k, run)""")
+def detect_bays(spark, sf):
+    """The whole detection on patches by both methods."""
+    p, n = patches(spark, sf), 5
+    a = O.detect_bays(p, _U, "b", "x_rel", "y_rel", "bay", n_levels=n).select("track_id", "k", "run", F.col("wb_type").alias("bay"))
+    b = O.detect_bays(p, _U, "b", "x_rel", "y_rel", "tilt", n_levels=n).select("track_id", "k", "run", F.col("wb_type").alias("tilt"))
+    return a.join(b, ["track_id", "k", "run"]).select("track_id", "k", F.col("run").cast("long").alias("run"), "bay", "tilt")
+
+
 @register("classify_events", f"WITH {PATCHES}{_TYPE} SELECT track_id, CASE WHEN awb AND cwb THEN 'Omega' WHEN awb THEN 'AWB' WHEN cwb THEN 'CWB' ELSE 'NEUTRAL' END AS label FROM lb")
 def classify_events(spark, sf):
     p = patches(spark, sf).withColumn("level", F.lit(300))

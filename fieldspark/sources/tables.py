@@ -109,6 +109,13 @@ def read_clim(spark: SparkSession, root: str, months: list[int] | None = None, p
     return df.filter(F.col("smooth") == (prefer_smooth if prefer_smooth in kinds else not prefer_smooth)).drop("smooth")
 
 
+def read_split_clim(spark: SparkSession, root: str, month: int) -> DataFrame:
+    """Split winds of the climatology of one month, only its folder; a month that is not there gives no rows."""
+    df = spark.read.parquet(root).filter(F.col("month") == month)
+    parts = [f"{c}_{k}_bar" for c in "uv" for k in ("rot", "div")]
+    return df.select("month", "day", "hour", "level", "ilat", "ilon", *[c for c in parts if c in df.columns])
+
+
 def write_patches(df: DataFrame, root: str) -> None:
     """Patches by type, stage and hour; a repeated hour replaces its own part only."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_type", "stage", "dh").parquet(root)
@@ -134,6 +141,11 @@ def missing_patches(wanted: DataFrame, read: DataFrame, keys: list[str]) -> Data
     return wanted.select(*keys).distinct().join(read.select(*keys).distinct(), keys, "left_anti")
 
 
+def unreadable(wanted: DataFrame, read: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """How many expected patches could not be read, by hour or whatever ``by`` names."""
+    return missing_patches(wanted, read, keys).groupBy(*by).agg(F.count("*").alias("n_missing"))
+
+
 def hours_from_names(files: DataFrame, column: str = "path") -> DataFrame:
     return files.select(column, dh_of(F.col(column)).alias("dh"))
 
