@@ -50,19 +50,6 @@ def green(spark: SparkSession, lat0: float, dlat: float, nlat: int, nlon: int, b
     return spark.createDataFrame(rows, "m int, j_out int, j_in int, g double")
 
 
-def _packed(df: DataFrame, cols: list[str], group: list[str], axis: str, n: int) -> DataFrame:
-    """group and for each column an array of its values at axis = 0..n - 1, gaps as 0: one row a line of the grid."""
-    lines = df.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(F.col(axis).alias("_i"), *cols))).alias("_line"))
-    whole = F.size("_line") == n
-
-    def values(c: str):
-        by = F.map_from_entries(F.transform("_line", lambda x: F.struct(x["_i"], x[c])))
-        some = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at(by, i), F.lit(0.0)))
-        return F.when(whole, F.transform("_line", lambda x: F.coalesce(x[c], F.lit(0.0)))).otherwise(some).alias(c)
-
-    return lines.select(*group, *[values(c) for c in cols])
-
-
 def _table(nlon: int, f) -> np.ndarray:
     """f(2 pi k / nlon) for k = 0..nlon - 1."""
     return f(2 * np.pi * np.arange(nlon) / nlon)
@@ -76,7 +63,7 @@ def zonal_dft(df: DataFrame, col: str, keys: list[str], nlon: int) -> DataFrame:
 def _dft(df: DataFrame, cols: dict[str, tuple[str, str]], keys: list[str], nlon: int) -> DataFrame:
     """As ``zonal_dft`` for several columns in one pass: a cell adds to an array of sums, one row a ring and wave comes out."""
     half = nlon // 2
-    rings = _packed(df, list(cols), [*keys, "ilat"], "ilon", nlon)
+    rings = S.packed_lines(df, list(cols), [*keys, "ilat"], "ilon", nlon)
     cos, sin = (F.array(*[F.lit(float(x)) for x in _table(nlon, f)]) for f in (np.cos, np.sin))
 
     def wave(c: str, table, sign: int):
@@ -99,7 +86,7 @@ def _idft(waves: DataFrame, outs: dict[str, tuple[str, str]], keys: list[str], n
     weight = F.when((F.col("m") == 0) | (2 * F.col("m") == nlon), 1.0).otherwise(2.0) / nlon
     names = [c for pair in outs.values() for c in pair]
     weighted = waves.select(*keys, "ilat", "m", *[(weight * F.col(c)).alias(c) for c in names])
-    rings = _packed(weighted, names, [*keys, "ilat"], "m", half + 1)
+    rings = S.packed_lines(weighted, names, [*keys, "ilat"], "m", half + 1)
     cos, sin = (F.array(*[F.lit(float(x)) for x in _table(nlon, f)]) for f in (np.cos, np.sin))
 
     def value(o: str, i):
@@ -147,7 +134,7 @@ def poissons(df: DataFrame, wanted: dict, keys: list[str], table: DataFrame, nla
         pinned = (F.col("m") == 0) & (j == 0)
         waves = waves.select(*keys, "ilat", "m", *[F.when(pinned, 0.0).otherwise(F.col(c)).alias(c) for c in names])
     # one row a slice and wave with all its rows' values, and the table's matrix for that wave: grid constants only
-    packed = _packed(waves, names, [*keys, "m"], "ilat", nlat)
+    packed = S.packed_lines(waves, names, [*keys, "m"], "ilat", nlat)
     lines = table.groupBy("m", "j_out").agg(F.map_from_entries(F.collect_list(F.struct("j_in", "g"))).alias("g"))
     lines = lines.select("m", "j_out", F.transform(F.sequence(F.lit(0), F.lit(nlat - 1)), lambda i: F.coalesce(F.try_element_at("g", i), F.lit(0.0))).alias("g"))
     matrix = lines.groupBy("m").agg(F.sort_array(F.collect_list(F.struct("j_out", "g"))).alias("rows"))

@@ -226,16 +226,31 @@ def fourier_lowpass(df: DataFrame, col: str, out: str, keys: list[str], ny: int,
     return df.join(back, [*keys, "iy", "ix"])
 
 
+def packed_lines(df: DataFrame, cols: list[str], group: list[str], axis: str, n: int) -> DataFrame:
+    """group and for each column an array of its values at axis = 0..n - 1, gaps as 0: one row a line of the grid."""
+    lines = df.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(F.col(axis).alias("_i"), *cols))).alias("_line"))
+    whole = F.size("_line") == n
+
+    def values(c: str):
+        by = F.map_from_entries(F.transform("_line", lambda x: F.struct(x["_i"], x[c])))
+        some = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at(by, i), F.lit(0.0)))
+        return F.when(whole, F.transform("_line", lambda x: F.coalesce(x[c], F.lit(0.0)))).otherwise(some).alias(c)
+
+    return lines.select(*group, *[values(c) for c in cols])
+
+
 def ddx_spectral(df: DataFrame, col: str, out: str, keys: list[str], dlon: float, nlon: int) -> DataFrame:
     """Spectral zonal derivative (Nyquist wave dropped) as a circulant sum."""
     import math
 
     half = (nlon - 1) // 2
     weights = [sum(-2 * m * math.sin(2 * math.pi * m * d / nlon) for m in range(1, half + 1)) / nlon for d in range(nlon)]
-    # derivative at i of value at i' with d = i - i'
-    pairs = df.sparkSession.createDataFrame([(d, w) for d, w in enumerate(weights)], "d int, wt double")
-    sent = df.crossJoin(F.broadcast(pairs)).withColumn("_at", F.pmod(F.col("ilon") + F.col("d"), F.lit(nlon)).cast("int"))
-    s = sent.groupBy(*keys, "ilat", F.col("_at").alias("ilon")).agg(F.sum(F.col(col) * F.col("wt")).alias("_d"))
+    # derivative at i of value at i' with d = i - i'; one row a ring, no pairs of cells
+    table = F.array(*[F.lit(float(w)) for w in weights])
+    at = lambda c, i: F.aggregate(F.transform(c, lambda x, k: x * F.get(table, F.pmod(i - k, F.lit(nlon)))), F.lit(0.0), lambda a, x: a + x)
+    rings = packed_lines(df, [col], [*keys, "ilat"], "ilon", nlon)
+    cells = F.explode(F.transform(F.sequence(F.lit(0), F.lit(nlon - 1)), lambda i: F.struct(i.alias("ilon"), at(col, i).alias("_d")))).alias("_c")
+    s = rings.select(*keys, "ilat", cells).select(*keys, "ilat", "_c.*")
     return df.join(s, [*keys, "ilat", "ilon"]).withColumn(out, F.col("_d") / (R_EARTH * F.cos(F.radians("lat")))).drop("_d")
 
 

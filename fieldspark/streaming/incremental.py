@@ -5,20 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fieldspark.operators.composite import build_composites, merge_composites
 from fieldspark.operators.patches import pending
 
 
-def stream_composites(spark: SparkSession, source: str, schema, state_root: str, fields: list[str], keys: list[str], unit: list[str], checkpoint: str):
+def stream_composites(spark: SparkSession, source: str, schema, state_root: str, fields: list[str], keys: list[str], unit: list[str], checkpoint: str, ts: str | None = None, late: str = "10 days"):
     """Adds new patches to the composite under ``state_root``; returns the finished query.
 
-    Cells that were counted already (same ``unit``) are ignored.  Each batch
+    Cells that were counted already (same ``unit``) are ignored.  With an event
+    time ``ts`` they are remembered for ``late`` behind the newest one, so the
+    memory stays bounded; without, for good.  Each batch
     writes a version of its own; a batch that runs again after a failure
     writes the same version again, from the version before it.
     """
-    patches = spark.readStream.schema(schema).parquet(source).dropDuplicates(unit)
+    patches = spark.readStream.schema(schema).parquet(source)
+    patches = patches.withWatermark(ts, late).dropDuplicatesWithinWatermark(unit) if ts else patches.dropDuplicates(unit)
 
     def add(batch: DataFrame, number: int) -> None:
         part = build_composites(batch, fields, keys)
@@ -32,10 +34,11 @@ def stream_composites(spark: SparkSession, source: str, schema, state_root: str,
 
 
 def current_composite(spark: SparkSession, state_root: str) -> DataFrame:
-    """The newest version."""
-    df = spark.read.parquet(state_root)
-    last = df.agg(F.max("v")).first()[0]
-    return df.filter(F.col("v") == last).drop("v")
+    """The newest version, told by the folders' names."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(state_root)
+    names = [f.getPath().getName() for f in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)]
+    last = max(int(n[2:]) for n in names if n.startswith("v="))
+    return spark.read.parquet(f"{state_root}/v={last}")
 
 
 def stream_pending(spark: SparkSession, source: str, schema, done: Callable[[], DataFrame], keys: list[str], work: Callable[[DataFrame], None], checkpoint: str):
