@@ -152,3 +152,22 @@ def digests(formatted: DataFrame) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"),
         "n_blocks",
     )
+
+
+#: The same rows as ``digests(format_chats(conversations))`` with conversation -7.
+SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, regexp_replace(text, '<(\\*)(/?(?:turn|role|part)>)', '<\1\\\2', 'g') AS out_text,
+    regexp_replace(role, '<(\\*)(/?(?:turn|role|part)>)', '<\1\\\2', 'g') AS out_role,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM c),
+b AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY n) IS DISTINCT FROM role THEN 1 ELSE 0 END AS first FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(out_text)) + sum(first * (20 + length(out_role))) + sum((1 - first) * 6) AS BIGINT) AS formatted_chars,
+  CAST(sum(first) AS BIGINT) AS n_blocks
+FROM b GROUP BY conv_id
+"""

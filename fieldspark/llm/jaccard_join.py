@@ -497,3 +497,23 @@ def jaccard_components(docs: DataFrame, count_links: bool = True) -> DataFrame:
         found = found.join(link_counts(docs, base, found), "id", "left")
         columns.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return base.join(found, base.doc_id == found.id, "left").select(*columns)
+
+
+#: The same rows as ``jaccard_components(documents)`` where doc_ids are distinct: every two documents that share a shingle are compared.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.k + y.k - common)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS reached FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reached = e.a),
+c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY 1),
+d AS (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY 1)
+SELECT doc_id, coalesce(k, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links
+FROM c LEFT JOIN n USING (doc_id) LEFT JOIN d USING (doc_id)
+"""

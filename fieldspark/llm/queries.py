@@ -59,4 +59,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.SQL, "op7_warc": warc.SQL}
+    return {"op2_chat_format": chat_format.SQL, "op4_quality_rules": quality_rules.SQL, "op7_warc": warc.SQL, "op8_jaccard_join": jaccard_join.SQL}

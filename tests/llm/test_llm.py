@@ -5,6 +5,7 @@ import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -619,3 +620,22 @@ def test_hnsw_recall_and_ties(spark):
     assert hit / len(got) >= 0.9
     assert got[got.query_id == 40].sort_values("rank").vec_id.tolist()[:20] == list(range(200, 220))
     assert hnsw.nearest(df.limit(0), "vec_id", "embedding", 20, 20).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_against_their_sql(spark, name):
+    """Whole driver tables of the smallest size, row by row."""
+    import duckdb
+
+    sf = Path("/root/testdata/sf0.001")
+    if not sf.exists():
+        pytest.skip("no driver tables here")
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    want = con.execute(queries.oracle_sql()[name]).df()
+    got = queries.queries()[name](spark, str(sf)).toPandas()
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda df: sorted(map(str, df[sorted(df.columns)].astype(object).where(df[sorted(df.columns)].notna(), None).values.tolist()))
+    clean = lambda x: [r.replace(".0,", ",").replace(".0]", "]") for r in rows(x)]
+    assert clean(got) == clean(want)
