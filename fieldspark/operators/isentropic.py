@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldspark.functions.columns import theta
 from fieldspark.functions.constants import KAPPA
+from fieldspark.operators import basis
+from fieldspark.operators.composite import build_composites, composite_mean
+from fieldspark.operators.terms import signed_sum
 
 
 def bracket(cells: DataFrame, keys: list[str], targets: list[float], theta: str = "theta", carry: tuple[str, ...] = (), from_below: bool = True) -> DataFrame:
@@ -71,3 +75,25 @@ def threshold_pressure(cells: DataFrame, keys: list[str], field: str, value: flo
     hit = c.filter(((F.col("_f") - value) * (F.col("_f1") - value) <= 0) & (F.col("_f") != F.col("_f1")))
     p = F.col("level") + (value - F.col("_f")) / (F.col("_f1") - F.col("_f")) * (F.col("_l1") - F.col("level"))
     return hit.groupBy(*keys).agg(F.min_by(p, "_r").alias("p_cross"))
+
+
+def isentropic_events(patches: DataFrame, unit: list[str], targets: list[float], spec, t: str = "t") -> DataFrame:
+    """unit, iy, ix, theta_level, value: a variable spec of every event's patch on surfaces of theta."""
+    cells = patches.select(*unit, "iy", "ix", theta(F.col(t), F.col("level")).alias("theta"), signed_sum(spec).alias("value"))
+    return to_theta(cells, [*unit, "iy", "ix"], targets, ["value"])
+
+
+def isentropic_composite(on_theta: DataFrame) -> DataFrame:
+    """theta_level, iy, ix: sum_value and n_value over all events."""
+    return build_composites(on_theta, ["value"], ["theta_level", "iy", "ix"])
+
+
+def isentropic_projection(on_theta: DataFrame, unit: list[str], dlat: float, dlon: float, lat: float = 45.0, mask=None) -> DataFrame:
+    """unit, theta_level and the coefficients of every event on the six patterns of the surface's composite."""
+    keys = ["theta_level"]
+    mean = composite_mean(isentropic_composite(on_theta), ["value"]).withColumnRenamed("value", "mean")
+    mean = mean.withColumn("y_rel", F.col("iy") * dlat)
+    c = basis.prenorm(basis.raw_basis(mean, keys, "mean", dlat, dlon, F.lit(lat)), keys)
+    c = basis.basis_weights(basis.basis_mask(c, mask, "mean"), F.col("y_rel") + lat)
+    cells = on_theta.join(c, [*keys, "iy", "ix"])
+    return basis.project(basis.gram(cells, [*unit, *keys], ["value"]), [*unit, *keys], ["value"])

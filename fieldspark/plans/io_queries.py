@@ -8,10 +8,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldspark.operators import composite as K
+from fieldspark.operators import isentropic as I
+from fieldspark.operators import patches as P
 from fieldspark.operators import stencil as T
 from fieldspark.operators import terms as M
 from fieldspark.plans import jobs
-from fieldspark.plans.fields import PI, sql_ddp, sql_ddx, sql_ddy, sql_lap
+from fieldspark.plans.fields import PI, TH, sql_ddp, sql_ddx, sql_ddy, sql_lap
 from fieldspark.plans.inversion import WIND
 from fieldspark.plans.lifecycle import hours
 from fieldspark.plans.proxies import CATALOG, DLAT, DLON, GRID, LAT0, NLAT, NLON, PATCHES, TRACKS, catalog, grid, lifecycle_events, patches, r, tracks
@@ -244,6 +246,32 @@ def job_clim_helmholtz(spark, sf):
     return h.select("level", "ilat", "ilon", r(F.col("u_rot_bar") + F.col("u_div_bar") + F.col("u_har")).alias("u_bar"), r(F.col("lap_psi"), 1e6, 4).alias("lap_psi"), r(F.col("lap_chi"), 1e6, 4).alias("lap_chi"))
 
 
+_TARGETS = (300.0, 330.0, 380.0, 450.0)
+
+
+def _on_theta(spark, sf):
+    """u - v of every track's patch at its event's hour, on surfaces of theta."""
+    (g, _), (e, t) = _world(spark, sf), _moving(spark, sf)
+    centres = jobs.event_hours(e, t, [0], _SPEC).select("track_id", "ts", "jc", "ic")
+    p = P.extract_patches(centres, g.drop("lat", "lon"), _SPEC.half_j, _SPEC.half_i, NLAT, NLON, ["ts"]).filter("level IS NOT NULL")
+    return I.isentropic_events(p, ["track_id"], list(_TARGETS), ["u", "-v"])
+
+
+@register("isentropic_composite", f"""WITH {TRACKS}, {GRID}, {_CENTRES}, th AS (SELECT *, u - v AS spec, {TH} AS theta FROM grid),
+ n AS (SELECT ilat, ilon, theta AS a, lead(theta) OVER w AS b, spec AS q0, lead(spec) OVER w AS q1 FROM th WHERE theta IS NOT NULL WINDOW w AS (PARTITION BY ilat, ilon ORDER BY theta)),
+ h AS (SELECT n.*, tg FROM n, (VALUES {", ".join(f"({x})" for x in _TARGETS)}) t(tg) WHERE tg >= a AND tg <= b), m AS (SELECT ilat, ilon, tg, arg_min({{'a': a, 'b': b, 'q0': q0, 'q1': q1}}, a) AS x FROM h GROUP BY 1, 2, 3)
+ SELECT CAST(tg AS DOUBLE) AS theta_level, CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, round(sum(x.q0 + (tg - x.a) / (x.b - x.a) * (x.q1 - x.q0)), 5) + 0.0 AS sum_value, count(x.q0 + x.q1) AS n_value
+ FROM ce CROSS JOIN range(-2, 3) a(iy) CROSS JOIN range(-3, 4) b(ix) JOIN m ON ilat = jc + iy AND ilon = (ic + ix + 24) % 24 WHERE dh = 0 GROUP BY 1, 2, 3""")
+def isentropic_composite(spark, sf):
+    c = I.isentropic_composite(_on_theta(spark, sf))
+    return c.select("theta_level", "iy", "ix", r(F.col("sum_value"), 1, 5).alias("sum_value"), "n_value")
+
+
+@register("isentropic_projection")
+def isentropic_projection(spark, sf):
+    return I.isentropic_projection(_on_theta(spark, sf), ["track_id"], DLAT, DLON)
+
+
 @register("job_status", f"WITH {TRACKS} SELECT CASE WHEN track_id % 3 = 0 THEN 'done' ELSE 'missing' END AS status, count(DISTINCT track_id) AS n FROM tracks GROUP BY 1")
 def job_status(spark, sf):
     w = lifecycle_events(spark, sf)
