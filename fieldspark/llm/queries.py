@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.llm import chat_format, hnsw, jaccard_join, language_id, packing, quality_rules, suffix_encode, token_counts, warc, wavelet
+from fieldspark.llm import chat_format, collocations, hnsw, jaccard_join, language_id, line_dedup, packing, quality_rules, suffix_encode, token_counts, warc, wavelet
 from fieldspark.llm.common import table
 from fieldspark.llm.tokens import public_path
 
@@ -54,9 +54,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(line_dedup.drop_shared_lines(table(spark, sf_dir, "documents")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat_format.SQL, "op4_quality_rules": quality_rules.SQL, "op7_warc": warc.SQL, "op8_jaccard_join": jaccard_join.SQL}
+    return {"op2_chat_format": chat_format.SQL, "op4_quality_rules": quality_rules.SQL, "op7_warc": warc.SQL, "op8_jaccard_join": jaccard_join.SQL, "op12_line_dedup": line_dedup.SQL}
