@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.llm import chat_format, collocations, hnsw, jaccard_join, language_id, line_dedup, packing, quality_rules, suffix_encode, token_counts, warc, wavelet
+from fieldspark.llm import alignment, chat_format, collocations, hnsw, jaccard_join, language_id, line_dedup, packing, quality_rules, suffix_encode, token_counts, warc, wavelet
 from fieldspark.llm.common import table
 from fieldspark.llm.tokens import public_path
 
@@ -54,6 +54,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), public_path("piece_bpe_32k.model"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(line_dedup.drop_shared_lines(table(spark, sf_dir, "documents")))
 

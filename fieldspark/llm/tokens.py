@@ -47,6 +47,24 @@ def _special(spec: dict, *others: str) -> re.Pattern:
     return re.compile("|".join([*(re.escape(t["content"]) for t in spec["added_tokens"]), *others]) or r"(?!)")
 
 
+def _byte_ranks(path: str) -> tuple[dict, dict[bytes, int]]:
+    """A plain byte-level BPE file and the id of each of its ordinary tokens' bytes."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"]:
+        raise ValueError(f"not a plain byte-level BPE: {path}")
+    back = {c: b for b, c in enumerate(byte_letters())}
+    special = {t["content"] for t in spec["added_tokens"]}
+    return spec, {bytes(back[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in special}
+
+
+def _merges(ranks: dict[bytes, int]):
+    import tiktoken
+
+    pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 @lru_cache(maxsize=2)
 def byte_bpe(path: str):
     """Encoder of a byte-level BPE file of the ``tokenizers`` library.
@@ -57,17 +75,8 @@ def byte_bpe(path: str):
     Texts with special strings or very long white space, which tiktoken's
     pattern can't take, go through the library.
     """
-    import tiktoken
-
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"]:
-        raise ValueError(f"not a plain byte-level BPE: {path}")
-    back = {c: b for b, c in enumerate(byte_letters())}
-    special = {t["content"] for t in spec["added_tokens"]}
-    ranks = {bytes(back[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in special}
-    pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    spec, ranks = _byte_ranks(path)
+    fast = _merges(ranks)
     plain = _special(spec, rf"\s{{{LONG_SPACE}}}").search
 
     def encode(text: str) -> list[int]:
@@ -78,6 +87,34 @@ def byte_bpe(path: str):
     return encode
 
 
+@lru_cache(maxsize=2)
+def ordinary_byte_bpe(path: str):
+    """(text -> ids in which special strings are ordinary text, bytes of each id) of such a file."""
+    from tokenizers import Tokenizer
+
+    _, ranks = _byte_ranks(path)
+    fast = _merges(ranks)
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    long_space = re.compile(rf"\s{{{LONG_SPACE}}}").search
+    texts = [b""] * (max(ranks.values()) + 1)
+    for token, i in ranks.items():
+        texts[i] = token
+    return lambda text: whole.encode(text, add_special_tokens=False).ids if long_space(text) else fast(text), texts
+
+
+@lru_cache(maxsize=2)
+def piece_model(path: str):
+    """(texts -> ids of each, bytes of each id, whether words after a space can be encoded apart) of a SentencePiece file."""
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=path)
+    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    texts = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+    apart = not any(SPACE in p.lstrip(SPACE) for p in pieces)
+    return lambda words: model.encode(words, num_threads=1), texts, apart
+
+
 @lru_cache(maxsize=1)
 def byte_letters() -> list[str]:
     """The printable letter that byte-level BPE files use for each byte."""
