@@ -411,44 +411,35 @@ RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best l
 
 
 def _measure(path_a: str, path_b: str, texts: bool) -> Callable:
-    """Documents' rows from shards to which the counts of their pairs are joined."""
+    """Documents' rows from a shard to which the counts of its pairs are joined."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(shard: pa.Table) -> pa.Table:
         tools = encoder(path_a, path_b)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {k: batch.column(k)[i] for k in batch.schema.names}
-                n_units, codes, unit_groups, a, b, na, nb = (np.frombuffer(row[k].as_py(), "<u4").astype(np.int64) for k in _NUMBERS)
-                g = Groups(a, b, na, nb)
-                links, n_links = _links(g, unit_groups, tools.len_a, tools.len_b)
-                known, n, best = (row[k].values.to_numpy(zero_copy_only=False) if row[k].is_valid else np.zeros(0, np.int64) for k in ("pair", "n", "best"))
-                order = np.argsort(known)
-                at = order[np.minimum(np.searchsorted(known[order], links), max(len(known) - 1, 0))] if len(known) else np.zeros(0, np.int64)
-                # links of units that no good document has are unknown, and are not asked for
-                per_unit = lambda x, size: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], np.cumsum(size)])])
-                first = np.concatenate([[0], np.cumsum(unit_groups)])
-                unit_a = np.diff(np.concatenate([[0], np.cumsum(na)])[first])
-                unit_b = np.diff(np.concatenate([[0], np.cumsum(nb)])[first])
-                counts = per_unit(n[at], n_links) if len(known) else np.zeros(len(n_links), np.int64)
-                bests = per_unit(best[at].astype(np.int64), n_links) if len(known) else np.zeros(len(n_links), np.int64)
-                columns = [per_unit(x[codes], n_units) for x in (unit_a, unit_b, unit_groups, n_links, bests, counts)]
-                offsets = np.concatenate([[0], np.cumsum(n_units)])
-                units = _texts(g, unit_groups)
-                kinds = [pa.int64()] * 6 + [pa.string()] * 2
-                begin = 0
-                while begin < len(n_units):  # a few documents' texts at a time
-                    end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + (1 << 18), "right")) - 1)
-                    mine = units.take(pa.array(codes[offsets[begin] : offsets[end]])).cast(pa.large_string())
-                    lists = pa.ListArray.from_arrays(pa.array(offsets[begin : end + 1] - offsets[begin], pa.int32()), mine)
-                    joined = pc.binary_join(lists, pa.scalar(";", pa.large_string())).to_pylist()
-                    shas = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in joined]
-                    cells = [x[begin:end] for x in columns] + [shas, joined if texts else [None] * (end - begin)]
-                    ids = pa.array(row["doc_id"].as_py()[begin:end], pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [ids, *(pa.array(c, k) for c, k in zip(cells, kinds))],
-                        names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "groups"],
-                    )
-                    begin = end
+        n_units, codes, unit_groups, a, b, na, nb = (np.frombuffer(shard.column(k)[0].as_buffer(), "<u4").astype(np.int64) for k in _NUMBERS)
+        g = Groups(a, b, na, nb)
+        links, n_links = _links(g, unit_groups, tools.len_a, tools.len_b)
+        known, n, best = (shard.column(k).combine_chunks().flatten().to_numpy(zero_copy_only=False) for k in ("pair", "n", "best"))
+        # links of units that no good document has are unknown, and are not asked for
+        order = np.argsort(known)
+        at = order[np.minimum(np.searchsorted(known[order], links), len(known) - 1)] if len(known) else np.zeros(0, np.int64)
+        per = lambda x, size: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], np.cumsum(size)])])
+        nothing = np.zeros(len(n_links), np.int64)
+        per_unit = [per(na, unit_groups), per(nb, unit_groups), unit_groups, n_links]
+        per_unit += [per(x[at].astype(np.int64), n_links) if len(known) else nothing for x in (best, n)]
+        columns = dict(zip(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"), (per(x[codes], n_units) for x in per_unit)))
+        units, upto = _texts(g, unit_groups), np.concatenate([[0], np.cumsum(n_units)])
+        shas, groups = [], []
+        begin = 0
+        while begin < len(n_units):  # a few documents' texts at a time
+            end = max(begin + 1, int(np.searchsorted(upto, upto[begin] + (1 << 18), "right")) - 1)
+            mine = units.take(pa.array(codes[upto[begin] : upto[end]])).cast(pa.large_string())
+            lists = pa.ListArray.from_arrays(pa.array(upto[begin : end + 1] - upto[begin], pa.int32()), mine)
+            joined = pc.binary_join(lists, pa.scalar(";", pa.large_string()))
+            shas += [hashlib.sha256(t.as_buffer()).hexdigest() if t.as_buffer().size else "" for t in joined]
+            groups += joined.to_pylist() if texts else [None] * (end - begin)
+            begin = end
+        ids = shard.column("doc_id").combine_chunks().flatten()
+        return pa.table({"doc_id": ids, **columns, "groups_sha256": pa.array(shas, pa.string()), "groups": pa.array(groups, pa.string())})
 
     return work
 
@@ -463,5 +454,5 @@ def align(
     mine = parts.select("shard", F.explode("pairs").alias("pair")).join(counts, "pair").groupBy("shard")
     mine = mine.agg(F.collect_list(F.struct("pair", "n", "best")).alias("x")).select("shard", F.col("x.pair").alias("pair"), F.col("x.n").alias("n"), F.col("x.best").alias("best"))
     rows = parts.drop("pairs", "held").join(mine, "shard", "left")
-    out = rows.mapInArrow(_measure(path_a, path_b, texts), RESULT)
+    out = rows.groupBy("shard").applyInArrow(_measure(path_a, path_b, texts), RESULT)
     return out if texts else out.drop("groups")
