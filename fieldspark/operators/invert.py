@@ -1,101 +1,149 @@
-"""Linear inversion on the sphere as joins with a constant table.
-
-The discrete Laplacian is diagonal in zonal waves; for each wave m the rows
-obey a tridiagonal system that depends on the grid only.  Its inverse is the
-table ``green(m, j_out, j_in, g)``: rows x rows x waves of the grid, whatever
-the data.  All slices are inverted at once: waves by aggregation, a join with
-the table, waves back by aggregation.
+"""Linear inversion on the sphere, slice by slice in Arrow.
+
+The discrete Laplacian is diagonal in zonal waves; for each wave the rows obey
+a tridiagonal system that depends on the grid only.  A slice (one level of one
+hour) is one group: its rings go through a fast Fourier transform, the factors
+of all waves' systems, made once per process, are applied to all fields of the
+slice in step, and the transform goes back.  Cells keep their other columns on
+the way, so nothing is joined back; work and memory follow the slice.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldspark.functions.columns import omega_dry
 from fieldspark.functions.constants import R_EARTH
 from fieldspark.operators import stencil as S
 
 
-def _matrix(m: int, lat0: float, dlat: float, nlat: int, nlon: int, bc: str) -> np.ndarray:
-    lat = np.deg2rad(lat0 + dlat * np.arange(nlat))
-    dphi, dlam = math.radians(dlat), 2 * math.pi / nlon
-    cos = np.maximum(np.cos(lat), 1e-6)
-    north, south = np.cos(lat + dphi / 2), np.cos(lat - dphi / 2)
-    a = np.zeros((nlat, nlat))
-    for j in range(nlat):
-        if bc == "dirichlet" and j in (0, nlat - 1):
-            a[j, j] = 1.0
-            continue
-        up, down = north[j] / (cos[j] * dphi**2), south[j] / (cos[j] * dphi**2)
-        a[j, j] = 2 * (math.cos(2 * math.pi * m / nlon) - 1) / (cos[j] ** 2 * dlam**2) - up - down
-        # a ghost row beyond an edge mirrors the row inside, but for the edge's slope
-        a[j, j + 1 if j + 1 < nlat else j - 1] += up
-        a[j, j - 1 if j > 0 else j + 1] += down
-    if bc == "neumann" and m == 0:
-        a[0] = 0.0
-        a[0, 0] = 1.0
-    return a
-
-
-def green(spark: SparkSession, lat0: float, dlat: float, nlat: int, nlon: int, bc: str = "dirichlet") -> DataFrame:
-    """m, j_out, j_in, g (m2 included): the inverse for every zonal wave."""
-    rows = []
-    for m in range(nlon // 2 + 1):
-        inverse = np.linalg.inv(_matrix(m, lat0, dlat, nlat, nlon, bc)) * R_EARTH**2
-        rows += [(m, i, j, float(inverse[i, j])) for i in range(nlat) for j in range(nlat) if inverse[i, j]]
-    return spark.createDataFrame(rows, "m int, j_out int, j_in int, g double")
-
-
-def _table(nlon: int, f) -> np.ndarray:
-    """f(2 pi k / nlon) for k = 0..nlon - 1."""
-    return f(2 * np.pi * np.arange(nlon) / nlon)
+@dataclass(frozen=True)
+class Sphere:
+    """A ring grid: rows lat0 + j * dlat, nlon cells around.
 
+    ``edges``: "dirichlet" (0 on the first and last row) or "neumann"
+    (prescribed slopes there).
+    """
 
-def zonal_dft(df: DataFrame, col: str, keys: list[str], nlon: int) -> DataFrame:
-    """keys, ilat, m, re, im for waves 0..nlon/2."""
-    return _dft(df, {col: ("re", "im")}, keys, nlon)
+    lat0: float
+    dlat: float
+    nlat: int
+    nlon: int
+    edges: str = "dirichlet"
 
+    @property
+    def dlon(self) -> float:
+        return 360.0 / self.nlon
 
-def _dft(df: DataFrame, cols: dict[str, tuple[str, str]], keys: list[str], nlon: int) -> DataFrame:
-    """As ``zonal_dft`` for several columns in one pass: a cell adds to an array of sums, one row a ring and wave comes out."""
-    half = nlon // 2
-    rings = S.packed_lines(df, list(cols), [*keys, "ilat"], "ilon", nlon)
-    cos, sin = (F.array(*[F.lit(float(x)) for x in _table(nlon, f)]) for f in (np.cos, np.sin))
+    def with_edges(self, edges: str) -> Sphere:
+        return Sphere(self.lat0, self.dlat, self.nlat, self.nlon, edges)
 
-    def wave(c: str, table, sign: int):
-        def total(m):
-            return F.aggregate(F.transform(c, lambda x, i: x * sign * F.get(table, F.pmod(m * i, F.lit(nlon)))), F.lit(0.0), lambda a, x: a + x)
 
-        return total
+def bands(grid: Sphere) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(below, middle, above) of the Laplacian times R_EARTH squared, by row and wave."""
+    lat = np.deg2rad(grid.lat0 + grid.dlat * np.arange(grid.nlat))[:, None]
+    wave = np.arange(grid.nlon // 2 + 1)[None, :]
+    dphi, dlam = np.deg2rad(grid.dlat), 2 * np.pi / grid.nlon
+    cos = np.maximum(np.cos(lat), 1e-6)
+    up = np.cos(lat + dphi / 2) / (cos * dphi**2) + 0.0 * wave
+    down = np.cos(lat - dphi / 2) / (cos * dphi**2) + 0.0 * wave
+    middle = 2 * (np.cos(2 * np.pi * wave / grid.nlon) - 1) / (cos**2 * dlam**2) - up - down
+    # a ghost row beyond an edge mirrors the row inside, but for the edge's slope
+    up[0], down[-1] = up[0] + down[0], up[-1] + down[-1]
+    up[-1], down[0] = 0.0, 0.0
+    fixed = [(0, slice(None)), (-1, slice(None))] if grid.edges == "dirichlet" else [(0, 0)]
+    for row in fixed:
+        middle[row], up[row], down[row] = 1.0, 0.0, 0.0
+    return down, middle, up
+
+
+@lru_cache(maxsize=8)
+def _factors(grid: Sphere) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward elimination of every wave's system: (below, 1 / pivot, above / pivot)."""
+    down, middle, up = bands(grid)
+    pivot, ratio = np.empty_like(middle), np.empty_like(middle)
+    before = np.zeros(middle.shape[1])
+    for j in range(grid.nlat):
+        pivot[j] = 1.0 / (middle[j] - down[j] * before)
+        before = ratio[j] = up[j] * pivot[j]
+    return down, pivot, ratio
+
+
+def solve_slice(grid: Sphere, fields: np.ndarray) -> np.ndarray:
+    """x with laplacian(x) = fields, for an array (fields, rows, columns)."""
+    down, pivot, ratio = _factors(grid)
+    w = np.fft.rfft(fields, axis=2) * R_EARTH**2
+    if grid.edges == "neumann":
+        w[:, 0, 0] = 0.0
+    w[:, 0] *= pivot[0]
+    for j in range(1, grid.nlat):
+        w[:, j] = (w[:, j] - down[j] * w[:, j - 1]) * pivot[j]
+    for j in range(grid.nlat - 2, -1, -1):
+        w[:, j] -= ratio[j] * w[:, j + 1]
+    return np.fft.irfft(w, n=grid.nlon, axis=2)
+
+
+def _laid_out(cells: pa.Table, cols: list[str], nlat: int, nlon: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(columns as arrays over rows and ring, gaps as 0; row and ring index of each cell)."""
+    j, i = (cells.column(c).to_numpy() for c in ("ilat", "ilon"))
+    out = np.zeros((len(cols), nlat, nlon))
+    for k, c in enumerate(cols):
+        out[k, j, i] = np.nan_to_num(cells.column(c).to_numpy())
+    return out, j, i
+
+
+def _solver(grid: Sphere, sources: dict[str, str]) -> Callable:
+    def solve(cells: pa.Table) -> pa.Table:
+        fields, j, i = _laid_out(cells, list(sources.values()), grid.nlat, grid.nlon)
+        for out, x in zip(sources, solve_slice(grid, fields)):
+            cells = cells.append_column(out, pa.array(x[j, i]))
+        return cells.drop_columns(list(sources.values()))
+
+    return solve
+
+
+def _with(schema: T.StructType, added: list[str], dropped: list[str]) -> T.StructType:
+    kept = [f for f in schema.fields if f.name not in dropped]
+    return T.StructType([*kept, *[T.StructField(c, T.DoubleType()) for c in added]])
 
-    waves = F.transform(F.sequence(F.lit(0), F.lit(half)), lambda m: F.struct(m.alias("m"), *[x for c, (re, im) in cols.items() for x in (wave(c, cos, 1)(m).alias(re), wave(c, sin, -1)(m).alias(im))]))
-    return rings.select(*keys, "ilat", F.explode(waves).alias("_w")).select(*keys, "ilat", "_w.*")
 
+def zonal_dft(df: DataFrame, col: str, keys: list[str], nlon: int) -> DataFrame:
+    """keys, ilat, m, re, im for waves 0..nlon/2; gaps count as 0."""
+    half = nlon // 2 + 1
 
-def zonal_idft(waves: DataFrame, out: str, keys: list[str], nlon: int) -> DataFrame:
-    """The way back: one row per keys, ilat, ilon."""
-    return _idft(waves, {out: ("re", "im")}, keys, nlon)
+    def transform(cells: pa.Table) -> pa.Table:
+        rows = np.unique(cells.column("ilat").to_numpy())
+        fields, _, _ = _laid_out(cells, [col], int(rows.max()) + 1, nlon)
+        w = np.fft.rfft(fields[0][rows], axis=1).ravel()
+        first = {k: pa.array(cells.column(k).slice(0, 1).to_pylist() * len(w), cells.column(k).type) for k in keys}
+        return pa.table(first | {"ilat": np.repeat(rows, half).astype(np.int32), "m": np.tile(np.arange(half, dtype=np.int32), len(rows)), "re": w.real.copy(), "im": w.imag.copy()})
+
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(c, T.IntegerType()) for c in ("ilat", "m")] + [T.StructField(c, T.DoubleType()) for c in ("re", "im")])
+    cells = df.select(*keys, F.col("ilat").cast("int").alias("ilat"), F.col("ilon").cast("int").alias("ilon"), col)
+    return cells.groupBy(*keys).applyInArrow(transform, schema)
 
 
-def _idft(waves: DataFrame, outs: dict[str, tuple[str, str]], keys: list[str], nlon: int) -> DataFrame:
-    half = nlon // 2
-    weight = F.when((F.col("m") == 0) | (2 * F.col("m") == nlon), 1.0).otherwise(2.0) / nlon
-    names = [c for pair in outs.values() for c in pair]
-    weighted = waves.select(*keys, "ilat", "m", *[(weight * F.col(c)).alias(c) for c in names])
-    rings = S.packed_lines(weighted, names, [*keys, "ilat"], "m", half + 1)
-    cos, sin = (F.array(*[F.lit(float(x)) for x in _table(nlon, f)]) for f in (np.cos, np.sin))
+def zonal_idft(waves: DataFrame, out: str, keys: list[str], nlon: int) -> DataFrame:
+    """The way back: one row per keys, ilat, ilon."""
 
-    def value(o: str, i):
-        turned = lambda c, table: F.transform(c, lambda x, m: x * F.get(table, F.pmod(m * i, F.lit(nlon))))
-        terms = F.zip_with(turned(outs[o][0], cos), turned(outs[o][1], sin), lambda a, b: a - b)
-        return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+    def transform(cells: pa.Table) -> pa.Table:
+        rows, at = np.unique(cells.column("ilat").to_numpy(), return_inverse=True)
+        w = np.zeros((len(rows), nlon // 2 + 1), complex)
+        w[at, cells.column("m").to_numpy()] = cells.column("re").to_numpy() + 1j * cells.column("im").to_numpy()
+        x = np.fft.irfft(w, n=nlon, axis=1).ravel()
+        first = {k: pa.array(cells.column(k).slice(0, 1).to_pylist() * len(x), cells.column(k).type) for k in keys}
+        return pa.table(first | {"ilat": np.repeat(rows, nlon).astype(np.int32), "ilon": np.tile(np.arange(nlon, dtype=np.int32), len(rows)), out: x})
 
-    cells = F.transform(F.sequence(F.lit(0), F.lit(nlon - 1)), lambda i: F.struct(i.alias("ilon"), *[value(o, i).alias(o) for o in outs]))
-    return rings.select(*keys, "ilat", F.explode(cells).alias("_c")).select(*keys, "ilat", "_c.*")
+    schema = T.StructType([waves.schema[k] for k in keys] + [T.StructField(c, T.IntegerType()) for c in ("ilat", "ilon")] + [T.StructField(out, T.DoubleType())])
+    return waves.select(*keys, "ilat", "m", "re", "im").groupBy(*keys).applyInArrow(transform, schema)
 
 
 def remove_area_mean(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
@@ -104,7 +152,7 @@ def remove_area_mean(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
     return df.withColumn(col, F.col(col) - F.sum(area * F.col(col)).over(w) / F.sum(F.when(F.col(col).isNotNull(), area)).over(w))
 
 
-def poisson(df: DataFrame, col: str, out: str, keys: list[str], table: DataFrame, nlat: int, nlon: int, bc: str = "dirichlet", slopes: tuple[str, str] | None = None, dlat: float = 0.0) -> DataFrame:
+def poisson(df: DataFrame, col: str, out: str, keys: list[str], grid: Sphere, slopes: tuple[str, str] | None = None) -> DataFrame:
     """Adds ``out`` with laplacian(out) = col on every slice.
 
     "dirichlet": out is 0 on the first and last row.  "neumann": the slopes
@@ -112,37 +160,23 @@ def poisson(df: DataFrame, col: str, out: str, keys: list[str], table: DataFrame
     slice should have no area mean, and the zonal mean of the first row is 0.
     Missing values count as 0.
     """
-    return poissons(df, {out: (col, slopes)}, keys, table, nlat, nlon, bc, dlat)
+    return poissons(df, {out: (col, slopes)}, keys, grid)
 
 
-def poissons(df: DataFrame, wanted: dict, keys: list[str], table: DataFrame, nlat: int, nlon: int, bc: str = "dirichlet", dlat: float = 0.0) -> DataFrame:
+def poissons(df: DataFrame, wanted: dict, keys: list[str], grid: Sphere) -> DataFrame:
     """``poisson`` for several columns, out -> (column, slopes), in one pass over the slices."""
     src, j = df, F.col("ilat")
-    dphi, lat = math.radians(dlat), F.radians("lat")
+    dphi, lat = float(np.deg2rad(grid.dlat)), F.radians("lat")
     for out, (col, slopes) in wanted.items():
         f = F.coalesce(F.col(col), F.lit(0.0))
-        if bc == "dirichlet":
-            f = F.when((j == 0) | (j == nlat - 1), 0.0).otherwise(f)
+        if grid.edges == "dirichlet":
+            f = F.when((j == 0) | (j == grid.nlat - 1), 0.0).otherwise(f)
         elif slopes:
             edge = lambda s, c, sign: sign * F.cos(lat + s * dphi / 2) / F.cos(lat) * 2 * F.coalesce(F.col(c), F.lit(0.0)) / (R_EARTH * dphi)
-            f = f + F.when(j == 0, edge(-1, slopes[0], 1.0)).when(j == nlat - 1, edge(1, slopes[1], -1.0)).otherwise(0.0)
+            f = f + F.when(j == 0, edge(-1, slopes[0], 1.0)).when(j == grid.nlat - 1, edge(1, slopes[1], -1.0)).otherwise(0.0)
         src = src.withColumn(f"_f_{out}", f)
-    pairs = {out: (f"_re_{out}", f"_im_{out}") for out in wanted}
-    names = [c for p in pairs.values() for c in p]
-    waves = _dft(src, {f"_f_{out}": p for out, p in pairs.items()}, keys, nlon)
-    if bc == "neumann":
-        pinned = (F.col("m") == 0) & (j == 0)
-        waves = waves.select(*keys, "ilat", "m", *[F.when(pinned, 0.0).otherwise(F.col(c)).alias(c) for c in names])
-    # one row a slice and wave with all its rows' values, and the table's matrix for that wave: grid constants only
-    packed = S.packed_lines(waves, names, [*keys, "m"], "ilat", nlat)
-    lines = table.groupBy("m", "j_out").agg(F.map_from_entries(F.collect_list(F.struct("j_in", "g"))).alias("g"))
-    lines = lines.select("m", "j_out", F.transform(F.sequence(F.lit(0), F.lit(nlat - 1)), lambda i: F.coalesce(F.try_element_at("g", i), F.lit(0.0))).alias("g"))
-    matrix = lines.groupBy("m").agg(F.sort_array(F.collect_list(F.struct("j_out", "g"))).alias("rows"))
-    dot = lambda g, c: F.aggregate(F.zip_with(g, F.col(c), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    solved = packed.join(F.broadcast(matrix), "m").select(
-        *keys, "m", F.explode(F.transform("rows", lambda t: F.struct(t["j_out"].alias("ilat"), *[dot(t["g"], c).alias(c) for c in names]))).alias("_s")
-    ).select(*keys, "m", "_s.*")
-    return df.join(_idft(solved, pairs, keys, nlon), [*keys, "ilat", "ilon"])
+    sources = {out: f"_f_{out}" for out in wanted}
+    return src.groupBy(*keys).applyInArrow(_solver(grid, sources), _with(src.schema, list(wanted), list(sources.values())))
 
 
 def gradient(df: DataFrame, col: str, outs: tuple[str, str], keys: list[str], dlat: float, dlon: float) -> DataFrame:
@@ -150,7 +184,7 @@ def gradient(df: DataFrame, col: str, outs: tuple[str, str], keys: list[str], dl
     return df.withColumn(outs[0], S.ddx(F.col(col), keys, dlon)).withColumn(outs[1], S.ddy(F.col(col), keys, dlat))
 
 
-def helmholtz(df: DataFrame, keys: list[str], table: DataFrame, lat0: float, dlat: float, dlon: float, nlat: int, nlon: int) -> DataFrame:
+def helmholtz(df: DataFrame, keys: list[str], grid: Sphere) -> DataFrame:
     """Splits u, v into rotational, divergent and harmonic parts.
 
     Adds psi, chi, vort, div, u_rot, v_rot, u_div, v_div, u_har, v_har.  The
@@ -159,13 +193,13 @@ def helmholtz(df: DataFrame, keys: list[str], table: DataFrame, lat0: float, dla
     df = df.withColumn("_m", F.col("u").isNotNull() & F.col("v").isNotNull())
     safe = df.withColumn("_u", F.col("u")).withColumn("_v", F.col("v"))
     safe = safe.withColumn("u", F.coalesce("u", F.lit(0.0))).withColumn("v", F.coalesce("v", F.lit(0.0)))
-    safe = S.with_vorticity_divergence(safe, keys, dlat, dlon)
+    safe = S.with_vorticity_divergence(safe, keys, grid.dlat, grid.dlon)
     safe = remove_area_mean(remove_area_mean(safe.withColumn("_z", F.col("vort")).withColumn("_d", F.col("div")), "_z", keys), "_d", keys)
     # psi: u = -d psi / dy; chi: v = d chi / dy
     safe = safe.withColumn("_pu", -F.col("u")).withColumn("_cv", F.col("v"))
-    safe = poissons(safe, {"psi": ("_z", ("_pu", "_pu")), "chi": ("_d", ("_cv", "_cv"))}, keys, table, nlat, nlon, "neumann", dlat)
-    safe = gradient(safe, "psi", ("v_rot", "_py"), keys, dlat, dlon).withColumn("u_rot", -F.col("_py"))
-    safe = gradient(safe, "chi", ("u_div", "v_div"), keys, dlat, dlon)
+    safe = poissons(safe, {"psi": ("_z", ("_pu", "_pu")), "chi": ("_d", ("_cv", "_cv"))}, keys, grid.with_edges("neumann"))
+    safe = gradient(safe, "psi", ("v_rot", "_py"), keys, grid.dlat, grid.dlon).withColumn("u_rot", -F.col("_py"))
+    safe = gradient(safe, "chi", ("u_div", "v_div"), keys, grid.dlat, grid.dlon)
     safe = safe.withColumn("u_har", F.col("u") - F.col("u_rot") - F.col("u_div")).withColumn("v_har", F.col("v") - F.col("v_rot") - F.col("v_div"))
     parts = ("psi", "chi", "vort", "div", "u_rot", "v_rot", "u_div", "v_div", "u_har", "v_har")
     for c in parts:
@@ -173,30 +207,34 @@ def helmholtz(df: DataFrame, keys: list[str], table: DataFrame, lat0: float, dla
     return safe.withColumn("u", F.col("_u")).withColumn("v", F.col("_v")).drop("_m", "_u", "_v", "_z", "_d", "_pu", "_cv", "_py")
 
 
-def chi_wind(df: DataFrame, omega: str, outs: tuple[str, str], keys: list[str], table: DataFrame, dlat: float, dlon: float, nlat: int, nlon: int) -> DataFrame:
-    """Divergent wind of a vertical motion: laplacian(chi) = -d omega / dp, fixed-zero edges; adds chi, too."""
+def chi_winds(df: DataFrame, motions: dict[str, tuple[str, str, str]], keys: list[str], grid: Sphere) -> DataFrame:
+    """Divergent winds of vertical motions, column -> (chi, u, v): laplacian(chi) = -d omega / dp, fixed-zero edges."""
     slices = [*keys, "level"]
-    df = df.withColumn("_src", -S.ddp(F.col(omega), keys, F.col("level")))
-    df = remove_area_mean(df, "_src", slices)
-    df = poisson(df, "_src", "chi", slices, table, nlat, nlon)
-    return gradient(df, "chi", outs, slices, dlat, dlon).drop("_src")
+    for omega in motions:
+        df = df.withColumn(f"_src_{omega}", -S.ddp(F.col(omega), keys, F.col("level")))
+    for omega in motions:
+        df = remove_area_mean(df, f"_src_{omega}", slices)
+    df = poissons(df, {chi: (f"_src_{omega}", None) for omega, (chi, _, _) in motions.items()}, slices, grid.with_edges("dirichlet"))
+    for chi, u, v in motions.values():
+        df = gradient(df, chi, (u, v), slices, grid.dlat, grid.dlon)
+    return df.drop(*[f"_src_{omega}" for omega in motions])
 
 
-def omega_winds(df: DataFrame, parts: dict, keys: list[str], table: DataFrame, dlat: float, dlon: float, nlat: int, nlon: int) -> DataFrame:
+def omega_winds(df: DataFrame, parts: dict, keys: list[str], grid: Sphere) -> DataFrame:
     """component, omega, chi, u_div, v_div of several vertical motions (name -> Column), all in one job."""
     each = F.array(*[F.struct(F.lit(n).alias("n"), w.alias("w")) for n, w in parts.items()])
     long = df.select(*keys, "level", "ilat", "ilon", "lat", "lon", F.explode(each).alias("p"))
     long = long.select(*keys, F.col("p.n").alias("component"), "level", "ilat", "ilon", "lat", "lon", F.col("p.w").alias("omega"))
-    return chi_wind(long, "omega", ("u_div", "v_div"), [*keys, "component"], table, dlat, dlon, nlat, nlon)
+    return chi_winds(long, {"omega": ("chi", "u_div", "v_div")}, [*keys, "component"], grid)
 
 
-def decompose_omega(df: DataFrame, total: str, adiabatic: str, keys: list[str], table: DataFrame, dlat: float, dlon: float, nlat: int, nlon: int) -> DataFrame:
+def decompose_omega(df: DataFrame, total: str, adiabatic: str, keys: list[str], grid: Sphere) -> DataFrame:
     """The divergent winds of total, adiabatic and the remaining motion over a ``component`` key."""
     parts = {"total": F.col(total), "adiabatic": F.col(adiabatic), "diabatic": F.col(total) - F.col(adiabatic)}
-    return omega_winds(df, parts, keys, table, dlat, dlon, nlat, nlon)
+    return omega_winds(df, parts, keys, grid)
 
 
-def with_omega_parts(df: DataFrame, keys: list[str], table: DataFrame, dlat: float, dlon: float, nlat: int, nlon: int, known=("adiabatic", "diabatic", "qg_diabatic", "lhr_moist")) -> DataFrame:
+def with_omega_parts(df: DataFrame, keys: list[str], grid: Sphere, known=("adiabatic", "diabatic", "qg_diabatic", "lhr_moist")) -> DataFrame:
     """Adds w_<part> where it can be told, and u_div_<part>, v_div_<part> of every part there is.
 
     Without an adiabatic column it is a third of w; diabatic is the rest.  The
@@ -207,10 +245,8 @@ def with_omega_parts(df: DataFrame, keys: list[str], table: DataFrame, dlat: flo
     if "w_diabatic" not in df.columns:
         df = df.withColumn("w_diabatic", F.col("w") - F.col("w_adiabatic"))
     parts = [p for p in known if f"w_{p}" in df.columns]
-    long = omega_winds(df, {p: F.col(f"w_{p}") for p in parts}, keys, table, dlat, dlon, nlat, nlon)
-    at = lambda c, p: F.max(F.when(F.col("component") == p, F.col(c))).alias(f"{c}_{p}")
-    wide = long.groupBy(*keys, "level", "ilat", "ilon").agg(*[at(c, p) for p in parts for c in ("u_div", "v_div")])
-    return df.join(wide, [*keys, "level", "ilat", "ilon"])
+    df = chi_winds(df, {f"w_{p}": (f"_chi_{p}", f"u_div_{p}", f"v_div_{p}") for p in parts}, keys, grid)
+    return df.drop(*[f"_chi_{p}" for p in parts])
 
 
 def additivity_error(parts: DataFrame, cols: tuple[str, ...]) -> DataFrame:

@@ -91,6 +91,16 @@ def ddt(c: Column, keys: list[str], seconds: float, edge_order: int = 1) -> Colu
     return (centred if edge_order == 1 else centred_second)(c, keys, "ts", F.lit(float(seconds)))
 
 
+def ddt_hourly(c: Column, keys: list[str], seconds: int = 3600) -> Column:
+    """d/dt from the values exactly ``seconds`` before and after, whatever rows lie between.
+
+    Centred where both are there, one-sided where one is, else NULL.
+    """
+    now = Window.partitionBy(*keys).orderBy(F.unix_seconds("ts"))
+    before, after = (F.first(c).over(now.rangeBetween(d, d)) for d in (-seconds, seconds))
+    return F.coalesce((after - before) / (2.0 * seconds), (after - c) / float(seconds), (c - before) / float(seconds))
+
+
 def d_dlambda(c: Column, keys: list[str], dlon: float, periodic: bool = True) -> Column:
     return centred_second(c, [*keys, "ilat"], "ilon", F.radians(F.lit(dlon)), periodic)
 

@@ -13,6 +13,8 @@ from fieldspark.plans.fields import HEAT, LV, PI, RAD, _cells, _sql, heating, sq
 from fieldspark.plans.proxies import DLAT, DLON, GRID, LAT0, NLAT, NLON, grid, r
 from fieldspark.plans.registry import register
 
+_SPHERE = invert.Sphere(LAT0, DLAT, NLAT, NLON)
+
 _RAMP = f"(greatest(0.0, least(1.0, (lat - 15) / 10)) * greatest(0.0, least(1.0, (85 - lat) / 5)))"
 _F0 = f"(2 * {OMEGA} * sin(45 * {RAD}))"
 
@@ -90,7 +92,7 @@ def zonal_waves_round_trip(spark, sf):
 def poisson_fixed_edges(spark, sf):
     """Laplacian of the inverse gives the source again at inner rows."""
     g = grid(spark, sf)
-    x = invert.poisson(g, "u", "x", LV, invert.green(spark, LAT0, DLAT, NLAT, NLON), NLAT, NLON)
+    x = invert.poisson(g, "u", "x", LV, _SPHERE)
     return S.with_laplacian(x, "x", "back", LV, DLAT, DLON).select("level", "ilat", "ilon", r(F.col("back")).alias("back"))
 
 
@@ -100,7 +102,7 @@ WIND = f""", g0 AS (SELECT level, ilat, ilon, lat, coalesce(u, 0) AS u, coalesce
 
 
 def _split(spark, sf):
-    return invert.helmholtz(grid(spark, sf), LV, invert.green(spark, LAT0, DLAT, NLAT, NLON, "neumann"), LAT0, DLAT, DLON, NLAT, NLON)
+    return invert.helmholtz(grid(spark, sf), LV, _SPHERE)
 
 
 @register("helmholtz_split", f"""WITH {GRID}{WIND}
@@ -144,7 +146,7 @@ def omega_divergent_wind(spark, sf):
     g = grid(spark, sf)
     parts = {"total": F.col("w"), "adiabatic": C.omega_dry(F.col("w")), "diabatic": F.col("w") - C.omega_dry(F.col("w")), "qg_diabatic": 0.5 * F.col("w"), "lhr_moist": 0.2 * F.col("w") * F.col("w")}
     keys = ["component", "level"]
-    d = invert.omega_winds(g, parts, [], invert.green(spark, LAT0, DLAT, NLAT, NLON), DLAT, DLON, NLAT, NLON)
+    d = invert.omega_winds(g, parts, [], _SPHERE)
     d = invert.gradient(S.with_laplacian(d, "chi", "lap_chi", keys, DLAT, DLON), "chi", ("_cx", "_cy"), keys, DLAT, DLON)
     fit = (F.abs(F.col("u_div") - F.col("_cx")) < 1e-9) & (F.abs(F.col("v_div") - F.col("_cy")) < 1e-9)
     size = F.max(F.abs("chi")).over(Window.partitionBy("component"))
@@ -156,7 +158,7 @@ def omega_divergent_wind(spark, sf):
 def omega_additivity(spark, sf):
     """The parts' winds, inverted each by itself, add up to the total's to 1e-10 of its size; the total is that of its source."""
     g = grid(spark, sf).withColumn("dry", C.omega_dry(F.col("w")))
-    d = invert.decompose_omega(g, "w", "dry", [], invert.green(spark, LAT0, DLAT, NLAT, NLON), DLAT, DLON, NLAT, NLON)
+    d = invert.decompose_omega(g, "w", "dry", [], _SPHERE)
     d = S.with_laplacian(d, "chi", "lap_chi", ["component", "level"], DLAT, DLON)
     e = invert.additivity_error(d, ("u_div", "v_div"))
     size = d.agg(F.max(F.abs("u_div")).alias("u"), F.max(F.abs("v_div")).alias("v"))

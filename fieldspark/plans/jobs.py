@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions import columns as C
+from fieldspark.functions.constants import MEAN_LEVELS
 from fieldspark.operators import basis as B
 from fieldspark.operators import composite as K
 from fieldspark.operators import invert, overturn
@@ -16,6 +18,10 @@ from fieldspark.operators import patches as P
 from fieldspark.operators import stencil as S
 from fieldspark.operators import terms as M
 from fieldspark.sources.scratch import written
+from fieldspark.sources.tables import read_patches
+
+#: Files that an hour of a stage may have at once.
+FILES = 16
 
 
 @dataclass(frozen=True)
@@ -28,6 +34,11 @@ class GridSpec:
     nlon: int = 240
 
 
+    @property
+    def sphere(self) -> invert.Sphere:
+        return invert.Sphere(self.lat0, self.dlat, self.nlat, self.nlon)
+
+
 @dataclass(frozen=True)
 class ComputeConfig:
     grid: GridSpec = field(default_factory=GridSpec)
@@ -58,40 +69,68 @@ def clim_smooth(climate: DataFrame, fields: list[str], n_steps: int, nlon: int,
 
 def clim_helmholtz(climate: DataFrame, grid: GridSpec) -> DataFrame:
     """Split winds of a climatology: every (month, day, hour, level) is a slice."""
-    spark = climate.sparkSession
     c = climate.select("month", "day", "hour", "level", "ilat", "ilon", (F.lit(grid.lat0) + grid.dlat * F.col("ilat")).alias("lat"), F.col("u_bar").alias("u"), F.col("v_bar").alias("v"))
-    table = invert.green(spark, grid.lat0, grid.dlat, grid.nlat, grid.nlon, "neumann")
-    h = invert.helmholtz(c, ["month", "day", "hour", "level"], table, grid.lat0, grid.dlat, grid.dlon, grid.nlat, grid.nlon)
+    h = invert.helmholtz(c, ["month", "day", "hour", "level"], grid.sphere)
     return h.withColumnsRenamed({c: f"{c}_bar" for c in ("u", "v", "u_rot", "v_rot", "u_div", "v_div")})
 
 
-def budget_fields(cells: DataFrame, climate: DataFrame, config: ComputeConfig) -> DataFrame:
-    """Anomalies, gradients and all products of gridded hours, once per hour whatever the events.
+#: What the budget reads of an archive, and which of it changes in time.
+WINDS = ("u", "v", "w", "pv")
+SPLIT = ("u_rot", "v_rot", "u_div", "v_div")
+
+
+def with_tendencies(cells: DataFrame) -> DataFrame:
+    """d/dt of pv, its mean and its anomaly and, where there is a temperature, of t and theta, by neighbouring hours."""
+    cell = ["level", "ilat", "ilon"]
+    if "t" in cells.columns:
+        cells = cells.withColumn("theta", C.theta(F.col("t"), F.col("level")))
+    names = [c for c in ("pv", "pv_bar", "pv_anom", "t", "theta") if c in cells.columns]
+    return cells.select("*", *[S.ddt_hourly(F.col(c), cell).alias(f"{c}_dt") for c in names])
+
+
+def with_heating(cells: DataFrame, grid: GridSpec) -> DataFrame:
+    """theta_dot (latent heat of rising air), its slope theta_dot_dp, zeta and the source Q, from t, q, w, u and v."""
+    t, p, q, level = F.col("t"), F.col("level"), F.col("q"), F.col("level")
+    c = cells.withColumn("theta", C.theta(t, p)).withColumn("theta_e", C.theta_e(t, p, q))
+    c = c.withColumn("theta_dp", S.ddp(F.col("theta"), ["ts"], level)).withColumn("theta_e_dp", S.ddp(F.col("theta_e"), ["ts"], level))
+    c = c.withColumn("theta_dot", C.latent_heating(F.col("w"), t, p, q, F.col("theta_dp"), F.col("theta_e_dp")))
+    c = c.withColumn("theta_dot_dp", S.ddp(F.col("theta_dot"), ["ts"], level))
+    c = c.withColumn("_vx", S.ddx(F.col("v"), ["ts", "level"], grid.dlon)).withColumn("_uy", S.ddy(F.col("u"), ["ts", "level"], grid.dlat))
+    c = c.withColumn("zeta", F.col("_vx") - F.col("_uy")).drop("_vx", "_uy")
+    return c.withColumn("Q", C.vorticity_source(C.coriolis(F.col("lat")), F.col("zeta"), F.col("theta_dot_dp")))
+
+
+def budget_fields(cells: DataFrame, climate: DataFrame, config: ComputeConfig, hours: DataFrame | None = None, split_climate: DataFrame | None = None) -> DataFrame:
+    """Anomalies, derivatives, sources and all products of gridded hours, once per hour whatever the events.
 
-    With ``winds``: rotational and divergent winds with their anomalies from the
-    split climatology (0 where it has none), and the divergent winds of the
-    parts of the vertical motion.  A column ``theta_dot_dp`` gives the source Q.
+    ``hours`` (ts): the hours that are wanted; others in ``cells`` only lend
+    their values to the tendencies.  With t and q there are theta_dot and the
+    source Q.  With ``winds``: rotational and divergent winds with their
+    anomalies from ``split_climate`` (columns u_rot_bar, ...; worked out from
+    ``climate`` where it isn't given; 0 where it has no value), and the
+    divergent winds of the parts of the vertical motion, of which
+    w_qg_diabatic and w_lhr_moist are columns of ``cells``.
     """
-    g, keys = config.grid, ["level", "ilat", "ilon"]
-    f = K.anomaly(cells, climate, ["u", "v", "w", "pv"], keys)
+    g, keys, level = config.grid, ["level", "ilat", "ilon"], ["ts", "level"]
+    f = with_tendencies(K.anomaly(cells, climate, list(WINDS), keys))
+    if hours is not None:
+        f = f.join(hours, "ts", "left_semi")
     for m in ("bar", "anom"):
         q = F.col(f"pv_{m}")
-        f = f.withColumn(f"pv_{m}_dx", S.ddx(q, ["ts", "level"], g.dlon)).withColumn(f"pv_{m}_dy", S.ddy(q, ["ts", "level"], g.dlat))
+        f = f.withColumn(f"pv_{m}_dx", S.ddx(q, level, g.dlon)).withColumn(f"pv_{m}_dy", S.ddy(q, level, g.dlat))
         f = f.withColumn(f"pv_{m}_dp", S.ddp(q, ["ts"], F.col("level")))
+    f = f.withColumn("_px", F.col("pv_bar_dx") + F.col("pv_anom_dx")).withColumn("_py", F.col("pv_bar_dy") + F.col("pv_anom_dy"))
+    f = f.withColumn("pv_dx_dx", S.ddx(F.col("_px"), level, g.dlon)).withColumn("pv_dy_dy", S.ddy(F.col("_py"), level, g.dlat)).withColumn("pv_dx_dy", S.ddy(F.col("_px"), level, g.dlat)).drop("_px", "_py")
+    if {"t", "q"} <= set(f.columns):
+        f = with_heating(f, g)
     if config.winds:
-        spark, size = cells.sparkSession, (g.dlat, g.dlon, g.nlat, g.nlon)
-        f = invert.helmholtz(f, ["ts", "level"], invert.green(spark, g.lat0, g.dlat, g.nlat, g.nlon, "neumann"), g.lat0, *size)
-        # later steps take the hours once more: written, they are not worked out anew
-        f = written(f, "split")
-        split = ["u_rot", "v_rot", "u_div", "v_div"]
-        days = f.select("month", "day", "hour").distinct()
-        at = climate.join(F.broadcast(days), ["month", "day", "hour"], "left_semi")  # at most the calendar's hours
-        mean = clim_helmholtz(at, g)
-        f = K.anomaly(f, mean.select("month", "day", "hour", *keys, *[f"{c}_bar" for c in split]), split, keys, "left", 0.0)
-        f = invert.with_omega_parts(f, ["ts"], invert.green(spark, g.lat0, g.dlat, g.nlat, g.nlon), *size)
-    if "theta_dot_dp" in f.columns:
-        zeta = F.col("vort") if config.winds else F.lit(0.0)
-        f = f.withColumn("Q", C.vorticity_source(C.coriolis(F.col("lat")), zeta, F.col("theta_dot_dp")))
+        f = invert.helmholtz(f, level, g.sphere)
+        if split_climate is None:
+            days = f.select("month", "day", "hour").distinct() if hours is None else hours.select(F.month("ts").alias("month"), F.day("ts").alias("day"), F.hour("ts").alias("hour")).distinct()
+            at = climate.join(F.broadcast(days), ["month", "day", "hour"], "left_semi")  # at most the calendar's hours
+            split_climate = clim_helmholtz(at, g).select("month", "day", "hour", *keys, *[f"{c}_bar" for c in SPLIT])
+        f = K.anomaly(f, split_climate, list(SPLIT), keys, "left", 0.0)
+        f = invert.with_omega_parts(f, ["ts"], g.sphere)
     return M.product_terms(f)
 
 
@@ -104,7 +143,7 @@ def event_hours(events: DataFrame, tracks: DataFrame, offsets: Iterable[int], co
     return P.nearest_cell(P.lagrangian_centre(hours, tracks), "lat_c", "lon_c", g.lat0, g.dlat, g.nlat, g.lon0, g.dlon, g.nlon)
 
 
-def compute(events: DataFrame, tracks: DataFrame, cells: DataFrame, climate: DataFrame, offsets: Iterable[int], config: ComputeConfig, done: DataFrame | None = None) -> DataFrame:
+def compute(events: DataFrame, tracks: DataFrame, cells: DataFrame, climate: DataFrame, offsets: Iterable[int], config: ComputeConfig, done: DataFrame | None = None, split_climate: DataFrame | None = None) -> DataFrame:
     """Events to patch cells: hours, moving centres, windows, fields and products.
 
     Fields are worked out for the hours that some event needs only.  An event
@@ -112,13 +151,49 @@ def compute(events: DataFrame, tracks: DataFrame, cells: DataFrame, climate: Dat
     ``event_status`` tells of it.
     """
     g = config.grid
-    centres = event_hours(events, tracks, offsets, config, done)
-    needed = cells.join(centres.select("ts").distinct(), "ts", "left_semi")
-    fields = budget_fields(needed, climate, config)
-    cut = P.extract_patches(centres.filter("lat_c IS NOT NULL AND lon_c IS NOT NULL"), fields.drop("lat", "lon"), config.half_j, config.half_i, g.nlat, g.nlon, ["ts"])
+    centres = event_hours(events, tracks, offsets, config, done).filter("lat_c IS NOT NULL AND lon_c IS NOT NULL")
+    hours = written(centres.select("ts").distinct(), "hours")
+    # the hours before and after lend their values to the tendencies
+    halo = hours.select(F.explode(F.array(*[F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(h), F.lit(0), F.lit(0)) for h in (-1, 0, 1)])).alias("ts")).distinct()
+    fields = budget_fields(cells.join(halo, "ts", "left_semi"), climate, config, hours, split_climate)
+    cut = P.extract_patches(centres, fields.drop("lat", "lon"), config.half_j, config.half_i, g.nlat, g.nlon, ["ts"])
     return cut.withColumn("x_rel", F.col("ix") * g.dlon).withColumn("y_rel", F.col("iy") * g.dlat)
 
 
+#: What tells a patch from others.
+PATCH = ["event_type", "stage", "dh", "track_id"]
+
+
+def vertical_means(patches: DataFrame, fields: list[str], levels=MEAN_LEVELS) -> DataFrame:
+    """The patches' fields as weighted means over ``levels`` (z is a geopotential), one row a cell of the window."""
+    return K.vertical_mean(patches.withColumn("z", C.geopotential_to_m(F.col("z"))), fields, [*PATCH, "iy", "ix"], levels)
+
+
+def compute_into(root: str, events: DataFrame, tracks: DataFrame, cells: DataFrame, climate: DataFrame, offsets: Iterable[int], config: ComputeConfig, split_climate: DataFrame | None = None) -> int:
+    """``compute`` for the patches that are not in the folder ``root`` yet, added to it; how many were wanting.
+
+    Patches lie by type, stage and hour.  What is done is read from the patches
+    themselves, so a run that was stopped goes on where it ended, and a
+    finished one writes nothing.
+    """
+    spark, offsets = events.sparkSession, list(offsets)
+    try:
+        done = read_patches(spark, root).select(*PATCH).distinct()
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        done = None
+    if done is not None:
+        done = written(done, "done")
+    wanting = event_hours(events, tracks, offsets, config, done).filter("lat_c IS NOT NULL AND lon_c IS NOT NULL").join(cells.select("ts").distinct(), "ts", "left_semi")
+    n = wanting.select(*PATCH).distinct().count()
+    if n:
+        found = compute(events, tracks, cells, climate, offsets, config, done, split_climate).filter("level IS NOT NULL")
+        # one partition a type, stage and hour, in as many files as its rows need
+        found.repartition("event_type", "stage", "dh", F.pmod(F.xxhash64("track_id"), F.lit(FILES))).write.mode("append").partitionBy("event_type", "stage", "dh").parquet(root)
+    return n
+
+
 def event_status(events: DataFrame, tracks: DataFrame, cells: DataFrame, offsets: Iterable[int], config: ComputeConfig) -> DataFrame:
     """event_type, stage, track_id, dh, status: ready, no_place or no_field, for every hour of every event."""
     hours = event_hours(events, tracks, offsets, config)

@@ -37,8 +37,8 @@ def test_linear_in_latitude(spark):
 @pytest.mark.parametrize("bc", ["dirichlet", "neumann"])
 def test_laplacian_of_inverse(spark, bc):
     g = cells(spark).withColumn("f", F.sin(F.radians(3 * F.col("lat"))) * F.cos(F.radians(4 * F.col("lon"))) * 1e-10)
-    table = invert.green(spark, 10.0, 5.0, 13, 24, bc)
-    x = invert.poisson(invert.remove_area_mean(g, "f", ["level"]), "f", "x", ["level"], table, 13, 24, bc)
+    sphere = invert.Sphere(10.0, 5.0, 13, 24, bc)
+    x = invert.poisson(invert.remove_area_mean(g, "f", ["level"]), "f", "x", ["level"], sphere)
     back = S.with_laplacian(x, "x", "b", ["level"], 5.0, 15.0).filter("ilat > 0 AND ilat < 12")
     worst = back.agg(F.max(F.abs(F.col("b") - F.col("f")))).first()[0]
     assert worst < 1e-21
@@ -47,7 +47,7 @@ def test_laplacian_of_inverse(spark, bc):
 def test_wind_parts_add_up(spark):
     g = cells(spark).withColumn("u", F.sin(F.radians(2 * F.col("lat")))).withColumn("v", 0.5 * F.cos(F.radians(3 * F.col("lat"))))
     g = g.withColumn("u", F.when(F.col("ilon") != 3, F.col("u")))
-    h = invert.helmholtz(g, ["level"], invert.green(spark, 10.0, 5.0, 13, 24, "neumann"), 10.0, 5.0, 15.0, 13, 24)
+    h = invert.helmholtz(g, ["level"], invert.Sphere(10.0, 5.0, 13, 24))
     worst, gaps = h.agg(F.max(F.abs(F.col("u_rot") + F.col("u_div") + F.col("u_har") - F.col("u"))), F.count_if(F.col("psi").isNull())).first()
     assert worst < 1e-12 and gaps == 13
 
