@@ -176,12 +176,22 @@ def poissons(df: DataFrame, wanted: dict, keys: list[str], grid: Sphere) -> Data
             f = f + F.when(j == 0, edge(-1, slopes[0], 1.0)).when(j == grid.nlat - 1, edge(1, slopes[1], -1.0)).otherwise(0.0)
         src = src.withColumn(f"_f_{out}", f)
     sources = {out: f"_f_{out}" for out in wanted}
-    return src.groupBy(*keys).applyInArrow(_solver(grid, sources), _with(src.schema, list(wanted), list(sources.values())))
+    # times travel as whole microseconds: Arrow's time zone is the session's, the schema's need not be
+    times = [f.name for f in src.schema.fields if isinstance(f.dataType, T.TimestampType)]
+    src = src.withColumns({c: F.unix_micros(c) for c in times})
+    solved = src.groupBy(*keys).applyInArrow(_solver(grid, sources), _with(src.schema, list(wanted), list(sources.values())))
+    return solved.withColumns({c: F.timestamp_micros(c) for c in times})
 
 
 def gradient(df: DataFrame, col: str, outs: tuple[str, str], keys: list[str], dlat: float, dlon: float) -> DataFrame:
     """Zonal and meridional gradient of a potential."""
-    return df.withColumn(outs[0], S.ddx(F.col(col), keys, dlon)).withColumn(outs[1], S.ddy(F.col(col), keys, dlat))
+    return gradients(df, {col: outs}, keys, dlat, dlon)
+
+
+def gradients(df: DataFrame, wanted: dict[str, tuple[str, str]], keys: list[str], dlat: float, dlon: float) -> DataFrame:
+    """``gradient`` of several columns: one shuffle along the rings, one along the meridians."""
+    df = df.withColumns({x: S.ddx(F.col(c), keys, dlon) for c, (x, _) in wanted.items()})
+    return df.withColumns({y: S.ddy(F.col(c), keys, dlat) for c, (_, y) in wanted.items()})
 
 
 def helmholtz(df: DataFrame, keys: list[str], grid: Sphere) -> DataFrame:
@@ -198,8 +208,7 @@ def helmholtz(df: DataFrame, keys: list[str], grid: Sphere) -> DataFrame:
     # psi: u = -d psi / dy; chi: v = d chi / dy
     safe = safe.withColumn("_pu", -F.col("u")).withColumn("_cv", F.col("v"))
     safe = poissons(safe, {"psi": ("_z", ("_pu", "_pu")), "chi": ("_d", ("_cv", "_cv"))}, keys, grid.with_edges("neumann"))
-    safe = gradient(safe, "psi", ("v_rot", "_py"), keys, grid.dlat, grid.dlon).withColumn("u_rot", -F.col("_py"))
-    safe = gradient(safe, "chi", ("u_div", "v_div"), keys, grid.dlat, grid.dlon)
+    safe = gradients(safe, {"psi": ("v_rot", "_py"), "chi": ("u_div", "v_div")}, keys, grid.dlat, grid.dlon).withColumn("u_rot", -F.col("_py"))
     safe = safe.withColumn("u_har", F.col("u") - F.col("u_rot") - F.col("u_div")).withColumn("v_har", F.col("v") - F.col("v_rot") - F.col("v_div"))
     parts = ("psi", "chi", "vort", "div", "u_rot", "v_rot", "u_div", "v_div", "u_har", "v_har")
     for c in parts:
@@ -210,13 +219,11 @@ def helmholtz(df: DataFrame, keys: list[str], grid: Sphere) -> DataFrame:
 def chi_winds(df: DataFrame, motions: dict[str, tuple[str, str, str]], keys: list[str], grid: Sphere) -> DataFrame:
     """Divergent winds of vertical motions, column -> (chi, u, v): laplacian(chi) = -d omega / dp, fixed-zero edges."""
     slices = [*keys, "level"]
-    for omega in motions:
-        df = df.withColumn(f"_src_{omega}", -S.ddp(F.col(omega), keys, F.col("level")))
+    df = df.withColumns({f"_src_{omega}": -S.ddp(F.col(omega), keys, F.col("level")) for omega in motions})
     for omega in motions:
         df = remove_area_mean(df, f"_src_{omega}", slices)
     df = poissons(df, {chi: (f"_src_{omega}", None) for omega, (chi, _, _) in motions.items()}, slices, grid.with_edges("dirichlet"))
-    for chi, u, v in motions.values():
-        df = gradient(df, chi, (u, v), slices, grid.dlat, grid.dlon)
+    df = gradients(df, {chi: (u, v) for chi, u, v in motions.values()}, slices, grid.dlat, grid.dlon)
     return df.drop(*[f"_src_{omega}" for omega in motions])
 
 

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fieldspark.functions.constants import KAPPA, OMEGA, R_EARTH, SCALE_HEIGHT
 from fieldspark.operators import composite as K
+from fieldspark.operators import invert
 from fieldspark.operators import isentropic as I
 from fieldspark.operators import patches as P
 from fieldspark.operators import stencil as T
 from fieldspark.operators import terms as M
 from fieldspark.plans import jobs
-from fieldspark.plans.fields import PI, TH, sql_ddp, sql_ddx, sql_ddy, sql_lap
+from fieldspark.plans.fields import HEAT, PI, RAD, TH, sql_ddp, sql_ddx, sql_ddy, sql_lap
 from fieldspark.plans.inversion import WIND
 from fieldspark.plans.lifecycle import hours
 from fieldspark.plans.proxies import CATALOG, DLAT, DLON, GRID, LAT0, NLAT, NLON, PATCHES, TRACKS, catalog, grid, lifecycle_events, patches, r, tracks
@@ -152,25 +155,164 @@ def _moving(spark, sf):
 _CENTRES = f"""tr AS (SELECT track_id, lat, lon, row_number() OVER (PARTITION BY track_id ORDER BY ts) AS n FROM tracks),
  pl AS (SELECT e.track_id, CAST(dh AS INT) AS dh, coalesce(t.lat, e.lat) AS lat, coalesce(t.lon, e.lon) AS lon FROM tr e CROSS JOIN range(-1, 2) h(dh) LEFT JOIN tr t ON t.track_id = e.track_id AND t.n = dh + 1 WHERE e.n = 1),
  ce AS (SELECT track_id, dh, CAST(least(greatest(floor((lat - 20) / 6 + 0.5), 0), 9) AS INT) AS jc, CAST((floor((lon + 180) / 15 + 0.5) + 24) % 24 AS INT) AS ic FROM pl)"""
-_BAR = "(1 + 0.1 * (dh + 1) + 0.1)"
+# --- the compute job: four hours of two years, in which everything changes ---
 
+#: How fields grow with the hour h and the year y (0, 1); t grows by 0.5 h + y.
+_GROW = {
+    "wind": lambda h, y: 1 + 0.1 * h + 0.2 * y,
+    "w": lambda h, y: 1 - 0.05 * h + 0.1 * y,
+    "pv": lambda h, y: 1 + 0.1 * h + 0.02 * h * h + 0.2 * y + 0.05 * h * y,
+}
+_OWN_W = {"adiabatic": "w / 3.0", "diabatic": "w - w / 3.0", "qg_diabatic": "0.5 * w + 0.01 * v", "lhr_moist": "0.2 * w * w"}
 
-@register("job_compute", f"""WITH {TRACKS}, {GRID}, {_CENTRES}, gr AS (SELECT *, u * {sql_ddx('pv')} AS upx, v * {sql_ddy('pv')} AS vpy, w * {sql_ddp('pv')} AS wpp, u IS NOT NULL AND v IS NOT NULL AS ok FROM grid)
- SELECT track_id, dh, count(*) AS cells, count(pv) AS n, round(sum(pv * (1 + 0.1 * (dh + 1))), 4) + 0.0 AS pv, round(1e3 * sum(upx) * {_BAR}, 4) + 0.0 AS u_bar, round(1e3 * sum(upx) * -0.1, 4) + 0.0 AS u_anom, round(1e3 * sum(vpy) * {_BAR}, 4) + 0.0 AS v_bar,
- round(1e3 * sum(wpp) / 3 * {_BAR}, 4) + 0.0 AS w_dry, round(1e3 * sum(wpp) * 2 / 3 * -0.1, 4) + 0.0 AS w_rest, count(*) FILTER (ok) AS split, 0.0 AS split_anom, 40 AS n_terms
- FROM ce CROSS JOIN range(-2, 3) a(iy) CROSS JOIN range(-3, 4) b(ix) LEFT JOIN gr ON ilat = jc + iy AND ilon = (ic + ix + 24) % 24 GROUP BY track_id, dh""")
+
+def _weather(spark, sf):
+    """The grid from midnight to three, in two years, with its climatology."""
+    g = grid(spark, sf).withColumn("w_qg_diabatic", F.expr(_OWN_W["qg_diabatic"])).withColumn("w_lhr_moist", F.expr(_OWN_W["lhr_moist"]))
+    g = g.withColumn("h", F.explode(F.array(*map(F.lit, range(4))))).withColumn("y", F.explode(F.array(F.lit(0), F.lit(1))))
+    g = g.withColumn("ts", F.make_timestamp(2010 + F.col("y"), F.lit(6), F.lit(15), F.col("h"), F.lit(0), F.lit(0)))
+    h, y = F.col("h"), F.col("y")
+    kinds = {"u": "wind", "v": "wind", "w": "w", "w_qg_diabatic": "w", "w_lhr_moist": "w", "pv": "pv"}
+    grown = {c: F.col(c) * _GROW[k](h, y) for c, k in kinds.items()} | {"t": F.col("t") + 0.5 * h + y}
+    g = g.withColumns(grown).drop("h", "y")
+    return g, jobs.clim(g, ["u", "v", "w", "pv"], ["level", "ilat", "ilon"])
+
+
+def _sql_inverse(edges: str) -> str:
+    """(m, j_out, j_in, g): the dense inverse of every wave's system, for the twins only."""
+    rows = []
+    for m in range(NLON // 2 + 1):
+        down, middle, up = (x[:, m] for x in invert.bands(_SPEC.grid.sphere.with_edges(edges)))
+        inverse = np.linalg.inv(np.diag(middle) + np.diag(up[:-1], 1) + np.diag(down[1:], -1)) * R_EARTH**2
+        rows += [f"({m},{i},{j},{float(inverse[i, j])!r})" for i in range(NLAT) for j in range(NLAT)]
+    return f"inv_{edges} AS (SELECT * FROM (VALUES {','.join(rows)}) t(m, j_out, j_in, g))"
+
+
+def _sql_solved(name: str, source: str, f: str, edges: str) -> str:
+    """{name} AS (level, ilat, ilon, x) with laplacian(x) = f."""
+    ang = f"(2 * {PI} * m * ilon / 24)"
+    pinned = "CASE WHEN m = 0 AND ilat = 0 THEN 0 ELSE 1 END" if edges == "neumann" else "CASE WHEN ilat IN (0, 9) THEN 0 ELSE 1 END"
+    return f""", {name}_w AS (SELECT level, ilat, m, sum({f} * cos{ang}) * ({pinned}) AS re, sum(-({f}) * sin{ang}) * ({pinned}) AS im FROM {source}, range(0, 13) w(m) GROUP BY level, ilat, m),
+ {name}_s AS (SELECT level, j_out AS ilat, m, sum(g * re) AS re, sum(g * im) AS im FROM {name}_w JOIN inv_{edges} USING (m) WHERE j_in = ilat GROUP BY 1, 2, 3),
+ {name} AS (SELECT level, ilat, CAST(ilon AS INT) AS ilon, sum((CASE WHEN m IN (0, 12) THEN 1 ELSE 2 END) / 24.0 * (re * cos{ang} - im * sin{ang})) AS x FROM {name}_s, range(0, 24) r(ilon) GROUP BY 1, 2, 3)"""
+
+
+def _sql_world() -> str:
+    """bw AS the grid with gradients of pv, split winds and divergent winds of all vertical motions, at the first hour's scale."""
+    edge = lambda c: f"CASE ilat WHEN 0 THEN cos((lat - 3) * {RAD}) WHEN 9 THEN -cos((lat + 3) * {RAD}) ELSE 0 END / cos(lat * {RAD}) * 2 * ({c}) / ({R_EARTH} * 6 * {RAD})"
+    out = f"{WIND}, {_sql_inverse('neumann')}, {_sql_inverse('dirichlet')}"
+    out += _sql_solved("psi", "g2", f"(vort_a + {edge('-u')})", "neumann") + _sql_solved("chi", "g2", f"(div_a + {edge('v')})", "neumann")
+    area = lambda c: f"({c} - sum(cos(lat * {RAD}) * {c}) OVER (PARTITION BY level) / sum(CASE WHEN {c} IS NOT NULL THEN cos(lat * {RAD}) END) OVER (PARTITION BY level))"
+    out += f", wp AS (SELECT *, {', '.join(f'{w} AS w_{p}' for p, w in _OWN_W.items())} FROM grid), ws AS (SELECT *, {', '.join(f'-({sql_ddp(f"w_{p}")}) AS s_{p}' for p in _OWN_W)} FROM wp)"
+    out += f", wa AS (SELECT *, {', '.join(f'coalesce({area(f"s_{p}")}, 0) AS f_{p}' for p in _OWN_W)} FROM ws)"
+    for p in _OWN_W:
+        out += _sql_solved(f"chi_{p}", "wa", f"f_{p}", "dirichlet")
+    joins = " ".join(f"JOIN (SELECT level, ilat, ilon, x AS x_{n} FROM {n}) USING (level, ilat, ilon)" for n in ("psi", "chi", *[f"chi_{p}" for p in _OWN_W]))
+    ok = lambda c: f"CASE WHEN u IS NOT NULL AND v IS NOT NULL THEN {c} END"
+    winds = [f"{ok('-' + sql_ddy('x_psi'))} AS u_rot", f"{ok(sql_ddx('x_psi'))} AS v_rot", f"{ok(sql_ddx('x_chi'))} AS u_div", f"{ok(sql_ddy('x_chi'))} AS v_div"]
+    winds += [f"{f(f'x_chi_{p}')} AS {c}_div_{p}" for p in _OWN_W for c, f in (("u", sql_ddx), ("v", sql_ddy))]
+    return out + f", bx AS (SELECT * FROM wp {joins}), bw AS (SELECT *, {', '.join(winds)}, {sql_ddx('pv')} AS pv_dx, {sql_ddy('pv')} AS pv_dy, {sql_ddp('pv')} AS pv_dp FROM bx), by_ AS (SELECT *, {sql_ddx('pv_dx')} AS pv_dx_dx, {sql_ddy('pv_dy')} AS pv_dy_dy, {sql_ddy('pv_dx')} AS pv_dx_dy FROM bw)"
+
+
+_H = "(dh + 1)"
+
+
+def _factor(kind: str, part: str) -> str:
+    """Of a field's mean, anomaly or whole at the hour of dh, in the first year."""
+    now, then = (str(_GROW[kind](_Text(_H), y)) for y in (0, 1))
+    return {"": f"({now})", "bar": f"(({now} + {then}) / 2)", "anom": f"({now} - ({now} + {then}) / 2)"}[part]
+
+
+class _Text(str):
+    """SQL text that takes part in arithmetic."""
+
+    def __add__(self, o):
+        return _Text(f"({self} + {o})")
+
+    def __radd__(self, o):
+        return _Text(f"({o} + {self})")
+
+    def __rsub__(self, o):
+        return _Text(f"({o} - {self})")
+
+    def __mul__(self, o):
+        return _Text(f"({self} * {o})")
+
+    __rmul__ = __mul__
+
+
+def _products() -> dict[str, tuple[str, str]]:
+    """term -> (product at the first hour's scale, factor of the hour)."""
+    out = {}
+    for name, wind, gradient, family in M.catalogue():
+        part = gradient.split("_")[1]
+        slope = gradient.replace(f"pv_{part}", "pv")
+        if family in ("omega_wind", "vertical"):
+            base, kind, own = wind, "w", ""
+        else:
+            base, own = wind.rsplit("_", 1)
+            kind = "w" if base == "w" else "wind"
+        out[name] = (f"{base} * {slope}", f"{_factor(kind, own)} * {_factor('pv', part)}")
+    now = [float(_GROW["pv"](h, 0)) for h in range(4)]
+    both = [(_GROW["pv"](h, 0) + _GROW["pv"](h, 1)) / 2 for h in range(4)]
+    slope = lambda x: f"(CASE dh WHEN -1 THEN {x[1] - x[0]!r} / 3600 WHEN 0 THEN {x[2] - x[0]!r} / 7200 ELSE {x[3] - x[1]!r} / 7200 END)"
+    out |= {"pv_dt": ("pv", slope(now)), "pv_bar_dt": ("pv", slope(both)), "pv_anom_dt": ("pv", slope([a - b for a, b in zip(now, both)]))}
+    out |= {"t_dt": ("t / t", "(0.5 / 3600)"), "theta_dt": (f"t / t * pow(1000.0 / level, {KAPPA!r})", "(0.5 / 3600)")}
+    return out | {c: (c, _factor("pv", "")) for c in ("pv_dx_dx", "pv_dy_dy", "pv_dx_dy")}
+
+
+def _sql_terms() -> str:
+    products = _products()
+    bases = {x: f"b{i}" for i, x in enumerate(dict.fromkeys(x for x, _ in products.values()))}
+    sums = ", ".join(f"sum({x}) AS {n}, sum(abs({x})) AS a{n}" for x, n in bases.items())
+    hourly = HEAT.replace("PARTITION BY ", "PARTITION BY dh, ").replace("FROM grid", "FROM gh")
+    gh = f", gh AS (SELECT dh, level, ilat, ilon, lat, u * {_factor('wind', '')} AS u, v * {_factor('wind', '')} AS v, w * {_factor('w', '')} AS w, t + 0.5 * {_H} AS t, q FROM grid, range(-1, 2) x(dh)){hourly}"
+    window = "CROSS JOIN range(-2, 3) a(iy) CROSS JOIN range(-3, 4) b(ix)"
+    on = "ilat = jc + iy AND ilon = (ic + ix + 24) % 24"
+    ratio = lambda s, a, f: f"round(({f}) * {s} / (abs({f}) * {a}), 6) + 0.0 AS share, round(log10(abs({f}) * {a}), 6) + 0.0 AS size"
+    parts = [f"SELECT CAST(dh AS INT) AS dh, '{n}' AS term, {ratio(bases[x], 'a' + bases[x], f)} FROM ts" for n, (x, f) in products.items()]
+    source = f"-9.81 * (2 * {OMEGA} * sin(lat * {RAD}) + zeta) * heatp"
+    parts += [f"SELECT CAST(dh AS INT) AS dh, '{n}' AS term, {ratio(f's_{n}', f'a_{n}', '1.0')} FROM hs" for n in ("Q", "theta_dot")]
+    return f"""WITH {TRACKS}, {GRID}, {_CENTRES}{_sql_world()}{gh}, ts AS (SELECT dh, {sums} FROM ce {window} JOIN by_ ON {on} GROUP BY 1),
+ hq AS (SELECT dh, ilat, ilon, {source} AS q_, heat FROM h3), hs AS (SELECT ce.dh, sum(q_) AS s_Q, sum(abs(q_)) AS a_Q, sum(heat) AS s_theta_dot, sum(abs(heat)) AS a_theta_dot FROM ce {window} JOIN hq ON hq.dh = ce.dh AND {on} GROUP BY 1)
+ {' UNION ALL '.join(parts)}"""
+
+
+@register("job_compute", _sql_terms())
 def job_compute(spark, sf):
-    """All tracks at three hours with split winds and the parts of the vertical motion: 40 products."""
-    (g, climate), (e, t) = _world(spark, sf), _moving(spark, sf)
+    """All tracks at three hours: the sum of each of the 52 products, of the tendencies, second derivatives, heating and source
+    over all patches, as its share of the sum of absolute values and that sum's logarithm."""
+    (g, climate), (e, t) = _weather(spark, sf), _moving(spark, sf)
     p = jobs.compute(e, t, g, climate, range(-1, 2), _SPEC)
-    total = lambda c, name: r(F.sum(c), 1e3, 4).alias(name)
-    names = [n for n, *_ in M.catalogue() if n in p.columns]
-    return p.groupBy("track_id", "dh").agg(
-        F.count("*").alias("cells"), F.count("pv").alias("n"), r(F.sum("pv"), 1, 4).alias("pv"),
-        total("u_bar_pv_bar_dx", "u_bar"), total("u_bar_pv_anom_dx", "u_anom"), total("v_bar_pv_bar_dy", "v_bar"),
-        total("w_adiabatic_pv_bar_dp", "w_dry"), total("w_diabatic_pv_anom_dp", "w_rest"), F.count("u_rot").alias("split"),
-        r(F.coalesce(F.sum(F.abs("u_rot_anom") + F.abs("v_div_anom")), F.lit(0.0)), 1, 4).alias("split_anom"), F.lit(len(names)).alias("n_terms"),
-    )
+    names = [*_products(), "Q", "theta_dot"]
+    s = p.groupBy("dh").agg(*[x for n in names for x in (F.sum(n).alias(f"s_{n}"), F.sum(F.abs(n)).alias(f"a_{n}"))])
+    s = s.select("dh", F.explode(F.array(*[F.struct(F.lit(n).alias("term"), F.col(f"s_{n}").alias("s"), F.col(f"a_{n}").alias("a")) for n in names])).alias("x"))
+    return s.select("dh", "x.term", r(F.try_divide(F.col("x.s"), F.col("x.a"))).alias("share"), r(F.log10("x.a")).alias("size"))
+
+
+_MEAN_OF = {"pv": ("pv", _factor("pv", "")), "u_rot_anom_pv_bar_dx": ("u_rot * pv_dx", f"{_factor('wind', 'anom')} * {_factor('pv', 'bar')}")}
+_MEAN_AT = (240, 390, 560)
+
+
+def _sql_means() -> str:
+    mean = lambda x: f"sum(exp(-z / 9.81 / {SCALE_HEIGHT!r}) * {x}) / sum(CASE WHEN {x} IS NOT NULL THEN exp(-z / 9.81 / {SCALE_HEIGHT!r}) END)"
+    cols = ", ".join(f"{mean(x)} AS m{i}" for i, (x, _) in enumerate(_MEAN_OF.values()))
+    out = ", ".join(f"round({f} * sum(m{i}) / (abs({f}) * sum(abs(m{i}))), 6) + 0.0 AS share_{n}, round(log10(abs({f}) * sum(abs(m{i}))), 6) + 0.0 AS size_{n}" for i, (n, (_, f)) in enumerate(_MEAN_OF.items()))
+    return f"""WITH {TRACKS}, {GRID}, {_CENTRES}{_sql_world()}, vm AS (SELECT ilat, ilon, {cols} FROM bw WHERE level IN {_MEAN_AT} GROUP BY 1, 2), nt AS (SELECT count(DISTINCT track_id) AS n FROM tracks)
+ SELECT CAST(dh AS INT) AS dh, count(DISTINCT track_id) AS n_patches, any_value(n) AS first_run, 2 * any_value(n) AS second_run, 0 AS third_run, {out}
+ FROM ce CROSS JOIN nt CROSS JOIN range(-2, 3) a(iy) CROSS JOIN range(-3, 4) b(ix) JOIN vm ON ilat = jc + iy AND ilon = (ic + ix + 24) % 24 GROUP BY dh"""
+
+
+@register("job_compute_sink", _sql_means())
+def job_compute_sink(spark, sf):
+    """One hour into a folder, then three, then the three once more; vertical means of the patches that lie there."""
+    (g, climate), (e, t) = _weather(spark, sf), _moving(spark, sf)
+    root = scratch(spark, "patches")
+    runs = [jobs.compute_into(root, e, t, g, climate, offsets, _SPEC) for offsets in ([0], range(-1, 2), range(-1, 2))]
+    m = jobs.vertical_means(S.read_patches(spark, root), list(_MEAN_OF), _MEAN_AT)
+    sums = [x for n in _MEAN_OF for x in (r(F.sum(n) / F.sum(F.abs(n))).alias(f"share_{n}"), r(F.log10(F.sum(F.abs(n)))).alias(f"size_{n}"))]
+    counts = [F.lit(n).cast("long").alias(f"{k}_run") for k, n in zip(("first", "second", "third"), runs)]
+    return m.groupBy("dh").agg(F.count_distinct("track_id").alias("n_patches"), *sums).select("*", *counts)
 
 
 @register("job_event_status", f"""WITH {TRACKS}, tr AS (SELECT track_id, ts, row_number() OVER (PARTITION BY track_id ORDER BY ts) AS n FROM tracks)

@@ -88,15 +88,13 @@ def with_tendencies(cells: DataFrame) -> DataFrame:
     return cells.select("*", *[S.ddt_hourly(F.col(c), cell).alias(f"{c}_dt") for c in names])
 
 
-def with_heating(cells: DataFrame, grid: GridSpec) -> DataFrame:
-    """theta_dot (latent heat of rising air), its slope theta_dot_dp, zeta and the source Q, from t, q, w, u and v."""
+def with_heating(cells: DataFrame) -> DataFrame:
+    """theta_dot (latent heat of rising air), its slope theta_dot_dp and the source Q, from t, q, w and zeta."""
     t, p, q, level = F.col("t"), F.col("level"), F.col("q"), F.col("level")
-    c = cells.withColumn("theta", C.theta(t, p)).withColumn("theta_e", C.theta_e(t, p, q))
-    c = c.withColumn("theta_dp", S.ddp(F.col("theta"), ["ts"], level)).withColumn("theta_e_dp", S.ddp(F.col("theta_e"), ["ts"], level))
+    c = cells.withColumns({"theta": C.theta(t, p), "theta_e": C.theta_e(t, p, q)})
+    c = c.withColumns({f"{x}_dp": S.ddp(F.col(x), ["ts"], level) for x in ("theta", "theta_e")})
     c = c.withColumn("theta_dot", C.latent_heating(F.col("w"), t, p, q, F.col("theta_dp"), F.col("theta_e_dp")))
     c = c.withColumn("theta_dot_dp", S.ddp(F.col("theta_dot"), ["ts"], level))
-    c = c.withColumn("_vx", S.ddx(F.col("v"), ["ts", "level"], grid.dlon)).withColumn("_uy", S.ddy(F.col("u"), ["ts", "level"], grid.dlat))
-    c = c.withColumn("zeta", F.col("_vx") - F.col("_uy")).drop("_vx", "_uy")
     return c.withColumn("Q", C.vorticity_source(C.coriolis(F.col("lat")), F.col("zeta"), F.col("theta_dot_dp")))
 
 
@@ -115,14 +113,15 @@ def budget_fields(cells: DataFrame, climate: DataFrame, config: ComputeConfig, h
     f = with_tendencies(K.anomaly(cells, climate, list(WINDS), keys))
     if hours is not None:
         f = f.join(hours, "ts", "left_semi")
-    for m in ("bar", "anom"):
-        q = F.col(f"pv_{m}")
-        f = f.withColumn(f"pv_{m}_dx", S.ddx(q, level, g.dlon)).withColumn(f"pv_{m}_dy", S.ddy(q, level, g.dlat))
-        f = f.withColumn(f"pv_{m}_dp", S.ddp(q, ["ts"], F.col("level")))
-    f = f.withColumn("_px", F.col("pv_bar_dx") + F.col("pv_anom_dx")).withColumn("_py", F.col("pv_bar_dy") + F.col("pv_anom_dy"))
-    f = f.withColumn("pv_dx_dx", S.ddx(F.col("_px"), level, g.dlon)).withColumn("pv_dy_dy", S.ddy(F.col("_py"), level, g.dlat)).withColumn("pv_dx_dy", S.ddy(F.col("_px"), level, g.dlat)).drop("_px", "_py")
-    if {"t", "q"} <= set(f.columns):
-        f = with_heating(f, g)
+    # derivatives along one axis together: they share its shuffle
+    dx, dy, dp = (lambda c: S.ddx(F.col(c), level, g.dlon)), (lambda c: S.ddy(F.col(c), level, g.dlat)), (lambda c: S.ddp(F.col(c), ["ts"], F.col("level")))
+    moist = {"t", "q"} <= set(f.columns)
+    f = f.withColumn("_pv", F.col("pv_bar") + F.col("pv_anom"))
+    f = f.withColumns({f"{c}_dx": dx(c) for c in ("pv_bar", "pv_anom", "_pv", "v")}).withColumn("pv_dx_dx", dx("_pv_dx"))
+    f = f.withColumns({f"{c}_dy": dy(c) for c in ("pv_bar", "pv_anom", "_pv", "u")}).withColumn("pv_dx_dy", dy("_pv_dx")).withColumn("pv_dy_dy", dy("_pv_dy"))
+    f = f.withColumn("zeta", F.col("v_dx") - F.col("u_dy")).withColumns({f"{c}_dp": dp(c) for c in ("pv_bar", "pv_anom")}).drop("_pv", "_pv_dx", "_pv_dy", "v_dx", "u_dy")
+    if moist:
+        f = with_heating(f)
     if config.winds:
         f = invert.helmholtz(f, level, g.sphere)
         if split_climate is None:
