@@ -3,11 +3,14 @@
 Equal vectors are one node.  Nodes are dealt to shards by hash; a task builds
 the layered graph of its shard in batches, all searches of a batch in step,
 and stores it as flat arrays (neighbours of every node, layer by layer, -1
-where there is none).  Queries visit every shard, a shard's index row first
-and then its queries as a stream; the shards' results are merged by Spark.
-
-Inner products become a metric by one more coordinate, the root of what the
-squared norm lacks to the largest one; for a query it is 0.
+where there is none).  Queries visit every shard of vectors of their length, a
+shard's index row first and then its queries as a stream; the shards' results
+are merged by Spark.
+
+Links follow the inner product itself.  How wide a beam a shard needs is
+measured while it is built: PROBES nodes stay out at first, are searched for
+against exact results with wider and wider beams until RECALL of their
+neighbours is found, and are put in last; the index row keeps that width.
 """
 
 from __future__ import annotations
@@ -25,9 +28,12 @@ from fieldspark.llm.shingles import mix
 
 #: Links of a node: above the ground layer, and on it.
 LINKS, GROUND_LINKS = 16, 32
+#: Beams: while building, and the first that is tried for searches.
 EF_BUILD, EF_SEARCH = 64, 96
-#: Shards: at least MIN_SHARDS, more so that the vectors of none are over SHARD_BYTES.
-MIN_SHARDS, SHARD_BYTES = 16, 128 << 20
+#: Nodes that measure a shard's beam, and the share of their nearest that it has to find.
+PROBES, RECALL = 128, 0.97
+#: Shards: MIN_SHARDS of at least LEAST nodes, more so that the vectors of none are over SHARD_BYTES.
+MIN_SHARDS, LEAST, SHARD_BYTES = 16, 64, 8 << 20
 BATCH = 256
 
 
@@ -146,10 +152,34 @@ class Graph:
                 out[full] = self._select(back[full], sims[full], m)
             links[row[y]] = out
 
-    def build(self) -> None:
+    def build(self, k: int = 20) -> int:
+        """Puts all nodes in; the beam that finds RECALL of the k nearest of nodes that weren't in yet."""
         # the top layer's nodes go in first, so every search has its entry
         order = np.argsort(-self.levels, kind="stable")
-        done = 0
+        ground = order[self.levels[order] == 0]
+        probes = ground[:: max(1, -(-len(ground) // PROBES))][: len(order) // 4]
+        rest = order[~np.isin(order, probes)]
+        self._insert(rest, 0)
+        ef = self._beam(rest, probes, k)
+        self._insert(np.concatenate([rest, probes]), len(rest))
+        return ef
+
+    def _beam(self, inside: np.ndarray, probes: np.ndarray, k: int) -> int:
+        k, ef = min(k, len(inside)), max(EF_SEARCH, k)
+        if not len(probes):
+            return ef
+        sims = self.x[probes] @ self.x[inside].T
+        least = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]  # ties count as found
+        while True:
+            found = self.search(self.x[probes], ef)
+            s = np.einsum("bkd,bd->bk", self.x[np.maximum(found, 0)], self.x[probes])
+            hits = np.minimum(((s >= least - 1e-6 * np.abs(least)) & (found >= 0)).sum(axis=1), k).sum()
+            if hits >= RECALL * k * len(probes) or ef >= len(inside):
+                return ef
+            ef = min(len(inside), ef * 3 // 2)
+
+    def _insert(self, order: np.ndarray, done: int) -> None:
+        """Puts in the nodes of ``order`` from place ``done`` on; those before are in."""
         while done < len(order):
             size = min(max(32, done), BATCH, max(8, (1 << 26) // len(order)), len(order) - done)
             new = order[done : done + size]
@@ -186,13 +216,11 @@ def _levels(ids: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """id, v: distinct rows without null, zero, or non-finite vectors, all of the most common length."""
+    """id, v: distinct rows without null, zero, or non-finite vectors."""
     v = F.col(vector_column).cast("array<double>")
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
     rows = rows.filter(F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    rows = written(rows.distinct(), "vectors")
-    dim = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.filter(F.size("v") == (dim["d"] if dim else 0))
+    return written(rows.distinct(), "vectors")
 
 
 def nodes(rows: DataFrame, k: int) -> DataFrame:
@@ -206,11 +234,19 @@ def nodes(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("v", F.get("ids", F.lit(0)).alias("id"), "ids")
 
 
-def build_index(node_rows: DataFrame) -> DataFrame:
-    """One row per shard: shard, n, dim, ids, vectors, levels and links (flat arrays as bytes)."""
-    stats = node_rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
-    n_shards = max(MIN_SHARDS, -(-stats["n"] * 8 * (stats["dim"] or 0) // SHARD_BYTES))
-    longest = stats["m"] or 0.0
+def shard_plan(node_rows: DataFrame) -> DataFrame:
+    """dim, first, n_shards: which shards hold the vectors of each length; one row a length."""
+    bytes_ = F.col("n") * 8 * F.col("dim")
+    n_shards = F.greatest(F.least(F.lit(MIN_SHARDS), F.expr(f"n div {LEAST}")), F.ceil(bytes_ / SHARD_BYTES), F.lit(1)).cast("long")
+    lengths = node_rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).withColumn("n_shards", n_shards)
+    before = F.sum("n_shards").over(Window.orderBy("dim").rowsBetween(Window.unboundedPreceding, -1))
+    return lengths.select("dim", "n_shards", F.coalesce(before, F.lit(0)).alias("first"))
+
+
+def build_index(node_rows: DataFrame, plan: DataFrame, k: int = 20) -> DataFrame:
+    """One row per shard: shard, n, dim, ef (the beam it needs for k neighbours), ids, vectors, levels and links
+    (flat arrays as bytes)."""
+    n_shards = plan.agg(F.coalesce(F.sum("n_shards"), F.lit(1))).first()[0]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[pa.RecordBatch]] = {}
@@ -219,16 +255,15 @@ def build_index(node_rows: DataFrame) -> DataFrame:
             t = pa.Table.from_batches(held.pop(shard)).combine_chunks()
             ids = t.column("id").to_numpy()
             x = t.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-            lack = np.sqrt(np.maximum(longest - (x * x).sum(axis=1), 0.0))
-            g = Graph(np.column_stack([x, lack]), _levels(ids))
-            g.build()
+            g = Graph(x, _levels(ids))
+            ef = g.build(k)
             row = {
-                "shard": shard, "n": len(ids), "dim": x.shape[1], "ids": ids.astype("<i8").tobytes(), "vectors": x.astype("<f8").tobytes(),
+                "shard": shard, "n": len(ids), "dim": x.shape[1], "ef": ef, "ids": ids.astype("<i8").tobytes(), "vectors": x.astype("<f8").tobytes(),
                 "levels": g.levels.astype("<i1").tobytes(), "links": b"".join(a.astype("<i4").tobytes() for a in g.links),
             }
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
-        schema = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("dim", pa.int32())] + [(c, pa.binary()) for c in ("ids", "vectors", "levels", "links")])
+        schema = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("dim", pa.int32()), ("ef", pa.int32())] + [(c, pa.binary()) for c in ("ids", "vectors", "levels", "links")])
         for batch in batches:
             shards = batch.column("shard").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
@@ -241,9 +276,10 @@ def build_index(node_rows: DataFrame) -> DataFrame:
         for old in list(held):
             yield close(old)
 
-    dealt = node_rows.select(F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int").alias("shard"), "id", "v")
+    dealt = node_rows.withColumn("dim", F.size("v")).join(F.broadcast(plan), "dim")
+    dealt = dealt.select((F.col("first") + F.pmod(F.xxhash64("id"), "n_shards")).cast("int").alias("shard"), "id", "v")
     dealt = dealt.repartition(n_shards, "shard").sortWithinPartitions("shard", "id")
-    return dealt.mapInArrow(work, "shard int, n long, dim int, ids binary, vectors binary, levels binary, links binary")
+    return dealt.mapInArrow(work, "shard int, n long, dim int, ef int, ids binary, vectors binary, levels binary, links binary")
 
 
 def _open(row: dict) -> tuple[np.ndarray, np.ndarray, Graph]:
@@ -256,22 +292,23 @@ def _open(row: dict) -> tuple[np.ndarray, np.ndarray, Graph]:
         n, m = int((levels >= lv).sum()), LINKS if lv else GROUND_LINKS
         links.append(flat[at : at + n * m].reshape(n, m))
         at += n * m
-    # a query's last coordinate is 0, so that of the nodes may be left out
     return ids, x, Graph(x, levels, links)
 
 
-def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH) -> DataFrame:
-    """query_id, id, score: the k best nodes of every shard for every query (id, v)."""
-    shards = [r["shard"] for r in index.select("shard").collect()]  # one small row per shard
-    first = index.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("v"), F.struct("ids", "vectors", "levels", "links", "dim").alias("graph"))
-    asks = queries.select(
-        F.explode(F.array(*[F.lit(s) for s in shards]).cast("array<int>")).alias("shard"), F.lit(1).alias("kind"), "id", "v",
+def search_index(index: DataFrame, plan: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score: the k best nodes of every shard for every query (id, v) of its length."""
+    n_shards = max(1, index.count())
+    graph = F.struct("ids", "vectors", "levels", "links", "dim", "ef").alias("graph")
+    first = index.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("v"), graph)
+    asks = queries.withColumn("dim", F.size("v")).join(F.broadcast(plan), "dim")
+    asks = asks.select(
+        F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n_shards") - 1).cast("array<int>")).alias("shard"), F.lit(1).alias("kind"), "id", "v",
         F.lit(None).cast(first.schema["graph"].dataType).alias("graph"),
     )
-    stream = first.unionByName(asks).repartition(max(1, len(shards)), "shard").sortWithinPartitions("shard", "kind")
+    stream = first.unionByName(asks).repartition(n_shards, "shard").sortWithinPartitions("shard", "kind")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = None
+        graph = row = None
         for batch in batches:
             kind, shard = batch.column("kind").to_numpy(), batch.column("shard").to_numpy()
             cuts = [0, *(np.flatnonzero((np.diff(kind) != 0) | (np.diff(shard) != 0)) + 1).tolist(), len(kind)]
@@ -279,12 +316,13 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEAR
                 if lo == hi:
                     continue
                 if kind[lo] == 0:
-                    ids, x, graph = _open(batch.column("graph")[lo].as_py())
+                    row = batch.column("graph")[lo].as_py()
+                    ids, x, graph = _open(row)
                     continue
                 part = batch.slice(lo, hi - lo)
                 asked = part.column("id").to_numpy()
                 q = part.column("v").flatten().to_numpy().reshape(len(asked), -1)
-                found = graph.search(q, max(ef, k))
+                found = graph.search(q, max(row["ef"], k))
                 for at in range(0, len(q), 512):
                     f = found[at : at + 512]
                     score = (x[np.maximum(f, 0)] * q[at : at + 512, None, :]).sum(axis=2)
@@ -301,16 +339,17 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEAR
 def nearest(vectors: DataFrame, id_column: str, vector_column: str, every: int, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by ``every``.
 
-    Candidates are all rows but the query's own id.  Vectors that are null,
-    zero, hold null or non-finite components, or differ in length from the
-    rest take no part; nor do rows without an id.  Repeated rows count once.
+    Candidates are all rows but the query's own id whose vectors are as long as
+    the query's.  Vectors that are null, zero or hold null or non-finite
+    components take no part; nor do rows without an id.  Repeated rows count once.
     With fewer than k candidates all that are found come back.
     """
     rows = usable(vectors, id_column, vector_column)
     node_rows = written(nodes(rows, k), "nodes")
-    index = written(build_index(node_rows), "index")
+    plan = written(shard_plan(node_rows), "plan")
+    index = written(build_index(node_rows, plan, k), "index")
     queries = rows.filter(F.col("id") % every == 0)
-    found = search_index(index, queries, k + 1)
+    found = search_index(index, plan, queries, k + 1)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     found = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
     each = found.join(node_rows.select("id", "ids"), "id").select("query_id", "score", F.explode("ids").alias("vec_id"))
