@@ -24,9 +24,9 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -37,7 +37,7 @@ from fieldspark.llm.common import slices, small, written
 from fieldspark.llm.tokens import ordinary_byte_bpe, piece_model, ragged
 
 #: Bytes of text in a shard; beyond SEGMENT_BYTES a text is cut into segments, and those into byte ranges.
-SHARD_BYTES, SEGMENT_BYTES, RANGE_BYTES, ARITY = 8 << 20, 64 << 10, 24 << 10, 8
+SHARD_BYTES, SEGMENT_BYTES, RANGE_BYTES, ARITY = 4 << 20, 64 << 10, 24 << 10, 8
 
 #: A space at which neither tokenizer can join what is before with what is behind: other text is before it.
 SAFE = re.compile(r"(?<=\S) (?!\Z)")
@@ -49,6 +49,31 @@ def _starts(size: np.ndarray) -> np.ndarray:
     return np.cumsum(size) - size
 
 
+def _sums(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of runs of so many."""
+    return np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], np.cumsum(size)])])
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(size.sum())), size
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x.sort()
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def _pack_numbers(x: np.ndarray) -> bytes:
+    """Unsigned integers of the least width that holds them, behind that width."""
+    width = np.min_scalar_type(int(x.max(initial=0))).itemsize
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def _numbers(data) -> np.ndarray:
+    return np.frombuffer(data, f"<u{memoryview(data)[0]}", offset=1).astype(np.int64)
+
+
 # --- groups -----------------------------------------------------------------
 
 
@@ -154,14 +179,27 @@ class Encoder:
         """(ids and sizes of A, of B, whether both give the bytes) of words with a space before."""
         a = [self.encode_a(" " + w) for w in words]
         b = self.encode_b(words)
-        ok = np.zeros(len(words), bool)
+        flat_a, size_a = _flat(a)
+        flat_b, size_b = _flat(b)
+        texts = [b" " + w.encode() for w in words]
+        want = np.array([len(t) for t in texts], np.int64)
+        ok = (_sums(self.len_a[flat_a], size_a) == want) & (_sums(self.len_b[flat_b], size_b) == want)
+        if not ok.all():
+            flat_a, size_a = flat_a[np.repeat(ok, size_a)], size_a * ok
+            flat_b, size_b = flat_b[np.repeat(ok, size_b)], size_b * ok
+        whole = b"".join([t for t, good in zip(texts, ok) if good])
         ta, tb = self.text_a.__getitem__, self.text_b.__getitem__
-        for i, w in enumerate(words):
-            want = b" " + w.encode()
-            ok[i] = b"".join(map(tb, b[i])) == want and b"".join(map(ta, a[i])) == want
-        flat = lambda x: (np.array([i for ids in x for i in ids], np.int64), np.array([len(ids) for ids in x], np.int64))
-        a, b = ([ids if good else [] for ids, good in zip(x, ok)] for x in (a, b))
-        return *flat(a), *flat(b), ok
+        if b"".join(map(tb, flat_b.tolist())) != whole or b"".join(map(ta, flat_a.tolist())) != whole:  # as long as the text, but another one
+            ok &= [b"".join(map(tb, y)) == t and b"".join(map(ta, x)) == t for x, y, t in zip(a, b, texts)]
+            flat_a, size_a = _flat([x if good else [] for x, good in zip(a, ok)])
+            flat_b, size_b = _flat([x if good else [] for x, good in zip(b, ok)])
+        return flat_a, size_a, flat_b, size_b, ok
+
+
+@lru_cache(maxsize=1)
+def byte_lengths(path_a: str, path_b: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of every id of both sides; the tokenizers themselves are not kept."""
+    return np.array([len(t) for t in ordinary_byte_bpe.__wrapped__(path_a)[1]]), np.array([len(t) for t in piece_model.__wrapped__(path_b)[1]])
 
 
 @lru_cache(maxsize=1)
@@ -173,7 +211,7 @@ def encoder(path_a: str, path_b: str) -> Encoder:
 
 
 #: A shard: documents, the units each is made of, and the groups of every distinct unit. Numbers are
-#: unsigned 32-bit arrays; ``pairs`` are the linked ids (A << 32 | B), ``held`` the documents that hold them.
+#: arrays as ``_pack_numbers`` lays them out; ``pairs`` are the linked ids (A << 32 | B), ``held`` the documents that hold them.
 SHARD = (
     "shard long, doc_id array<long>, n_units binary, codes binary, unit_groups binary, a binary, b binary, na binary, nb binary, "
     "pairs array<long>, held array<long>"
@@ -187,20 +225,17 @@ def _links(g: Groups, unit_groups: np.ndarray, len_a: np.ndarray, len_b: np.ndar
     ends = np.union1d(a_end, b_end)
     pairs = g.a[np.searchsorted(a_end, ends)] << 32 | g.b[np.searchsorted(b_end, ends)]
     # in a group all ends of both sides differ but the last
-    per_group = g.na + g.nb - 1
-    upto = np.concatenate([[0], np.cumsum(per_group)])
-    last = np.concatenate([[0], np.cumsum(unit_groups)])
-    return pairs, np.diff(upto[last])
+    return pairs, _sums(g.na + g.nb - 1, unit_groups)
 
 
 def _doc_pairs(doc: np.ndarray, code: np.ndarray, link: np.ndarray, n_links: np.ndarray, n_pairs: int) -> np.ndarray:
     """How many documents hold each pair, if ``doc`` has the unit ``code``."""
     n_codes = len(n_links)
-    both = np.unique(doc * n_codes + code)
+    both = _distinct(doc * n_codes + code)
     doc, code = both // max(n_codes, 1), both % max(n_codes, 1)
     begin = _starts(n_links)
     pair = ragged(link, begin[code], n_links[code])
-    seen = np.unique(np.repeat(doc, n_links[code]) * n_pairs + pair)
+    seen = _distinct(np.repeat(doc * n_pairs, n_links[code]) + pair)
     return np.bincount(seen % max(n_pairs, 1), minlength=n_pairs)
 
 
@@ -221,7 +256,7 @@ def _shard(number: int, ids: pa.Array, n_units: np.ndarray, codes: np.ndarray, u
         [
             pa.array([number], pa.int64()),
             pa.array([ids], pa.list_(pa.int64())),
-            *(pa.array([x.astype("<u4").tobytes()], pa.binary()) for x in numbers),
+            *(pa.array([_pack_numbers(x)], pa.binary()) for x in numbers),
             pa.array([pairs[used]], pa.list_(pa.int64())),
             pa.array([held[used]], pa.list_(pa.int64())),
         ],
@@ -285,11 +320,11 @@ def _cut(path_b: str, limit: int) -> Callable:
 
 def _pack(f: Fragment) -> list[bytes]:
     g = f.groups
-    return [x.astype("<u4").tobytes() for x in (*f.prefix, g.a, g.b, g.na, g.nb, *f.suffix)]
+    return [_pack_numbers(x) for x in (*f.prefix, g.a, g.b, g.na, g.nb, *f.suffix)]
 
 
 def _unpack(row) -> Fragment:
-    pa_, pb_, a, b, na, nb, sa, sb = (np.frombuffer(row[k], "<u4").astype(np.int64) for k in _PARTS)
+    pa_, pb_, a, b, na, nb, sa, sb = (_numbers(row[k]) for k in _PARTS)
     return Fragment((pa_, pb_), bool(row["closed"]), Groups(a, b, na, nb), (sa, sb))
 
 
@@ -326,40 +361,39 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
-def _compose(rows: pd.DataFrame) -> pd.DataFrame:
-    """One fragment of neighbours in a row."""
-    rows = rows.sort_values("at")
-    parts = [_unpack(r) for r in rows.to_dict("records")]
+def _composed(rows: pa.Table) -> tuple[dict, bool, Fragment]:
+    """(first row, whether all went well, the fragment) of neighbours."""
+    rows = rows.sort_by("at").to_pylist()
+    parts = [_unpack(r) for r in rows]
     while len(parts) > 1:
         parts = [x + y for x, y in zip(parts[::2], parts[1::2])] + parts[len(parts) & ~1 :]
-    first = rows.iloc[0]
-    doc_id = None if pd.isna(first["doc_id"]) else int(first["doc_id"])
-    head = {"uid": first["uid"], "doc_id": doc_id, "at": first["at"], "ok": bool(rows["ok"].all()), "closed": parts[0].closed}
-    out = pd.DataFrame([head | dict(zip(_PARTS, _pack(parts[0])))])
-    out["doc_id"] = out["doc_id"].astype("Int64")
-    return out
+    return rows[0], all(r["ok"] for r in rows), parts[0]
+
+
+def _compose(rows: pa.Table) -> pa.Table:
+    first, ok, f = _composed(rows)
+    return pa.Table.from_batches([_rows([(first["uid"], first["doc_id"], first["at"], ok, f.closed, *_pack(f))])])
 
 
 def compose(fragments: DataFrame, most: int, width: int = RANGE_BYTES, arity: int = ARITY) -> DataFrame:
-    """One fragment per document of at most ``most`` bytes, by a tree of groups of neighbours."""
+    """At most ``arity`` fragments per document of at most ``most`` bytes, by a tree of groups of neighbours."""
     span = width
-    while span < most + width:
+    while span * arity < most + width:
         span *= arity
-        fragments = fragments.groupBy("uid", F.expr(f"at div {span}").alias("node")).applyInPandas(lambda _, rows: _compose(rows), FRAGMENT)
+        fragments = fragments.withColumn("node", F.expr(f"at div {span}")).groupBy("uid", "node").applyInArrow(_compose, FRAGMENT)
     return fragments
 
 
-def _long_shards(path_a: str, path_b: str) -> Callable:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = encoder(path_a, path_b)
-        for batch in batches:
-            for row in batch.to_pylist():
-                groups = _unpack(row).whole() if row["ok"] else Groups.none()
-                n = np.array([int(row["ok"])])
-                yield _shard(
-                    -1 - row["uid"], pa.array([row["doc_id"]], pa.int64()), n, np.zeros(n[0], np.int64), np.array([len(groups.na)])[: n[0]], groups,
-                    (tools.len_a, tools.len_b),
-                )
+def _long_shard(path_a: str, path_b: str) -> Callable:
+    """The root of a document's tree: its fragments become a shard of its own."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        first, ok, f = _composed(rows)
+        groups = f.whole() if ok else Groups.none()
+        n = np.array([int(ok)])
+        ids = pa.array([first["doc_id"]], pa.int64())
+        batch = _shard(-1 - first["uid"], ids, n, np.zeros(n[0], np.int64), np.array([len(groups.na)])[: n[0]], groups, byte_lengths(path_a, path_b))
+        return pa.Table.from_batches([batch])
 
     return work
 
@@ -374,7 +408,7 @@ def shards(docs: DataFrame, path_a: str, path_b: str, segment: int = SEGMENT_BYT
     if most is not None:
         cut = long_.mapInArrow(_cut(path_b, segment), SEGMENT).repartition("uid", "part")
         parts = compose(cut.mapInArrow(_fragments(path_a, path_b, width), FRAGMENT), most + 1, width)
-        out = out.unionByName(parts.mapInArrow(_long_shards(path_a, path_b), SHARD))
+        out = out.unionByName(parts.groupBy("uid").applyInArrow(_long_shard(path_a, path_b), SHARD))
     return written(out, "alignment")
 
 
@@ -414,19 +448,18 @@ def _measure(path_a: str, path_b: str, texts: bool) -> Callable:
     """Documents' rows from a shard to which the counts of its pairs are joined."""
 
     def work(shard: pa.Table) -> pa.Table:
-        tools = encoder(path_a, path_b)
-        n_units, codes, unit_groups, a, b, na, nb = (np.frombuffer(shard.column(k)[0].as_buffer(), "<u4").astype(np.int64) for k in _NUMBERS)
+        lengths = byte_lengths(path_a, path_b)
+        n_units, codes, unit_groups, a, b, na, nb = (_numbers(shard.column(k)[0].as_buffer()) for k in _NUMBERS)
         g = Groups(a, b, na, nb)
-        links, n_links = _links(g, unit_groups, tools.len_a, tools.len_b)
+        links, n_links = _links(g, unit_groups, *lengths)
         known, n, best = (shard.column(k).combine_chunks().flatten().to_numpy(zero_copy_only=False) for k in ("pair", "n", "best"))
         # links of units that no good document has are unknown, and are not asked for
         order = np.argsort(known)
         at = order[np.minimum(np.searchsorted(known[order], links), len(known) - 1)] if len(known) else np.zeros(0, np.int64)
-        per = lambda x, size: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], np.cumsum(size)])])
         nothing = np.zeros(len(n_links), np.int64)
-        per_unit = [per(na, unit_groups), per(nb, unit_groups), unit_groups, n_links]
-        per_unit += [per(x[at].astype(np.int64), n_links) if len(known) else nothing for x in (best, n)]
-        columns = dict(zip(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"), (per(x[codes], n_units) for x in per_unit)))
+        per_unit = [_sums(na, unit_groups), _sums(nb, unit_groups), unit_groups, n_links]
+        per_unit += [_sums(x[at], n_links) if len(known) else nothing for x in (best, n)]
+        columns = dict(zip(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"), (_sums(x[codes], n_units) for x in per_unit)))
         units, upto = _texts(g, unit_groups), np.concatenate([[0], np.cumsum(n_units)])
         shas, groups = [], []
         begin = 0

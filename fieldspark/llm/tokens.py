@@ -90,17 +90,23 @@ def byte_bpe(path: str):
 @lru_cache(maxsize=2)
 def ordinary_byte_bpe(path: str):
     """(text -> ids in which special strings are ordinary text, bytes of each id) of such a file."""
-    from tokenizers import Tokenizer
-
     _, ranks = _byte_ranks(path)
     fast = _merges(ranks)
-    whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     long_space = re.compile(rf"\s{{{LONG_SPACE}}}").search
     texts = [b""] * (max(ranks.values()) + 1)
     for token, i in ranks.items():
         texts[i] = token
-    return lambda text: whole.encode(text, add_special_tokens=False).ids if long_space(text) else fast(text), texts
+
+    def encode(text: str) -> list[int]:
+        if len(text) < LONG_SPACE or not long_space(text):
+            return fast(text)
+        from tokenizers import Tokenizer  # seldom: not kept
+
+        whole = Tokenizer.from_file(path)
+        whole.encode_special_tokens = True
+        return whole.encode(text, add_special_tokens=False).ids
+
+    return encode, texts
 
 
 @lru_cache(maxsize=2)
