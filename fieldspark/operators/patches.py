@@ -97,10 +97,29 @@ def pending(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return wanted.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def following_tendency(patches: DataFrame, field: str, keys: list[str]) -> Column:
-    """(next - previous hour) / 7200 s of cells that were cut at their own centres."""
-    w = Window.partitionBy(*keys).orderBy("dh")
-    return (F.lead(field).over(w) - F.lag(field).over(w)) / 7200.0
+def following_tendency(field: str, keys: list[str]) -> Column:
+    """(value at dh + 1 - value at dh - 1) / 7200 s of cells that were cut at their own centres; NULL without both hours."""
+    hour = Window.partitionBy(*keys).orderBy("dh")
+    return (F.first(field).over(hour.rangeBetween(1, 1)) - F.first(field).over(hour.rangeBetween(-1, -1))) / 7200.0
+
+
+def frame_tendency(centres: DataFrame, field: DataFrame, value: str, half_j: int, half_i: int, nlat: int, nlon: int, keys: list[str], before: DataFrame | None = None, after: DataFrame | None = None) -> DataFrame:
+    """keys, level, iy, ix, tendency: what changes within the window from the hour before to the hour after, per second.
+
+    ``centres`` has keys, ts, jc, ic.  Without ``before`` and ``after`` both
+    hours are cut at the centre of the hour between (a fixed frame); with them
+    (keys, jc, ic) each is cut at its own (a moving frame).  NULL where an hour
+    or a value is missing.
+    """
+    hour = lambda n: F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(n), F.lit(0), F.lit(0))
+    found = []
+    for n, own in ((-1, before), (1, after)):
+        at = centres.select(*keys, hour(n).alias("ts"), *([] if own is not None else ["jc", "ic"]))
+        at = at.join(own.select(*keys, "jc", "ic"), keys) if own is not None else at
+        cut = extract_patches(at, field.select("ts", "level", "ilat", "ilon", value), half_j, half_i, nlat, nlon, ["ts"])
+        found.append(cut.filter("level IS NOT NULL").select(*keys, "level", "iy", "ix", F.col(value).alias(f"_{n + 1}")))
+    both = found[0].join(found[1], [*keys, "level", "iy", "ix"], "full")
+    return both.select(*keys, "level", "iy", "ix", ((F.col("_2") - F.col("_0")) / 7200.0).alias("tendency"))
 
 
 def centre_distance(lat: Column, lon: Column, lat0: Column, lon0: Column) -> Column:

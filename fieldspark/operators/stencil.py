@@ -87,18 +87,17 @@ def ddp(c: Column, keys: list[str], p_hpa: Column) -> Column:
     return uneven(c, p_hpa * 100.0, [*keys, "ilat", "ilon"], "level")
 
 
-def ddt(c: Column, keys: list[str], seconds: float, edge_order: int = 1) -> Column:
-    return (centred if edge_order == 1 else centred_second)(c, keys, "ts", F.lit(float(seconds)))
+def ddt(c: Column, keys: list[str], seconds: int = 3600, edge_order: int = 1) -> Column:
+    """d/dt from the values exactly ``seconds`` before and after; rows in between or beyond a gap play no part.
 
-
-def ddt_hourly(c: Column, keys: list[str], seconds: int = 3600) -> Column:
-    """d/dt from the values exactly ``seconds`` before and after, whatever rows lie between.
-
-    Centred where both are there, one-sided where one is, else NULL.
+    Centred where both are there; else one-sided, with ``edge_order`` = 2 over
+    three points where they are there.  NULL without a neighbour in time.
     """
+    seconds = int(seconds)
     now = Window.partitionBy(*keys).orderBy(F.unix_seconds("ts"))
-    before, after = (F.first(c).over(now.rangeBetween(d, d)) for d in (-seconds, seconds))
-    return F.coalesce((after - before) / (2.0 * seconds), (after - c) / float(seconds), (c - before) / float(seconds))
+    before2, before, after, after2 = (F.first(c).over(now.rangeBetween(k * seconds, k * seconds)) for k in (-2, -1, 1, 2))
+    ends = [(-3 * c + 4 * after - after2) / (2.0 * seconds), (3 * c - 4 * before + before2) / (2.0 * seconds)] if edge_order == 2 else []
+    return F.coalesce((after - before) / (2.0 * seconds), *ends, (after - c) / float(seconds), (c - before) / float(seconds))
 
 
 def d_dlambda(c: Column, keys: list[str], dlon: float, periodic: bool = True) -> Column:

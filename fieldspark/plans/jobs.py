@@ -85,7 +85,7 @@ def with_tendencies(cells: DataFrame) -> DataFrame:
     if "t" in cells.columns:
         cells = cells.withColumn("theta", C.theta(F.col("t"), F.col("level")))
     names = [c for c in ("pv", "pv_bar", "pv_anom", "t", "theta") if c in cells.columns]
-    return cells.select("*", *[S.ddt_hourly(F.col(c), cell).alias(f"{c}_dt") for c in names])
+    return cells.select("*", *[S.ddt(F.col(c), cell).alias(f"{c}_dt") for c in names])
 
 
 def with_heating(cells: DataFrame) -> DataFrame:

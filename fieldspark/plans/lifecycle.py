@@ -140,10 +140,16 @@ def pending_work(spark, sf):
     return P.pending(want, hours(spark, sf), ["track_id", "dh"])
 
 
-@register("following_tendency", f"WITH {_HOURS} SELECT track_id, dh, round(1e3 * (lead(area) OVER w - lag(area) OVER w) / 7200, 6) + 0.0 AS dadt FROM hrs WINDOW w AS (PARTITION BY track_id ORDER BY dh)")
+def _near(k: int, key: str, step: int) -> str:
+    """SQL: the area exactly k steps on (back, if negative)."""
+    at = f"{abs(k) * step} {'PRECEDING' if k < 0 else 'FOLLOWING'}"
+    return f"first_value(area) OVER (PARTITION BY track_id ORDER BY {key} RANGE BETWEEN {at} AND {at})"
+
+
+@register("following_tendency", f"WITH {_HOURS} SELECT track_id, dh, round(1e3 * ({_near(1, 'dh', 1)} - {_near(-1, 'dh', 1)}) / 7200, 6) + 0.0 AS dadt FROM hrs")
 def following_tendency(spark, sf):
     h = hours(spark, sf)
-    return h.select("track_id", "dh", r(P.following_tendency(h, "area", ["track_id"]), 1e3).alias("dadt"))
+    return h.select("track_id", "dh", r(P.following_tendency("area", ["track_id"]), 1e3).alias("dadt"))
 
 
 _M = f"({PI} / 180 * {R_EARTH})"
@@ -237,13 +243,16 @@ def smooth_climatology(spark, sf):
     return S.fourier_filter(m, "x", "y", [], "k", 12, 4).select("k", r(F.col("y")).alias("x"))
 
 
-@register("time_derivative", f"WITH {_HOURS} SELECT track_id, dh, round(1e3 * CASE WHEN b IS NULL AND a IS NULL THEN NULL WHEN b IS NULL THEN (a - area) / 3600 WHEN a IS NULL THEN (area - b) / 3600 ELSE (a - b) / 7200 END, 6) + 0.0 AS dadt FROM (SELECT *, lag(area) OVER w AS b, lead(area) OVER w AS a FROM hrs WINDOW w AS (PARTITION BY track_id ORDER BY ts))")
+_SEC = "CAST(epoch(ts) AS BIGINT)"
+
+
+@register("time_derivative", f"WITH {_HOURS} SELECT track_id, dh, round(1e3 * CASE WHEN b IS NULL AND a IS NULL THEN NULL WHEN b IS NULL THEN (a - area) / 3600 WHEN a IS NULL THEN (area - b) / 3600 ELSE (a - b) / 7200 END, 6) + 0.0 AS dadt FROM (SELECT *, {_near(-1, _SEC, 3600)} AS b, {_near(1, _SEC, 3600)} AS a FROM hrs)")
 def time_derivative(spark, sf):
     return hours(spark, sf).select("track_id", "dh", r(S.ddt(F.col("area"), ["track_id"], 3600.0), 1e3).alias("dadt"))
 
 
-@register("time_derivative_second_order", f"""WITH {_HOURS} SELECT track_id, dh, round(1e3 * CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN (a - b) / 7200 WHEN a2 IS NOT NULL THEN (-3 * area + 4 * a - a2) / 7200 WHEN b2 IS NOT NULL THEN (3 * area - 4 * b + b2) / 7200
-   WHEN a IS NOT NULL THEN (a - area) / 3600 WHEN b IS NOT NULL THEN (area - b) / 3600 END, 6) + 0.0 AS dadt FROM (SELECT *, lag(area) OVER w AS b, lead(area) OVER w AS a, lag(area, 2) OVER w AS b2, lead(area, 2) OVER w AS a2 FROM hrs WINDOW w AS (PARTITION BY track_id ORDER BY ts))""")
+@register("time_derivative_second_order", f"""WITH {_HOURS} SELECT track_id, dh, round(1e3 * CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN (a - b) / 7200 WHEN a IS NOT NULL AND a2 IS NOT NULL THEN (-3 * area + 4 * a - a2) / 7200 WHEN b IS NOT NULL AND b2 IS NOT NULL THEN (3 * area - 4 * b + b2) / 7200
+   WHEN a IS NOT NULL THEN (a - area) / 3600 WHEN b IS NOT NULL THEN (area - b) / 3600 END, 6) + 0.0 AS dadt FROM (SELECT *, {_near(-1, _SEC, 3600)} AS b, {_near(1, _SEC, 3600)} AS a, {_near(-2, _SEC, 3600)} AS b2, {_near(2, _SEC, 3600)} AS a2 FROM hrs)""")
 def time_derivative_second_order(spark, sf):
     return hours(spark, sf).select("track_id", "dh", r(S.ddt(F.col("area"), ["track_id"], 3600.0, 2), 1e3).alias("dadt"))
 
