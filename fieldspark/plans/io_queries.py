@@ -108,15 +108,14 @@ def missing_values(spark, sf):
 
 @register("stream_composites", f"WITH {PATCHES} SELECT variant, iy, ix, round(sum(a), 6) + 0.0 AS sum_a, count(a) AS n_a FROM patches GROUP BY 1, 2, 3")
 def stream_composites(spark, sf):
-    """Two arrivals with the first repeated in the second: every cell counts once."""
+    """Three arrivals: every second patch and half the cells of the others, then everything; every cell counts once."""
     src, state, check = (scratch(spark, n) for n in ("arrivals", "state", "offsets"))
-    p = patches(spark, sf).select("track_id", "variant", "iy", "ix", "a")
-    args = dict(fields=["a"], keys=["variant", "iy", "ix"], unit=["track_id", "iy", "ix"], checkpoint=check)
-    p.filter("track_id % 2 = 0").write.mode("append").parquet(src)
-    incremental.stream_composites(spark, src, p.schema, state, **args)
-    p.write.mode("append").parquet(src)
-    incremental.stream_composites(spark, src, p.schema, state, **args)
-    return incremental.current_composite(spark, state).select("variant", "iy", "ix", r(F.col("sum_a")).alias("sum_a"), "n_a")
+    p = patches(spark, sf).select("track_id", "dh", "variant", "iy", "ix", "a")
+    args = dict(fields=["a"], keys=["variant", "iy", "ix"], by=["variant"], patch=["dh", "track_id"], cell={"iy": (0, 8), "ix": (0, 8)}, checkpoint=check)
+    for arrival in (p.filter("track_id % 2 = 0"), p.filter("track_id % 2 = 1 AND iy < 4"), p):
+        arrival.write.mode("append").parquet(src)
+        incremental.stream_composites(spark, src, p.schema, state, **args)
+    return incremental.current_composite(spark, state, ["variant"]).select("variant", "iy", "ix", r(F.col("sum_a")).alias("sum_a"), "n_a")
 
 
 @register("stream_pending", f"WITH {CATALOG} SELECT DISTINCT track_id, stage FROM catalog WHERE NOT (stage = 'onset' AND track_id % 2 = 0)")
@@ -315,6 +314,34 @@ def job_compute_sink(spark, sf):
     return m.groupBy("dh").agg(F.count_distinct("track_id").alias("n_patches"), *sums).select("*", *counts)
 
 
+def _frames(moving: bool) -> str:
+    place = "SELECT e.track_id, CAST(dh AS INT) AS dh, coalesce(t.lat, e.lat) AS lat, coalesce(t.lon, e.lon) AS lon FROM tr e CROSS JOIN range(-2, 3) h(dh) LEFT JOIN tr t ON t.track_id = e.track_id AND t.n = dh + 1 WHERE e.n = 1"
+    cell = "CAST(least(greatest(floor((lat - 20) / 6 + 0.5), 0), 9) AS INT) AS jc, CAST((floor((lon + 180) / 15 + 0.5) + 24) % 24 AS INT) AS ic"
+    cut = lambda n, name: f"{name} AS (SELECT c.track_id, c.dh, level, iy, ix, pv * (1 + 0.1 * (c.dh + {1 + n}) + 0.02 * (c.dh + {1 + n}) * (c.dh + {1 + n})) AS x FROM wc c JOIN wc o ON o.track_id = c.track_id AND o.dh = c.dh{f' + {n}' if moving else ''} CROSS JOIN range(-2, 3) a(iy) CROSS JOIN range(-3, 4) b(ix) JOIN grid ON ilat = o.jc + iy AND ilon = (o.ic + ix + 24) % 24 WHERE c.dh BETWEEN -1 AND 1 AND c.dh + {1 + n} BETWEEN 0 AND 3)"
+    return f"""WITH {TRACKS}, {GRID}, tr AS (SELECT track_id, lat, lon, row_number() OVER (PARTITION BY track_id ORDER BY ts) AS n FROM tracks), wc AS (SELECT track_id, dh, {cell} FROM ({place})), {cut(-1, 'bf')}, {cut(1, 'af')}
+ SELECT track_id, dh, CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, count(af.x - bf.x) AS n, round(1e3 * sum((af.x - bf.x) / 7200), 5) + 0.0 AS tendency FROM bf FULL JOIN af USING (track_id, dh, level, iy, ix) GROUP BY 1, 2, 3, 4"""
+
+
+def _frame_tendency(spark, sf, moving: bool):
+    (g, _), (e, t) = _weather(spark, sf), _moving(spark, sf)
+    at = jobs.event_hours(e, t, range(-2, 3), _SPEC).select("track_id", "dh", "ts", "jc", "ic")
+    other = {k: at.select("track_id", (F.col("dh") + n).alias("dh"), "jc", "ic") for k, n in (("before", 1), ("after", -1))} if moving else {}
+    d = P.frame_tendency(at.filter(F.abs("dh") < 2), g, "pv", _SPEC.half_j, _SPEC.half_i, NLAT, NLON, ["track_id", "dh"], **other)
+    return d.groupBy("track_id", "dh", "iy", "ix").agg(F.count("tendency").alias("n"), r(F.sum("tendency"), 1e3, 5).alias("tendency"))
+
+
+@register("moving_frame_tendency", _frames(True))
+def moving_frame_tendency(spark, sf):
+    """Every track's window, the hours before and after cut at their own centres."""
+    return _frame_tendency(spark, sf, True)
+
+
+@register("fixed_frame_tendency", _frames(False))
+def fixed_frame_tendency(spark, sf):
+    """The same with both hours cut at the centre of the hour between."""
+    return _frame_tendency(spark, sf, False)
+
+
 @register("job_event_status", f"""WITH {TRACKS}, tr AS (SELECT track_id, ts, row_number() OVER (PARTITION BY track_id ORDER BY ts) AS n FROM tracks)
  SELECT track_id, CAST(dh AS INT) AS dh, CASE WHEN track_id % 5 = 0 AND NOT EXISTS (SELECT 1 FROM tr t WHERE t.track_id = e.track_id AND t.n = dh + 1) THEN 'no_place' WHEN dh + 1 > 2 THEN 'no_field' ELSE 'ready' END AS status FROM tr e CROSS JOIN range(0, 4) h(dh) WHERE n = 1""")
 def job_event_status(spark, sf):
