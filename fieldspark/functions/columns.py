@@ -45,6 +45,10 @@ def deg_to_m(deg: Column) -> Column:
     return F.radians(deg) * R_EARTH
 
 
+def m2_to_km2(c: Column) -> Column:
+    return c / 1e6
+
+
 def track_id_of(name: Column) -> Column:
     """First number after ``track_`` in a name, -1 if there is none."""
     found = F.regexp_extract(name, r"track_?(\d+)", 1)

@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldspark.functions.columns import m2_to_km2
 from fieldspark.functions.constants import R_EARTH
 from fieldspark.operators.stencil import centred
 
 PHI = [f"phi{k}" for k in range(1, 7)]
+SCALES = [f"s{k}" for k in range(1, 7)]
 NAMES = ("beta", "ax", "ay", "gamma1", "gamma2", "sigma")
 SIGNS = (1, -1, -1, -1, -1, 1)
 FIXED_SCALES = (1e6, 1e12, 1e12, 1e18, 1e18, 1e18)
@@ -138,9 +140,11 @@ def inner(f: Column, g: Column) -> Column:
 
 
 def gram(cells: DataFrame, keys: list[str], terms: list[str]) -> DataFrame:
-    """One row per unit: g_i_j of the six fields and t_<term>_j of every term, in one aggregate."""
+    """One row per unit: g_i_j of the six fields, t_<term>_j of every term and, of fields that were scaled, s1..s6, in one
+    aggregate."""
     aggs = [inner(F.col(PHI[i]), F.col(PHI[j])).alias(f"g_{i}_{j}") for i in range(6) for j in range(i + 1)]
     aggs += [inner(F.col(t), F.col(PHI[j])).alias(f"t_{t}_{j}") for t in terms for j in range(6)]
+    aggs += [F.max(s).alias(s) for s in SCALES if s in cells.columns]  # one value a unit
     return cells.filter("w <> 0").groupBy(*keys).agg(*aggs)
 
 
@@ -160,10 +164,11 @@ def orthogonalize(gram_rows: DataFrame) -> DataFrame:
     return g
 
 
-def project(gram_rows: DataFrame, keys: list[str], terms: list[str], scales: list[str] | None = None) -> DataFrame:
+def project(gram_rows: DataFrame, keys: list[str], terms: list[str], physical: bool = False) -> DataFrame:
     """keys, term, beta ax ay gamma1 gamma2 sigma of every term; a vanishing norm gives NULL.
 
-    ``scales``: columns s1..s6 by which the fields were scaled.
+    ``physical``: in the units of the unscaled fields (times s1..s6), with
+    gamma1_km2, gamma2_km2 and sigma_km2, and the others as <name>_raw.
     """
     o = orthogonalize(gram_rows)
     out = []
@@ -174,10 +179,13 @@ def project(gram_rows: DataFrame, keys: list[str], terms: list[str], scales: lis
             for k in range(j):
                 s = s - F.col(f"l_{j}_{k}") * raw[k]
             raw.append(s)
-        coef = [
-            (SIGNS[j] * F.when(F.col(f"d_{j}") > EPS, raw[j] / F.col(f"d_{j}")) * (F.col(scales[j]) if scales else 1.0)).alias(NAMES[j]) for j in range(6)
-        ]
-        out.append(F.struct(F.lit(t).alias("term"), *coef))
+        coef = [SIGNS[j] * F.when(F.col(f"d_{j}") > EPS, raw[j] / F.col(f"d_{j}")) for j in range(6)]
+        named = [c.alias(n) for c, n in zip(coef, NAMES)]
+        if physical:
+            scaled = [c * F.col(s) for c, s in zip(coef, SCALES)]
+            named = [c.alias(f"{n}_raw") for c, n in zip(coef, NAMES)] + [c.alias(n) for c, n in zip(scaled, NAMES)]
+            named += [m2_to_km2(c).alias(f"{n}_km2") for c, n in zip(scaled[3:], NAMES[3:])]
+        out.append(F.struct(F.lit(t).alias("term"), *named))
     return o.select(*keys, F.explode(F.array(*out)).alias("p")).select(*keys, "p.*")
 
 

@@ -167,7 +167,7 @@ def omega_additivity(spark, sf):
     return source.crossJoin(F.broadcast(ok))
 
 
-@register("unit_conversions", f"WITH {GRID} SELECT level, ilat, ilon, round(z / 9.81, 6) + 0.0 AS height, level * 100.0 AS pa, round(6 * {RAD} * {R_EARTH}, 4) + 0.0 AS metres FROM grid")
+@register("unit_conversions", f"WITH {GRID} SELECT level, ilat, ilon, round(z / 9.81, 6) + 0.0 AS height, level * 100.0 AS pa, round(6 * {RAD} * {R_EARTH}, 4) + 0.0 AS metres, round(6 * {RAD} * {R_EARTH} * 15 * {RAD} * {R_EARTH} * cos(lat * {RAD}) / 1e6, 4) + 0.0 AS area_km2 FROM grid")
 def unit_conversions(spark, sf):
     g = grid(spark, sf)
-    return g.select("level", "ilat", "ilon", r(C.geopotential_to_m(F.col("z"))).alias("height"), (F.col("level") * 100.0).alias("pa"), r(S.dy_m(DLAT), 1, 4).alias("metres"))
+    return g.select("level", "ilat", "ilon", r(C.geopotential_to_m(F.col("z"))).alias("height"), (F.col("level") * 100.0).alias("pa"), r(C.deg_to_m(F.lit(DLAT)), 1, 4).alias("metres"), r(C.m2_to_km2(S.dy_m(DLAT) * S.dx_m(F.col("lat"), DLON)), 1, 4).alias("area_km2"))

@@ -172,6 +172,17 @@ def projection(spark, sf):
     return p.select("track_id", *[r(F.col(c), 1, 5).alias(c) for c in B.NAMES])
 
 
+_KM2 = tuple(f"{n}_km2" for n in B.NAMES[3:])
+
+
+@register("projection_physical", f"WITH {PATCHES}{_COEF}, ph AS (SELECT track_id, {', '.join(f'{n} AS {n}_raw, {n} * s{k} AS {n}' for k, n in enumerate(B.NAMES, 1))} FROM pr JOIN s USING (track_id)) SELECT track_id, {', '.join(f'round({n} * {x}, 5) + 0.0 AS {n}, round({n}_raw, 5) + 0.0 AS {n}_raw' for n, x in zip(B.NAMES, ('1', '1e-6', '1e-6', '1e-12', '1e-12', '1e-12')))}, {', '.join(f'round({n} / 1e6 * 1e-6, 5) + 0.0 AS {n}_km2' for n in B.NAMES[3:])} FROM ph")
+def projection_physical(spark, sf):
+    """The same coefficients in the units of the fields themselves, those of second derivatives per square kilometre, too."""
+    p = B.project(B.gram(_basis(spark, sf), _U, ["b"]), _U, ["b"], physical=True)
+    scaled = [r(F.col(n), x, 5).alias(n) for n, x in zip(B.NAMES, (1.0, 1e-6, 1e-6, 1e-12, 1e-12, 1e-12))]
+    return p.select("track_id", *scaled, *[r(F.col(f"{n}_raw"), 1, 5).alias(f"{n}_raw") for n in B.NAMES], *[r(F.col(n), 1e-6, 5).alias(n) for n in _KM2])
+
+
 @register("projection_components", f"WITH {PATCHES}{_COEF}, t AS (SELECT o6.*, beta * p1 AS int, -ax * p2 - ay * p3 AS prop, -gamma1 * p4 AS def1, -gamma2 * p5 AS def2, sigma * p6 AS lap FROM o6 JOIN pr USING (track_id)) SELECT track_id, iy, ix, round(int + prop + def1 + def2 + lap, 5) + 0.0 AS recon, round(CASE WHEN {_W} <> 0 THEN b - (int + prop + def1 + def2 + lap) END, 5) + 0.0 AS resid FROM t")
 def projection_components(spark, sf):
     cells = _basis(spark, sf)
