@@ -110,11 +110,6 @@ def _solver(grid: Sphere, sources: dict[str, str]) -> Callable:
     return solve
 
 
-def _with(schema: T.StructType, added: list[str], dropped: list[str]) -> T.StructType:
-    kept = [f for f in schema.fields if f.name not in dropped]
-    return T.StructType([*kept, *[T.StructField(c, T.DoubleType()) for c in added]])
-
-
 def zonal_dft(df: DataFrame, col: str, keys: list[str], nlon: int) -> DataFrame:
     """keys, ilat, m, re, im for waves 0..nlon/2; gaps count as 0."""
     half = nlon // 2 + 1
@@ -176,11 +171,7 @@ def poissons(df: DataFrame, wanted: dict, keys: list[str], grid: Sphere) -> Data
             f = f + F.when(j == 0, edge(-1, slopes[0], 1.0)).when(j == grid.nlat - 1, edge(1, slopes[1], -1.0)).otherwise(0.0)
         src = src.withColumn(f"_f_{out}", f)
     sources = {out: f"_f_{out}" for out in wanted}
-    # times travel as whole microseconds: Arrow's time zone is the session's, the schema's need not be
-    times = [f.name for f in src.schema.fields if isinstance(f.dataType, T.TimestampType)]
-    src = src.withColumns({c: F.unix_micros(c) for c in times})
-    solved = src.groupBy(*keys).applyInArrow(_solver(grid, sources), _with(src.schema, list(wanted), list(sources.values())))
-    return solved.withColumns({c: F.timestamp_micros(c) for c in times})
+    return S.by_slice(src, keys, _solver(grid, sources), list(wanted), list(sources.values()))
 
 
 def gradient(df: DataFrame, col: str, outs: tuple[str, str], keys: list[str], dlat: float, dlon: float) -> DataFrame:

@@ -6,10 +6,14 @@ Each is one window over the axis; functions that share axes share a sort.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import lru_cache, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldspark.functions.columns import coriolis_clamped
 from fieldspark.functions.constants import KAPPA, R_DRY, R_EARTH
@@ -161,41 +165,74 @@ def kernel(sigma: float, radius: int | None = None) -> list[float]:
     return [x / sum(k) for x in k]
 
 
-def smooth_axis(df: DataFrame, col: str, out: str, keys: list[str], axis: str, weights: list[float], n: int, edge: str) -> DataFrame:
-    """Weighted mean along ``axis`` (0..n-1); missing values do not count.
+def by_slice(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Table], added: list[str], dropped: list[str] = ()) -> DataFrame:
+    """Sends each slice, the cells of one ``keys``, through ``work``, which adds double columns (and may drop some).
 
-    ``edge``: "wrap" or "reflect" (the edge cell counts twice).  Cells are sent
-    to the cells that they weigh in, then summed: one shuffle, no window buffer.
+    Other columns go along, so nothing is joined back; memory follows one
+    slice.  Times travel as whole microseconds: Arrow's time zone is the
+    session's, the schema's need not be.
     """
-    r = len(weights) // 2
-    k = F.explode(F.array(*[F.struct(F.lit(i - r).alias("o"), F.lit(w).alias("w")) for i, w in enumerate(weights)])).alias("k")
-    sent = df.select(*keys, axis, F.col(col).alias("_c"), k).withColumn("_at", F.col(axis) + F.col("k.o"))
-    if edge == "wrap":
-        at = F.pmod("_at", F.lit(n))
-    else:  # cell a lies in the neighbourhood of t directly or as its mirror image
-        images = F.array(F.col("_at"), -1 - F.col("_at"), 2 * n - 1 - F.col("_at"))
-        sent = sent.withColumn("_at", F.explode(images))
-        sent, at = sent.filter((F.col("_at") >= 0) & (F.col("_at") < n)), F.col("_at")
-    s = sent.groupBy(*keys, at.cast("int").alias(axis)).agg(
-        (F.sum(F.col("k.w") * F.col("_c")) / F.sum(F.when(F.col("_c").isNotNull(), F.col("k.w")))).alias(out)
-    )
-    return df.join(s, [*keys, axis], "left")
+    times = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)]
+    df = df.withColumns({c: F.unix_micros(c) for c in times})
+    kept = [f for f in df.schema.fields if f.name not in {*dropped, *added}]
+    schema = T.StructType([*kept, *[T.StructField(c, T.DoubleType()) for c in added]])
+    return df.groupBy(*keys).applyInArrow(lambda cells: work(cells).select(schema.names), schema).withColumns({c: F.timestamp_micros(c) for c in times})
+
+
+@lru_cache(maxsize=32)
+def _weights(n: int, kernel_: tuple[float, ...], edge: str) -> np.ndarray:
+    """What each cell of an axis (columns) weighs in each other one (rows)."""
+    r, out = len(kernel_) // 2, np.zeros((n, n))
+    for o, w in zip(range(-r, r + 1), kernel_):
+        for at in range(n):
+            seen = at + o
+            # reflect: a cell lies in a neighbourhood directly or as its mirror image
+            for t in [seen % n] if edge == "wrap" else [x for x in (seen, -1 - seen, 2 * n - 1 - seen) if 0 <= x < n]:
+                out[t, at] += w
+    return out
+
+
+def smooth_slices(
+    df: DataFrame, cols: dict[str, str], keys: list[str], axes: tuple[str, str], shape: tuple[int, int], weights: list[float], edge: str, fill: bool = False, origin: tuple[int, int] = (0, 0)
+) -> DataFrame:
+    """Weighted means over both axes of a slice, columns -> their smooth forms, one product of matrices a column and axis.
+
+    ``axes`` go from ``origin`` on.  ``edge``: "wrap" or "reflect" (the edge
+    cell counts twice).  Missing values do not count; with ``fill`` they count
+    as the slice's mean, and are missing again afterwards.
+    """
+    one, two = (_weights(n, tuple(weights), edge) for n in shape)
+
+    def work(cells: pa.Table) -> pa.Table:
+        j, i = (cells.column(c).to_numpy() - o for c, o in zip(axes, origin))
+        for col, out in cols.items():
+            own = cells.column(col).to_numpy()
+            v = np.full(shape, np.nan)
+            v[j, i] = own
+            if fill and not np.isnan(own).all():
+                v[j, i] = np.where(np.isnan(own), np.nanmean(own), own)
+            for turn in (lambda x: x @ two.T, lambda x: one @ x):
+                there = ~np.isnan(v)
+                total, weight = turn(np.where(there, v, 0.0)), turn(there.astype(float))
+                v = np.divide(total, weight, out=np.full(shape, np.nan), where=weight > 0)
+            smooth = v[j, i]
+            if fill:
+                smooth = np.where(np.isnan(own), np.nan, smooth)
+            cells = (cells.drop_columns([out]) if out in cells.column_names else cells).append_column(out, pa.array(smooth, mask=np.isnan(smooth)))
+        return cells
+
+    return by_slice(df, keys, work, list(cols.values()))
 
 
 def gauss_wrap(df: DataFrame, col: str, out: str, keys: list[str], sigma: float, nlat: int, nlon: int) -> DataFrame:
     """Gaussian smoothing over both axes of a slice, wrapped edges, normalised for gaps."""
-    k = kernel(sigma)
-    step = smooth_axis(df, col, "_s", [*keys, "ilat"], "ilon", k, nlon, "wrap")
-    return smooth_axis(step, "_s", out, [*keys, "ilon"], "ilat", k, nlat, "wrap").drop("_s")
-
-
-def gauss_reflect(df: DataFrame, col: str, out: str, keys: list[str], fwhm_deg: float, grid_deg: float, ny: int, nx: int) -> DataFrame:
-    """Gaussian smoothing with reflected edges; gaps are filled by the slice's mean and missing again afterwards."""
-    k = kernel(fwhm_deg / 2.355 / grid_deg)
-    df = df.withColumn("_f", F.coalesce(F.col(col), F.avg(col).over(Window.partitionBy(*keys))))
-    step = smooth_axis(df, "_f", "_s", [*keys, "iy"], "ix", k, nx, "reflect")
-    step = smooth_axis(step, "_s", out, [*keys, "ix"], "iy", k, ny, "reflect")
-    return step.withColumn(out, F.when(F.col(col).isNotNull(), F.col(out))).drop("_f", "_s")
+    return smooth_slices(df, {col: out}, keys, ("ilat", "ilon"), (nlat, nlon), kernel(sigma), "wrap")
+
+
+def gauss_reflect(df: DataFrame, cols: dict[str, str], keys: list[str], fwhm_deg: float, grid_deg: float, ny: int, nx: int, origin: tuple[int, int] = (0, 0)) -> DataFrame:
+    """Gaussian smoothing of patches, columns -> their smooth forms, with reflected edges; gaps are filled by the slice's mean
+    and missing again afterwards."""
+    return smooth_slices(df, cols, keys, ("iy", "ix"), (ny, nx), kernel(fwhm_deg / 2.355 / grid_deg), "reflect", True, origin)
 
 
 def smooth_121(c: Column, keys: list[str], axis: str) -> Column:

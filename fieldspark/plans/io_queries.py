@@ -23,7 +23,7 @@ from fieldspark.plans.proxies import CATALOG, DLAT, DLON, GRID, LAT0, NLAT, NLON
 from fieldspark.plans.registry import register
 from fieldspark.sources import normalize as N
 from fieldspark.sources import tables as S
-from fieldspark.sources.scratch import scratch
+from fieldspark.sources.scratch import scratch, written
 from fieldspark.streaming import incremental
 
 
@@ -398,11 +398,23 @@ def job_classify_composite(spark, sf):
     return K.composite_mean(jobs.composite(p, labels, ["pv"]), ["pv"])
 
 
-@register("job_decompose")
-def job_decompose(spark, sf):
+#: Blended with the hour before, smoothed over about a cell, the central blob of what is below its own middle.
+_BASIS = jobs.BasisConfig(2, 3, DLAT, DLON, "< 0.5", 8.0, True, 0.7)
+
+
+_TERMS = ("u_bar_pv_anom_dx", "v_bar_pv_anom_dy")
+
+
+def _decomposed_patches(spark, sf):
     (g, climate), (e, t) = _world(spark, sf), _moving(spark, sf)
     p = jobs.compute(e, t, g, climate, [0, 1], _SPEC).filter("level = 390")
-    return jobs.decompose(p, ["track_id", "dh"], "pv_anom", ["u_bar_pv_anom_dx", "v_bar_pv_anom_dy"], DLAT, DLON, mask="< 1e9")
+    return written(p.select("track_id", "dh", "lat_c", "iy", "ix", "x_rel", "y_rel", "pv_anom", *_TERMS), "patches")  # several steps take them
+
+
+@register("job_decompose")
+def job_decompose(spark, sf):
+    """All tracks at two hours, each on the patterns of its own patch at its own latitude."""
+    return jobs.decompose(_decomposed_patches(spark, sf), ["track_id", "dh"], "pv_anom", list(_TERMS), _BASIS, F.col("lat_c"))
 
 
 @register("job_clim_helmholtz", f"""WITH {GRID}{WIND} SELECT level, ilat, ilon, CASE WHEN ok THEN round(u, 6) + 0.0 END AS u_bar, round(CASE WHEN ilat IN (0, 9) THEN 0.0 ELSE 1e6 * vort_a + {sql_lap('here')} END, 4) + 0.0 AS lap_psi,

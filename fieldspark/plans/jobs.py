@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions import columns as C
@@ -213,12 +213,40 @@ def composite(patches: DataFrame, labels: DataFrame, fields: list[str]) -> DataF
     return K.build_composites(K.with_variants(patches, members), fields, ["variant", "stage", "dh", "level", "iy", "ix"])
 
 
-def decompose(cells: DataFrame, keys: list[str], q: str, terms: list[str], dlat: float, dlon: float, mask: str = "< 0", lat: float = 45.0) -> DataFrame:
-    """Coefficients of terms on the six patterns of ``q`` of each unit."""
-    at = F.col("y_rel") + lat
-    c = B.prenorm(B.raw_basis(cells, keys, q, dlat, dlon, F.lit(lat)), keys)
-    c = B.basis_weights(B.basis_mask(c, mask, q), at)
-    return B.project(B.gram(c, keys, terms), keys, terms)
+@dataclass(frozen=True)
+class BasisConfig:
+    """How the six patterns are made: ``blend`` with the hour before (weight of the hour itself), ``smooth_deg`` (full width
+    at half maximum; None: not at all), the mask on the smooth first pattern, and whether only the central blob counts."""
+
+    half_j: int
+    half_i: int
+    dlat: float
+    dlon: float
+    mask: str | None = "< 0"
+    smooth_deg: float | None = 3.0
+    central: bool = True
+    blend: float | None = None
+
+
+def basis_cells(cells: DataFrame, keys: list[str], q: str, config: BasisConfig, lat: Column) -> DataFrame:
+    """phi1..phi6, s1..s6, mask and w of each unit's patch of ``q`` around latitude ``lat`` (a column of the unit)."""
+    g, c = config, cells
+    if g.blend is not None:
+        c = P.with_previous_hour(c, [*[k for k in keys if k != "dh"], "iy", "ix"], [q])
+        c = c.withColumn(q, C.blend(F.col(q), F.col(f"{q}_prev"), g.blend)).drop(f"{q}_prev")
+    c = B.prenorm(B.raw_basis(c, keys, q, g.dlat, g.dlon, lat), keys)
+    if g.smooth_deg:
+        shape = (2 * g.half_j + 1, 2 * g.half_i + 1)
+        c = S.gauss_reflect(c, {p: p for p in B.PHI}, keys, g.smooth_deg, min(g.dlat, g.dlon), *shape, (-g.half_j, -g.half_i))
+    c = B.basis_mask(c, g.mask, "phi1")
+    if g.central and g.mask is not None:
+        c = B.central_blob(c, keys, "mask").withColumn("mask", F.col("blob")).drop("blob")
+    return B.basis_weights(c, F.col("y_rel") + lat)
+
+
+def decompose(cells: DataFrame, keys: list[str], q: str, terms: list[str], config: BasisConfig, lat: Column) -> DataFrame:
+    """Coefficients of terms on the six patterns of ``q`` of each unit, scaled, raw and per square kilometre."""
+    return B.project(B.gram(basis_cells(cells, keys, q, config, lat), keys, terms), keys, terms, physical=True)
 
 
 def status(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -286,7 +286,7 @@ _KR = S.kernel(4.0 / 2.355 / 1.5)
  {_refl('ix', 'iy', 'f', 's1')}, {_refl('iy', 'ix', 's1', 's2')} SELECT f.track_id, f.iy, f.ix, round(CASE WHEN ok THEN s2.v END, 6) + 0.0 AS a FROM f JOIN s2 USING (track_id, iy, ix)""")
 def gauss_reflect(spark, sf):
     p = patches(spark, sf).withColumn("a", F.when(F.col("a") > -0.1, F.col("a")))
-    s = S.gauss_reflect(p, "a", "s", _U, 4.0, 1.5, 8, 8)
+    s = S.gauss_reflect(p, {"a": "s"}, _U, 4.0, 1.5, 8, 8)
     return s.select("track_id", "iy", "ix", r(F.col("s")).alias("a"))
 
 
