@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in ``spark.checkpoint.dir``.
 
-    Only where that is unset and Spark runs in one process a local temporary
-    folder takes its place, until the process ends.
+    Only where that is unset and Spark is known to run in one process a local
+    temporary folder takes its place, until the process ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="fieldspark-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)

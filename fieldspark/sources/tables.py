@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,10 +66,12 @@ def read_exclude(spark: SparkSession, path: str | None) -> DataFrame:
     empty = spark.createDataFrame([], "track_id long")
     if path is None:
         return empty
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    try:
+        return exclude_from(spark.read.text(path))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return empty
-    return exclude_from(spark.read.text(path))
 
 
 def merge_variables(tables: list[DataFrame], keys: list[str]) -> DataFrame:

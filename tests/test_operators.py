@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from fieldspark.operators import resample as R
 from fieldspark.operators import stencil as S
 from fieldspark.operators import terms as M
 from fieldspark.sources import tables
+from fieldspark.streaming import incremental
 
 
 def cells(spark, nlat=13, nlon=24, lat0=10.0, dlat=5.0):
@@ -164,3 +166,44 @@ def test_ranks_hold_for_many_partitions(spark):
     units = spark.range(1000).select(F.col("id").alias("u"), (F.col("id") % 3).alias("g"))
     got = R._ranked(units, "u", ["g"]).collect()
     assert {(r["g"], r["u"], r["slot"]) for r in got} == {(i % 3, i, i // 3) for i in range(1000)}
+
+
+def test_replicate_means_against_numpy(spark):
+    """Gaps, a key of text, units of two groups, many batches of few units."""
+    rng = np.random.default_rng(4)
+    rows = [(u, u % 2, c, None if rng.random() < 0.2 else float(rng.normal())) for u in range(70) for c in "abc" if rng.random() < 0.9]
+    cells = spark.createDataFrame(rows + [(0, 0, "gap", None)], "u long, g long, c string, v double").repartition(5)
+    drawn = R.draws(cells, "u", 30, ["g"])
+    weight = {(r["g"], r["rep"], r["u"]): r["weight"] for r in drawn.collect()}
+    got = {(r["g"], r["c"], r["rep"]): r["m"] for r in R.replicate_means(cells, drawn, "u", "v", ["g", "c"]).collect()}
+    for (g, c, rep), m in got.items():
+        some = [(weight.get((g, rep, u), 0), v) for u, h, d, v in rows if h == g and d == c and v is not None]
+        total = sum(w for w, _ in some)
+        assert m == (pytest.approx(sum(w * v for w, v in some) / total) if total else None)
+    assert len(got) == 30 * (2 * 3 + 1)
+
+
+def test_tendency_asks_for_the_hour_itself(spark):
+    rows = [(1, "2020-01-01 00:00:00", 1.0), (1, "2020-01-01 01:00:00", 3.0), (1, "2020-01-01 05:00:00", 9.0), (1, "2020-01-01 06:00:00", None), (1, "2020-01-01 07:00:00", 11.0)]
+    df = spark.createDataFrame(rows, "k int, ts string, v double").withColumn("ts", F.to_timestamp("ts"))
+    got = [r["d"] for r in df.select("ts", S.ddt(F.col("v"), ["k"]).alias("d")).orderBy("ts").collect()]
+    assert got == [2 / 3600, 2 / 3600, None, 2 / 7200, None]
+
+
+def test_stream_remembers_patches_not_cells(spark, tmp_path):
+    """Parts and repeats of patches over four arrivals: one state row a patch, at most two versions of a partition."""
+    src, state, check = (f"file://{tmp_path}/{n}" for n in ("src", "state", "check"))
+    rows = [(t, t % 2, y, x, float(t + y * x)) for t in range(12) for y in range(4) for x in range(3)]
+    p = spark.createDataFrame(rows, "track_id long, variant int, iy int, ix int, a double")
+    for part in (p.filter("variant = 0 AND iy < 2"), p.filter("variant = 0"), p.filter("track_id < 4"), p):
+        part.write.mode("append").parquet(src)
+        q = incremental.stream_composites(spark, src, p.schema, state, ["a"], ["variant", "iy", "ix"], ["variant"], ["track_id"], {"iy": (0, 4), "ix": (0, 3)}, check)
+    assert sum(x["stateOperators"][0]["numRowsTotal"] for x in [q.lastProgress]) == 12
+    want = {(v, y, x): (sum(float(t + y * x) for t in range(12) if t % 2 == v), 6) for v in (0, 1) for y in range(4) for x in range(3)}
+    got = incremental.current_composite(spark, state, ["variant"])
+    assert {(r["variant"], r["iy"], r["ix"]): (r["sum_a"], r["n_a"]) for r in got.collect()} == want
+    # the untouched partition kept its version; a batch that runs again writes the same
+    before = sorted(map(tuple, spark.read.parquet(state).select("variant", "version").distinct().collect()))
+    assert before == [(0, 0), (0, 1), (1, 2), (1, 3)]
+    incremental.add_to_composite(state, K.build_composites(p.filter("variant = 1 AND track_id >= 4"), ["a"], ["variant", "iy", "ix"]), ["variant", "iy", "ix"], ["variant"], 3)
+    assert {(r["variant"], r["iy"], r["ix"]): (r["sum_a"], r["n_a"]) for r in incremental.current_composite(spark, state, ["variant"]).collect()} == want
