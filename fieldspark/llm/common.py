@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import posixpath
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +9,11 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldspark.sources.scratch import scratch as work_dir
+from fieldspark.sources.scratch import written
+
+__all__ = ["BROADCAST_IDS", "SLICE_BYTES", "keep_ids", "slices", "small", "table", "work_dir", "written"]
+
 #: Largest number of ids that is sent to all executors (about 50 MB there).
 BROADCAST_IDS = 1_000_000
 
@@ -25,31 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that the cluster names in ``spark.checkpoint.dir``.
-
-    Only where that setting is absent and Spark runs in one process a local
-    temporary folder takes its place, until the process ends.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="fieldspark-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        root = f"file://{folder}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return posixpath.join(root, f"{name}-{uuid.uuid4().hex}")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` as a Parquet table in the shared folder: cuts lineage
-    with files that survive the loss of executors."""
-    path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def keep_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
     """``left_semi`` or ``left_anti`` join on one id column.
 
