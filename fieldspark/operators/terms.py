@@ -65,11 +65,44 @@ FOUR_GROUPS = {
 }
 
 
-def closure(cells: DataFrame, lhs: str, advection: list[str]) -> DataFrame:
-    """Adds lhs, adv (minus the sum of products), resid = lhs - adv and source (= resid where it is not 0)."""
-    adv = signed_sum([f"-{n}" for n in advection])
-    c = cells.withColumn("lhs", F.col(lhs)).withColumn("adv", adv)
-    return c.withColumn("resid", F.col("lhs") - F.col("adv")).withColumn("source", F.when(F.col("resid") != 0, F.col("resid")))
+def _both_ways(wind: str, of: str) -> list[str]:
+    """Products of a horizontal wind (``rot_anom``, ``div_diabatic``, ...) with both gradients of a part of pv."""
+    return [f"-u_{wind}_pv_{of}_dx", f"-v_{wind}_pv_{of}_dy"]
+
+
+def _vertical(*of: str) -> list[str]:
+    return [f"-w_{p}_pv_{b}_dp" for p in ("diabatic", "adiabatic") for b in of]
+
+
+_EDDIES = {"eddy_rot": _both_ways("rot_anom", "anom"), "eddy_div_dry": _both_ways("div_adiabatic", "anom")}
+_TENDENCY = {"tendency": ["pv_anom_dt", "pv_bar_dt"]}
+_LINEAR = {"mean_wind": ["-u_rot_bar_pv_anom_dx"], "mean_gradient": ["-v_rot_anom_pv_bar_dy"]}
+
+#: Leading advection and the eddies' rotational, dry and moist divergent parts.
+LEADING_GROUPS = {
+    "leading": ["-u_rot_bar_pv_anom_dx", "-v_rot_anom_pv_bar_dy"], **_EDDIES,
+    "eddy_div_moist": [*_both_ways("div_diabatic", "anom"), "-w_diabatic_pv_anom_dp"],
+}
+SEVEN_TERMS = {
+    "mean_wind": ["-u_bar_pv_anom_dx"], "mean_gradient": ["-v_anom_pv_bar_dy"], **_EDDIES,
+    "eddy_div_moist": _both_ways("div_diabatic", "anom"), "vertical_mean": _vertical("bar"), "source": ["Q"],
+}
+EIGHT_TERMS = _TENDENCY | _LINEAR | _EDDIES | {"eddy_div_moist": _both_ways("div_diabatic", "anom"), "vertical": _vertical("bar", "anom"), "source": ["Q"]}
+NINE_TERMS = (
+    _TENDENCY | _LINEAR | _EDDIES
+    | {"eddy_div_moist": _both_ways("div_diabatic", "anom"), "vertical_mean": _vertical("bar"), "vertical_anom": _vertical("anom"), "source": ["Q"]}
+)
+
+#: The 20 products of the whole advection with split horizontal winds.
+SPLIT_ADVECTION = [n for n, _, _, family in catalogue() if family == "split"] + [n for n, w, _, family in catalogue() if family == "base" and w.startswith("w_")]
+
+
+def closure(cells: DataFrame, lhs, advection: list[str], source: str | None = None) -> DataFrame:
+    """Adds lhs (a variable spec), adv (minus the sum of products), induced = lhs - adv (the source that would close the
+    budget) and resid: induced less the column ``source``, or all of it."""
+    c = cells.withColumn("lhs", signed_sum(lhs)).withColumn("adv", signed_sum([f"-{n}" for n in advection]))
+    c = c.withColumn("induced", F.col("lhs") - F.col("adv"))
+    return c.withColumn("resid", F.col("induced") - F.col(source) if source else F.col("induced"))
 
 
 def track_budget(cells: DataFrame, vertical: bool = False) -> DataFrame:

@@ -260,20 +260,27 @@ def _products() -> dict[str, tuple[str, str]]:
     return out | {c: (c, _factor("pv", "")) for c in ("pv_dx_dx", "pv_dy_dy", "pv_dx_dy")}
 
 
+_SOURCE = f"hq AS (SELECT CAST(dh AS INT) AS dh, level, ilat, ilon, -9.81 * (2 * {OMEGA} * sin(lat * {RAD}) + zeta) * heatp AS q_, heat FROM h3)"
+
+
+def _sql_hourly() -> str:
+    """The heating chain of the three hours."""
+    hourly = HEAT.replace("PARTITION BY ", "PARTITION BY dh, ").replace("FROM grid", "FROM gh")
+    return f", gh AS (SELECT dh, level, ilat, ilon, lat, u * {_factor('wind', '')} AS u, v * {_factor('wind', '')} AS v, w * {_factor('w', '')} AS w, t + 0.5 * {_H} AS t, q FROM grid, range(-1, 2) x(dh)){hourly}"
+
+
 def _sql_terms() -> str:
     products = _products()
     bases = {x: f"b{i}" for i, x in enumerate(dict.fromkeys(x for x, _ in products.values()))}
     sums = ", ".join(f"sum({x}) AS {n}, sum(abs({x})) AS a{n}" for x, n in bases.items())
-    hourly = HEAT.replace("PARTITION BY ", "PARTITION BY dh, ").replace("FROM grid", "FROM gh")
-    gh = f", gh AS (SELECT dh, level, ilat, ilon, lat, u * {_factor('wind', '')} AS u, v * {_factor('wind', '')} AS v, w * {_factor('w', '')} AS w, t + 0.5 * {_H} AS t, q FROM grid, range(-1, 2) x(dh)){hourly}"
+    gh = _sql_hourly()
     window = "CROSS JOIN range(-2, 3) a(iy) CROSS JOIN range(-3, 4) b(ix)"
     on = "ilat = jc + iy AND ilon = (ic + ix + 24) % 24"
     ratio = lambda s, a, f: f"round(({f}) * {s} / (abs({f}) * {a}), 6) + 0.0 AS share, round(log10(abs({f}) * {a}), 6) + 0.0 AS size"
     parts = [f"SELECT CAST(dh AS INT) AS dh, '{n}' AS term, {ratio(bases[x], 'a' + bases[x], f)} FROM ts" for n, (x, f) in products.items()]
-    source = f"-9.81 * (2 * {OMEGA} * sin(lat * {RAD}) + zeta) * heatp"
     parts += [f"SELECT CAST(dh AS INT) AS dh, '{n}' AS term, {ratio(f's_{n}', f'a_{n}', '1.0')} FROM hs" for n in ("Q", "theta_dot")]
     return f"""WITH {TRACKS}, {GRID}, {_CENTRES}{_sql_world()}{gh}, ts AS (SELECT dh, {sums} FROM ce {window} JOIN by_ ON {on} GROUP BY 1),
- hq AS (SELECT dh, ilat, ilon, {source} AS q_, heat FROM h3), hs AS (SELECT ce.dh, sum(q_) AS s_Q, sum(abs(q_)) AS a_Q, sum(heat) AS s_theta_dot, sum(abs(heat)) AS a_theta_dot FROM ce {window} JOIN hq ON hq.dh = ce.dh AND {on} GROUP BY 1)
+ {_SOURCE}, hs AS (SELECT ce.dh, sum(q_) AS s_Q, sum(abs(q_)) AS a_Q, sum(heat) AS s_theta_dot, sum(abs(heat)) AS a_theta_dot FROM ce {window} JOIN hq ON hq.dh = ce.dh AND {on} GROUP BY 1)
  {' UNION ALL '.join(parts)}"""
 
 
@@ -289,6 +296,45 @@ def job_compute(spark, sf):
     return s.select("dh", "x.term", r(F.try_divide(F.col("x.s"), F.col("x.a"))).alias("share"), r(F.log10("x.a")).alias("size"))
 
 
+_SETS = {"leading": M.LEADING_GROUPS, "seven": M.SEVEN_TERMS, "eight": M.EIGHT_TERMS, "nine": M.NINE_TERMS}
+_CLOSURE = ("lhs", "adv", "induced", "resid")
+
+
+def _sql_groups() -> str:
+    products = _products()
+
+    def one(name: str) -> str:
+        sign, name = ("-", name[1:]) if name.startswith("-") else ("", name)
+        if name == "Q":
+            return f"{sign}q_"
+        base, factor = products[name]
+        if "_rot_bar_" in name or "_div_bar_" in name:  # a mean that the climatology lacks is 0
+            wind, slope = base.split(" * ")
+            base = f"coalesce({wind}, 0) * {slope}"
+        return f"{sign}({factor}) * ({base})"
+
+    spec = lambda names: "(" + " + ".join(map(one, names)) + ")"
+    exprs = {f"{k}_{n}": spec(v) for k, groups in _SETS.items() for n, v in groups.items()}
+    lhs, adv = spec(["pv_anom_dt", "pv_bar_dt"]), spec([f"-{n}" for n in M.SPLIT_ADVECTION])
+    exprs |= {"closure_lhs": lhs, "closure_adv": adv, "closure_induced": f"({lhs} - {adv})", "closure_resid": f"({lhs} - {adv} - q_)"}
+    sums = ", ".join(f"sum({e}) AS s_{n}, sum(abs({e})) AS a_{n}" for n, e in exprs.items())
+    rows = " UNION ALL ".join(f"SELECT dh, '{n}' AS term, round(s_{n} / a_{n}, 6) + 0.0 AS share, round(log10(a_{n}), 6) + 0.0 AS size FROM gs" for n in exprs)
+    return f"""WITH {TRACKS}, {GRID}, {_CENTRES}{_sql_world()}{_sql_hourly()}, {_SOURCE},
+ gs AS (SELECT ce.dh, {sums} FROM ce CROSS JOIN range(-2, 3) a(iy) CROSS JOIN range(-3, 4) b(ix) JOIN by_ h ON h.ilat = jc + iy AND h.ilon = (ic + ix + 24) % 24 JOIN (SELECT dh AS d, level AS k, ilat AS j, ilon AS i, q_ FROM hq) q ON q.d = ce.dh AND q.k = h.level AND q.j = h.ilat AND q.i = h.ilon GROUP BY 1)
+ {rows}"""
+
+
+@register("job_term_groups", _sql_groups())
+def job_term_groups(spark, sf):
+    """Sets of 4, 7, 8 and 9 grouped terms and the closure over 20 products with the source, summed over all patches of an hour."""
+    (g, climate), (e, t) = _weather(spark, sf), _moving(spark, sf)
+    p = M.closure(jobs.compute(e, t, g, climate, range(-1, 2), _SPEC), ["pv_anom_dt", "pv_bar_dt"], M.SPLIT_ADVECTION, "Q")
+    values = {f"{k}_{n}": M.signed_sum(v) for k, groups in _SETS.items() for n, v in groups.items()} | {f"closure_{n}": F.col(n) for n in _CLOSURE}
+    s = p.groupBy("dh").agg(*[x for n, v in values.items() for x in (F.sum(v).alias(f"s_{n}"), F.sum(F.abs(v)).alias(f"a_{n}"))])
+    s = s.select("dh", F.explode(F.array(*[F.struct(F.lit(n).alias("term"), F.col(f"s_{n}").alias("s"), F.col(f"a_{n}").alias("a")) for n in values])).alias("x"))
+    return s.select("dh", "x.term", r(F.try_divide(F.col("x.s"), F.col("x.a"))).alias("share"), r(F.log10("x.a")).alias("size"))
+
+
 _MEAN_OF = {"pv": ("pv", _factor("pv", "")), "u_rot_anom_pv_bar_dx": ("u_rot * pv_dx", f"{_factor('wind', 'anom')} * {_factor('pv', 'bar')}")}
 _MEAN_AT = (240, 390, 560)
 
