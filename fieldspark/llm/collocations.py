@@ -33,7 +33,7 @@ from fieldspark.llm.tokens import ragged
 
 MIN_COUNT, SHARE, TOP, MAX_WORDS = 30, 80, 2000, 4
 #: Bytes of text in a shard, and what a task holds of all languages before it closes the fullest shard.
-SHARD_BYTES, HELD_BYTES = 16 << 20, 64 << 20
+SHARD_BYTES, HELD_BYTES = 4 << 20, 16 << 20
 #: Everything that ends a piece of text becomes this one, which no word can hold.
 _ENDS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
 
@@ -46,7 +46,7 @@ class FMIndex:
     """
 
     def __init__(self, ids: np.ndarray, depth: int):
-        self.ids = np.append(ids, 0).astype(np.int64)
+        self.ids = np.append(ids, 0).astype(np.int32)
         self.depth = depth
         self.n = len(self.ids)
         self.counts = np.bincount(self.ids, minlength=1)
@@ -56,13 +56,14 @@ class FMIndex:
         rank, width = ids, 1
         order = None
         while width < self.depth:
-            key = rank * (int(rank.max()) + 1) + np.roll(rank, -width)
+            key = rank * np.int64(int(rank.max()) + 1)
+            key += np.roll(rank, -width)
             order = np.argsort(key, kind="stable")
             width *= 2
             if width < self.depth:
-                sorted_ = key[order]
-                rank = np.empty(self.n, np.int64)
-                rank[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))
+                key = key[order]
+                rank = np.empty(self.n, np.int32)
+                rank[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]), dtype=np.int32)
         if order is None:
             order = np.argsort(ids, kind="stable")
         return ids[order - 1]
@@ -78,7 +79,8 @@ class FMIndex:
     def _places(self, bwt: np.ndarray) -> np.ndarray:
         """Places of every symbol in a transform, as symbol * n + place, ascending."""
         order = np.argsort(bwt, kind="stable")
-        return bwt[order] * self.n + order
+        order += bwt[order] * np.int64(self.n)
+        return order
 
     @cached_property
     def places(self) -> np.ndarray:
@@ -96,9 +98,10 @@ class FMIndex:
 
     def _grow(self, bwt, lo, other, size):
         """(parent, symbol, size, other) of all one-symbol extensions of intervals."""
-        symbols = ragged(bwt, lo, size)
         top = len(self.counts)
-        key, count = np.unique(np.repeat(np.arange(len(lo)), size) * top + symbols, return_counts=True)
+        key = np.repeat(np.arange(len(lo)) * top, size)
+        key += ragged(bwt, lo, size)
+        key, count = np.unique(key, return_counts=True)
         parent, symbol = key // top, key % top
         # within the other interval the extensions lie in the order of their symbols
         before = np.cumsum(count) - count
@@ -147,6 +150,18 @@ class FMIndex:
 # --- shards -----------------------------------------------------------------
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """32-bit numbers, their bytes by place value, compressed behind their count."""
+    planes = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(ids).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: pa.Buffer) -> np.ndarray:
+    n = int.from_bytes(data.slice(0, 8).to_pybytes(), "little")
+    planes = np.frombuffer(pa.decompress(data.slice(8), decompressed_size=4 * n, codec="zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def _encode(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, int]:
     """(distinct words, ids from 1 with 0 between pieces, how many words)."""
     flat = b" . ".join(texts).translate(_ENDS).replace(b".", b" . ")
@@ -176,7 +191,7 @@ def shards(docs: DataFrame) -> DataFrame:
             size.pop(lang)
             if n:
                 counts = np.bincount(ids, minlength=len(names) + 1)[1:]
-                row = [[base + made], [lang], [n], [names], [counts], [ids.tobytes()]]
+                row = [[base + made], [lang], [n], [names], [counts], [_packed(ids)]]
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
                 made += 1
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=["shard", "lang", "n", "words", "counts", "ids"])
@@ -198,10 +213,10 @@ def shards(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, SHARD)
 
 
-def _sequence(ids: bytes, at: np.ndarray) -> np.ndarray:
+def _sequence(ids: pa.Buffer, at: np.ndarray) -> np.ndarray:
     """The shard's ids with those of rare words as separators and frequent ones counted anew from 1."""
-    ids = np.frombuffer(ids, "<u4")
-    new = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
+    ids = _unpacked(ids)
+    new = np.zeros(int(ids.max(initial=0)) + 1, np.int32)
     new[at + 1] = np.arange(1, len(at) + 1)
     return _tight(new[ids])
 
@@ -212,45 +227,63 @@ def _tight(ids: np.ndarray, least: int = 2) -> np.ndarray:
     start, stop = edge[::2], edge[1::2]
     long_ = stop - start >= least
     start, size = start[long_], (stop - start)[long_]
-    out = np.zeros(int((size + 1).sum()), np.int64)
+    out = np.zeros(int((size + 1).sum()), np.int32)
     into = np.cumsum(size + 1) - size - 1
     out[ragged(np.arange(len(out)), into, size)] = ragged(ids, start, size)
     return out
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of frequent words in every shard, with counts."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            at, word = np.array(row["at"], np.int64), np.array(row["word"], np.int64)
-            for pair, count in FMIndex(_sequence(row["ids"], at), 2).phrases(2):
-                both = word[pair - 1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(both), row["shard"])), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(count)], names=["shard", "w1", "w2", "n"]
-                )
-
-
-def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Phrases of three words and more over frequent pairs in every shard, with counts."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            at, word = np.array(row["at"], np.int64), np.array(row["word"], np.int64)
-            order = np.argsort(word)
-            local = lambda w: order[np.searchsorted(word[order], np.array(w, np.int64))] + 1
-            top = len(word) + 1
-            good = np.sort(local(row["w1"]) * top + local(row["w2"]))
-            ids = _sequence(row["ids"], at)
-            key = ids[:-1] * top + ids[1:]
-            where = np.minimum(np.searchsorted(good, key), len(good) - 1)
-            # a separator goes between two words that are no frequent pair
-            cut = np.flatnonzero((good[where] != key) & (ids[:-1] > 0) & (ids[1:] > 0)) + 1
-            index = FMIndex(_tight(np.insert(ids, cut, 0), 3), MAX_WORDS)
-            for phrase, count in index.phrases(MAX_WORDS):
-                k = phrase.shape[1]
-                if k > 2:
-                    flat = word[phrase - 1].ravel()
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, k), pa.int32()), pa.array(flat))
-                    yield pa.RecordBatch.from_arrays([lists, pa.array(count)], names=["ids", "n"])
+def _flat(shard: pa.Table, column: str) -> np.ndarray:
+    """A list column of a table of one row."""
+    return shard.column(column).combine_chunks().flatten().to_numpy()
+
+
+def _pairs(shard: pa.Table) -> pa.Table:
+    """Pairs of frequent words in a shard, with counts."""
+    at, word = _flat(shard, "at"), _flat(shard, "word")
+    number, ids = shard.column("shard")[0].as_py(), shard.column("ids")[0].as_buffer()
+    pair, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for phrase, count in FMIndex(_sequence(ids, at), 2).phrases(2):
+        pair = word[phrase[:, 0] - 1] << 32 | word[phrase[:, 1] - 1]
+    return pa.table({"shard": np.full(len(pair), number), "pair": pair, "n": count.astype(np.int32)})
+
+
+def _longer(shard: pa.Table) -> pa.Table:
+    """Phrases of three words and more over frequent pairs in a shard, with counts."""
+    at, word = _flat(shard, "at"), _flat(shard, "word")
+    order = np.argsort(word)
+    local = lambda w: order[np.searchsorted(word[order], w)] + 1
+    top = len(word) + 1
+    pairs = _flat(shard, "pairs")
+    good = np.sort(local(pairs >> 32) * top + local(pairs & 0xFFFFFFFF))
+    ids = _sequence(shard.column("ids")[0].as_buffer(), at)
+    key = ids[:-1] * np.int64(top) + ids[1:]
+    where = np.minimum(np.searchsorted(good, key), len(good) - 1)
+    # a separator goes between two words that are no frequent pair
+    cut = np.flatnonzero((good[where] != key) & (ids[:-1] > 0) & (ids[1:] > 0)) + 1
+    index = FMIndex(_tight(np.insert(ids, cut, 0), 3), MAX_WORDS)
+    out = [pa.table({"head": np.zeros(0, np.int64), "tail": np.zeros(0, np.int64), "n": np.zeros(0, np.int32)})]
+    for phrase, count in index.phrases(MAX_WORDS):
+        if phrase.shape[1] > 2:
+            w = word[phrase - 1]
+            tail = w[:, 2] if phrase.shape[1] == 3 else w[:, 2] << 32 | w[:, 3]
+            out.append(pa.table({"head": w[:, 0] << 32 | w[:, 1], "tail": tail, "n": count.astype(np.int32)}))
+    return pa.concat_tables(out)
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows``, written, with ``id`` from 1 on without gaps (below 2^31, so that two fit a 64-bit number)."""
+    rows = written(rows.withColumn("_i", F.monotonically_increasing_id()), "words")
+    part = F.shiftright("_i", 33)
+    sizes = rows.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))  # one row a partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = rows.withColumn("_p", part).join(F.broadcast(sizes.select("_p", before.alias("_b"))), "_p")
+    out = out.withColumn("id", F.col("_b") + F.col("_i").bitwiseAND((1 << 33) - 1) + 1)
+    return out.withColumn("id", F.when(F.col("id") < 1 << 31, F.col("id")).otherwise(F.raise_error(F.lit("too many words")))).drop("_p", "_b", "_i")
+
+
+def _both(pair: str) -> list[Column]:
+    return [F.shiftright(pair, 32), F.col(pair).bitwiseAND(0xFFFFFFFF)]
 
 
 def frequent(docs: DataFrame, least: int = MIN_COUNT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -259,20 +292,22 @@ def frequent(docs: DataFrame, least: int = MIN_COUNT) -> tuple[DataFrame, DataFr
     each = parts.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x"))
     each = each.select("shard", "lang", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     words = each.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    words = written(words.select(F.monotonically_increasing_id().alias("id"), "lang", "word", "f"), "words")
+    words = written(numbered(words), "numbered")
     totals = written(parts.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     # which of a shard's words are frequent, by their places in the shard's list
     known = each.join(small(words.select("id", "lang", "word")), ["lang", "word"]).groupBy("shard")
     known = known.agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("x")).select("shard", F.col("x.at").alias("at"), F.col("x.id").alias("word"))
     known = written(known, "known-words")
     coded = parts.select("shard", "ids").join(known, "shard")
-    pairs = coded.mapInArrow(_pairs, "shard long, w1 long, w2 long, n long")
-    pairs = pairs.withColumn("f", F.sum("n").over(Window.partitionBy("w1", "w2"))).where(F.col("f") >= least)
-    pairs = written(pairs.select("shard", "w1", "w2", "f"), "pairs")
-    of_shard = pairs.groupBy("shard").agg(F.collect_list(F.struct("w1", "w2")).alias("x")).select("shard", F.col("x.w1").alias("w1"), F.col("x.w2").alias("w2"))
-    longer = coded.join(of_shard, "shard").mapInArrow(_longer, "ids array<long>, n long")
-    longer = longer.groupBy("ids").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    two = pairs.groupBy(F.array("w1", "w2").alias("ids")).agg(F.first("f").alias("f"))
+    pairs = coded.groupBy("shard").applyInArrow(_pairs, "shard long, pair long, n int")
+    pairs = pairs.withColumn("f", F.sum("n").over(Window.partitionBy("pair"))).where(F.col("f") >= least)
+    pairs = written(pairs.select("shard", "pair", "f"), "pairs")
+    of_shard = pairs.groupBy("shard").agg(F.collect_list("pair").alias("pairs"))
+    longer = coded.join(of_shard, "shard").groupBy("shard").applyInArrow(_longer, "head long, tail long, n int")
+    longer = longer.groupBy("head", "tail").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    three = F.array(*_both("head"), F.col("tail"))
+    longer = longer.select(F.when(F.col("tail") < 1 << 32, three).otherwise(F.array(*_both("head"), *_both("tail"))).alias("ids"), "f")
+    two = pairs.groupBy("pair").agg(F.first("f").alias("f")).select(F.array(*_both("pair")).alias("ids"), "f")
     phrases = words.select(F.array("id").alias("ids"), "f").unionByName(two).unionByName(longer)
     return words, totals, written(phrases, "phrases")
 
