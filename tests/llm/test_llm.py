@@ -639,3 +639,21 @@ def test_queries_against_their_sql(spark, name):
     rows = lambda df: sorted(map(str, df[sorted(df.columns)].astype(object).where(df[sorted(df.columns)].notna(), None).values.tolist()))
     clean = lambda x: [r.replace(".0,", ",").replace(".0]", "]") for r in rows(x)]
     assert clean(got) == clean(want)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """What was shuffled for a table is gone soon after, though nobody collects garbage."""
+    import time
+
+    from fieldspark.sources import scratch
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    count = lambda: sum(f.getName().startswith("shuffle_") for f in (lambda a: [a.apply(i) for i in range(a.size())])(blocks.getAllFiles()))
+    before, told = count(), spark.conf.get(scratch.CLEANUP, None)
+    got = scratch.written(spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count(), "k")
+    assert sorted(got.collect()) == [(k, 100) for k in range(10)] and spark.conf.get(scratch.CLEANUP, None) == told
+    for _ in range(50):
+        if count() <= before:
+            return
+        time.sleep(0.1)
+    raise AssertionError(f"{count() - before} shuffle files remain")
