@@ -197,10 +197,10 @@ def signature_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, "sig long, doc_id long, code long")
 
 
-def _apart(members: DataFrame) -> DataFrame:
+def _apart(members: DataFrame, component: str = "component") -> DataFrame:
     """Drops signatures that only one component has."""
     w = Window.partitionBy("sig")
-    m = members.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w))
+    m = members.withColumn("lo", F.min(component).over(w)).withColumn("hi", F.max(component).over(w))
     return m.filter("lo <> hi").drop("lo", "hi")
 
 
@@ -484,8 +484,9 @@ def jaccard_components(docs: DataFrame, count_links: bool = True) -> DataFrame:
         links = links.union(others.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     unique = keep_ids(texts.filter("doc_id IS NOT NULL"), copies.select("doc_id").distinct(), "doc_id", "left_anti")
 
-    members = _apart(signature_rows(unique).withColumn("component", F.col("doc_id")))
-    members = written(_enough(members), "members")
+    # every set is a component of its own: nothing but its id travels with its signatures
+    members = _enough(_apart(signature_rows(unique), "doc_id")).withColumn("component", F.col("doc_id"))
+    members = written(members, "members")
     # 1: everyone with the first of each group
     links = written(links.union(linked(written(_with_first(members, "component"), "pairs"), texts)), "links")
     # 2: what is still apart, family by family
