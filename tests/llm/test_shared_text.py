@@ -86,6 +86,24 @@ def test_alignment_texts_and_empty(spark):
     assert alignment.align(df.limit(0), BYTES, PIECES).collect() == []
 
 
+def test_encoder_holds_a_block_of_words(monkeypatch):
+    """Many distinct words at once: the same ids as in small blocks, and no lists of all of them."""
+    import tracemalloc
+
+    tools = alignment.encoder(BYTES, PIECES)
+    words = [f"word{i}x{i * 7919 % 10007}" for i in range(60_000)]
+    tools.encode(words[:10])
+    tracemalloc.start()
+    got = tools.encode(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * sum(x.nbytes for x in got)
+    some = ["", "a", "Zürich", "\x00", "a  b"] + words[:20]
+    want = tools.encode(some)
+    monkeypatch.setattr(alignment, "WORDS", 3)
+    assert all((x == y).all() for x, y in zip(tools.encode(some), want)) and len(tools.encode([])[0]) == 0
+
+
 def test_fragments_compose_in_any_way():
     rng = np.random.default_rng(5)
     for _ in range(200):
