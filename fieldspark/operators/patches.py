@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldspark.functions.columns import great_circle_deg, wrap_lon
 
@@ -63,15 +67,99 @@ def sample_to_patch(grid_df: DataFrame, cells: DataFrame, keys: list[str], field
     return cells.join(grid_df.select(*keys, "ilat", "ilon", *fields), [*keys, "ilat", "ilon"], "left")
 
 
+#: Events of an hour that a task matches; distances that it holds at once.
+EVENTS, DISTANCES = 100_000, 1 << 20
+
+
+def _folded(lon: np.ndarray) -> np.ndarray:
+    """``wrap_lon`` for arrays."""
+    d = np.fmod(lon + 180.0, 360.0)
+    return np.where(d < 0, np.fmod(d + 360.0, 360.0), d) - 180.0
+
+
+def _best(dist: np.ndarray, rank: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least distance, least rank that has it) of runs of candidates."""
+    least = np.minimum.reduceat(dist, begin)
+    return least, np.minimum.reduceat(np.where(dist == np.repeat(least, size), rank, len(dist) + rank.max() + 1), begin)
+
+
+def _nearest(lat0: np.ndarray, lon0: np.ndarray, shrink: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, place) of the track nearest to each event, all finite; ties to the first.
+
+    Tracks lie on the ring of longitudes.  The least distance to the about
+    sqrt(n) next ones by longitude bounds the arc in which a nearer one can be.
+    """
+    n = len(lat)
+    x = _folded(lon)
+    order = np.argsort(x, kind="stable")
+    ring, place = np.concatenate([x[order] - 360.0, x[order], x[order] + 360.0]), np.tile(order, 3)
+    few, e = int(np.ceil(np.sqrt(n))), _folded(lon0)
+    found, at = np.empty(len(e)), np.empty(len(e), np.int64)
+    lo = np.searchsorted(ring, e) - few // 2
+    hi = lo + few
+    for last in (False, True):
+        if last:
+            with np.errstate(divide="ignore"):
+                half = np.minimum(found / np.abs(shrink) * (1 + 1e-9) + 1e-9, 180.0)
+            lo, hi = np.searchsorted(ring, e - half, "left"), np.searchsorted(ring, e + half, "right")
+            hi = np.minimum(hi, lo + n)
+        size = hi - lo
+        upto = np.concatenate([[0], np.cumsum(size)])
+        i = 0
+        while i < len(e):
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] + DISTANCES, "right")) - 1)
+            begin = upto[i:j] - upto[i]
+            who = np.repeat(np.arange(i, j), size[i:j])
+            c = place[np.arange(upto[j] - upto[i]) - np.repeat(begin - lo[i:j], size[i:j])]
+            d = np.sqrt((lat[c] - lat0[who]) ** 2 + (_folded(lon[c] - lon0[who]) * shrink[who]) ** 2)
+            found[i:j], at[i:j] = _best(d, c, begin, size[i:j])
+            i = j
+    return found, at
+
+
+def _matched(columns: list[str]) -> Callable:
+    """Events of an hour with the nearest of its tracks; distances that are no numbers count as larger, those that are missing as largest."""
+
+    def work(events: pa.Table, tracks: pa.Table) -> pa.Table:
+        tracks = tracks.sort_by("match_id")
+        events = events.slice(0, events.num_rows if tracks.num_rows else 0)
+        numbers = lambda t, c: t.column(c).to_numpy().astype(np.float64)
+        lat0, lon0, shrink = (numbers(events, c) for c in ("lat0", "lon0", "_shrink"))
+        lat, lon = (numbers(tracks, c) for c in ("_lat", "_lon"))
+        good, usable = np.isfinite(lat0) & np.isfinite(lon0) & np.isfinite(shrink), np.flatnonzero(np.isfinite(lat) & np.isfinite(lon))
+        if not len(usable):
+            good[:] = False
+        dist, at, known = np.full(events.num_rows, np.nan), np.zeros(events.num_rows, np.int64), good.copy()
+        if good.any():
+            dist[good], place = _nearest(lat0[good], lon0[good], shrink[good], lat[usable], lon[usable])
+            at[good] = usable[place]
+        there = ~(pc.is_null(tracks.column("_lat")).to_numpy() | pc.is_null(tracks.column("_lon")).to_numpy())
+        given = ~(pc.is_null(events.column("lat0")).to_numpy() | pc.is_null(events.column("lon0")).to_numpy())
+        for i in np.flatnonzero(~good & given):
+            with np.errstate(invalid="ignore"):
+                d = np.sqrt((lat - lat0[i]) ** 2 + (_folded(lon - lon0[i]) * shrink[i]) ** 2)
+            at[i] = np.lexsort((d, np.isnan(d), ~there))[0]
+            dist[i], known[i] = d[at[i]], there[at[i]]
+        found = events.select(columns).append_column("match_id", tracks.column("match_id").take(pa.array(at)))
+        return found.append_column("dist", pa.array(dist, mask=~known))
+
+    return work
+
+
 def match_track(events: DataFrame, tracks: DataFrame) -> DataFrame:
     """The track nearest to each event at its own hour; ties to the smaller id.
 
-    Events without a track at that hour give no row.
+    Events without a track at that hour give no row.  An hour's tracks, three
+    numbers each, and a block of its events meet in a task; no pair becomes a row.
     """
+    columns = events.columns
     t = tracks.select(F.col("track_id").alias("match_id"), "ts", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    j = events.join(t, events.base_ts == t.ts).withColumn("dist", great_circle_deg(F.col("lat0"), F.col("lon0"), F.col("_lat"), F.col("_lon")))
-    best = j.groupBy(*[F.col(c) for c in events.columns]).agg(F.min(F.struct("dist", "match_id")).alias("_b"))
-    return best.select(*events.columns, F.col("_b.match_id").alias("match_id"), F.col("_b.dist").alias("dist"))
+    e = events.distinct().withColumns({"_shrink": F.cos(F.radians("lat0")), "_hour": F.col("base_ts")})
+    blocks = e.groupBy("_hour").agg(F.ceil(F.count("*") / EVENTS).alias("_blocks"))
+    e = e.join(blocks, "_hour").withColumn("_block", F.pmod(F.xxhash64(*columns), "_blocks")).drop("_blocks")
+    t = t.withColumnRenamed("ts", "_hour").join(blocks, "_hour").select("match_id", "_lat", "_lon", "_hour", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block"))
+    schema = T.StructType([*events.schema, T.StructField("match_id", tracks.schema["track_id"].dataType), T.StructField("dist", T.DoubleType())])
+    return e.groupBy("_hour", "_block").cogroup(t.groupBy("_hour", "_block")).applyInArrow(_matched(columns), schema)
 
 
 def track_window(tracks: DataFrame, ref: DataFrame, n: int) -> DataFrame:

@@ -1,6 +1,7 @@
 """Analytic identities on small synthetic cells."""
 
 import math
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from fieldspark.operators import basis as B
 from fieldspark.operators import composite as K
 from fieldspark.operators import invert
 from fieldspark.operators import overturn as O
+from fieldspark.operators import patches as P
 from fieldspark.operators import resample as R
 from fieldspark.operators import stencil as S
 from fieldspark.operators import terms as M
@@ -207,3 +209,32 @@ def test_stream_remembers_patches_not_cells(spark, tmp_path):
     assert before == [(0, 0), (0, 1), (1, 2), (1, 3)]
     incremental.add_to_composite(state, K.build_composites(p.filter("variant = 1 AND track_id >= 4"), ["a"], ["variant", "iy", "ix"]), ["variant", "iy", "ix"], ["variant"], 3)
     assert {(r["variant"], r["iy"], r["ix"]): (r["sum_a"], r["n_a"]) for r in incremental.current_composite(spark, state, ["variant"]).collect()} == want
+
+
+def test_match_track_makes_no_rows_of_pairs(spark, monkeypatch):
+    """Ties, gaps, the date line, the pole and blocks of events against all pairs; no join by which they would become rows."""
+    monkeypatch.setattr(P, "EVENTS", 7)
+    monkeypatch.setattr(P, "DISTANCES", 50)
+    rng = np.random.default_rng(8)
+    hour = lambda h: datetime(2010, 1, 1, h)
+    tracks = [(i, hour(i % 3), float(rng.integers(-90, 91)), float(rng.integers(-200, 400))) for i in range(200)] + [(900, hour(0), None, 1.0), (901, hour(4), None, 1.0), (902, hour(5), float("nan"), 1.0)]
+    events = [("x", i, hour(i % 6), float(rng.choice([-90, 0, 40, 90])), float(rng.integers(-180, 720))) for i in range(120)] + [("y", 0, hour(0), None, 3.0)]
+    e = spark.createDataFrame(events + events[:5], "stage string, track_id long, base_ts timestamp, lat0 double, lon0 double")
+    t = spark.createDataFrame(tracks, "track_id long, ts timestamp, lat double, lon double")
+    m = P.match_track(e, t)
+    want = {}
+    for s, i, ts, lat0, lon0 in events:
+        near = []
+        for k, at, lat, lon in tracks:
+            if at == ts:
+                missing = lat is None or lat0 is None
+                d = None if missing else math.sqrt((lat - lat0) ** 2 + (((lon - lon0 + 180) % 360 - 180) * math.cos(math.radians(lat0))) ** 2)
+                near.append((missing, d is not None and np.isnan(d), 0.0 if missing or np.isnan(d) else d, k, d))
+        if near:
+            want[s, i] = min(near)[3:]
+    got = {(r["stage"], r["track_id"]): (r["match_id"], r["dist"]) for r in m.collect()}
+    assert len(got) == m.count() == len(want)
+    for key, (k, d) in want.items():
+        assert got[key][0] == k and (got[key][1] is None if d is None else got[key][1] == pytest.approx(d, abs=1e-9, nan_ok=True)), key
+    plan = m._jdf.queryExecution().toString()
+    assert "SortAggregate" not in plan and "CoGroup" in plan
