@@ -43,13 +43,14 @@ def nearest_cell(df: DataFrame, lat: str, lon: str, lat0: float, dlat: float, nl
     return df.withColumn("jc", F.least(F.greatest(j, F.lit(0)), F.lit(nlat - 1)).cast("int")).withColumn("ic", i.cast("int"))
 
 
-def extract_patches(centres: DataFrame, field: DataFrame, half_j: int, half_i: int, nlat: int, nlon: int, keys: list[str], wrap: bool = True, partial: bool = True) -> DataFrame:
+def extract_patches(centres: DataFrame, field: DataFrame, half_j: int, half_i: int, nlat: int, nlon: int, keys: list[str], wrap: bool = True, partial: bool = True, dealt: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Cells of the window around every centre (jc, ic), one row per iy, ix and level.
 
     The window is exploded on the side of the centres and joined by equality;
     rows beyond a pole stay, with NULL fields.  ``wrap``: the ring closes, else
     columns beyond it are left out.  ``partial`` = False drops centres whose
-    window leaves the grid.
+    window leaves the grid.  ``dealt`` may deal the places of the windows to
+    tasks before they get their fields.
     """
     rows = F.explode(F.sequence(F.lit(-half_j), F.lit(half_j)))
     cols = F.explode(F.sequence(F.lit(-half_i), F.lit(half_i)))
@@ -59,7 +60,7 @@ def extract_patches(centres: DataFrame, field: DataFrame, half_j: int, half_i: i
     if not wrap:
         w = w.filter((F.col("_i") >= 0) & (F.col("_i") < nlon))
     w = w.withColumn("ilon", F.pmod("_i", F.lit(nlon)).cast("int")).drop("_i")
-    return w.join(field, [*keys, "ilat", "ilon"], "left")
+    return (dealt(w) if dealt else w).join(field, [*keys, "ilat", "ilon"], "left")
 
 
 def sample_to_patch(grid_df: DataFrame, cells: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

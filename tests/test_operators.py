@@ -238,3 +238,14 @@ def test_match_track_makes_no_rows_of_pairs(spark, monkeypatch):
         assert got[key][0] == k and (got[key][1] is None if d is None else got[key][1] == pytest.approx(d, abs=1e-9, nan_ok=True)), key
     plan = m._jdf.queryExecution().toString()
     assert "SortAggregate" not in plan and "CoGroup" in plan
+
+
+def test_patches_are_dealt_before_they_get_fields(spark):
+    """The places of windows move between tasks; the cells with all fields do not."""
+    field = spark.range(24 * 5).select((F.col("id") % 5).cast("int").alias("ilat"), F.floor(F.col("id") / 5).cast("int").alias("ilon"), F.col("id").alias("x"))
+    centres = spark.createDataFrame([(1, 2, 23), (2, 0, 4)], "track_id int, jc int, ic int")
+    cut = lambda **kw: P.extract_patches(centres, F.broadcast(field), 1, 1, 5, 24, [], **kw)
+    dealt = cut(dealt=lambda w: w.repartition(3, "track_id").sortWithinPartitions("track_id"))
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("BroadcastHashJoin") < plan.index("Exchange hashpartitioning")
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, cut().collect())) and dealt.count() == 18
