@@ -249,3 +249,15 @@ def test_patches_are_dealt_before_they_get_fields(spark):
     plan = dealt._jdf.queryExecution().executedPlan().toString()
     assert plan.index("BroadcastHashJoin") < plan.index("Exchange hashpartitioning")
     assert sorted(map(str, dealt.collect())) == sorted(map(str, cut().collect())) and dealt.count() == 18
+
+
+def test_draws_are_packed_by_unit(spark):
+    """A row a unit instead of a row for each replicate that drew it; both forms give the same means."""
+    units = spark.range(90).select(F.col("id").alias("u"), (F.col("id") % 2).alias("g"), F.sin(F.col("id")).alias("v")).repartition(3)
+    for packed, long in ((R.packed_draws, R.draws), (R.packed_hash_draws, R.hash_draws)):
+        rows = packed(units, "u", 40, ["g"]).collect()
+        assert len(rows) <= 90 and sum(len(r["reps"]) for r in rows) == 90 * 40
+        drawn = long(units, "u", 40, ["g"]).collect()
+        assert sorted((r["u"], rep) for r in rows for rep in r["reps"]) == sorted((r["u"], r["rep"]) for r in drawn for _ in range(r["weight"]))
+        means = lambda d: {(r["g"], r["rep"]): round(r["m"], 12) for r in R.replicate_means(units, d, "u", "v", ["g"]).collect()}
+        assert means(packed(units, "u", 40, ["g"])) == means(long(units, "u", 40, ["g"]))
