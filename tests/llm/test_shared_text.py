@@ -79,6 +79,14 @@ def test_alignment(spark, segment, width):
     assert sorted(map(tuple, got)) == sorted(naive_alignment(every))
 
 
+def test_alignment_sends_a_shard_at_a_time(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"shard {i} of short texts " * 8) for i in range(100)], "doc_id long, text string").coalesce(1)
+    want = sorted(map(tuple, alignment.align(df, BYTES, PIECES).collect()))
+    monkeypatch.setattr(alignment, "BATCH_BYTES", 2000)
+    assert alignment.shards(df, BYTES, PIECES).count() >= 8
+    assert sorted(map(tuple, alignment.align(df, BYTES, PIECES).collect())) == want
+
+
 def test_alignment_texts_and_empty(spark):
     df = spark.createDataFrame([(1, "Hello", "x", 0), (1, "Hello", "x", 0), (None, None, None, 0)], ROWS)
     got = sorted(map(tuple, alignment.align(df, BYTES, PIECES, texts=True).select("doc_id", "n_a", "groups").collect()), key=str)
