@@ -261,3 +261,31 @@ def test_draws_are_packed_by_unit(spark):
         assert sorted((r["u"], rep) for r in rows for rep in r["reps"]) == sorted((r["u"], r["rep"]) for r in drawn for _ in range(r["weight"]))
         means = lambda d: {(r["g"], r["rep"]): round(r["m"], 12) for r in R.replicate_means(units, d, "u", "v", ["g"]).collect()}
         assert means(packed(units, "u", 40, ["g"])) == means(long(units, "u", 40, ["g"]))
+
+
+def test_draws_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(R, "TASK_DRAWS", 200)
+    monkeypatch.setattr(R, "BATCH_DRAWS", 70)
+    monkeypatch.setattr(R, "BLOCK_DRAWS", 64)
+    n = {"a": 90, "b": 7}
+    units = spark.createDataFrame([(g, 10 * i) for g, k in n.items() for i in range(k)], "g string, u long").coalesce(1)
+    want = {}
+    for g, k in n.items():
+        for slot in range(k):
+            for rep, at in enumerate(R.scattered_array(5, np.arange(20), np.full(20, slot)) % k):
+                want.setdefault((g, 10 * int(at)), []).append(rep)
+    tasks, real = [], R._packed
+
+    def spy(units, unit, by, n_boot, drawn):
+        def seen(dealt, schema):
+            tasks.append(dealt.rdd.getNumPartitions())
+            return drawn(dealt, schema)
+
+        return real(units, unit, by, n_boot, seen)
+
+    monkeypatch.setattr(R, "_packed", spy)
+    got = R.packed_draws(units, "u", 20, ["g"], 5).collect()
+    assert {(r.g, r.u): sorted(r.reps) for r in got} == {k: sorted(v) for k, v in want.items()} and len(got) == len(want)
+    assert tasks == [10]
+    hashed = R.packed_hash_draws(units, "u", 20, ["g"], 5).collect()
+    assert sum(len(r.reps) for r in hashed if r.g == "a") == 90 * 20
