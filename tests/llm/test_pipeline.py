@@ -1,6 +1,7 @@
 """Stages on a small table: columns, decisions, whole results."""
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -49,3 +50,18 @@ def test_null_and_repeated_ids(spark, docs):
     d = corpus_pipeline.near_duplicates(spark, d, "")
     assert sorted((r["doc_id"], r["n_chars"]) for r in d.collect()) == sorted([*((i, len(good[i])) for i in range(0, 24, 3)), (3, 4)])
     assert d.dtypes == docs.dtypes
+
+
+def test_texts_go_to_workers_in_slices(spark, docs, monkeypatch):
+    """What a worker gets at once is bounded by bytes, not only by Spark's 10,000 rows."""
+    texts = docs.limit(24).crossJoin(spark.range(60)).drop("id").coalesce(1)
+    size = corpus_pipeline.SLICE_BYTES // 16
+
+    def sent(d, *_):
+        got = d.select("text").mapInArrow(lambda batches: (pa.record_batch({"bytes": [b.nbytes]}) for b in batches), "bytes long")
+        return corpus_pipeline.written(got)
+
+    monkeypatch.setattr(corpus_pipeline, "BATCH_BYTES", size)
+    monkeypatch.setattr(corpus_pipeline.packing, "pack_documents", sent)
+    got = [r["bytes"] for r in corpus_pipeline.pack(spark, texts, "").collect()]
+    assert sum(got) > 8 * size and max(got) < 2 * size
