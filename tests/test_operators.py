@@ -4,6 +4,7 @@ import math
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,3 +290,35 @@ def test_draws_are_dealt_by_their_number(spark, monkeypatch):
     assert tasks == [10]
     hashed = R.packed_hash_draws(units, "u", 20, ["g"], 5).collect()
     assert sum(len(r.reps) for r in hashed if r.g == "a") == 90 * 20
+
+
+def test_small_slices_are_smoothed_together(spark):
+    """Many slices in a call, whole ones though batches cut them, and each smoothed by itself."""
+    rng = np.random.default_rng(5)
+    patch = rng.normal(size=(40, 5, 7))
+    patch[rng.random(patch.shape) < 0.2] = np.nan
+    patch[7] = np.nan
+    rows = [(None if k == 3 else f"p{k}", k % 3, j, i, None if np.isnan(x) else float(x)) for (k, j, i), x in np.ndenumerate(patch)]
+    cells = spark.createDataFrame(rows, "p string, g int, iy int, ix int, a double").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "80")
+    try:
+        many = S.by_slices(cells, ["p", "g"], lambda c, number: c.append_column("n", pa.array(number + 0.0)).append_column("m", pa.array(np.full(len(number), number[-1] + 1.0))), ["n", "m"], (5, 7)).collect()
+        got = S.gauss_reflect(cells, {"a": "s"}, ["p", "g"], 4.0, 1.5, 5, 7).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert max(r["m"] for r in many) > 1 and len(many) == len(rows)
+    called = {}
+    for r in many:
+        called.setdefault((r["p"], r["g"]), []).append(r["n"])
+    assert all(len(x) == 35 and len(set(x)) == 1 for x in called.values()) and len(called) == 40
+    weigh = np.array(S.kernel(4.0 / 2.355 / 1.5))
+    have = {(r["p"], r["g"], r["iy"], r["ix"]): r["s"] for r in got}
+    assert len(have) == len(rows)
+    for k, v in enumerate(patch):
+        r = len(weigh) // 2
+        full = np.pad(np.where(np.isnan(v), np.nanmean(v) if k != 7 else 0.0, v), r, mode="symmetric")
+        full = np.array([np.convolve(row, weigh, "valid") for row in full])
+        full = np.array([np.convolve(col, weigh, "valid") for col in full.T]).T
+        for (j, i), x in np.ndenumerate(v):
+            s = have[None if k == 3 else f"p{k}", k % 3, j, i]
+            assert s is None if np.isnan(x) else s == pytest.approx(full[j, i])
