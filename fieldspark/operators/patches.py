@@ -175,7 +175,8 @@ def track_window(tracks: DataFrame, ref: DataFrame, n: int) -> DataFrame:
 def with_previous_hour(cells: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """Adds <field>_prev from dh - 1 of the same track and cell; a first or lone hour gets its own values."""
     before = cells.select(*keys, (F.col("dh") + 1).alias("dh"), *[F.col(f).alias(f"_{f}") for f in fields], F.lit(True).alias("_has"))
-    j = cells.join(before, [*keys, "dh"], "left")
+    # a row for each cell: its few bytes in a file tell Spark to broadcast what takes a gigabyte in memory
+    j = cells.join(before.hint("merge"), [*keys, "dh"], "left")
     for f in fields:
         j = j.withColumn(f"{f}_prev", F.when(F.col("_has"), F.col(f"_{f}")).otherwise(F.col(f))).drop(f"_{f}")
     return j.drop("_has")

@@ -322,3 +322,13 @@ def test_small_slices_are_smoothed_together(spark):
         for (j, i), x in np.ndenumerate(v):
             s = have[None if k == 3 else f"p{k}", k % 3, j, i]
             assert s is None if np.isnan(x) else s == pytest.approx(full[j, i])
+
+
+def test_previous_hour_is_not_broadcast(spark, tmp_path):
+    """A table of cells is small in its file and large in memory."""
+    rows = [(k, dh, iy, float(10 * k + dh)) for k in range(3) for dh in range(2) for iy in range(2)]
+    path = str(tmp_path / "cells")
+    spark.createDataFrame(rows, "k int, dh int, iy int, q double").write.parquet(path)
+    got = P.with_previous_hour(spark.read.parquet(path), ["k", "iy"], ["q"])
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert all(r["q_prev"] == 10.0 * r["k"] for r in got.collect())
