@@ -24,7 +24,7 @@ than its bound has no partner; sets that have only a passage in common end there
 No group of equal signatures is turned into all its pairs at once.  Equal sets
 are one set from the start.  First each member is compared with the first member
 of its groups.  Then the sets that are outside the largest component of their
-family (sets that signatures tie together) are queries against that family, in
+family (sets that rare shingles tie together) are queries against that family, in
 blocks of bounded size; a task compares two blocks and returns links only.
 
 Shingles are told apart by 64-bit hashes and equal sets by 128-bit digests, so
@@ -293,16 +293,36 @@ def _by_key(names: tuple[str, ...], out: tuple[str, str], found):
     return work
 
 
+def _ties(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """sig, doc_id, component: the rarest shingles of each set, as far as sets of other components hold them.
+
+    Linked sets have three quarters of either in common, so of shingles in one
+    and the same order they share one of the first quarter and one more.  What
+    many sets have in common, such as a passage, comes last in that order.
+    """
+    ids = written(members.select("doc_id", "component").distinct(), "held")
+    sets = _set_rows(ids.select("doc_id"), docs).join(small(ids), "doc_id")
+    rows = sets.select("doc_id", "component", F.size("s").alias("size"), F.explode("s").alias("sig"))
+    w = Window.partitionBy("sig")
+    often = F.when(F.min("component").over(w) < F.max("component").over(w), F.count("*").over(w)).otherwise(0)
+    # texts of one id: a set that is there twice has its shingles twice, in one place
+    place = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("often", "sig"))
+    rows = rows.withColumn("often", often).withColumn("place", place)
+    return written(rows.filter("often > 0 AND place <= size div 4 + 1").select("sig", "doc_id", "component"), "ties")
+
+
 def _linked_in_families(members: DataFrame, base: DataFrame, docs: DataFrame) -> DataFrame:
     """Links between sets of different components that are left in ``members``.
 
-    Sets that share signatures, directly or by way of others, are a family;
-    no link leaves it.  All its sets but those of its largest component are
+    Sets that share ties, directly or by way of others, are a family; no link
+    leaves it.  By their signatures, sets that have a passage in common would
+    be tied, and with enough of them most of a corpus is one family.  All its sets but those of its largest component are
     queries against all of it.  Queries and family are cut into blocks of
     about BLOCK shingles; a task counts the shingles that each query of one
     block has in common with each set of another.  Only links come out: the
     first found between a query and each other component in the block.
     """
+    members = _ties(members, docs)
     family = components(_with_first(members, "doc_id")).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "family")
     sizes = base.groupBy("doc_id").agg(F.max("n_shingles").alias("size"))
     one = members.select("doc_id", "component").distinct().join(family, "doc_id").join(sizes, "doc_id")

@@ -433,6 +433,53 @@ def test_jaccard_link_counts(spark, tmp_path, monkeypatch, star):
     assert {(r["doc_id"], r["n_links"]) for r in got} == set(want.items())
 
 
+def test_jaccard_sets_with_a_passage_in_common_are_no_family(spark, monkeypatch):
+    """They travel a few times at most, not once for each block of all that share the passage."""
+    sent, written = {}, jaccard_join.written
+
+    def counted(df, name="table"):
+        out = written(df, name)
+        sent[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", counted)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 1000)
+    monkeypatch.setattr(jaccard_join, "LEAST_BLOCK", 1000)
+    rng = np.random.default_rng(17)
+    words = [f"w{i}" for i in range(5000)]
+    passage = rng.choice(words, 70).tolist()
+    texts = [" ".join(rng.choice(words, 20).tolist() + passage + rng.choice(words, 20).tolist()) for _ in range(150)]
+    t = rng.choice(words, 150).tolist()
+    for _ in range(20):
+        texts.append(" ".join(t))
+        t[rng.integers(150)] = str(rng.choice(words))
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOC)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(df, count_links=False).collect()}
+    assert got == brute_components(texts)
+    assert sent["blocks"] <= 3 * len(texts)
+
+
+def test_linked_sets_share_a_tie(spark):
+    """Also if an id comes twice with one text, and if most shingles are in one set only."""
+    rng = np.random.default_rng(19)
+    words, texts = [f"w{i}" for i in range(900)], []
+    for n in (6, 9, 40, 41, 42, 43, 150):
+        t = rng.choice(words, n).tolist()
+        for _ in range(12):
+            texts.append(" ".join(t))
+            t[rng.integers(n)] = str(rng.choice(words))
+    rows = [(i, t) for i, t in enumerate(texts) for _ in range(1 + i % 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    members = spark.range(len(texts)).select(F.lit(0).alias("sig"), F.col("id").alias("doc_id"), F.lit(0).alias("code"), F.col("id").alias("component"))
+    ties = defaultdict(set)
+    for r in jaccard_join._ties(members, docs).collect():
+        ties[r["doc_id"]].add(r["sig"])
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    linked = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j])]
+    assert len(linked) > 50 and all(ties[i] & ties[j] for i, j in linked)
+    assert all(len(ties[i]) <= len(s) // 4 + 1 for i, s in enumerate(sets))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 160)] + [(300, 300)]
     got = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
