@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_llm import BYTES, ODD, PIECES, make_texts
@@ -87,6 +88,26 @@ def test_alignment_sends_a_shard_at_a_time(spark, monkeypatch):
     assert sorted(map(tuple, alignment.align(df, BYTES, PIECES).collect())) == want
 
 
+def test_alignment_rows_of_shards_are_bounded(spark):
+    """A row holds less than the text of its shard, also where nearly every word is another one."""
+    rng = np.random.default_rng(7)
+    letters = rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (600_000, 7))
+    words = ["".join(x) for x in letters[rng.integers(0, 100_000, 600_000)].tolist()]
+    texts = [(i, " ".join(words[i * 5000 : i * 5000 + 5000])) for i in range(120)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    parts = alignment.shards(df, BYTES, PIECES)
+    size = sum((F.length(c) for c in alignment._NUMBERS), F.lit(0))
+    rows, most = parts.select(F.count("*"), F.max(size)).first()
+    assert rows >= 2 and most < 2 << 20
+
+
+def test_numbers_are_packed_and_read_again():
+    for x in ([], [0], [255], [256] * 9, range(70_000), [3, 1 << 40, 0]):
+        x = np.array(x, np.int64)
+        packed = alignment._pack_numbers(x)
+        assert alignment._numbers(packed).tolist() == x.tolist() and alignment._numbers(pa.py_buffer(packed)).dtype == np.int64
+
+
 def test_alignment_texts_and_empty(spark):
     df = spark.createDataFrame([(1, "Hello", "x", 0), (1, "Hello", "x", 0), (None, None, None, 0)], ROWS)
     got = sorted(map(tuple, alignment.align(df, BYTES, PIECES, texts=True).select("doc_id", "n_a", "groups").collect()), key=str)
