@@ -65,3 +65,27 @@ def test_texts_go_to_workers_in_slices(spark, docs, monkeypatch):
     monkeypatch.setattr(corpus_pipeline.packing, "pack_documents", sent)
     got = [r["bytes"] for r in corpus_pipeline.pack(spark, texts, "").collect()]
     assert sum(got) > 8 * size and max(got) < 2 * size
+
+
+def test_near_duplicates_send_sets_with_a_passage_in_common_a_few_times(spark, monkeypatch):
+    import random
+
+    from fieldspark.llm import jaccard_join
+
+    sent, written = {}, jaccard_join.written
+
+    def counted(df, name="table"):
+        out = written(df, name)
+        sent[name] = out.count()
+        return out
+
+    for name, value in (("written", counted), ("BLOCK", 1000), ("LEAST_BLOCK", 1000)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(23)
+    some = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    passage = some(70)
+    texts = [" ".join(some(20) + passage + some(20)) for _ in range(150)]
+    texts += [texts[0] + " more", texts[1]]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOC)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == list(range(150))
+    assert sent["blocks"] <= 3 * len(texts)
